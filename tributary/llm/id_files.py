@@ -156,10 +156,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 def read(spark, path: str, with_ids: bool = False) -> DataFrame:
     """Documents of the files under path: doc_id, start, n_tokens, ids_crc32 and, with_ids, the ids.
 
-    start counts the ids of all documents before it in file order. Sums by file come to the driver, one number for each file of FILE_IDS ids; what stands before a block inside its file is a window over that file's blocks.
+    start counts the ids of all documents before it in file order. Sums by file come to the driver, one number for
+    each file of FILE_IDS ids.
     """
-    from pyspark.sql import Window
-
     ids = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
     ids_of = spark.sparkContext.broadcast(ids)
     frame = spark.read.parquet(f"{path}/blocks")
