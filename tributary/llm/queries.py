@@ -8,6 +8,7 @@ from importlib import import_module
 _OPS = {
     "op2_token_ids": "id_files",
     "op7_byte_bpe": "bpe_transducer",
+    "op8_packing": "packing",
 }
 
 
