@@ -20,15 +20,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import drop_stored, shared_dir, stored, table
 from .wordpiece import default_path, encoder, slices
 
 MAGIC = b"TRB1"
 BLOCK_IDS = 500_000
-FILE_IDS = 4_000_000
+FILE_CHARS = 12_000_000
 
 #: For each control byte, the widths of its four values; then the offsets of the four and their sum.
 WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -89,67 +90,86 @@ def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, lengths
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, vocab: int = 1 << 16, file_ids: int = FILE_IDS) -> str:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, vocab: int = 1 << 16, file_chars: int = FILE_CHARS) -> str:
     """Encodes every whole text of docs (doc_id, text) and writes blocks and ranks under path, in ascending doc_id order.
 
-    Null texts are empty and have the end id alone; rows of one doc_id keep a row each, those with the smaller text
-    first; a null doc_id is refused. Ids are counted over all documents: each task counts into an array of the
-    vocabulary's size and Spark sums at most that many rows a task. The second pass deals texts by ranges of doc_id.
+    Null texts are empty and have the end id alone; rows of one doc_id keep a row each; a null doc_id is refused. Texts
+    are compressed, dealt by ranges of doc_id and encoded once, to plain blocks; ids are counted over all of these (each
+    task counts into an array of the vocabulary's size), and then the blocks are coded by rank, file by file.
     """
     tokenizer = tokenizer or default_path()
+    spark = docs.sparkSession
+    narrow = np.dtype("<u2" if vocab <= 1 << 16 else "<u4")
+    block = "part int, before long, n_ids long, payload binary"
 
-    def count(batches):
-        seen, total = np.zeros(vocab, np.int64), 0
+    def shrink(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for a, z in slices(texts):
-                ids, sizes = encoder(tokenizer).encode(texts[a:z])
-                got = np.bincount(ids, minlength=vocab)
-                seen[: len(got)] += got
-                seen[end_id] += len(sizes)
-                total += len(ids) + len(sizes)
-        at = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["id", "n"])
-
-    spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    order = sorted((-n, i) for i, n in counts)
-    rank_of = np.zeros(vocab, np.uint32)
-    rank_of[[i for _, i in order]] = np.arange(len(order))
-    total = -sum(n for n, _ in order)
-    spark.createDataFrame([(k, i) for k, (_, i) in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
-    ranks = spark.sparkContext.broadcast(rank_of)
+            packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc_id", "text"])
 
-    def blocks(batches):
+    def encode(batches):
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
+        z = zstandard.ZstdDecompressor()
 
         def flush():
             nonlocal held, size, before
-            docs_, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            payload = write_block(docs_, lengths, ranks.value[ids])
+            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            payload = struct.pack("<I", len(doc_ids)) + b"".join([doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), ids.astype(narrow).tobytes()])
             held, size, before = [], 0, before + len(ids)
             cols = [pa.array([part], pa.int32()), pa.array([before - len(ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "before", "n_ids", "payload"])
 
         for b in batches:
-            doc_ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            for a, z in slices(texts):
-                ids, lengths = _with_end(*encoder(tokenizer).encode(texts[a:z]), end_id)
-                held.append((doc_ids[a:z], lengths, ids))
+            doc_ids, packed = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            texts = [z.decompress(t).decode("utf-8", "surrogatepass") for t in packed]
+            for a, e in slices(texts):
+                ids, lengths = _with_end(*encoder(tokenizer).encode(texts[a:e]), end_id)
+                held.append((doc_ids[a:e], lengths, ids))
                 size += len(ids)
                 if size >= BLOCK_IDS:
                     yield flush()
         if held:
             yield flush()
 
-    parts = max(1, -(-total // file_ids))
+    def plain(payload):
+        n = struct.unpack_from("<I", payload)[0]
+        return np.frombuffer(payload, "<i8", n, 4), np.frombuffer(payload, "<u4", n, 4 + 8 * n), np.frombuffer(payload, narrow, -1, 4 + 12 * n)
+
+    def count(batches):
+        seen = np.zeros(vocab, np.int64)
+        for b in batches:
+            for payload in b.column(0).to_pylist():
+                seen += np.bincount(plain(payload)[2], minlength=vocab)
+        at = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["id", "n"])
+
+    def code(batches):
+        for b in batches:
+            out = []
+            for payload in b.column(3).to_pylist():
+                doc_ids, lengths, ids = plain(payload)
+                out.append(write_block(doc_ids, lengths, ranks.value[ids]))
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)] + [pa.array(out, pa.binary())], ["part", "before", "n_ids", "payload"])
+
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-chars // file_chars))
     key = F.assert_true(F.col("doc_id").isNotNull(), F.lit("doc_id is null"))
-    ordered = docs.select("doc_id", "text").where(key.isNull()).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, "part int, before long, n_ids long, payload binary").write.parquet(f"{path}/blocks")
+    small = docs.select("doc_id", "text").where(key.isNull()).mapInArrow(shrink, "doc_id long, text binary")
+    ordered = small.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    raw = stored(ordered.mapInArrow(encode, block), "ids", "zstd")
+    counts = raw.select("payload").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    order = sorted((-n, i) for i, n in counts)
+    rank_of = np.zeros(vocab, np.uint32)
+    rank_of[[i for _, i in order]] = np.arange(len(order))
+    spark.createDataFrame([(k, i) for k, (_, i) in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
+    ranks = spark.sparkContext.broadcast(rank_of)
+    raw.mapInArrow(code, block).write.parquet(f"{path}/blocks")
+    drop_stored(raw)
     return path
 
 

@@ -1,18 +1,27 @@
 """Encoding with a public word-level BPE file through the tokenizers library, with a bounded cache of chunks.
 
 The normaliser and the splitter of that file never look across white space, so a text's ids are those of its chunks
-between blanks, joined. Each worker encodes a distinct chunk once, by the library, and gathers the rest by numpy.
+between blanks, joined. Each worker encodes a distinct chunk once and gathers the rest by numpy. A chunk of plain Latin
+letters, ASCII digits and signs is lower-cased and split here, as the file says, and the library merges each distinct
+piece once; any other chunk goes through the whole library.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
 
 MAX_CHUNKS, MAX_CHARS = 900_000, 16_000_000
 
+#: Letters for which lower-casing is one to one and normal form C changes nothing.
+LATIN = "A-Za-zÀ-ÖØ-öø-įıĴ-ňŊ-ž"
+PLAIN = re.compile(rf"(?!.*<\|)[!-~{LATIN}]+").fullmatch
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^0-9{LATIN}]+").findall
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -33,37 +42,95 @@ class _Index(dict):
         return k
 
 
+class _Rows:
+    """Growing rows of ids: the k-th is flat[start[k] : start[k] + length[k]]."""
+
+    def __init__(self):
+        self.n = self.used = 0
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(sizes), self.used + len(ids)
+        while len(self.start) < n:
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while len(self.flat) < used:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.length[self.n : n] = sizes
+        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : used] = ids
+        self.n, self.used = n, used
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows at these numbers, joined, and their sizes."""
+        sizes = self.length[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)], sizes
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values, of these lengths."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f)
+        split = bare["pre_tokenizer"]["pretokenizers"]
+        self.plain = split[0]["pattern"]["Regex"] == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        bare["normalizer"], split[0] = None, {"type": "WhitespaceSplit"}
+        suffix, vocab = bare["model"]["end_of_word_suffix"], bare["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.merges = Tokenizer.from_str(json.dumps(bare))
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.chars = _Index(), 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int32)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.index, self.chars, self.rows = _Index(), 0, _Rows()
+        self.piece_index, self.piece_rows = _Index(), _Rows()
+
+    def _learn_pieces(self) -> None:
+        """Merges of new pieces, many in a call; a piece's last id carries the end of a word and so parts them."""
+        new, self.piece_index.new = self.piece_index.new, []
+        for k in range(0, len(new), 5_000):
+            some = new[k : k + 5_000]
+            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) != len(some):
+                raise ValueError("a piece without one end of a word")
+            self.piece_rows.add(ids, np.diff(ends, prepend=0))
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
-        first = len(self.index) - len(new)
         self.chars += sum(map(len, new))
-        ids = []
         for k in range(0, len(new), 20_000):
-            ids += [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        total = int(sizes.sum())
-        while len(self.start) < len(self.index):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        while len(self.flat) < self.used + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.length[first : first + len(new)] = sizes
-        self.start[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.used += total
+            some = new[k : k + 20_000]
+            if not self.plain or None in map(PLAIN, some):
+                plain = [bool(self.plain and PLAIN(c)) for c in some]
+            else:
+                plain = [True] * len(some)
+            split = [SPLIT(c.lower()) if ok else () for c, ok in zip(some, plain, strict=True)]
+            per = np.fromiter(map(len, split), np.int64, len(split))
+            at = np.fromiter(map(self.piece_index.__getitem__, chain.from_iterable(split)), np.int64, int(per.sum()))
+            if self.piece_index.new:
+                self._learn_pieces()
+            ids, sizes = self.piece_rows.take(at)
+            sizes = _sums(sizes, per)
+            if not all(plain):
+                other = [c for c, ok in zip(some, plain, strict=True) if not ok]
+                whole = iter([e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
+                parts = np.split(ids, np.cumsum(sizes)[:-1])
+                parts = [p if ok else np.array(next(whole), np.uint32) for p, ok in zip(parts, plain, strict=True)]
+                ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+            self.rows.add(ids, sizes)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has."""
@@ -74,12 +141,8 @@ class ChunkEncoder:
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(per.sum()))
         if self.index.new:
             self._learn()
-        sizes = self.length[at].astype(np.int64)
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
-        return ids, np.diff(bounds)
+        ids, sizes = self.rows.take(at)
+        return ids, _sums(sizes, per)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
