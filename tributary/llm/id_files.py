@@ -94,7 +94,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Encodes every whole text of docs (doc_id, text) and writes blocks and ranks under path, in ascending doc_id order.
 
     Null texts are empty and have the end id alone; rows of one doc_id keep a row each; a null doc_id is refused. Texts
-    are compressed, dealt by ranges of doc_id and encoded once, to plain blocks; ids are counted over all of these (each
+    are compressed, dealt by ranges between quantiles of doc_id and encoded once, to plain blocks; ids are counted over all of these (each
     task counts into an array of the vocabulary's size), and then the blocks are coded by rank, file by file.
     """
     tokenizer = tokenizer or default_path()
@@ -106,7 +106,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc_id", "text"])
+            part = np.searchsorted(cuts, b.column(0).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(part)], ["doc_id", "text", "part"])
 
     def encode(batches):
         from pyspark import TaskContext
@@ -159,8 +160,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-chars // file_chars))
     key = F.assert_true(F.col("doc_id").isNotNull(), F.lit("doc_id is null"))
-    small = docs.select("doc_id", "text").where(key.isNull()).mapInArrow(shrink, "doc_id long, text binary")
-    ordered = small.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    checked = docs.select("doc_id", "text").where(key.isNull())
+    cuts = docs.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    cuts = np.unique(np.array(cuts, np.int64))
+    small = checked.mapInArrow(shrink, "doc_id long, text binary, part int")
+    ordered = small.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("doc_id", "text")
     raw = stored(ordered.mapInArrow(encode, block), "ids", "zstd")
     counts = raw.select("payload").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted((-n, i) for i, n in counts)
