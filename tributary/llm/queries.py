@@ -7,6 +7,7 @@ from importlib import import_module
 
 _OPS = {
     "op2_token_ids": "id_files",
+    "op3_toxicity": "toxicity",
     "op4_suffix_dedup": "suffix_dedup",
     "op7_byte_bpe": "bpe_transducer",
     "op8_packing": "packing",
