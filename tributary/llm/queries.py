@@ -9,6 +9,7 @@ _OPS = {
     "op2_token_ids": "id_files",
     "op3_toxicity": "toxicity",
     "op4_suffix_dedup": "suffix_dedup",
+    "op6_quality": "quality",
     "op7_byte_bpe": "bpe_transducer",
     "op8_packing": "packing",
     "op10_simhash": "simhash",
