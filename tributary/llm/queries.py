@@ -12,6 +12,7 @@ _OPS = {
     "op6_quality": "quality",
     "op7_byte_bpe": "bpe_transducer",
     "op8_packing": "packing",
+    "op9_embedding_dedup": "embedding_dedup",
     "op10_simhash": "simhash",
 }
 
