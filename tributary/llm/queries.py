@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 _OPS = {
+    "op1_pii": "pii",
     "op2_token_ids": "id_files",
     "op3_toxicity": "toxicity",
     "op4_suffix_dedup": "suffix_dedup",

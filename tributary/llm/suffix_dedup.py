@@ -121,11 +121,12 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _judge(rows: DataFrame, key: list[str], content: list[str], refs: list[str], name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows by their rank (key) and rank pair (key and content): (a stored table, asking rows whose pair repeats, one row
     for each pair whose rank has other pairs too)."""
-    shared = rows.groupBy(key).agg(F.count(F.lit(1)).alias("ck")).where("ck > 1")
+    # the aggregates are written, so that the joins' shuffles stand alone and adaptive execution can split a hot rank
+    shared = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("ck")).where("ck > 1"), f"{name}-ranks")
     near = stored(rows.join(shared.hint("shuffle_hash"), key), name)
     pair = [*key, *content]
     one = F.min(F.struct(*refs, *(["ask"] if "ask" in rows.columns else []))).alias("ref")
-    pairs = near.groupBy(pair).agg(F.count(F.lit(1)).alias("cu"), F.first("ck").alias("ck"), one)
+    pairs = stored(near.groupBy(pair).agg(F.count(F.lit(1)).alias("cu"), F.first("ck").alias("ck"), one), f"{name}-pairs")
     again = pairs.where("cu > 1").select(pair)
     asking = near.where("ask") if "ask" in rows.columns else near
     settled = asking.join(again.hint("shuffle_hash"), pair)
@@ -217,7 +218,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     blocks = stored(mixed2.select(*KEY, "u", "p", "n", "off", "ask"), "blocks-left")
     windows = stored(_windows(units, blocks, length), "windows")
     rank = ["name", "off", "whole"]
-    again = windows.groupBy(rank).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(rank)
+    again = stored(windows.groupBy(rank).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(rank), "windows-again")
     settled3 = windows.where("ask").join(again.hint("shuffle_hash"), rank)
     runs = settled1.select(*where, "p", (F.col("p") + F.col("n") - 1 + length).alias("end"))
     runs = runs.union(settled2.select(*where, "p", (F.col("p") + F.col("n") - 1 + length).alias("end")))
