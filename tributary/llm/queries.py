@@ -10,6 +10,7 @@ _OPS = {
     "op2_token_ids": "id_files",
     "op3_toxicity": "toxicity",
     "op4_suffix_dedup": "suffix_dedup",
+    "op5_chat": "chat",
     "op6_quality": "quality",
     "op7_byte_bpe": "bpe_transducer",
     "op8_packing": "packing",
@@ -31,4 +32,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat import OP5_SQL
+
+    return {"op5_chat": OP5_SQL}
