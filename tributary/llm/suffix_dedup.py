@@ -277,3 +277,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_data: bool = Fals
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the repeated bytes gone from text and, where there is one, n_chars counted anew.
+
+    A character that a removed run cuts goes with it. Null texts stay null; every row stays.
+    """
+    nul = -(1 << 63)
+    own = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("doc_id", F.lit(-1)))
+    kept = remove_repeats(docs, length, with_data=True).select(F.coalesce("doc_id", F.lit(nul)).alias("_id"), F.col("own").alias("_own"), "kept").where("n_removed > 0")
+
+    def text(batches):
+        for b in batches:
+            new = [x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], ["_id", "_own", "_text"])
+
+    new = kept.mapInArrow(text, "_id long, _own long, _text string").dropDuplicates(["_id", "_own"])
+    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(nul)), "_own": own})
+    out = rows.join(new, ["_id", "_own"], "left").withColumn("text", F.coalesce("_text", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
