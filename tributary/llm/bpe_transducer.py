@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-MAX_STATES, MAX_PAIRS, MAX_HOPS = 150_000, 1_000_000, 200_000
-MAX_PIECES, MAX_PIECE_BYTES = 500_000, 40_000_000
+MAX_STATES, MAX_PAIRS, MAX_HOPS = 200_000, 1_000_000, 200_000
+MAX_PIECES, MAX_PIECE_CHARS = 900_000, 14_000_000
+NONE = 0xFFFFFFFF
+BYTES = [bytes((k,)) for k in range(256)]
 
 
 def default_ranks() -> str:
@@ -43,14 +45,14 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """States by number: (suffix, ((last token, tokens not yet emitted), ...) by boundary of the suffix, from its
-        start to its end). arcs: state * 256 + byte -> (next state, ids emitted)."""
-        start = (b"", ((-1, ()),))
+        """States by number: (suffix, last token by boundary of the suffix, tokens not yet emitted by boundary), from the
+        suffix's start to its end. arcs: state * 256 + byte -> (next state, ids emitted)."""
+        start = (b"", (NONE,), ((),))
         self.states, self.number = [start], {start: 0}
         self.arcs: dict[int, tuple[int, tuple]] = {}
 
@@ -64,36 +66,48 @@ class Transducer:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
-    def fits(self, left: int, token: bytes) -> bool:
-        """Whether the token may follow the token left (-1: at the start)."""
-        right = self.ranks[token]
-        if left < 0:
-            if (ok := self.whole.get(token)) is None:
-                ok = self.whole[token] = self.merged(token) == [right]
-            return ok
-        if (ok := self.pairs.get((left, right))) is None:
-            ok = self.pairs[left, right] = self.fits(-1, token) and self.merged(self.bytes_of[left] + token) == [left, right]
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether the token right may follow the token left (NONE: at the start)."""
+        token = self.bytes_of[right]
+        if (ok := self.whole.get(right)) is None:
+            ok = self.whole[right] = self.merged(token) == [right]
+        if ok and left != NONE:
+            ok = self.merged(self.bytes_of[left] + token) == [left, right]
+        self.pairs[left << 32 | right] = ok
         return ok
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple]:
         """The next state and the ids emitted on the way; kept for the next time."""
-        suffix, ends = self.states[state]
-        seen = suffix + bytes((byte,))
-        ranks, fits = self.ranks, self.fits
-        for k, (last, held) in enumerate(ends):
-            right = ranks.get(seen[k:])
-            if right is not None and fits(last, seen[k:]):
-                break
+        suffix, lasts, helds = self.states[state]
+        seen = suffix + BYTES[byte]
+        rank, fits, k = self.ranks.get, self.pairs.get, 0
+        for last in lasts:
+            right = rank(seen[k:])
+            if right is not None:
+                ok = fits(last << 32 | right)
+                if ok or ok is None and self._fits(last, right):
+                    break
+            k += 1
         else:
             raise ValueError("no token ends here; a byte has no rank")
-        cut, prefixes = 0, self.prefixes
-        while seen[cut:] not in prefixes:
+        cut, prefixes, rest = 0, self.prefixes, seen
+        while rest not in prefixes:
             cut += 1
-        live = (*ends[cut:], (right, (*held, right)))
-        one, done = live[0][1], 0
-        while done < len(one) and all(len(h) > done and h[done] == one[done] for _, h in live):
-            done += 1
-        raw = (seen[cut:], tuple([(last, h[done:]) for last, h in live]) if done else live)
+            rest = seen[cut:]
+        lasts, helds = (*lasts[cut:], right), (*helds[cut:], (*helds[k], right))
+        one, done = helds[0], 0
+        if one:
+            for token in one:
+                for held in helds:
+                    if len(held) <= done or held[done] != token:
+                        break
+                else:
+                    done += 1
+                    continue
+                break
+            if done:
+                helds = tuple([h[done:] for h in helds])
+        raw = (rest, lasts, helds)
         to = self.number.get(raw)
         if to is None:
             to = self.number[raw] = len(self.states)
@@ -114,7 +128,7 @@ class Transducer:
             state, got = arc
             if got:
                 out += got
-        return (*out, *self.states[state][1][-1][1])
+        return (*out, *self.states[state][2][-1])
 
 
 class Utf8:
@@ -171,6 +185,19 @@ class Decoder:
         return "�" * cut
 
 
+class _Pieces(dict):
+    """piece -> ids, by the transducer when first asked for."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine, self.chars = machine, 0
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self[piece] = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
+        self.chars += len(piece)
+        return ids
+
+
 class Codec:
     """A worker's encoder of whole texts: distinct pieces pass the transducer once while they stay in a bounded cache."""
 
@@ -178,24 +205,28 @@ class Codec:
         import regex
 
         self.machine, self.find = Transducer(ranks), regex.compile(pattern).findall
-        self.pieces: dict[str, tuple] = {}
-        self.size, self.known = 0, {}
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and their decimal digits joined by commas."""
-        pieces = self.pieces
-        if self.size > MAX_PIECE_BYTES or len(pieces) > MAX_PIECES:
-            pieces.clear()
-            self.size = 0
-        found = self.find(text)
-        for p in set(found).difference(pieces):
-            ids = self.machine.encode(p.encode("utf-8", "surrogatepass"))
-            pieces[p] = (ids, ",".join(map(str, ids)))
-            self.size += 8 * len(p)
-        got = list(map(pieces.__getitem__, found))
-        return list(chain.from_iterable(g[0] for g in got)), ",".join([g[1] for g in got])
-
-    def decode(self, ids) -> str:
+        self.pieces, self.known = _Pieces(self.machine), {}
+        self.digits = {i: str(i) for i in self.machine.bytes_of}
+        #: Tokens that are whole characters: decoded from the machine's start state, they lead back to it.
+        self.whole: dict[int, str] = {}
+        for i in self.machine.bytes_of:
+            d = Decoder(self.machine.bytes_of)
+            text = d.feed([i])
+            if d.state == Utf8.START:
+                self.whole[i] = text
+
+    def encode(self, text: str) -> list[int]:
+        if len(self.pieces) > MAX_PIECES or self.pieces.chars > MAX_PIECE_CHARS:
+            self.pieces = _Pieces(self.machine)
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+
+    def decimal(self, ids: list[int]) -> str:
+        return ",".join(map(self.digits.__getitem__, ids))
+
+    def decode(self, ids: list[int]) -> str:
+        texts = list(map(self.whole.get, ids))
+        if None not in texts:
+            return "".join(texts)
         d = Decoder(self.machine.bytes_of, self.known)
         return d.feed(ids) + d.end()
 
@@ -227,9 +258,9 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, digits = c.encode(text or "")
+                ids = c.encode(text or "")
                 back = c.decode(ids)
-                row = [doc, len(ids), hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
+                row = [doc, len(ids), hashlib.sha256(c.decimal(ids).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
                 rows.append(row + [ids, back] * with_ids)
             types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * with_ids
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
