@@ -23,7 +23,7 @@ from .tagger import KINDS, Tagger, classes
 #: Documents that the tagger is trained on at most, those with the smallest hash of doc_id.
 MOST_TRAIN = 3000
 WINDOW, OVERLAP, TRAIN_WINDOW, MADE = 320, 48, 96, 3200
-SLICE_CHARS = 250_000
+SLICE_CHARS = 400_000
 
 # Fixed patterns of the four kinds; possessive, as none of them can match by giving back.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -197,7 +197,10 @@ def added_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, i
             x[w, : len(part)] = part
             w += 1
     e = tagger.emissions(np.ascontiguousarray(x.T))
-    unsure = (e[:, 1:].max(axis=1) - e[:, 0] + tagger.slack() > 0).T
+    best = e[:, 1]
+    for k in range(2, e.shape[1]):
+        best = np.maximum(best, e[:, k])
+    unsure = (best > e[:, 0] - np.float32(tagger.slack())).T
     regions = []  # text, first place, emissions
     for row, (c, n, at) in enumerate(zip(coded, per, first, strict=True)):
         own = np.nonzero(unsure[at : at + n])

@@ -9,7 +9,7 @@ import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + len(KINDS)
-HIDDEN, EMBED = 8, 8
+HIDDEN, EMBED = 6, 6
 
 #: Character classes by code point up to the table's end; the last entry stands for all others. 0 pads.
 CLASSES = 48
@@ -36,8 +36,8 @@ def classes(text: str) -> np.ndarray:
     return TABLE[np.minimum(points, len(TABLE) - 1)]
 
 
-def _run(x: np.ndarray, emb: np.ndarray, w: np.ndarray, b: np.ndarray, back: bool, keep: bool):
-    """One direction over classes x (steps, windows): hidden states (steps, HIDDEN, windows) and, to train, the tape.
+def _run(x: np.ndarray, emb: np.ndarray, w: np.ndarray, b: np.ndarray, back: bool):
+    """One direction over classes x (steps, windows): hidden states (steps, HIDDEN, windows) and the tape.
 
     Gates are i, f, o, g; the first three's weights stand halved, as sigmoid(z) = (1 + tanh(z / 2)) / 2.
     """
@@ -63,11 +63,34 @@ def _run(x: np.ndarray, emb: np.ndarray, w: np.ndarray, b: np.ndarray, back: boo
         tc = np.tanh(c)
         h = o * tc
         out[t] = h
-        if keep:
-            tape.append((t, both.copy(), z.copy(), before, tc))
+        tape.append((t, both.copy(), z.copy(), before, tc))
     return out, tape
 
 
+def _score(x: np.ndarray, emb: np.ndarray, w: np.ndarray, b: np.ndarray, out: np.ndarray, e: np.ndarray, back: bool) -> None:
+    """One direction's share of the emissions, added to e (steps, TAGS, windows), in buffers that stay in cache."""
+    steps, m = x.shape
+    both, z = np.zeros((EMBED + HIDDEN, m), np.float32), np.empty((4 * HIDDEN, m), np.float32)
+    c, tc = np.zeros((HIDDEN, m), np.float32), np.empty((HIDDEN, m), np.float32)
+    share = np.empty((TAGS, m), np.float32)
+    h, gate = both[EMBED:], z[: 3 * HIDDEN]
+    i, f, o, g = z[:HIDDEN], z[HIDDEN : 2 * HIDDEN], z[2 * HIDDEN : 3 * HIDDEN], z[3 * HIDDEN :]
+    for t in range(steps - 1, -1, -1) if back else range(steps):
+        emb.take(x[t], axis=1, out=both[:EMBED], mode="clip")
+        np.matmul(w, both, out=z)
+        z += b
+        np.tanh(z, out=z)
+        gate *= 0.5
+        gate += 0.5
+        c *= f
+        i *= g
+        c += i
+        np.tanh(c, out=tc)
+        np.multiply(o, tc, out=h)
+        np.matmul(out, h, out=share)
+        e[t] += share
+
+
 def _back(dout: np.ndarray, x: np.ndarray, w: np.ndarray, tape, grad: dict, name: str) -> None:
     m = x.shape[1]
     dh, dc = np.zeros((HIDDEN, m), np.float32), np.zeros((HIDDEN, m), np.float32)
@@ -97,20 +120,18 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(steps, TAGS, windows) for classes (steps, windows)."""
         p = self.p
-        f, _ = _run(x, p["emb"], p["wf"], p["bf"], False, False)
-        e = np.matmul(p["out"][:, :HIDDEN], f)
-        del f
-        b, _ = _run(x, p["emb"], p["wb"], p["bb"], True, False)
-        e += np.matmul(p["out"][:, HIDDEN:], b)
-        e += p["bias"]
+        e = np.empty((len(x), TAGS, x.shape[1]), np.float32)
+        e[:] = p["bias"]
+        _score(x, p["emb"], p["wf"], p["bf"], np.ascontiguousarray(p["out"][:, :HIDDEN]), e, False)
+        _score(x, p["emb"], p["wb"], p["bb"], np.ascontiguousarray(p["out"][:, HIDDEN:]), e, True)
         return e
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of tags y (steps, windows) under the CRF, and gradients."""
         p = self.p
         steps, m = x.shape
-        f, tape_f = _run(x, p["emb"], p["wf"], p["bf"], False, True)
-        b, tape_b = _run(x, p["emb"], p["wb"], p["bb"], True, True)
+        f, tape_f = _run(x, p["emb"], p["wf"], p["bf"], False)
+        b, tape_b = _run(x, p["emb"], p["wb"], p["bb"], True)
         e = (np.matmul(p["out"][:, :HIDDEN], f) + np.matmul(p["out"][:, HIDDEN:], b) + p["bias"]).astype(np.float64)
         trans = p["trans"].astype(np.float64)[:, :, None]
         alpha, beta = np.empty_like(e), np.zeros_like(e)
