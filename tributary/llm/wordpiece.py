@@ -15,12 +15,15 @@ from itertools import chain
 
 import numpy as np
 
-MAX_CHUNKS, MAX_CHARS = 900_000, 16_000_000
+from .common import worker_cache
+
+MAX_CHUNKS, MAX_CHARS = 700_000, 12_000_000
 
 #: Letters for which lower-casing is one to one and normal form C changes nothing.
 LATIN = "A-Za-zÀ-ÖØ-öø-įıĴ-ňŊ-ž"
-PLAIN = re.compile(rf"(?!.*<\|)[!-~{LATIN}]+").fullmatch
-SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^0-9{LATIN}]+").findall
+PLAIN = re.compile(rf"(?!.*<\|)[ -~{LATIN}]*").fullmatch
+#: Pieces, and the blank, which parts chunks.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^0-9{LATIN} ]+| ").findall
 
 
 def default_path() -> str:
@@ -96,6 +99,8 @@ class ChunkEncoder:
     def clear(self) -> None:
         self.index, self.chars, self.rows = _Index(), 0, _Rows()
         self.piece_index, self.piece_rows = _Index(), _Rows()
+        self.piece_index[" "] = 0  # the blank has no ids
+        self.piece_rows.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
 
     def _learn_pieces(self) -> None:
         """Merges of new pieces, many in a call; a piece's last id carries the end of a word and so parts them."""
@@ -111,25 +116,20 @@ class ChunkEncoder:
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
         self.chars += sum(map(len, new))
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            if not self.plain or None in map(PLAIN, some):
-                plain = [bool(self.plain and PLAIN(c)) for c in some]
+        for k in range(0, len(new), 4_000):
+            some = new[k : k + 4_000]
+            joined = " ".join(some)
+            if self.plain and PLAIN(joined):
+                parts = SPLIT(joined.lower())
+                at = np.fromiter(map(self.piece_index.__getitem__, parts), np.int64, len(parts))
+                if self.piece_index.new:
+                    self._learn_pieces()
+                ids, sizes = self.piece_rows.take(at)
+                sizes = np.bincount(np.cumsum(at == 0), sizes, len(some)).astype(np.int64)
             else:
-                plain = [True] * len(some)
-            split = [SPLIT(c.lower()) if ok else () for c, ok in zip(some, plain, strict=True)]
-            per = np.fromiter(map(len, split), np.int64, len(split))
-            at = np.fromiter(map(self.piece_index.__getitem__, chain.from_iterable(split)), np.int64, int(per.sum()))
-            if self.piece_index.new:
-                self._learn_pieces()
-            ids, sizes = self.piece_rows.take(at)
-            sizes = _sums(sizes, per)
-            if not all(plain):
-                other = [c for c, ok in zip(some, plain, strict=True) if not ok]
-                whole = iter([e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
-                parts = np.split(ids, np.cumsum(sizes)[:-1])
-                parts = [p if ok else np.array(next(whole), np.uint32) for p, ok in zip(parts, plain, strict=True)]
-                ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+                whole = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+                ids = np.fromiter(chain.from_iterable(whole), np.uint32, int(sizes.sum()))
             self.rows.add(ids, sizes)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,14 +145,9 @@ class ChunkEncoder:
         return ids, _sums(sizes, per)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """This worker's encoder: kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return worker_cache(f"wordpiece {path}", lambda: ChunkEncoder(path))
 
 
 def slices(texts: list[str | None], most: int = 2_000_000):
