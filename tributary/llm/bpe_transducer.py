@@ -20,7 +20,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import table, worker_cache
 
 MAX_STATES, MAX_PAIRS, MAX_HOPS = 200_000, 1_000_000, 200_000
 MAX_PIECES, MAX_PIECE_CHARS = 900_000, 14_000_000
@@ -231,15 +231,12 @@ class Codec:
         return d.feed(ids) + d.end()
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def codec(ranks_path: str, pattern: str) -> Codec:
-    key = (ranks_path, pattern)
-    if key not in _codecs:
+    def make() -> Codec:
         with open(ranks_path, "rb") as f:
-            _codecs[key] = Codec(load_ranks(f.read()), pattern)
-    return _codecs[key]
+            return Codec(load_ranks(f.read()), pattern)
+
+    return worker_cache(f"bpe {ranks_path} {pattern}", make)
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:

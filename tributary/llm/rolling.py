@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import worker_cache
+
 INDEX_BITS = 20
 MOST = (1 << INDEX_BITS) - 1
 _INDEX = np.uint64(MOST)
@@ -61,13 +63,11 @@ class Base:
         return x
 
 
-_bases: dict[int, Base] = {}
-
-
 def base(seed: int) -> Base:
-    if seed not in _bases:
-        _bases[seed] = Base(seed)
-    return _bases[seed]
+    bases = worker_cache("rolling", dict)
+    if seed not in bases:
+        bases[seed] = Base(seed)
+    return bases[seed]
 
 
 def anchors(prints: np.ndarray, width: int) -> np.ndarray:

@@ -8,6 +8,7 @@ documents: the fit's size does not grow with the corpus. Scoring is a map over w
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, worker_cache
 
 #: Labelled documents that a fit uses at most, those with the smallest hash of doc_id.
-MOST_LABELLED = 16_384
+MOST_LABELLED = 8_192
 SPACE, TERMS, FACTORS, THRESHOLD = 1 << 20, 4096, 8, 0.7
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -44,14 +45,12 @@ class Machine:
 
     def __init__(self, terms=(), bias=-20.0, weights=(), factors=()):
         self.place = {int(t): k for k, t in enumerate(terms)}
+        self.key = uuid.uuid4().hex
         self.bias, self.weights, self.factors = bias, np.asarray(weights), np.asarray(factors).reshape(-1, FACTORS)
-        self.known: dict[bytes, tuple[int, ...]] = {}
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def active(self, text: str | None) -> list[int]:
-        known, place = self.known, self.place
+    def active(self, text: str | None, known: dict[bytes, tuple[int, ...]]) -> list[int]:
+        """Numbers of the terms in use; known remembers those of words."""
+        place = self.place
         words = words_of(text)
         new = words.difference(known)
         if new:
@@ -62,8 +61,8 @@ class Machine:
                 known[w] = tuple(place[t] for t in terms_of(w) if t in place)
         return sorted({k for w in words if known[w] for k in known[w]})
 
-    def score(self, text: str | None) -> float:
-        at = self.active(text)
+    def score(self, text: str | None, known: dict[bytes, tuple[int, ...]]) -> float:
+        at = self.active(text, known)
         v = self.factors[at]
         x = self.bias + self.weights[at].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
@@ -78,18 +77,18 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, epochs: int = 60, seed: int =
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     if not n1 or not n0:
         return Machine(bias=-20.0 if not n1 else 20.0)
-    flat, sizes = np.concatenate(sets).astype(np.int64), np.array([len(s) for s in sets])
-    label = np.repeat(toxic, sizes)
-    in1 = np.bincount(flat, label, SPACE)
-    in0 = np.bincount(flat, 1 - label, SPACE)
+    in1, in0 = np.zeros(SPACE), np.zeros(SPACE)
+    for s, y in zip(sets, toxic, strict=True):
+        (in1 if y else in0)[s] += 1
     lift = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     worth = np.where((in1 >= 3) & (lift >= 1.5), lift * np.sqrt(in1), 0)
     terms = np.argsort(-worth, kind="stable")[:TERMS]
     terms = terms[worth[terms] > 0]
     place = np.full(SPACE, -1)
     place[terms] = np.arange(len(terms))
-    at, doc = place[flat], np.repeat(np.arange(len(sets)), sizes)
-    doc, at = doc[at >= 0], at[at >= 0]
+    used = [place[s] for s in sets]
+    used = [u[u >= 0] for u in used]
+    at, doc = np.concatenate(used), np.repeat(np.arange(len(sets)), [len(u) for u in used])
     m = len(terms)
     rng = np.random.default_rng(seed)
     theta = [np.array(np.log(n1 / n0)), np.zeros(m), rng.normal(0, 0.05, (m, FACTORS))]
@@ -160,9 +159,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        m = shared.value
+        m, known = shared.value, worker_cache(f"toxicity {shared.value.key}", dict)
         for b in batches:
-            s = np.array([m.score(t) for t in b.column("text").to_pylist()])
+            s = np.array([m.score(t, known) for t in b.column("text").to_pylist()])
             cols = [b.column(k) for k in range(b.num_columns)] + [pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "score", "predicted"])
 
