@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .tagger import KINDS, Tagger, classes
+from .tagger import KINDS, TAGS, Tagger, classes
 
 #: Documents that the tagger is trained on at most, those with the smallest hash of doc_id.
 MOST_TRAIN = 3000
-WINDOW, OVERLAP, TRAIN_WINDOW, MADE = 320, 48, 96, 3200
+WINDOW, OVERLAP, TRAIN_WINDOW, MADE = 320, 32, 96, 3200
+#: Windows with fewer characters are tagged over a multiple of so many places only.
+STEP = 80
 SLICE_CHARS = 400_000
 
 # Fixed patterns of the four kinds; possessive, as none of them can match by giving back.
@@ -189,21 +191,33 @@ def added_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, i
     coded = [classes(t) for t in texts]
     per = [max(1, -(-(len(c) - OVERLAP) // stride)) for c in coded]
     x = np.zeros((sum(per), WINDOW), np.uint8)
+    used = np.zeros(len(x), np.int64)
     first, w = [], 0
     for c, n in zip(coded, per, strict=True):
         first.append(w)
         for k in range(n):
             part = c[k * stride : k * stride + WINDOW]
             x[w, : len(part)] = part
+            used[w] = len(part)
             w += 1
-    e = tagger.emissions(np.ascontiguousarray(x.T))
+    steps = np.maximum(-(-used // STEP), 1) * STEP
+    order = np.argsort(steps, kind="stable")  # windows of like length side by side
+    place_of = np.empty(len(x), np.int64)
+    place_of[order] = np.arange(len(x))
+    x, steps = x[order], steps[order]
+    e = np.empty((WINDOW, TAGS, len(x)), np.float32)
+    cuts = np.concatenate([[0], np.nonzero(np.diff(steps))[0] + 1, [len(x)]])
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        n = int(steps[i])
+        e[:n, :, i:j] = tagger.emissions(np.ascontiguousarray(x[i:j, :n].T))
+        e[n:, 0, i:j], e[n:, 1:, i:j] = 0, -1e9  # places after a text's end lie outside
     best = e[:, 1]
     for k in range(2, e.shape[1]):
         best = np.maximum(best, e[:, k])
     unsure = (best > e[:, 0] - np.float32(tagger.slack())).T
     regions = []  # text, first place, emissions
     for row, (c, n, at) in enumerate(zip(coded, per, first, strict=True)):
-        own = np.nonzero(unsure[at : at + n])
+        own = np.nonzero(unsure[place_of[at : at + n]])
         place = np.unique(own[0] * stride + own[1])
         place = place[place < len(c)]
         if not len(place):
@@ -212,7 +226,7 @@ def added_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, i
             a, z = max(0, int(part[0]) - half), min(len(c), int(part[-1]) + half + 1)
             q = np.arange(a, z)
             k = np.clip((q - half) // stride, 0, n - 1)
-            regions.append((row, a, e[q - k * stride, :, at + k]))
+            regions.append((row, a, e[q - k * stride, :, place_of[at + k]]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (row, a, _), tags in zip(regions, tagger.viterbi([r[2] for r in regions]), strict=True):
         edge = np.nonzero(np.diff(np.concatenate([[0], tags, [0]])))[0]
