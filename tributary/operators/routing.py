@@ -123,18 +123,23 @@ def cheapest_within(df: DataFrame, value: str, cost: str, name: str, tau: float)
     return near.agg(F.min(F.struct(F.col(cost), F.col(name), F.col(value))).alias("b")).select("b.*")
 
 
-def dual_ascent(df: DataFrame, budget: float, eta: float = 0.5) -> DataFrame:
-    """Online budget pacing by group: units in id order; each goes to the model with least loss + lambda * cost, and
-    lambda rises by eta times what its cost is over the budget, never below 0.
+def dual_ascent(df: DataFrame, budget: Column | float, eta: float = 0.05, start: float = 1e-3, group: str = "grp") -> DataFrame:
+    """Online budget pacing by group: units in id order go to the model with least loss + lambda * cost (the first among
+    equals); after each, lambda moves by eta times what spending is ahead of an even pace, in paces, and stays at 0 or
+    above. budget is a group's whole.
 
-    The fold is sequential by nature: one row for each group holds its units' choices in order.
+    df: group, unit_id, m, loss, cost. The fold is sequential by nature: one row holds a group's units. Gives choices in
+    order, spent, lost and the last lambda.
     """
-    unit = df.groupBy("grp", "unit_id").agg(F.array_sort(F.collect_list(F.struct("m", loss().alias("loss"), F.col("seconds").alias("cost")))).alias("c"))
-    scans = unit.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("unit_id", "c"))).alias("units"))
-    start = F.struct(F.lit(0.0).alias("lam"), F.lit(0.0).alias("spent"), F.lit(0.0).alias("lost"), F.lit(0).cast("bigint").alias("n"))
+    unit = df.groupBy(group, "unit_id").agg(F.array_sort(F.collect_list(F.struct("m", "loss", "cost"))).alias("c"))
+    scans = unit.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("unit_id", "c"))).alias("units"), F.count(F.lit(1)).alias("n"))
+    scans = scans.withColumn("pace", (budget if isinstance(budget, Column) else F.lit(float(budget))) / F.col("n"))
+    zero = F.struct(F.lit(float(start)).alias("lam"), F.lit(0.0).alias("spent"), F.lit(0.0).alias("lost"), F.lit(0).cast("bigint").alias("i"), F.array().cast("array<int>").alias("choices"))
 
-    def step(acc, u):
+    def step(acc: Column, u: Column) -> Column:
         best = F.array_min(F.transform(u["c"], lambda x: F.struct((x["loss"] + acc["lam"] * x["cost"]).alias("v"), x["m"].alias("m"), x["cost"].alias("cost"), x["loss"].alias("loss"))))
-        return F.struct(F.greatest(F.lit(0.0), acc["lam"] + eta * (best["cost"] - budget)).alias("lam"), (acc["spent"] + best["cost"]).alias("spent"), (acc["lost"] + best["loss"]).alias("lost"), (acc["n"] + 1).alias("n"))
+        spent = acc["spent"] + best["cost"]
+        lam = acc["lam"] + eta * (spent - F.col("pace") * (acc["i"] + 1)) / F.greatest(F.col("pace"), F.lit(1e-9))
+        return F.struct(F.greatest(F.lit(0.0), lam).alias("lam"), spent.alias("spent"), (acc["lost"] + best["loss"]).alias("lost"), (acc["i"] + 1).alias("i"), F.concat(acc["choices"], F.array(best["m"].cast("int"))).alias("choices"))
 
-    return scans.select("grp", F.aggregate("units", start, step).alias("a")).select("grp", "a.*")
+    return scans.select(group, F.aggregate("units", zero, step).alias("a")).select(group, F.col("a.i").alias("n"), "a.lam", "a.spent", "a.lost", "a.choices")
