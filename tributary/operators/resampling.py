@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+P = 1_000_003
+
+
 def stream(*parts: str | Column | int) -> Column:
     """A number below 1,000,003 from integer columns and constants."""
     primes = (7919, 104729, 1299709, 15485863)
     cols = [F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p for p in parts]
-    total = sum((c.cast("long") * k for c, k in zip(cols[1:], primes[1:], strict=False)), cols[0].cast("long") * primes[0])
-    mixed = (total % 1000003) * 48271 + 11
-    return (mixed % 1000003) * 69621 % 1000003
+    t = (sum((c.cast("long") * k for c, k in zip(cols[1:], primes[1:], strict=False)), cols[0].cast("long") * primes[0]) + 11) % P
+    square = t * t % P
+    return square * square % P * t % P  # the fifth power permutes the numbers below this prime, and is not linear
 
 
 def draws(spark, n: int) -> DataFrame:

@@ -106,7 +106,8 @@ query("wn11_marginal_gain", FRONT + " SELECT lam, round((round(quality, 6) - lag
 
 # ---- resampling -----------------------------------------------------------------------------------------------------
 
-U = "((({a} * 7919 + {b} * 104729) % 1000003 * 48271 + 11) % 1000003 * 69621 % 1000003)"
+T = "(({a} * 7919 + {b} * 104729 + 11) % 1000003)"
+U = f"(({T} * {T} % 1000003) * ({T} * {T} % 1000003) % 1000003 * {T} % 1000003)"
 POIS = " + ".join(f"CASE WHEN u >= {x}e0 THEN 1 ELSE 0 END" for x in ("0.36787944", "0.73575888", "0.91969860", "0.98101184", "0.99634015", "0.99940582", "0.99991676"))
 query("rs1_bootstrap", CTE + f", q AS (SELECT unit_id, avg({QUALITY}) AS q FROM probe WHERE m = 2 GROUP BY unit_id), w AS (SELECT draw, q, {U.format(a='unit_id', b='draw')} / 1000003e0 AS u FROM q CROSS JOIN (SELECT range AS draw FROM range(50))), b AS (SELECT draw, sum(q * ({POIS})) / sum({POIS}) AS v FROM w GROUP BY draw) SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS low, round(quantile_cont(v, 0.95), 6) AS high FROM b")(
     lambda s, d: fin(rs.interval(rs.poisson_weights(probe(s, d).where("m = 2").groupBy("unit_id").agg(F.avg(ro.quality()).alias("q")), 50, "unit_id").groupBy("draw").agg((F.sum(F.col("q") * F.col("weight")) / F.sum("weight")).alias("v")).withColumn("k", F.lit(1)), ["k"], "v").drop("k"))

@@ -74,7 +74,7 @@ def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """path and text of each file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def stems(paths: DataFrame, path: str = "path") -> DataFrame:
