@@ -81,7 +81,9 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, epochs: int = 60, seed: int =
     for s, y in zip(sets, toxic, strict=True):
         (in1 if y else in0)[s] += 1
     lift = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
-    worth = np.where((in1 >= 3) & (lift >= 1.5), lift * np.sqrt(in1), 0)
+    usual = (in1 + in0) * n1 / (n1 + n0)
+    beyond = (in1 - usual) / np.sqrt(usual + 1e-9)  # deviations above chance; a term may count only beside another
+    worth = np.where((in1 >= 3) & ((lift >= 1.5) | (lift >= 0.7) & (beyond >= 6)), lift * np.sqrt(in1), 0)
     terms = np.argsort(-worth, kind="stable")[:TERMS]
     terms = terms[worth[terms] > 0]
     place = np.full(SPACE, -1)
