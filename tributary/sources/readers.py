@@ -50,11 +50,15 @@ def number(column: str, default: float | None = 0.0) -> Column:
 
 
 def report_steps(spark: SparkSession, path: str, all_runs: bool = False, first_flow_only: bool = False) -> DataFrame:
+    """The steps of the reports under path, one report to a file."""
+    return steps_of(spark.read.schema(REPORT).option("multiLine", True).json(path), all_runs, first_flow_only)
+
+
+def steps_of(runs: DataFrame, all_runs: bool = False, first_flow_only: bool = False) -> DataFrame:
     """A row for each step of each flow: result_id, flow_id, step, rule, message, file, line, end_line, step_message.
 
     A missing end line is the start line. Results without flows give no rows.
     """
-    runs = spark.read.schema(REPORT).option("multiLine", True).json(path)
     run = F.explode("runs") if all_runs else F.get("runs", F.lit(0))
     results = runs.select(run.alias("run")).select(F.posexplode("run.results").alias("result_id", "r"))
     flows = F.slice("r.codeFlows", 1, 1) if first_flow_only else F.col("r.codeFlows")
@@ -139,6 +143,14 @@ def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.schema(df.schema).json(path)
 
 
+def memoised(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table under path; made and written first where it isn't there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A report table; the number of its rows is bounded by most."""
     head, rows = df.columns, df.limit(most).collect()
