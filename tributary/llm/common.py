@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -29,7 +32,11 @@ _held: dict[str, object] = {}
 def worker_cache(name: str, make):
     """What a Python worker keeps from task to task: one operator's cache at a time, so caches do not add up."""
     if name not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # give the freed memory back, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
         _held[name] = make()
     return _held[name]
 

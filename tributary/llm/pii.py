@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_cache
 from .tagger import KINDS, TAGS, Tagger, classes
 
 #: Documents that the tagger is trained on at most, those with the smallest hash of doc_id.
@@ -239,6 +239,7 @@ def added_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, i
 def all_spans(tagger: Tagger | None, texts: list[str | None]) -> list[tuple[list, list]]:
     """For each whole text: the patterns' spans, and all spans (start, kind, end). Added ones are trimmed, pass
     plausible() and overlap none of the patterns'."""
+    worker_cache("pii", dict)  # nothing is kept here; other operators' caches go
     texts = [t or "" for t in texts]
     out = []
     a = size = 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, stored, table, worker_cache
 
 SEED, WORDS, BITS = 42, 3, 3
 SLICE = 100_000
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every whole text; a narrow map."""
 
     def run(batches):
+        worker_cache("simhash", dict)  # nothing is kept here; other operators' caches go
         for b in batches:
             fp = fingerprint_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])

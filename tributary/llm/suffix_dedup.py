@@ -240,9 +240,9 @@ def _merged(p: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p[first], end[np.append(first[1:], len(p)) - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_data: bool = False) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_data, the
-    bytes kept.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, own
+    (which tells rows of one doc_id apart) and the text of the bytes kept; a character that a removed run cuts goes.
 
     Null and empty texts, and those shorter than length, have nothing removed. Rows that repeat are each judged, so
     copies of length bytes or more go wholly; a null doc_id is a doc_id like any other.
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_data: bool = Fals
     safe = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     runs = _spans(safe, length).groupBy(KEY).agg(F.collect_list(F.struct("p", "end")).alias("runs"))
     joined = _packed(safe).join(runs.hint("shuffle_hash"), KEY, "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", own long, kept binary" * with_data
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", own long, kept string" * with_text
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
@@ -267,8 +267,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_data: bool = Fals
                 at = to
                 kept = b"".join(text[a:e] for a, e in zip([0, *end.tolist()], [*p.tolist(), len(text)], strict=True))
                 row = [doc if doc > -(1 << 63) else None, len(text), len(text) - len(kept), len(p), hashlib.sha256(kept).hexdigest()]
-                out.append(row + [own, kept] * with_data)
-            types = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.binary()] * with_data
+                out.append(row + [own, kept.decode("utf-8", "ignore")] if with_text else row)
+            types = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.string()] * with_text
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names)
 
@@ -286,14 +286,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     nul = -(1 << 63)
     own = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("doc_id", F.lit(-1)))
-    kept = remove_repeats(docs, length, with_data=True).select(F.coalesce("doc_id", F.lit(nul)).alias("_id"), F.col("own").alias("_own"), "kept").where("n_removed > 0")
-
-    def text(batches):
-        for b in batches:
-            new = [x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], ["_id", "_own", "_text"])
-
-    new = kept.mapInArrow(text, "_id long, _own long, _text string").dropDuplicates(["_id", "_own"])
+    kept = remove_repeats(docs, length, with_text=True).where("n_removed > 0")
+    new = kept.select(F.coalesce("doc_id", F.lit(nul)).alias("_id"), F.col("own").alias("_own"), F.col("kept").alias("_text")).dropDuplicates(["_id", "_own"])
     rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(nul)), "_own": own})
     out = rows.join(new, ["_id", "_own"], "left").withColumn("text", F.coalesce("_text", "text"))
     if "n_chars" in docs.columns:
