@@ -429,3 +429,13 @@ def test_snapshots_collapse(spark):
     assert set(got) == {3, 5, 6, 7} and got[3].n_equal == 2 and got[3].n_turns == 3
     assert got[5].text == "<|user|>\nhi<|end|>\n<|assistant|>\nother<|end|>\n"
     assert chat.collapse(df.limit(0)).count() == 0
+
+
+def test_transducer_forgets_inside_a_long_piece(codec, monkeypatch):
+    r = random.Random(7)
+    data = "".join(r.choice("abcdefghijklmnop") for _ in range(3000)).encode()
+    whole = bpe_transducer.Transducer(codec.machine.ranks)
+    ids = whole.encode(data)
+    monkeypatch.setattr(bpe_transducer, "MAX_STATES", 20)
+    assert bpe_transducer.Transducer(codec.machine.ranks).encode(data) == ids
+    assert b"".join(whole.bytes_of[i] for i in ids) == data

@@ -124,6 +124,12 @@ class Transducer:
         for byte in data:
             arc = arcs.get(state << 8 | byte)
             if arc is None:
+                if len(self.states) > 2 * MAX_STATES:  # inside a very long piece
+                    raw = self.states[state]
+                    self._forget()
+                    arcs, state = self.arcs, len(self.states)
+                    self.states.append(raw)
+                    self.number[raw] = state
                 arc = self._arc(state, byte)
             state, got = arc
             if got:
