@@ -48,10 +48,10 @@ def nesting(text: str, left: str = "(", right: str = ")") -> Column:
 
 
 def cwe(text: str, strip_zeros: bool = False) -> Column:
-    """The first run of digits as a CWE id; UNKNOWN without one."""
+    """The first run of digits as a CWE id; CWE-UNKNOWN without one."""
     digits = F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"(\d+)", 1)
     shown = F.regexp_replace(digits, "^0+(?=.)", "") if strip_zeros else digits
-    return F.when(digits == "", "UNKNOWN").otherwise(F.concat(F.lit("CWE-"), shown))
+    return F.when(digits == "", "CWE-UNKNOWN").otherwise(F.concat(F.lit("CWE-"), shown))
 
 
 def last_json(text: str, fields: str) -> Column:
