@@ -215,3 +215,16 @@ def test_consecutive_pairs_are_greedy(spark):
 def test_stop_early(spark):
     rows = [("g", k + 1, v) for k, v in enumerate([0.9, 0.8, 0.1, 0.1, 0.1, 0.1, 0.95])]
     assert one(inc.stop_early(spark.createDataFrame(rows, "g string, rn long, second double"), ["g"], 2, 2, 2)) == {"g": "g", "n_read": 6}
+
+
+def test_description(spark):
+    df = spark.createDataFrame([("# Title\n\n[badge]\n  A tool.\nIt works.\n\n- item\nélan",), ("",)], "t string")
+    assert [r[0] for r in df.select(tx.description("t")).collect()] == ["A tool.\nIt works.\nélan", ""]
+
+
+def test_renaming(spark):
+    code = 'class Foo { int x = MAX; // set x\n String y = "a b"; Foo f = g(x, "a b"); }'
+    df = spark.createDataFrame([(code,)], "t string")
+    keep = ["class", "int", "String"]
+    assert df.select(tx.renamed("t", keep)).first()[0] == 'class Cls1 { int name1 = CONST1; // set x\n String name2 = "a b"; Cls1 name3 = name4(name1, "a b"); }'
+    assert df.select(tx.renamed("t", keep, True)).first()[0] == 'class Cls1 { int name1 = CONST1; \n String name2 = "s1"; Cls1 name3 = name4(name1, "s1"); }'

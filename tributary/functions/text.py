@@ -157,3 +157,36 @@ def softmax2(a: Column, b: Column) -> Column:
 def literal_dict(text: str, fields: str) -> Column:
     """A dict as Python prints it, with numbers as values."""
     return F.from_json(F.replace(F.col(text), F.lit("'"), F.lit('"')), fields)
+
+
+def description(text: str, most: int = 11) -> Column:
+    """The first lines of a text that begin with a letter, trimmed; headings, badges and blanks are passed over."""
+    trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x))
+    return F.array_join(F.slice(F.filter(trimmed, lambda x: F.rlike(x, F.lit(r"^\p{L}"))), 1, most), "\n")
+
+
+#: Comments, strings, identifiers, and what stands between them (Java syntax).
+TOKENS = r"(//[^\n]*|/\*(?s:.*?)\*/|\"(?:[^\"\\\n]|\\.)*\"|[A-Za-z_]\w*|[^A-Za-z_\"/]+|[\"/])"
+
+
+def renamed(text: str, keep: list[str], strict: bool = False) -> Column:
+    """Identifiers outside keep renamed by first occurrence in the document: CONST1, Cls1, name1. With strict, comments go
+    and strings are numbered too. The lists of names are worked out again for each token: for short code, not whole pages."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKENS), 1)
+    kept = F.array(*map(F.lit, keep)) if keep else F.array().cast("array<string>")
+    found = F.array_distinct(F.filter(tokens, lambda t: F.rlike(t, F.lit("^[A-Za-z_]")) & ~F.array_contains(kept, t)))
+    constant = lambda t: (t == F.upper(t)) & (F.length(t) > 1) & F.rlike(t, F.lit("[A-Z]"))
+    capital = lambda t: F.rlike(t, F.lit("^[A-Z]")) & ~constant(t)
+    groups = [("CONST", F.filter(found, constant)), ("Cls", F.filter(found, capital)), ("name", F.filter(found, lambda t: ~constant(t) & ~capital(t)))]
+    strings = F.array_distinct(F.filter(tokens, lambda t: F.startswith(t, F.lit('"')) & (F.length(t) > 1)))
+
+    def shown(t: Column) -> Column:
+        out = t
+        for prefix, names in groups:
+            out = F.when(F.array_contains(names, t), F.concat(F.lit(prefix), F.array_position(names, t).cast("string"))).otherwise(out)
+        if strict:
+            out = F.when(F.rlike(t, F.lit(r"^(//|/\*)")), "").otherwise(out)
+            out = F.when(F.array_contains(strings, t), F.concat(F.lit('"s'), F.array_position(strings, t).cast("string"), F.lit('"'))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(tokens, shown), "")

@@ -173,3 +173,6 @@ query("gx14_facts", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumb
 query("ux1_strategy", CTE + "SELECT unit_id, model FROM probe WHERE m = 1")(lambda s, d: (lambda strategy: strategy(probe(s, d), 0.5).select("unit_id", "model"))(lambda df, lam: ro.fixed(df, 1)))
 query("ux5_generator", "SELECT conv_id, CAST(unnest(generate_series(0, len(list(turn)) - 1)) AS BIGINT) AS pos FROM conversations GROUP BY conv_id")(lambda s, d: fin(flows(s, d).select("conv_id", F.posexplode("flow").alias("pos", "x")).select("conv_id", "pos")))
 query("ux7_retries", "SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) AS first_ok, count(*) AS attempts FROM events GROUP BY user_id")(lambda s, d: load(s, d, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("first_ok"), F.count(F.lit(1)).alias("attempts")))
+query("sf16_description", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[\\p{L}]'))[1:11], chr(10)) AS head FROM documents")(
+    lambda s, d: load(s, d, "documents").select("doc_id", tx.description("text").alias("head"))
+)
