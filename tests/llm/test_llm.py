@@ -417,6 +417,27 @@ def test_windows_do_not_change_the_result(monkeypatch):
     assert pii.added_spans(model, texts) == one
 
 
+def test_tagger_has_its_full_size():
+    assert tagger.Tagger().p["emb"].shape[0] == 8 and tagger.Tagger().p["out"].shape[1] == 2 * 8
+
+
+def test_every_character_has_24_of_context_on_both_sides():
+    class Marked(tagger.Tagger):
+        """An e-mail where an @ stands 24 characters before and a # 24 after, if both lie in the window."""
+
+        def emissions(self, x):
+            e = np.zeros((len(x), tagger.TAGS, x.shape[1]), np.float32)
+            e[24:-24, 1] = np.where((x[:-48] == tagger.classes("@")) & (x[48:] == tagger.classes("#")), 9, -9)
+            e[:24, 1] = e[-24:, 1] = e[:, 2:] = -9
+            return e
+
+    model = Marked(1)
+    model.p["trans"][:] = 0
+    for at in range(24, 700):
+        text = ("a" * (at - 24) + "@" + "a" * 47 + "#").ljust(900, "a")
+        assert pii.added_spans(model, [text]) == [[(at, 0, at + 1)]], at
+
+
 # ---- chat ---------------------------------------------------------------------------------------------------------
 
 
