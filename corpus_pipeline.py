@@ -19,10 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group (op10) the document with the smallest doc_id stays, once."""
+    """Of each SimHash group (as op10's, of texts) one row stays: that with the smallest doc_id, null last."""
     table(spark, sf_dir, "documents")
-    found = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    return simhash.one_of_each(docs)
 
 
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

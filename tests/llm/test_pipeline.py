@@ -88,3 +88,18 @@ def test_every_stage_but_the_last_keeps_the_columns(spark, corpus):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_null_and_repeated_doc_ids_lose_only_copies(spark, corpus):
+    folder, _ = corpus
+    r = random.Random(8)
+    texts = [words(r, 60, 300) for _ in range(40)]
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    copies = [(None, texts[0], "de", "s", 1), (None, texts[1], "en", "s", 1), (999, texts[2], "en", "s", 1), (3, texts[3], "en", "s", 1), rows[6], rows[7], (50, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = sorted([*rows[:3], copies[3], *rows[4:], copies[6]], key=repr)
+    want[want.index(rows[0])] = copies[0]  # null doc_ids, one text: the smaller lang
+    for parts in (1, 5):
+        df = spark.createDataFrame([*rows, *copies], docs.schema).repartition(parts)
+        got = [tuple(x) for x in corpus_pipeline.drop_near_copies(spark, df, folder).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)

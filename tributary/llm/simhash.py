@@ -8,10 +8,14 @@ Manhattan distance 1 of the other's; the whole vectors' distance and then the ex
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, stored, table, worker_cache
 
@@ -41,16 +45,17 @@ def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every whole text; a narrow map."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys and fp (the 64 bits as a signed long) of every whole text; a narrow map."""
+    rows = docs.select(*keys, "text")
 
     def run(batches):
         worker_cache("simhash", dict)  # nothing is kept here; other operators' caches go
         for b in batches:
-            fp = fingerprint_batch(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = fingerprint_batch(b.column(len(keys)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def _cells(fp: Column, half: int) -> Column:
@@ -95,6 +100,25 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """docs with one row of each component: the one that is first by doc_id (null last), text digest and the other columns.
+
+    Components are of fingerprints, so rows are told apart by their texts and never by doc_id: one with a null or a
+    repeated doc_id goes only if another row of its own component stays. Of rows equal in all columns one is kept.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = ["doc_id", "_digest", *others]
+    rows = docs.withColumn("_digest", F.sha2("text", 256))
+    prints = stored(fingerprints(rows, tuple(order)), "simhash")
+    unique = stored(prints.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-unique")
+    roots = components(links(unique, bits))
+    by_fp = unique.join(roots, unique.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("_component"))
+    first = F.min(F.struct(*[x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_n{k}"), F.col(c).alias(f"_c{k}"))])).alias("_first")
+    kept = prints.join(by_fp, "fp").groupBy("_component").agg(first).select(*[F.col(f"_first._c{k}").alias(f"_c{k}") for k in range(len(order))])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c{k}")) for k, c in enumerate(order)])
+    return rows.join(kept, same, "left_semi").dropDuplicates(order).drop("_digest")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
