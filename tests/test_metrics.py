@@ -206,6 +206,18 @@ def test_cached_verdicts(spark):
     assert [(r.final, r.why) for r in got] == [(0, "own"), (0, "source"), (1, "own"), (1, "flow"), (0, "own"), (0, "sink")]
 
 
+def test_cached_verdicts_query_reads_every_line(spark, tmp_path):
+    from tributary.plans import more, registry  # noqa: F401
+
+    rows = [(k // 2, k % 2 + 1, k % 30, k % 7, 9.0 + k, "RAN"[k % 3], "FO"[k % 2], float(k % 50)) for k in range(2, 6002)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string, l_linestatus string, l_quantity double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["ux9_cached_verdicts"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 6000 and got.groupby("project").size().max() == 2000
+    first = got.sort_values("ord").drop_duplicates(["project", "source", "sink"])
+    assert got.merge(first, on=["project", "source", "sink"]).eval("final_x == final_y").all()
+
+
 def test_consecutive_pairs_are_greedy(spark):
     rows = [("c", t, i) for i, t in enumerate([0, 1, 0, 0, 1])]
     got = inc.consecutive_pairs(spark.createDataFrame(rows, "c string, t int, i long"), "c", "t", "i").collect()

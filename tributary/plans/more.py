@@ -261,7 +261,7 @@ query("ext_as_of", "SELECT e.event_id, round(v.value, 6) AS last_view FROM (SELE
     lambda s, d: (lambda e: fin(inc.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value")), "user_id", "ts", "value", "last_view").select("event_id", "last_view")))(load(s, d, "events"))
 )
 query("ux9_cached_verdicts")(
-    lambda s, d: inc.cached_verdicts(load(s, d, "lineitem").where("l_orderkey % 10 = 0").select((F.col("l_orderkey") % 40).alias("project"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("ord"), F.col("l_partkey").cast("string").alias("source"), F.col("l_suppkey").cast("string").alias("sink"), (F.col("l_returnflag") == "R").cast("int").alias("verdict"), F.when(F.col("l_linestatus") == "F", "source").when(F.col("l_quantity") > 45, "sink").alias("blame")))
+    lambda s, d: inc.cached_verdicts(load(s, d, "lineitem").select(F.expr("l_orderkey div 1000").alias("project"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("ord"), F.col("l_partkey").cast("string").alias("source"), F.col("l_suppkey").cast("string").alias("sink"), (F.col("l_returnflag") == "R").cast("int").alias("verdict"), F.when(F.col("l_linestatus") == "F", "source").when(F.col("l_quantity") > 45, "sink").alias("blame")))
 )
 query("wn15_stop_early")(
     lambda s, d: inc.stop_early((lambda p: tk.ranked(p.where("m = 1"), ["grp"], "p").join(p.where("m = 3").select("unit_id", F.col("p").alias("second")), "unit_id").select("grp", "rn", "second"))(probe(s, d)), ["grp"], 5, 3, 2)
