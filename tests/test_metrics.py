@@ -218,6 +218,21 @@ def test_cached_verdicts_query_reads_every_line(spark, tmp_path):
     assert got.merge(first, on=["project", "source", "sink"]).eval("final_x == final_y").all()
 
 
+def test_tfidf_query_takes_long_documents_whole(spark, tmp_path):
+    import math
+
+    from tributary.plans import learned, registry  # noqa: F401
+
+    texts = {0: "abc", 1: "abc", 2: "abc " + "xyz " * 300, 3: "xyz", 4: "xyz " * 200, 5: None, 6: ""}
+    spark.createDataFrame([(k, t, len(t or "")) for k, t in texts.items()], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_features, r.top, r.total) for r in registry.QUERIES["ml5_tfidf"](spark, str(tmp_path)).collect()}
+    # both words, of four train documents, are in two: six grams each (of 3, 4 and 5 characters, words padded), of one weight
+    one = pytest.approx((6, 1 / math.sqrt(6), math.sqrt(6)), abs=1e-5)
+    assert got.keys() == texts.keys() and got[0] == got[1] == got[3] == got[4] == one
+    assert got[2] == pytest.approx((12, 300 / math.sqrt(6 * (300**2 + 1)), 6 * 301 / math.sqrt(6 * (300**2 + 1))), abs=1e-5)
+    assert got[5] == got[6] == (0, 0.0, 0.0)
+
+
 def test_consecutive_pairs_are_greedy(spark):
     rows = [("c", t, i) for i, t in enumerate([0, 1, 0, 0, 1])]
     got = inc.consecutive_pairs(spark.createDataFrame(rows, "c string, t int, i long"), "c", "t", "i").collect()

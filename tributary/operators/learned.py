@@ -54,7 +54,10 @@ def char_ngrams(text: str, low: int = 3, high: int = 5):
         last = F.greatest(F.length(w) - n + 1, F.lit(1))
         return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(w, i, F.lit(n)))
 
-    return F.flatten(F.flatten(F.array(*[F.transform(padded, lambda w, n=n: grams(w, n)) for n in range(low, high + 1)])))
+    def of(n):  # transform() would hand a second parameter the word's place
+        return lambda w: grams(w, n)
+
+    return F.flatten(F.flatten(F.array(*[F.transform(padded, of(n)) for n in range(low, high + 1)])))
 
 
 def tfidf(train: DataFrame, text: str, size: int = 20000, least: int = 2):
@@ -63,6 +66,12 @@ def tfidf(train: DataFrame, text: str, size: int = 20000, least: int = 2):
     return Pipeline(stages=stages).fit(train.withColumn("grams", char_ngrams(text)))
 
 
+def summary(name: str):
+    """Of a sparse vector: how many values are not 0, the largest (0 if there is none) and their sum."""
+    v = F.filter(F.unwrap_udt(name)["values"], lambda x: x != 0)
+    return F.struct(F.size(v).alias("n_features"), F.coalesce(F.array_max(v), F.lit(0.0)).alias("top"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
 def standardised(train: DataFrame, columns: list[str], category: str | None = None):
     """Scaling fitted on train; an unseen category has zeros."""
     stages = [VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True)]

@@ -28,7 +28,7 @@ query("ml4_platt")(
     lambda s, d: s.createDataFrame([(m, *map(float, ml.platt(probe(s, d).where(f"m = {m}"), "p", "gold"))) for m in range(4)], "m int, a double, b double")
 )
 query("ml5_tfidf")(
-    lambda s, d: (lambda t: ml.tfidf(t.where("doc_id % 2 = 0"), "text", 2000).transform(t.withColumn("grams", ml.char_ngrams("text"))).select("doc_id", F.size("grams").alias("n_grams")))(load(s, d, "documents").where("n_chars < 400").select("doc_id", "text"))
+    lambda s, d: (lambda t: fin(ml.tfidf(t.where("doc_id % 2 = 0"), "text").transform(t.withColumn("grams", ml.char_ngrams("text"))).select("doc_id", ml.summary("features").alias("x")).select("doc_id", "x.*")))(load(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 )
 query("ml6_standardised")(
     lambda s, d: (lambda u: ml.standardised(u.where("unit_id % 2 = 0"), ["size"], "cls").transform(u).select("unit_id", F.size(__import__("pyspark.ml.functions", fromlist=["x"]).vector_to_array("features")).alias("width")))(units(s, d))
