@@ -45,8 +45,8 @@ def test_codes_round_trip(n):
     control, data = id_files.pack(ranks)
     assert (id_files.unpack(control, data, n) == ranks).all()
     if n:
-        own = id_files.read_block(id_files.write_block(np.arange(2), np.array([n - 1, 1]), ranks))
-        assert own[0].tolist() == [0, 1] and own[1].tolist() == [n - 1, 1] and (own[2] == ranks).all()
+        own = id_files.read_block(id_files.write_block(np.arange(2), np.array([n - 1, 1]), ranks, 1))
+        assert own[0].tolist() == [0, 1] and own[1].tolist() == [n - 1, 1] and (own[2] == ranks).all() and own[3] == 1
 
 
 def test_id_files_equal_the_library(spark, library, tmp_path):
@@ -64,8 +64,40 @@ def test_id_files_empty_repeated_and_null(spark, tmp_path):
     assert id_files.read(spark, id_files.write(spark.createDataFrame([], DOCS), f"file://{tmp_path}/b")).count() == 0
     twice = spark.createDataFrame([(1, "b a"), (1, "a"), (1, "a")], DOCS)
     assert id_files.read(spark, id_files.write(twice, f"file://{tmp_path}/c")).count() == 3
-    with pytest.raises(Exception, match="doc_id is null"):
-        id_files.write(spark.createDataFrame([(None, "a")], DOCS), f"file://{tmp_path}/d")
+
+
+def test_id_files_of_rows_without_doc_id_and_of_one_doc_id(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(id_files, "BLOCK_IDS", 40)
+    r = random.Random(2)
+    rows = [(None, words(r, 9)) for _ in range(5)] + [(7, words(r, 9)) for _ in range(60)] + [(7, "same")] * 30 + [(3, None), (9, "z")]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for file_chars in (200, 10**6):
+        got = id_files.read(spark, id_files.write(df, f"file://{tmp_path}/e{file_chars}", file_chars=file_chars), True).orderBy("start").collect()
+        assert [x.doc_id for x in got] == [3] + [7] * 90 + [9] + [None] * 5
+        assert [x.start for x in got] == np.cumsum([0, *(x.n_tokens for x in got)])[:-1].tolist()
+        key = lambda x: (x[0] is None, x[0] or 0, x[1])
+        want = sorted(((d, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for d, t in rows), key=key)
+        assert sorted(((x.doc_id, x.ids) for x in got), key=key) == want
+
+
+def test_pieces_equal_the_library(library, monkeypatch):
+    from tributary.llm import wordpiece
+
+    r = random.Random(1)
+    parts = ["a", "B", "th", "É", "ß", "×", "÷", "À", "Ÿ", "ſ", "œ", "'s", "'", "n't", " ", "  ", "\n", "\t", "\r", "\x0b", "\x00", "\u00a0", "日本", "й", "😀", "0", "12", "½", ".", ",", "<|", "|>", "<|endoftext|>", "<", "|", "é", "İ", "ñ", "Ñ", "Σς", "-", "ª", "µ"]
+    encoder = wordpiece.ChunkEncoder(wordpiece.default_path())
+    assert encoder.plain
+    for lot in (6_000_000, 50, 7):
+        monkeypatch.setattr(wordpiece, "LOT", lot)
+        monkeypatch.setattr(wordpiece, "MAX_KEPT", 40)
+        for _ in range(60):
+            texts = [None, *("".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(8))]
+            ids, sizes = encoder.encode(texts)
+            want = [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    encoder.plain = False  # another normaliser: all chunks go to the library
+    encoder.clear()
+    assert encoder.encode(texts)[0].tolist() == ids.tolist()
 
 
 # ---- byte-level BPE -----------------------------------------------------------------------------------------------

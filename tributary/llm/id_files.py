@@ -3,9 +3,11 @@
 File format. A file is a Parquet container of blocks in ascending document order; each row is one block:
 ``part`` (file number), ``before`` (ids of the file that stand before it), ``n_ids`` and ``payload``. A payload is
 
-    magic b"TRB1" | n_docs u32 | n_ids u64 | doc ids i64[n_docs] | lengths u32[n_docs]
+    magic b"TRB2" | n_docs u32 | n_null u32 | n_ids u64 | doc ids i64[n_docs] | lengths u32[n_docs]
     | control bytes ceil(n_ids / 4) | data bytes
 
+where the last n_null documents have no doc_id (0 takes its place).
+
 Each id is replaced by its frequency rank over the whole corpus (0 is the most frequent), written in 1 to 4 bytes,
 little end first. Four 2-bit codes (bytes - 1, lowest bits first) make a control byte; the control bytes stand apart
 from the data, so a table of 256 entries gives the widths of four ids at once. The ranks' ids are a small table of
@@ -20,16 +22,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, shared_dir, stored, table
-from .wordpiece import default_path, encoder, slices
+from .common import drop_stored, shared_dir, stored, table, worker_cache
+from .wordpiece import LOT, default_path, encoder
 
-MAGIC = b"TRB1"
-BLOCK_IDS = 500_000
-FILE_CHARS = 12_000_000
+MAGIC, HEAD = b"TRB2", struct.Struct("<IIQ")
+BLOCK_IDS = 100_000
+#: Characters of a file, while there are MOST_FILES at most; beyond that files grow up to LARGE_CHARS.
+FILE_CHARS, MOST_FILES, LARGE_CHARS = 12_000_000, 4096, 256_000_000
 
 #: For each control byte, the widths of its four values; then the offsets of the four and their sum.
 WIDTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -62,23 +64,23 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_block(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> bytes:
+def write_block(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, n_null: int = 0) -> bytes:
     control, data = pack(ranks)
-    head = MAGIC + struct.pack("<IQ", len(doc_ids), len(ranks))
+    head = MAGIC + HEAD.pack(len(doc_ids), n_null, len(ranks))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), control, data])
 
 
-def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, lengths and ranks of a block."""
+def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Document ids, lengths and ranks of a block, and how many documents at its end have no id."""
     if payload[:4] != MAGIC:
         raise ValueError("not a block of token ids")
-    n_docs, n = struct.unpack_from("<IQ", payload, 4)
-    at = 16
+    n_docs, n_null, n = HEAD.unpack_from(payload, 4)
+    at = 4 + HEAD.size
     docs = np.frombuffer(payload, "<i8", n_docs, at)
     lengths = np.frombuffer(payload, "<u4", n_docs, at := at + 8 * n_docs)
     at += 4 * n_docs
     control = payload[at : at + -(-n // 4)]
-    return docs, lengths, unpack(control, payload[at + len(control) :], n)
+    return docs, lengths, unpack(control, payload[at + len(control) :], n), n_null
 
 
 def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,78 +95,94 @@ def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, vocab: int = 1 << 16, file_chars: int = FILE_CHARS) -> str:
     """Encodes every whole text of docs (doc_id, text) and writes blocks and ranks under path, in ascending doc_id order.
 
-    Null texts are empty and have the end id alone; rows of one doc_id keep a row each; a null doc_id is refused. Texts
-    are compressed, dealt by ranges between quantiles of doc_id and encoded once, to plain blocks; ids are counted over all of these (each
-    task counts into an array of the vocabulary's size), and then the blocks are coded by rank, file by file.
+    Null and empty texts have the end id alone; rows of one doc_id, equal ones too, keep a row each, by a hash of the
+    text; rows with a null doc_id stand last. Other columns are not read. A very long text is encoded in lots and may
+    fill a block of its own. An empty table gives no blocks. Rows are dealt by ranges of (doc_id, hash of text, row
+    number), so that a doc_id with a third of all rows takes several files, and encoded once, to plain blocks; ids are
+    counted over all of these (each task counts into an array of the vocabulary's size), and then the blocks are coded
+    by rank, file by file.
     """
     tokenizer = tokenizer or default_path()
     spark = docs.sparkSession
     narrow = np.dtype("<u2" if vocab <= 1 << 16 else "<u4")
     block = "part int, before long, n_ids long, payload binary"
 
-    def shrink(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
-            part = np.searchsorted(cuts, b.column(0).to_numpy(zero_copy_only=False), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(part)], ["doc_id", "text", "part"])
-
     def encode(batches):
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
-        size = 0
-        z = zstandard.ZstdDecompressor()
+        waiting: list[tuple] = []
+        size = large = 0
 
         def flush():
             nonlocal held, size, before
-            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            payload = struct.pack("<I", len(doc_ids)) + b"".join([doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), ids.astype(narrow).tobytes()])
+            doc_ids, lengths, ids = (np.concatenate([x[k] for x in held]) for k in range(3))
+            n_null = sum(x[3] for x in held)
+            payload = struct.pack("<II", len(doc_ids), n_null) + b"".join([doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), ids.astype(narrow).tobytes()])
             held, size, before = [], 0, before + len(ids)
             cols = [pa.array([part], pa.int32()), pa.array([before - len(ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "before", "n_ids", "payload"])
 
-        for b in batches:
-            doc_ids, packed = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            texts = [z.decompress(t).decode("utf-8", "surrogatepass") for t in packed]
-            for a, e in slices(texts):
-                ids, lengths = _with_end(*encoder(tokenizer).encode(texts[a:e]), end_id)
-                held.append((doc_ids[a:e], lengths, ids))
-                size += len(ids)
-                if size >= BLOCK_IDS:
+        def encoded():
+            """What waits, in blocks' worth of documents."""
+            nonlocal waiting, large
+            doc_ids, texts = (pa.concat_arrays([x[k] for x in waiting]) for k in (0, 1))
+            waiting, large = [], 0
+            ids, lengths = _with_end(*encoder(tokenizer).encode(texts), end_id)
+            ends = np.cumsum(lengths)
+            number, missing = doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False)
+            a = 0
+            while a < len(lengths):
+                done = int(ends[a - 1]) if a else 0
+                z = max(a + 1, int(np.searchsorted(ends, done + BLOCK_IDS, "right")))
+                yield number[a:z], lengths[a:z], ids[done : int(ends[z - 1])], int(missing[a:z].sum())
+                a = z
+
+        def blocks():
+            nonlocal size
+            for some in encoded():
+                if held and size + len(some[2]) > BLOCK_IDS:
                     yield flush()
+                held.append(some)
+                size += len(some[2])
+
+        for b in batches:
+            waiting.append((b.column(0), b.column(1)))
+            large += b.column(1).nbytes
+            if large >= LOT:
+                yield from blocks()
+        if waiting:
+            yield from blocks()
         if held:
             yield flush()
 
     def plain(payload):
-        n = struct.unpack_from("<I", payload)[0]
-        return np.frombuffer(payload, "<i8", n, 4), np.frombuffer(payload, "<u4", n, 4 + 8 * n), np.frombuffer(payload, narrow, -1, 4 + 12 * n)
+        n, n_null = struct.unpack_from("<II", payload)
+        return np.frombuffer(payload, "<i8", n, 8), np.frombuffer(payload, "<u4", n, 8 + 8 * n), np.frombuffer(payload, narrow, -1, 8 + 12 * n), n_null
 
     def count(batches):
+        worker_cache("ids", dict)  # the encoder goes
         seen = np.zeros(vocab, np.int64)
         for b in batches:
-            for payload in b.column(0).to_pylist():
-                seen += np.bincount(plain(payload)[2], minlength=vocab)
+            for payload in b.column(0):
+                seen += np.bincount(plain(payload.as_buffer())[2], minlength=vocab)
         at = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["id", "n"])
 
     def code(batches):
+        worker_cache("ids", dict)  # the encoder goes
         for b in batches:
-            out = []
-            for payload in b.column(3).to_pylist():
-                doc_ids, lengths, ids = plain(payload)
-                out.append(write_block(doc_ids, lengths, ranks.value[ids]))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)] + [pa.array(out, pa.binary())], ["part", "before", "n_ids", "payload"])
+            for k in range(b.num_rows):
+                doc_ids, lengths, ids, n_null = plain(b.column(3)[k].as_buffer())
+                out = pa.array([write_block(doc_ids, lengths, ranks.value[ids], n_null)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in range(3)), out], ["part", "before", "n_ids", "payload"])
 
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // file_chars))
-    key = F.assert_true(F.col("doc_id").isNotNull(), F.lit("doc_id is null"))
-    checked = docs.select("doc_id", "text").where(key.isNull())
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = np.unique(np.array(cuts, np.int64))
-    small = checked.mapInArrow(shrink, "doc_id long, text binary, part int")
-    ordered = small.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("doc_id", "text")
+    parts = max(1, -(-chars // LARGE_CHARS), min(-(-chars // file_chars), MOST_FILES))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("own"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_last(), "own", "row"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     raw = stored(ordered.mapInArrow(encode, block), "ids", "zstd")
     counts = raw.select("payload").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted((-n, i) for i, n in counts)
@@ -180,26 +198,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 def read(spark, path: str, with_ids: bool = False) -> DataFrame:
     """Documents of the files under path: doc_id, start, n_tokens, ids_crc32 and, with_ids, the ids.
 
-    start counts the ids of all documents before it in file order. Sums by file come to the driver, one number for
-    each file of FILE_IDS ids.
+    start counts the ids of all documents before it in file order. One number for each file comes to the driver: at
+    most MOST_FILES, or one for each LARGE_CHARS characters of a larger corpus (8 bytes each, 3 MB for 100 TB).
     """
     ids = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
     ids_of = spark.sparkContext.broadcast(ids)
     frame = spark.read.parquet(f"{path}/blocks")
-    base, sums = 0, {}
-    for r in frame.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
-        sums[r.part], base = base, base + r.n
-    bases = spark.sparkContext.broadcast(sums)
+    sums = frame.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").toArrow()
+    held = sums["n"].to_numpy()
+    bases = spark.sparkContext.broadcast((sums["part"].to_numpy(), np.cumsum(held) - held))
 
     def decode(batches):
+        worker_cache("ids", dict)
         for b in batches:
-            for part, before, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                docs, lengths, ranks = read_block(payload)
+            for part, before, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                docs, lengths, ranks, n_null = read_block(payload.as_py())
                 values = ids_of.value[ranks].astype("<u4")
                 ends = np.cumsum(lengths.astype(np.int64))
                 starts = ends - lengths
                 crcs = [zlib.crc32(values[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = [pa.array(docs), pa.array(starts + bases.value[part] + before), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())]
+                base = int(bases.value[1][np.searchsorted(bases.value[0], part)])
+                named = pa.array(docs, mask=np.arange(len(docs)) >= len(docs) - n_null)
+                cols = [named, pa.array(starts + base + before), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32))))

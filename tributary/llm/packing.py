@@ -196,9 +196,9 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, ca
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            doc_ids, texts = b.column(0), b.column(1).to_pylist()
+            doc_ids, texts = b.column(0), b.column(1)
             for a, z in slices(texts):
-                ids, sizes = encoder(tokenizer).encode(texts[a:z])
+                ids, sizes = encoder(tokenizer).encode(texts.slice(a, z - a))
                 held, at = [], 0
                 for doc, size in zip(doc_ids.slice(a, z - a).to_pylist(), sizes.tolist(), strict=True):
                     own = np.append(ids[at : at + size], np.uint32(end_id)).astype("<u4")
