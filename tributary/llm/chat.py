@@ -1,55 +1,51 @@
 """Chat formatting after cumulative snapshots are collapsed.
 
-A log may hold a conversation once for each of its turns, each time from the start. Turns are hashed in order, each with
-the hash so far, so equal hashes at a turn mean equal beginnings. A conversation whose last hash is another's hash at
-the same turn, with more turns after it, is a prefix of it; an anti-join drops it, and of equal ones the smallest
+A log may hold a conversation once for each of its turns, each time from the start. Each turn is hashed with its number,
+and a rolling hash of all turns so far is kept beside it, so equal hashes mean equal beginnings. A conversation whose
+last hash is another's before its last turn is a prefix of it; an anti-join drops it, and of equal ones the smallest
 conv_id stays. What is left is rendered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
-
+HASH = ["h1", "h2"]
 
 
 def _hashed(turns: DataFrame) -> DataFrame:
-    """conv_id, the conversation's turns in order, the rolling hash after each, and the rendered text.
+    """A row for each turn, in order: conv_id, n (from 1), role, text, the rolling hash and whether turns follow.
 
-    A conversation's own turns are the unit of rendering and are gathered in one row.
+    A turn's hash is of its number, role and text, each seeding the next one's, so fields cannot run into each other;
+    the rolling hash is the exclusive or of two independent 64-bit ones.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    listed = turns.where("conv_id is not null").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text")))).alias("turns")
-    )
-    # sha2 of (hash so far, role, text): fields are parted by a character that hashes and lengths cannot hold
-    step = lambda so_far, t: F.sha2(F.concat_ws("\x1f", so_far, t["role"], F.char_length(t["role"]).cast("string"), t["text"]), 256)
-    rolled = F.aggregate(
-        "turns",
-        F.array().cast("array<string>"),
-        lambda acc, t: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t))),
-    )
-    return listed.select("conv_id", "turns", rolled.alias("hashes"))
+    rows = turns.where("conv_id is not null").select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), role.alias("role"), text.alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"n": F.row_number().over(order), "more": F.lead(F.lit(True), 1, False).over(order)})
+    rows = rows.withColumns({h: F.xxhash64(F.lit(k), "n", "role", "text") for k, h in enumerate(HASH)})
+    return rows.withColumns({h: F.bit_xor(h).over(upto) for h in HASH}).drop("turn")
 
 
 def collapse(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_snapshots (conversations it stands for, itself included) and text of the maximal ones.
+    """conv_id, n_turns, n_equal (conversations equal to it, itself included) and text of the maximal ones.
 
-    turns: conv_id, turn, role, text. Turns of one number are ordered by role and text; null roles and texts are empty;
-    rows without conv_id are left out; other columns are not read. An empty table gives no rows. Prefix hashes are
-    pre-aggregated to one row each, however many conversations begin alike.
+    turns: conv_id, turn, role, text. Turns of one number are ordered by role and text, equal ones count each; null
+    roles and texts are empty; rows without conv_id are left out; other columns are not read. An empty table gives no
+    rows. Prefix hashes are pre-aggregated to one row each, however many conversations begin alike. A conversation's
+    turns are sorted in one task and gathered in one row only to be rendered.
     """
-    convs = stored(_hashed(turns), "chat")
-    last = convs.select("conv_id", F.size("hashes").alias("n_turns"), F.element_at("hashes", -1).alias("hash"))
-    inner = convs.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("hash")).distinct()
-    heads = last.groupBy("hash").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"), F.count(F.lit(1)).alias("n_equal"))
-    heads = stored(heads, "chat-heads")
-    maximal = heads.join(inner, "hash", "left_anti")
-    line = F.transform("turns", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n")))
-    return convs.join(maximal.select("conv_id", "n_turns", "n_equal"), "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_equal", F.array_join(line, "").alias("text"))
+    rows = stored(_hashed(turns), "chat")
+    inner = rows.where("more").select(*HASH).distinct()
+    last = rows.where("not more")
+    heads = last.groupBy(*HASH).agg(F.min("conv_id").alias("conv_id"), F.first("n").alias("n_turns"), F.count(F.lit(1)).alias("n_equal"))
+    maximal = stored(heads.join(inner, HASH, "left_anti").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_equal"), "chat-maximal")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("n", "role", "text"))), lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n")))
+    return rows.join(maximal, "conv_id").groupBy("conv_id", "n_turns", "n_equal").agg(F.array_join(line, "").alias("text"))
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
@@ -63,7 +59,7 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
   SELECT conv_id, count(*) AS n_turns,
-         list(md5(role || chr(31) || length(role) || chr(31) || text) ORDER BY turn, role, text) AS items,
+         list({'role': role, 'text': text} ORDER BY turn, role, text) AS items,
          string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
   FROM t GROUP BY conv_id
 ), firsts AS (
