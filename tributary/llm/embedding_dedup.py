@@ -3,7 +3,7 @@
 Equal vectors of a label are one node with a multiplicity. Each tree sends a node down random splits; close to a split
 it goes to both sides. Nodes that meet in a leaf are compared exactly (cosine in double precision) inside the leaf, and
 a leaf gives one row for each node (links counted) and one edge to its smallest neighbour, never pairs. A pair that
-meets in several leaves counts in the first of them: each node carries the numbers of all its leaves. A leaf above
+meets in several leaves counts in the first of them: each node carries the numbers of its earlier leaves. A leaf above
 ``BLOCK`` nodes is dealt out in pairs of blocks.
 
 The splits are fitted on at most ``SAMPLE`` vectors; each level of a tree has one direction, and its nodes thresholds,
@@ -30,7 +30,8 @@ class Forest:
     """Trees for unit vectors of one dimension."""
 
     def __init__(self, sample: np.ndarray, rows: int, seed: int = 3):
-        self.levels = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF)))) if len(sample) else 0
+        """sample: (vectors, dimension); where it is empty the thresholds are 0, the middle of all directions."""
+        self.levels = max(0, int(np.ceil(np.log2(max(rows, 1) / LEAF))))
         rng = np.random.default_rng(seed)
         self.directions = rng.normal(size=(TREES, self.levels, sample.shape[1]))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
@@ -39,9 +40,9 @@ class Forest:
             code, cuts = np.zeros(len(sample), np.int64), []
             for k in range(self.levels):
                 at = sample @ self.directions[t, k]
-                middle = float(np.median(at))
+                middle = float(np.median(at)) if len(at) else 0.0
                 own = np.full(1 << k if k < OWN_LEVELS else 1, middle)
-                if k < OWN_LEVELS:
+                if k < OWN_LEVELS and len(at):
                     order = np.argsort(code, kind="stable")
                     for part in np.split(order, np.nonzero(np.diff(code[order]))[0] + 1):
                         own[code[part[0]]] = np.median(at[part])
@@ -116,7 +117,9 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label).
 
     Rows with a null label or a vector that is null, empty, zero or holds a null, NaN or infinite component link with
-    nothing; vectors of different lengths do not link. Rows that repeat link with each other. No rows give no rows.
+    nothing; vectors of different lengths do not link. Rows that repeat link with each other; rows of one vec_id that
+    differ are vectors of their own. A null vec_id links like any other: it is kept only if its component has no vec_id,
+    which is then that component's id. Other columns are not read. No rows give no rows.
     """
     spark = vectors.sparkSession
 
@@ -135,28 +138,32 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     kind = vectors.schema["label"].dataType.simpleString()
     rows = stored(vectors.select("vec_id", "embedding", "label").mapInArrow(raw, f"vec_id long, x binary, label {kind}"), "vectors")
     usable = rows.where("x is not null and label is not null")
-    nodes = stored(usable.groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")), "nodes")
-    count = {r.d: r.n for r in nodes.groupBy(F.length("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(64).collect()}
+    # a node's number is given as the table is written; nothing downstream computes it again
+    nodes = usable.groupBy("label", "x").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # splits are fitted for the 64 most frequent lengths; those of others stand at 0
+    lengths = nodes.groupBy(F.length("x").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    count = {r.d: r.n for r in lengths.orderBy(F.desc("n"), "d").limit(64).collect()}
+    least = min(count.values(), default=0)
     sample = [bytes(r.x) for r in nodes.orderBy(F.xxhash64("x"), "label").limit(SAMPLE).select("x").collect()]
     by_size = {d: [x for x in sample if len(x) == d] for d in count}
-    forests = spark.sparkContext.broadcast({d: Forest(_unit(x), count[d]) for d, x in by_size.items() if x})
+    forests = spark.sparkContext.broadcast({d: Forest(_unit(x) if x else np.zeros((0, d // 4)), count[d]) for d, x in by_size.items()})
 
     def route(batches):
+        others = {}
         for b in batches:
             x = b.column(2).to_pylist()
             size = np.array([len(v) for v in x])
             for d in np.unique(size):
                 own = np.nonzero(size == d)[0]
-                forest = forests.value.get(int(d))
-                if forest:
-                    row, number = forest.leaves(_unit([x[k] for k in own]))
-                else:  # a length that the sample hasn't: one leaf
-                    row, number = np.arange(len(own)), np.zeros(len(own), np.int64)
-                ends = np.searchsorted(row, np.arange(len(own)), "right")
-                sets = np.split(number, ends[:-1])
+                forest = forests.value.get(int(d)) or others.get(int(d))
+                if forest is None:  # a rarer length than any of the 64
+                    forest = others[int(d)] = Forest(np.zeros((0, int(d) // 4)), least)
+                row, number = forest.leaves(_unit([x[k] for k in own]))
+                begin = np.searchsorted(row, row, "left")
                 take = pa.array(own[row])
                 cols = [b.column(k).take(take) for k in range(4)]
-                cols += [pa.array(number), pa.array([sets[r].tobytes() for r in row], pa.binary()), pa.array(np.full(len(row), d, np.int32))]
+                cols += [pa.array(number), pa.array([number[a:k].tobytes() for k, a in enumerate(begin.tolist())], pa.binary()), pa.array(np.full(len(row), d, np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["label", "node", "x", "weight", "leaf", "leaves", "size"])
 
     routed = nodes.select("label", "node", "x", "weight").mapInArrow(route, f"label {kind}, node long, x binary, weight long, leaf long, leaves binary, size int")
@@ -182,11 +189,13 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     found = nodes.join(links, "node", "left").join(roots, "node", "left")
-    found = found.select("label", "x", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
-    joined = rows.join(found, ["label", "x"], "left")
-    n_links = F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0))
-    component = F.coalesce("root", "vec_id")
-    return joined.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    found = found.select("label", "x", "weight", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    least_id = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    joined = rows.join(found.join(least_id, "root").withColumn("linked", F.lit(True)), ["label", "x"], "left")
+    n_links = F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
+    kept = F.coalesce(F.col("vec_id") == component, component.isNull())
+    return joined.select("vec_id", n_links, component.alias("component_id"), kept.alias("kept"))
 
 
 def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:
