@@ -48,11 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a
+    temporary folder; a cluster's executors could not see that, so there it is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    top = top or spark.sparkContext.getCheckpointDir()
     if not top:
-        top = spark.sparkContext.getCheckpointDir()
-    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top
@@ -77,40 +79,56 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame, limit: int = 40) -> DataFrame:
+#: A node is hot if it has more than this share of all links: there are at most 1 / HOT_SHARE such nodes.
+HOT_SHARE, HOT_LEAST = 1 / 1000, 16
+
+
+def _to_lowest(rows: DataFrame, low: DataFrame, links: int) -> DataFrame:
+    """rows (a, b) with m, the smallest node that low (a, m, n) has for a; n counts a's links.
+
+    Links of hot nodes, of which there are a thousand at most, meet m in a broadcast join, so no task reads all of one
+    node's; the others are dealt by a.
+    """
+    hot = F.broadcast(low.where(F.col("n") > max(HOT_LEAST, int(links * HOT_SHARE))).select("a", F.col("m").alias("hot_m")))
+    met = rows.join(hot, "a", "left")
+    cold = met.where("hot_m is null").select("a", "b").join(low.select("a", "m"), "a").select("a", "b", "m")
+    return met.where("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")).union(cold)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, root), root being the smallest node of a component.
 
-    Alternates large-star and small-star steps: every step is a shuffle of at most the number of edges, links of
-    each node go to its smallest neighbour, and the edges are written to the shared folder between the steps. Only
-    a count and a sum come to the driver. Hot nodes are pre-aggregated by min() and their links are dealt by join,
-    which adaptive execution can split.
+    Alternates large-star and small-star steps until nothing moves: every step is a shuffle of at most the number of
+    edges, links of each node go to its smallest neighbour, and the edges are written to the shared folder between the
+    steps. Only a count and a sum come to the driver. Smallest neighbours are pre-aggregated by min().
     """
     # each undirected edge as (high, low)
     cur = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
 
-    def large(e: DataFrame) -> DataFrame:
+    def state(e: DataFrame) -> tuple[int, str]:
+        n, digest = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        return n, str(digest)
+
+    def lowest(e: DataFrame) -> DataFrame:
+        return e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+    def large(e: DataFrame, links: int) -> DataFrame:
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = lowest(both).select("a", F.least("a", "m").alias("m"), "n")
+        return _to_lowest(both.where("b > a"), low, links).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-    def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def small(e: DataFrame, links: int) -> DataFrame:
+        low = lowest(e)
+        moved = _to_lowest(e, low, links).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(low.select("a", F.col("m").alias("b")))
 
-    digest = None
-    for _ in range(limit):
-        nxt = small(large(cur).where("a <> b")).where("a > b").distinct()
-        nxt = stored(nxt, "cc")
+    was = state(cur)
+    while True:
+        nxt = stored(small(large(cur, 2 * was[0]).where("a <> b"), was[0]).where("a > b").distinct(), "cc")
         drop_stored(cur)
-        cur = nxt
-        got = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        got = (got[0], str(got[1]))
-        if got == digest:
-            break
-        digest = got
-    else:
-        raise RuntimeError(f"components did not settle in {limit} steps")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        cur, got = nxt, state(nxt)
+        if got == was:
+            return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        was = got

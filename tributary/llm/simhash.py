@@ -1,9 +1,10 @@
 """SimHash near-duplicates, linked through segment popcounts.
 
-A fingerprint maps to the popcounts of its 2-bit segments. The Manhattan distance of two such vectors is a lower bound
-of the Hamming distance, so fingerprints at 3 or fewer bits lie at Manhattan distance 3 or less, and in one half of the
-segments at 1 or less. The grid range-join meets, for each half, a fingerprint's own cell with the cells within
-Manhattan distance 1 of the other's; the whole vectors' distance and then the exact Hamming distance decide.
+A fingerprint maps to the popcounts of its 32 two-bit segments, each written as 00, 01 or 11, so that the Manhattan
+distance of two such vectors is the number of bits in which they differ. It is a lower bound of the fingerprints'
+Hamming distance: fingerprints at 3 or fewer bits lie at Manhattan distance 3 or less, and in one half of the segments at
+1 or less. The grid range-join meets, for each half, a fingerprint's own cell with the cells within Manhattan distance 1
+of the other's; then the whole vectors' distance and the exact Hamming distance decide.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import components, stored, table, worker_cache
 
 SEED, WORDS, BITS = 42, 3, 3
 SLICE = 100_000
-ODD = 0x55555555
+LOW_BITS = 0x5555555555555555
 
 
 def fingerprint_batch(texts: list[str | None]) -> np.ndarray:
@@ -58,46 +59,55 @@ def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
-def _cells(fp: Column, half: int) -> Column:
-    """Popcounts of the 16 two-bit segments of a half, two bits each."""
-    own = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-    return own.bitwiseAND(F.lit(ODD)) + F.shiftright(own, 1).bitwiseAND(F.lit(ODD))
+def _popcounts(fp: Column) -> Column:
+    """The segments' popcounts, 0 as 00, 1 as 01, 2 as 11: the low bit is the segment's or, the high bit its and."""
+    high = F.shiftrightunsigned(fp, 1)
+    either, both = fp.bitwiseOR(high), fp.bitwiseAND(high)
+    low = F.lit(LOW_BITS)
+    return either.bitwiseAND(low).bitwiseOR(F.shiftleft(both.bitwiseAND(low), 1))
 
 
 def _around(cell: Column) -> Column:
-    """The cell and all cells at Manhattan distance 1: one segment's count, of 0 to 2, one higher or one lower."""
+    """The cell of a half and all cells at Manhattan distance 1: one segment's count, of 0 to 2, one higher or one lower."""
     near = [cell]
     for s in range(16):
-        held = F.shiftright(cell, 2 * s).bitwiseAND(F.lit(3))
-        near += [F.when(held < 2, cell + F.lit(1 << 2 * s)), F.when(held > 0, cell - F.lit(1 << 2 * s))]
+        one, two = 1 << 2 * s, 2 << 2 * s
+        held = cell.bitwiseAND(F.lit(one | two))
+        near += [F.when(held != two | one, cell.bitwiseXOR(F.lit(one))), F.when(held != 0, cell.bitwiseXOR(F.lit(two)))]
     return F.array_compact(F.array(*near))
 
 
 def links(unique: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs (a, b) of representatives whose distinct fingerprints differ in at most so many bits (3 at most).
+    """Pairs (a, b) of distinct fingerprints (column fp) that differ in at most so many bits (3 at most), as they are.
 
-    unique: fp, rep. Each fingerprint sends 2 rows as itself and at most 66 as a neighbour, however large its group of
-    copies; one join on (half, cell), whose large cells adaptive execution can split.
+    Each fingerprint sends 2 rows as itself and at most 66 as a neighbour, however large its group of copies; one join
+    on (half, cell), whose large cells adaptive execution can split.
     """
     if bits > 3:
         raise ValueError("two halves find up to 3 bits")
-    own = unique.select("fp", "rep", F.posexplode(F.array(_cells(F.col("fp"), 0), _cells(F.col("fp"), 1))).alias("half", "cell"))
-    near = own.select("half", F.explode(_around(F.col("cell"))).alias("cell"), F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    close = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits)
-    return own.join(near, ["half", "cell"]).where(close).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    full = unique.select("fp", _popcounts(F.col("fp")).alias("u"))
+    halves = F.array(*[F.shiftrightunsigned("u", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)) for h in (0, 1)])
+    own = full.select("fp", "u", F.posexplode(halves).alias("half", "cell"))
+    near = own.select("half", F.explode(_around(F.col("cell"))).alias("cell"), F.col("fp").alias("fp2"), F.col("u").alias("u2"))
+    manhattan = F.bit_count(F.col("u").bitwiseXOR(F.col("u2")))
+    hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
+    met = own.join(near, ["half", "cell"]).where((F.col("fp") < F.col("fp2")) & (manhattan <= bits) & (hamming <= bits))
+    return met.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) of every document.
 
-    Equal fingerprints are one node, so copies never meet in pairs; a text without words has fingerprint zero, and a
-    null text none; rows of one doc_id keep a row each. An empty table gives no rows.
+    Equal fingerprints are one node, so copies never meet in pairs. A text without words has fingerprint zero, and a
+    null text none; rows of one doc_id keep a row each. A row without doc_id links like any other, and a component that
+    has no doc_id has none as its component_id. Other columns are not read. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs), "simhash")
-    unique = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-unique")
+    unique = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-unique")
     roots = components(links(unique, bits))
-    by_fp = unique.join(roots, unique.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = unique.join(roots, unique.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.join(by_fp.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -110,9 +120,9 @@ def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
     order = ["doc_id", "_digest", *others]
     rows = docs.withColumn("_digest", F.sha2("text", 256))
     prints = stored(fingerprints(rows, tuple(order)), "simhash")
-    unique = stored(prints.select("fp", F.col("fp").alias("rep")).distinct(), "simhash-unique")
+    unique = stored(prints.select("fp").distinct(), "simhash-unique")
     roots = components(links(unique, bits))
-    by_fp = unique.join(roots, unique.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("_component"))
+    by_fp = unique.join(roots, unique.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("_component"))
     first = F.min(F.struct(*[x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_n{k}"), F.col(c).alias(f"_c{k}"))])).alias("_first")
     kept = prints.join(by_fp, "fp").groupBy("_component").agg(first).select(*[F.col(f"_first._c{k}").alias(f"_c{k}") for k in range(len(order))])
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c{k}")) for k, c in enumerate(order)])
