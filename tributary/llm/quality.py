@@ -2,7 +2,7 @@
 
 Rule statistics are counted over whole texts. A forest of random splits, grown on at most ``MOST_LABELLED`` labelled
 documents of good quality, gives each document a path length; documents isolated early are anomalous. The score above
-which a document is rejected is calibrated on labelled documents of both kinds.
+which a document is rejected is calibrated on labelled documents of both kinds that the forest was not grown on.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .common import table
 from .toxicity import held_out
 
 #: Labelled documents that the fit uses at most, those with the smallest hash of doc_id.
-MOST_LABELLED = 8_192
+MOST_LABELLED = 16_384
 TREES, SAMPLE, DEPTH, MARGIN = 128, 256, 10, 0.3
 #: Share of good labelled documents that calibration may reject.
 MOST_GOOD_LOST = 0.005
@@ -135,19 +135,24 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 
 
 class Judge:
-    """A forest (None without labelled rows: the base rules alone decide) and the score from which it rejects."""
+    """A forest grown on every other good row, and the score from which it rejects, calibrated on the other rows.
+
+    With a single good row it is grown on that one; with none there is no forest, and the base rules alone decide.
+    """
 
     def __init__(self, shares: np.ndarray, good: np.ndarray):
         self.forest, self.limit = None, 2.0
-        if good.sum() < 8:
+        at = np.nonzero(good)[0]
+        if not len(at):
             return
-        self.forest = Forest(shares[good])
-        s = self.forest.score(shares)
-        self.limit = float(np.nextafter(s[good].max(), 2))
-        if (~good).any():
-            tries = np.unique(s)
-            lost = 1 - np.searchsorted(np.sort(s[good]), tries) / good.sum()
-            caught = 1 - np.searchsorted(np.sort(s[~good]), tries) / (~good).sum()
+        self.forest = Forest(shares[at[::2]])
+        own = at[1::2] if len(at) > 1 else at
+        s, bad = np.sort(self.forest.score(shares[own])), np.sort(self.forest.score(shares[~good]))
+        self.limit = float(np.nextafter(s[-1], 2))
+        if len(bad):
+            tries = np.unique(np.concatenate([s, bad]))
+            lost = 1 - np.searchsorted(s, tries) / len(s)
+            caught = 1 - np.searchsorted(bad, tries) / len(bad)
             ok = lost <= MOST_GOOD_LOST
             if ok.any():
                 self.limit = float(tries[ok][np.argmax((caught - lost)[ok])])
@@ -161,8 +166,9 @@ class Judge:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Judge:
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    # one text of a doc_id, however many rows it has
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
     def run(batches):
         for b in batches:
@@ -178,7 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Judg
 
 
 def judge(docs: DataFrame, model: Judge) -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept and anomaly of every whole text; a null text has no words and fails."""
+    """doc_id, COUNTS, base_failed, kept and anomaly of every whole text.
+
+    A null or empty text has no words and fails. Rows that repeat or have no doc_id are judged each; other columns are
+    not read; no rows give no rows. A score equal to the limit rejects. A text is held whole, with its words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import table, worker_cache
 
 #: Labelled documents that a fit uses at most, those with the smallest hash of doc_id.
-MOST_LABELLED = 8_192
+MOST_LABELLED = 16_384
 SPACE, TERMS, FACTORS, THRESHOLD = 1 << 20, 4096, 8, 0.7
 MAX_WORDS = 200_000
 LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -130,8 +130,9 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Machine:
     """From whole texts of the labelled documents that are not held out, most at most."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
+    # one text of a doc_id, however many rows it has
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
     def run(batches):
         known: dict[bytes, tuple] = defaultdict()
@@ -154,8 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mach
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from 0.7 on): a map over whole texts; null texts are empty ones.
-    Columns of these two names are replaced."""
+    """docs with score (0 to 1) and predicted (1 from 0.7 on): a map over whole texts.
+
+    A null or empty text has no terms and scores by the bias alone. Rows that repeat or have no doc_id are scored each;
+    columns of these two names are replaced and others pass through; no rows give no rows. A score of 0.7 is predicted 1.
+    A text is held whole, with its distinct words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     docs = docs.drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
