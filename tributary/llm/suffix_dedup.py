@@ -222,7 +222,8 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     settled3 = windows.where("ask").join(again.hint("shuffle_hash"), rank)
     runs = settled1.select(*where, "p", (F.col("p") + F.col("n") - 1 + length).alias("end"))
     runs = runs.union(settled2.select(*where, "p", (F.col("p") + F.col("n") - 1 + length).alias("end")))
-    runs = stored(runs.union(settled3.select(*where, "p", (F.col("p") + length).alias("end"))), "runs")
+    # rows equal in doc_id and text have the same runs: one of each
+    runs = stored(runs.union(settled3.select(*where, "p", (F.col("p") + length).alias("end"))).distinct(), "runs")
     for x in (near1, units, near2, blocks, windows):
         drop_stored(x)
     _release(spark)
