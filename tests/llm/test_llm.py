@@ -262,9 +262,22 @@ def test_links_find_every_close_pair(spark):
         for k in (1, 2, 3, 4):
             fps.add(f ^ sum(1 << b for b in r.sample(range(64), k)))
     fps = sorted(fps)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, rep long")
-    got = {tuple(sorted(x)) for x in simhash.links(df).collect()}
-    assert got == {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = {tuple(sorted(f & (1 << 64) - 1 for f in x)) for x in simhash.links(df).collect()}
+    assert got == {(fps[i], fps[j]) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3}
+    counts = lambda f: [(f >> 2 * s & 3).bit_count() for s in range(32)]
+    own = [x.u & (1 << 64) - 1 for x in df.select(simhash._popcounts(F.col("fp")).alias("u")).collect()]
+    for a, b in [(r.randrange(len(fps)), r.randrange(len(fps))) for _ in range(300)]:
+        assert (own[a] ^ own[b]).bit_count() == sum(abs(x - y) for x, y in zip(counts(fps[a]), counts(fps[b]), strict=True))
+
+
+def test_rows_without_doc_id_link(spark):
+    r = random.Random(2)
+    t = [words(r, 60, 300) for _ in range(3)]
+    rows = [(None, t[0]), (4, t[0]), (None, t[1]), (None, t[1]), (9, t[2]), (9, t[2]), (9, t[0]), (6, None)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)
+    assert sorted(((x.doc_id, x.component_id) for x in got), key=key) == sorted([(None, 4), (4, 4), (None, None), (None, None), (9, 9), (9, 9), (9, 4), (6, 6)], key=key)
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -297,6 +310,26 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_or_no_vec_id(spark):
+    x, y = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(5, x, 1), (6, x, 1), (5, y, 2), (7, y, 2), (None, x, 1), (None, [0.0, 0.0, 1.0], 1), (9, x, 3), (9, x, 3)]
+    got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)).collect()
+    key = lambda r: [(v is None, v or 0) for v in r]
+    want = [(5, 2, 5, True), (6, 2, 5, False), (None, 2, 5, False), (5, 1, 5, True), (7, 1, 5, False), (None, 0, None, True), (9, 1, 9, True), (9, 1, 9, True)]
+    assert sorted((tuple(g) for g in got), key=key) == sorted(want, key=key)
+
+
+def test_rare_lengths_have_trees_too(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)
+    r = np.random.default_rng(2)
+    base = r.normal(size=(50, 8))
+    x = np.concatenate([base, base + r.normal(size=base.shape) * 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    row, number = embedding_dedup.Forest(np.zeros((0, 8)), 100).leaves(x)
+    of = [set(number[row == k].tolist()) for k in range(100)]
+    assert np.mean([bool(of[k] & of[50 + k]) for k in range(50)]) > 0.95 and max(np.unique(number, return_counts=True)[1]) < 60
+
+
 # ---- toxicity, quality --------------------------------------------------------------------------------------------
 
 
@@ -327,6 +360,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(df, empty).agg(F.max("score")).first()[0] < 0.01
 
 
+def test_scores_equal_a_plain_sum_over_pairs():
+    """Brute force: every term's weight and every pair's inner product, one by one."""
+    r = np.random.default_rng(4)
+    known_words = [b"alpha", b"beta", b"gamma", b"deltas", b"e"]
+    terms = sorted({t for w in known_words for t in toxicity.terms_of(w)})
+    m = toxicity.Machine(terms, 0.3, r.normal(size=len(terms)), r.normal(size=(len(terms), toxicity.FACTORS)))
+    for text in ["", None, "alpha", "Alpha, beta! GAMMA", "alpha alpha deltas e unknown", "deltas gamma beta alpha e"]:
+        own = {t for w in re.findall("[a-z]+", (text or "").lower()) for t in toxicity.terms_of(w.encode())}
+        at = [terms.index(t) for t in own if t in terms]
+        x = 0.3 + sum(m.weights[i] for i in at) + sum(m.factors[i] @ m.factors[j] for i in at for j in at if i < j)
+        assert m.score(text, {}) == pytest.approx(1 / (1 + np.exp(-x)))
+
+
+def test_path_lengths_equal_walks():
+    """Brute force: each row walks each tree on its own."""
+    r = np.random.default_rng(5)
+    forest = quality.Forest(r.normal(size=(300, quality.SHARES)))
+    data = np.concatenate([r.normal(size=(20, quality.SHARES)), 9 * np.ones((1, quality.SHARES))])
+    for row, score in zip(data, forest.score(data), strict=True):
+        lengths = []
+        for t in range(quality.TREES):
+            k = 0
+            while forest.feature[t, k] >= 0:
+                k = forest.left[t, k] + (row[forest.feature[t, k]] >= forest.split[t, k])
+            lengths.append(forest.length[t, k])
+        assert score == pytest.approx(2 ** (-np.mean(lengths) / forest.usual))
+    assert forest.score(data)[-1] == forest.score(data).max()
+    one = quality.Judge(data[:1], np.array([True]))
+    assert one.forest is not None and one.kept(data[:1])[0].tolist() == [True]
+
+
+def test_learned_operators_on_repeated_rows(spark):
+    texts, bad = labelled(300)
+    rows = list(enumerate(texts)) + [(1, texts[1])] * 400 + [(None, "x")] * 3
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    labels = spark.createDataFrame([(k, 1 - y, y) for k, y in enumerate(bad)] * 2, "doc_id long, quality int, toxic int")
+    assert toxicity.score(df, toxicity.train(df, labels)).count() == len(rows)
+    assert quality.judge(df, quality.train(df, labels)).count() == len(rows)
+    for made in (toxicity.score(df.limit(0), toxicity.Machine()), quality.judge(df.limit(0), quality.train(df.limit(0), labels))):
+        assert made.count() == 0
+
+
 def test_pairs_of_terms_weigh_more_than_parts():
     r = random.Random(0)
     sets, y = [], []
@@ -548,6 +623,14 @@ def test_snapshots_collapse(spark):
     assert chat.collapse(df.limit(0)).count() == 0
 
 
+def test_turns_cannot_run_into_each_other(spark):
+    rows = [(1, 0, "a", "b\x1f5\x1ft"), (2, 0, "a\x1f1\x1fb", "t"), (3, 0, "ab", "c"), (4, 0, "a", "bc"), (5, 0, "a", "b"), (5, 0, "a", "b"), (6, 0, "a", "b"), (7, None, None, None), (8, None, "", "")]
+    rows += [(9, k, "user", f"turn {k}") for k in range(3000)] + [(10, k, "user", f"turn {k}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: (r.n_turns, r.n_equal) for r in chat.collapse(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (2, 1), 7: (1, 2), 9: (3000, 1)}
+
+
 def test_transducer_forgets_inside_a_long_piece(codec, monkeypatch):
     r = random.Random(7)
     data = "".join(r.choice("abcdefghijklmnop") for _ in range(3000)).encode()
