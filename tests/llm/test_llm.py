@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe_transducer, chat, embedding_dedup, id_files, packing, pii, quality, simhash, suffix_dedup, tagger, toxicity
+from tributary.llm import bpe_transducer, chat, common, embedding_dedup, id_files, packing, pii, quality, simhash, suffix_dedup, tagger, toxicity
 from tributary.llm.common import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -280,7 +280,11 @@ def test_rows_without_doc_id_link(spark):
     assert sorted(((x.doc_id, x.component_id) for x in got), key=key) == sorted([(None, 4), (4, 4), (None, None), (None, None), (9, 9), (9, 9), (9, 4), (6, 6)], key=key)
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("most", [None, 20])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, most):
+    if most:  # the star's middle is hot
+        monkeypatch.setattr(common, "HOT_LINKS", most)
+        monkeypatch.setattr(common, "HOT_SHARE", 0.05)
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[k] == 1 for k in range(2, 61)) and all(got[k] == 100 for k in range(101, 150))

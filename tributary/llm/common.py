@@ -79,17 +79,19 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: A node is hot if it has more than this share of all links: there are at most 1 / HOT_SHARE such nodes.
-HOT_SHARE, HOT_LEAST = 1 / 1000, 16
+#: With more links than this a node may be hot: one with more than HOT_SHARE of them, of which there are 1 / HOT_SHARE
+#: at most. With fewer, a task reads all links of a node in a second.
+HOT_LINKS, HOT_SHARE = 1_000_000, 1 / 1000
 
 
 def _to_lowest(rows: DataFrame, low: DataFrame, links: int) -> DataFrame:
     """rows (a, b) with m, the smallest node that low (a, m, n) has for a; n counts a's links.
 
-    Links of hot nodes, of which there are a thousand at most, meet m in a broadcast join, so no task reads all of one
-    node's; the others are dealt by a.
+    Links of hot nodes meet m in a broadcast join, so no task reads all of one node's; the others are dealt by a.
     """
-    hot = F.broadcast(low.where(F.col("n") > max(HOT_LEAST, int(links * HOT_SHARE))).select("a", F.col("m").alias("hot_m")))
+    if links <= HOT_LINKS:
+        return rows.join(low.select("a", "m"), "a").select("a", "b", "m")
+    hot = F.broadcast(low.where(F.col("n") > int(links * HOT_SHARE)).select("a", F.col("m").alias("hot_m")))
     met = rows.join(hot, "a", "left")
     cold = met.where("hot_m is null").select("a", "b").join(low.select("a", "m"), "a").select("a", "b", "m")
     return met.where("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")).union(cold)

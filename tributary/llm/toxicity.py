@@ -8,6 +8,7 @@ documents: the fit's size does not grow with the corpus. Scoring is a map over w
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections import defaultdict
@@ -71,7 +72,7 @@ class Machine:
 def fit(sets: list[np.ndarray], toxic: np.ndarray, epochs: int = 60, seed: int = 7) -> Machine:
     """sets: hashed terms of each labelled document. Terms that go with the label are chosen by their odds; copies of
     one set count once."""
-    unique = {(s.tobytes(), int(y)): k for k, (s, y) in enumerate(zip(sets, toxic, strict=True))}
+    unique = {(hashlib.blake2b(s, digest_size=16).digest(), int(y)): k for k, (s, y) in enumerate(zip(sets, toxic, strict=True))}
     keep = sorted(unique.values())
     sets, toxic = [sets[k] for k in keep], np.asarray(toxic)[keep].astype(float)
     n1, n0 = toxic.sum(), (1 - toxic).sum()
@@ -149,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mach
 
     got = rows.mapInArrow(run, "doc_id long, terms binary, toxic int").toArrow()
     order = sorted(zip(got["doc_id"].to_pylist(), got["terms"].to_pylist(), got["toxic"].to_pylist(), strict=True))
+    del got
     if not order:
         return Machine()
     return fit([np.frombuffer(t, np.int32) for _, t, _ in order], np.array([y for _, _, y in order]))
