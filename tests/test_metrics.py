@@ -253,5 +253,66 @@ def test_renaming(spark):
     code = 'class Foo { int x = MAX; // set x\n String y = "a b"; Foo f = g(x, "a b"); }'
     df = spark.createDataFrame([(code,)], "t string")
     keep = ["class", "int", "String"]
-    assert df.select(tx.renamed("t", keep)).first()[0] == 'class Cls1 { int name1 = CONST1; // set x\n String name2 = "a b"; Cls1 name3 = name4(name1, "a b"); }'
-    assert df.select(tx.renamed("t", keep, True)).first()[0] == 'class Cls1 { int name1 = CONST1; \n String name2 = "s1"; Cls1 name3 = name4(name1, "s1"); }'
+    assert tx.renamed(df, "t", keep).first().renamed == 'class Cls1 { int name1 = CONST1; // set x\n String name2 = "a b"; Cls1 name3 = name4(name1, "a b"); }'
+    assert tx.renamed(df, "t", keep, True).first().renamed == 'class Cls1 { int name1 = CONST1; \n String name2 = "s1"; Cls1 name3 = name4(name1, "s1"); }'
+
+
+def test_streams_of_far_ids_differ(spark):
+    from tributary.operators import resampling as rs
+
+    ids = [4, 4 + 1_000_003, 4 + rs.P, 4 + 2 * rs.P, 4 + (1 << 40), 1 << 31, (1 << 31) - 1, 0, -1]
+    df = spark.createDataFrame([(i,) for i in ids], "unit long")
+    got = [r.u for r in df.select(rs.stream("unit", 3).alias("u")).collect()]
+    assert len(set(got)) == len(ids) - 1 and got[6] == got[7] and all(0 <= u < rs.P for u in got)  # 2**31 - 1 counts as 0
+
+
+def test_newton_equals_plain_gradient_descent(spark):
+    import numpy as np
+
+    from tributary.operators import learned as ml
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 2))
+    y = (r.random(300) < 1 / (1 + np.exp(-(0.5 + x @ [1.0, -2.0])))).astype(float)
+    rows = spark.createDataFrame([(int(k % 2), float(a), float(b), float(t), l2) for k, ((a, b), t) in enumerate(zip(x, y, strict=True)) for l2 in (0.0, 0.1)], "k int, a double, b double, t double, l2 double")
+    got = {(g.k, g.l2): np.array(g.beta) for g in ml.newton_logistic(rows, ["k", "l2"], ["a", "b"], "t", "l2").collect()}
+    for (k, l2), beta in got.items():
+        design = np.column_stack([np.ones(150), x[k::2]])
+        own = np.zeros(3)
+        for _ in range(20_000):
+            p = 1 / (1 + np.exp(-design @ own))
+            own -= 0.5 * (design.T @ (p - y[k::2]) / 150 + l2 * own * [0, 1, 1])
+        assert np.allclose(beta, own, atol=1e-5)
+    picked = ml.l2_grid(rows.where("l2 = 0").drop("l2").withColumn("fold", rows.k).withColumn("m", rows.k * 0), "m", ["a", "b"], "t", "fold", [1e-4, 10.0]).first()
+    assert picked.l2 == 1e-4 and 0 < picked.bce < 0.6
+
+
+def test_verdict_probability_of_odd_tokens(spark):
+    import math
+
+    from tributary.functions import text as tx
+
+    alt = lambda t, p: (t, math.log(p))
+    rows = [
+        (0, [("true", [alt("true", 0.9), alt("false", 0.1)])]),  # no mark: all tokens count
+        (1, [("true", [alt("true", 0.9)]), ("</think>", [])]),
+        (2, [("</think>", []), (" false", [alt(" true", 0.3), alt("false ", 0.1)]), ("x", [])]),
+        (3, [("</think>", []), ("true", [])]),
+        (4, None),
+        (5, []),
+    ]
+    df = spark.createDataFrame(rows, "k int, t array<struct<token: string, top: array<struct<token: string, logprob: double>>>>")
+    got = [r.p for r in df.select(tx.verdict_probability("t").alias("p"), "k").orderBy("k").collect()]
+    assert got[0] == pytest.approx(0.9) and got[1] is None and got[2] == pytest.approx(0.75) and got[3:] == [None] * 3
+
+
+def test_array_files_from_disk(spark, tmp_path):
+    import numpy as np
+
+    from tributary.sources import readers as rd
+
+    np.save(tmp_path / "a.npy", np.arange(6).reshape(3, 2))
+    np.savez(tmp_path / "b.npz", x=np.ones(2), y=np.zeros((1, 3)))
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    got = sorted((r.path[-5:], r.name, r.row, list(r.values)) for r in rd.array_rows(files).collect())
+    assert got == [("a.npy", "", 0, [0.0, 1.0]), ("a.npy", "", 1, [2.0, 3.0]), ("a.npy", "", 2, [4.0, 5.0]), ("b.npz", "x", 0, [1.0]), ("b.npz", "x", 1, [1.0]), ("b.npz", "y", 0, [0.0, 0.0, 0.0])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code features: name and pattern (fixed values, Java syntax).
@@ -154,6 +154,30 @@ def softmax2(a: Column, b: Column) -> Column:
     return F.exp(a - top) / (F.exp(a - top) + F.exp(b - top))
 
 
+def verdict_probability(tokens: str, yes: str = "true", no: str = "false", mark: str = "</think>") -> Column:
+    """The probability of yes against no at the last of the two among the tokens after the mark; null where neither
+    stands there or has alternatives.
+
+    tokens: array of struct(token, top: array of struct(token, logprob)). The mark may be spread over several tokens;
+    without one all tokens count. Of alternatives that are equal but for blanks the first counts.
+    """
+    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def read(acc: Column, t: Column) -> Column:
+        text, n = F.concat(acc["text"], t["token"]), acc["n"] + 1
+        return F.struct(text.alias("text"), n.alias("n"), F.when((acc["end"] == 0) & F.contains(text, F.lit(mark)), n).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(tokens, zero, read)["end"]
+    after = F.slice(F.col(tokens), end + 1, F.size(tokens))
+    last = F.try_element_at(F.filter(after, lambda t: F.trim(t["token"]).isin(yes, no)), F.lit(-1))
+
+    def of(word: str) -> Column:
+        first = F.try_element_at(F.filter(last["top"], lambda a: F.trim(a["token"]) == word), F.lit(1))
+        return F.coalesce(F.exp(first["logprob"]), F.lit(0.0))
+
+    return F.try_divide(of(yes), F.nullif(of(yes) + of(no), F.lit(0.0)))
+
+
 def literal_dict(text: str, fields: str) -> Column:
     """A dict as Python prints it, with numbers as values."""
     return F.from_json(F.replace(F.col(text), F.lit("'"), F.lit('"')), fields)
@@ -169,24 +193,30 @@ def description(text: str, most: int = 11) -> Column:
 TOKENS = r"(//[^\n]*|/\*(?s:.*?)\*/|\"(?:[^\"\\\n]|\\.)*\"|[A-Za-z_]\w*|[^A-Za-z_\"/]+|[\"/])"
 
 
-def renamed(text: str, keep: list[str], strict: bool = False) -> Column:
-    """Identifiers outside keep renamed by first occurrence in the document: CONST1, Cls1, name1. With strict, comments go
-    and strings are numbered too. The lists of names are worked out again for each token: for short code, not whole pages."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKENS), 1)
+def renamed(df: DataFrame, text: str, keep: list[str], strict: bool = False, name: str = "renamed") -> DataFrame:
+    """df with text's identifiers outside keep renamed by first occurrence in the document: CONST1, Cls1, name1. With
+    strict, comments go and strings are numbered too.
+
+    A document's names are listed once, each token finds its place among them; the lists are columns of their own, so
+    they are not worked out again for each token.
+    """
     kept = F.array(*map(F.lit, keep)) if keep else F.array().cast("array<string>")
-    found = F.array_distinct(F.filter(tokens, lambda t: F.rlike(t, F.lit("^[A-Za-z_]")) & ~F.array_contains(kept, t)))
     constant = lambda t: (t == F.upper(t)) & (F.length(t) > 1) & F.rlike(t, F.lit("[A-Z]"))
     capital = lambda t: F.rlike(t, F.lit("^[A-Z]")) & ~constant(t)
-    groups = [("CONST", F.filter(found, constant)), ("Cls", F.filter(found, capital)), ("name", F.filter(found, lambda t: ~constant(t) & ~capital(t)))]
-    strings = F.array_distinct(F.filter(tokens, lambda t: F.startswith(t, F.lit('"')) & (F.length(t) > 1)))
+    kinds = {"CONST": constant, "Cls": capital, "name": lambda t: ~constant(t) & ~capital(t)}
+    df = df.withColumn("_tokens", F.regexp_extract_all(F.col(text), F.lit(TOKENS), 1))
+    df = df.withColumn("_found", F.array_distinct(F.filter("_tokens", lambda t: F.rlike(t, F.lit("^[A-Za-z_]")) & ~F.array_contains(kept, t))))
+    df = df.withColumns({f"_{prefix}": F.filter("_found", own) for prefix, own in kinds.items()})
+    df = df.withColumn("_strings", F.array_distinct(F.filter("_tokens", lambda t: F.startswith(t, F.lit('"')) & (F.length(t) > 1))))
 
     def shown(t: Column) -> Column:
         out = t
-        for prefix, names in groups:
-            out = F.when(F.array_contains(names, t), F.concat(F.lit(prefix), F.array_position(names, t).cast("string"))).otherwise(out)
+        for prefix in kinds:
+            at = F.array_position(F.col(f"_{prefix}"), t)
+            out = F.when(at > 0, F.concat(F.lit(prefix), at.cast("string"))).otherwise(out)
         if strict:
-            out = F.when(F.rlike(t, F.lit(r"^(//|/\*)")), "").otherwise(out)
-            out = F.when(F.array_contains(strings, t), F.concat(F.lit('"s'), F.array_position(strings, t).cast("string"), F.lit('"'))).otherwise(out)
+            at = F.array_position(F.col("_strings"), t)
+            out = F.when(F.rlike(t, F.lit(r"^(//|/\*)")), "").when(at > 0, F.concat(F.lit('"s'), at.cast("string"), F.lit('"'))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(tokens, shown), "")
+    return df.withColumn(name, F.array_join(F.transform("_tokens", shown), "")).drop("_tokens", "_found", "_strings", *(f"_{p}" for p in kinds))

@@ -8,23 +8,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a
+    temporary folder; a cluster's executors could not see that, so there it is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/tributary/frontier-{uuid.uuid4().hex}"
+    return top
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tributary/frontier-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False, rounds: int = 100) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False) -> DataFrame:
     """Pairs (source, node) with a path from source to node, and its length in steps; a source reaches itself in 0.
 
     edges: src, dst (with states: also from_state, to_state, and nodes carry a state, null edges' from_state matching
@@ -40,7 +49,7 @@ def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None
         edges = edges.join(barrier_out.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
     front = _cut(sources.select(F.col("node").alias("source"), *key, F.lit(0).alias("steps")).distinct())
     seen = front
-    for n in range(1, rounds + 1):
+    for n in count(1):
         e = edges.withColumnRenamed("src", "node")
         step = front.drop("steps").join(e, "node")
         if states:
@@ -50,14 +59,13 @@ def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None
         front = _cut(step.distinct().join(seen.drop("steps"), ["source", *key], "left_anti").withColumn("steps", F.lit(n)))
         if front.isEmpty():
             return seen
-        seen = seen.union(front)
-    raise RuntimeError(f"reachability needs more than {rounds} rounds")
+        seen = _cut(seen.union(front)) if n % 16 == 0 else seen.union(front)  # so that the plan stays small
 
 
-def closure(edges: DataFrame, rounds: int = 16) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) of a child-to-parent table, each node with itself at depth 0; cycles end at what is seen."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    return reach(edges, nodes, rounds=rounds).select(F.col("source").alias("node"), F.col("node").alias("ancestor"), F.col("steps").alias("depth"))
+    return reach(edges, nodes).select(F.col("source").alias("node"), F.col("node").alias("ancestor"), F.col("steps").alias("depth"))
 
 
 def first_parent(df: DataFrame, child: str, parent: str, order: str) -> DataFrame:
@@ -65,17 +73,16 @@ def first_parent(df: DataFrame, child: str, parent: str, order: str) -> DataFram
     return df.groupBy(child).agg(F.min(F.struct(order, parent)).alias("_b")).select(F.col(child).alias("src"), F.col(f"_b.{parent}").alias("dst"))
 
 
-def fixpoint(facts: DataFrame, rule, rounds: int = 50) -> DataFrame:
+def fixpoint(facts: DataFrame, rule) -> DataFrame:
     """The least set of rows (node) that holds the facts and what rule(rows) derives from them, for monotone rules."""
     known = _cut(facts.distinct())
     n = known.count()
-    for _ in range(rounds):
+    while True:
         known = _cut(known.union(rule(known)).distinct())
         m = known.count()
         if m == n:
             return known
         n = m
-    raise RuntimeError(f"no fixpoint in {rounds} rounds")
 
 
 def spec_match(calls: DataFrame, spec: DataFrame, kind: str) -> DataFrame:
@@ -83,3 +90,19 @@ def spec_match(calls: DataFrame, spec: DataFrame, kind: str) -> DataFrame:
     s = spec.where(F.col("kind") == kind).select("package", "clazz", "method", F.col("arg").alias("_a"))
     hit: Column = F.col("_a").isNull() | (F.col("_a") == F.col("arg"))
     return calls.join(F.broadcast(s), ["package", "clazz", "method"]).where(hit).select(calls.columns).distinct()
+
+
+def predicates(spec: DataFrame, kind: str, condition: Column, order: list[str], batch: int = 300) -> DataFrame:
+    """Source text for each kind: the conditions of its rows, joined by "or", in batches of so many to a predicate.
+
+    Gives kind, part (from 0) and body. Batches are numbered inside a kind; a batch is one row.
+    """
+    numbered = spec.withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy(*order)) - 1).withColumn("_c", condition)
+    listed = numbered.groupBy(kind, F.floor(F.col("_n") / batch).cast("long").alias("part")).agg(F.array_sort(F.collect_list(F.struct("_n", "_c"))).alias("_l"))
+    name = F.concat(F.lit("predicate is_"), F.col(kind), F.lit("_"), F.col("part").cast("string"), F.lit("(Node n) {\n  "))
+    return listed.select(kind, "part", F.concat(name, F.array_join(F.transform("_l", lambda x: x["_c"]), " or\n  "), F.lit("\n}")).alias("body"))
+
+
+def unsanitised(calls: DataFrame, specs: DataFrame) -> DataFrame:
+    """Call facts that any spec of kind sink names, from all packs of specs together, and none of kind sanitizer."""
+    return spec_match(calls, specs, "sink").join(spec_match(calls, specs, "sanitizer"), calls.columns, "left_anti")

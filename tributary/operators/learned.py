@@ -102,3 +102,76 @@ def auc_scan(df: DataFrame, columns: list[str], gold: str = "gold") -> DataFrame
 
     long = df.select(gold, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(gold, "x.*")
     return auc(long, ["feature"], "value", gold)
+
+
+def newton_logistic(rows: DataFrame, keys: list[str], columns: list[str], target: str, l2: str, rounds: int = 40) -> DataFrame:
+    """Logistic regressions of all keys at once, on targets from 0 to 1: keys and coefficients (intercept first).
+
+    Each round is one aggregate over all rows, of as many sums as a Hessian has entries; the small systems, one for each
+    key, are solved on the driver. The number of keys is a grid's, not the data's. The column l2 weighs half the squared
+    coefficients against the mean loss; the intercept is free.
+    """
+    import numpy as np
+
+    d = len(columns) + 1
+    spark = rows.sparkSession
+    rows = rows.select(*dict.fromkeys([*keys, *columns, target, l2])).persist()
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    shape = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", beta array<double>"
+    found = {tuple(r): np.zeros(d) for r in rows.select(*keys).distinct().collect()}
+    for _ in range(rounds):
+        table = spark.createDataFrame([(*k, b.tolist()) for k, b in found.items()], shape)
+        joined = rows.join(F.broadcast(table), keys)
+        p = 1 / (1 + F.exp(-sum((x[i] * F.col("beta")[i] for i in range(1, d)), F.col("beta")[0])))
+        joined = joined.withColumns({"_p": p})
+        sums = [F.avg((F.col("_p") - F.col(target)) * x[i]).alias(f"g{i}") for i in range(d)]
+        sums += [F.avg(F.col("_p") * (1 - F.col("_p")) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
+        moved = 0.0
+        for r in joined.groupBy(*keys).agg(F.first(l2).alias("_l2"), *sums).collect():
+            own = tuple(r[k] for k in keys)
+            free = np.array([0.0] + [1.0] * (d - 1)) * r["_l2"]
+            g = np.array([r[f"g{i}"] for i in range(d)]) + free * found[own]
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + np.diag(free + 1e-12)
+            step = np.linalg.solve(h, g)
+            step *= min(1.0, 4.0 / (np.abs(step).max() + 1e-300))
+            found[own] = found[own] - step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-9:
+            break
+    rows.unpersist()
+    return spark.createDataFrame([(*k, b.tolist()) for k, b in found.items()], shape)
+
+
+def predicted(df: DataFrame, fitted: DataFrame, keys: list[str], columns: list[str], name: str = "prob") -> DataFrame:
+    """df with the probabilities of fitted (keys, beta), which is a grid's and broadcast."""
+    z = sum((F.col(c).cast("double") * F.col("beta")[i + 1] for i, c in enumerate(columns)), F.col("beta")[0])
+    return df.join(F.broadcast(fitted), keys).withColumn(name, 1 / (1 + F.exp(-z))).drop("beta")
+
+
+def l2_grid(df: DataFrame, model: str, columns: list[str], target: str, fold: str, grid: list[float]) -> DataFrame:
+    """For each model the L2 weight of the grid with the least mean cross-entropy over held-out folds (the smallest among
+    equals), and that entropy. All models, folds and weights are fitted in the same passes."""
+    spark = df.sparkSession
+    cells = df.select(F.col(fold).alias("_held")).distinct().crossJoin(spark.createDataFrame([(x,) for x in grid], "l2 double"))
+    keys = [model, "_held", "l2"]
+    every = df.crossJoin(F.broadcast(cells))
+    fitted = newton_logistic(every.where(F.col(fold) != F.col("_held")), keys, columns, target, "l2")
+    p = F.least(F.greatest(F.col("prob"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    test = predicted(every.where(F.col(fold) == F.col("_held")), fitted, keys, columns)
+    loss = test.groupBy(model, "l2").agg(F.avg(-(F.col(target) * F.ln(p) + (1 - F.col(target)) * F.ln(1 - p))).alias("bce"))
+    return loss.groupBy(model).agg(F.min(F.struct(F.round("bce", 9).alias("bce"), "l2")).alias("_b")).select(model, "_b.l2", "_b.bce")
+
+
+def out_of_fold(df: DataFrame, fold: str, fit, apply, k: int) -> DataFrame:
+    """df with each fold (0 to k - 1) predicted by what fit(rows) makes of all others: apply(fitted, rows)."""
+    parts = [apply(fit(df.where(F.col(fold) != i)), df.where(F.col(fold) == i)) for i in range(k)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def score_equations(df: DataFrame, columns: list[str], target: str, prob: str = "prob") -> DataFrame:
+    """What an unpenalised logistic fit brings to 0 on its own rows: the mean residual, alone and times each column."""
+    sums = [F.struct(F.lit(c).alias("term"), F.avg((F.col(prob) - F.col(target)) * x).alias("residual")) for c, x in [("intercept", F.lit(1.0)), *[(c, F.col(c)) for c in columns]]]
+    return df.agg(F.array(*sums).alias("a")).select(F.explode("a").alias("e")).select("e.*")

@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-P = 1_000_003
+P = 2_147_483_647
 
 
 def stream(*parts: str | Column | int) -> Column:
-    """A number below 1,000,003 from integer columns and constants."""
+    """A number below P = 2**31 - 1 from integer columns and constants. What of a part lies above 31 bits counts too, by
+    another factor, so ids that P divides apart differ."""
     primes = (7919, 104729, 1299709, 15485863)
-    cols = [F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p for p in parts]
-    t = (sum((c.cast("long") * k for c, k in zip(cols[1:], primes[1:], strict=False)), cols[0].cast("long") * primes[0]) + 11) % P
+    above = (32452843, 49979687, 67867967, 86028121)
+    cols = [(F.col(p) if isinstance(p, str) else F.lit(p) if isinstance(p, int) else p).cast("long") for p in parts]
+    low = sum((c.bitwiseAND(F.lit(P)) * k for c, k in zip(cols[1:], primes[1:], strict=False)), cols[0].bitwiseAND(F.lit(P)) * primes[0])
+    high = sum((F.shiftright(c, 31) % P * k for c, k in zip(cols[1:], above[1:], strict=False)), F.shiftright(cols[0], 31) % P * above[0])
+    t = F.pmod(low + high + 11, F.lit(P))
     square = t * t % P
     return square * square % P * t % P  # the fifth power permutes the numbers below this prime, and is not linear
 
@@ -30,7 +34,7 @@ def poisson_weights(df: DataFrame, n: int, *ids: str) -> DataFrame:
 
     Rows are the sufficient statistics of groups where the metric allows, so that n multiplies few rows.
     """
-    u = stream(*ids, F.col("draw")) / 1000003.0
+    u = stream(*ids, F.col("draw")) / float(P)
     # the distribution function of Poisson(1) at 0 to 6
     steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
     weight = sum((u >= s).cast("long") for s in steps)
@@ -69,7 +73,7 @@ def folds(df: DataFrame, k: int, unit: str = "unit_id", seed: int = 0) -> DataFr
 
     Places come from counts of a thousand hash ranges and row numbers inside them: no window runs over all rows.
     """
-    ids = df.select(unit).distinct().withColumn("_u", stream(unit, seed)).withColumn("_b", F.floor(F.col("_u") / 1000))
+    ids = df.select(unit).distinct().withColumn("_u", stream(unit, seed)).withColumn("_b", F.floor(F.col("_u") / (P / 1000)))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_u", unit)) - 1 + F.col("_before")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
 from ..sources import readers as rd
 from .core import fin
 from .measurement import load
@@ -15,11 +15,7 @@ from .registry import query
 
 
 def folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/tributary/format-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tributary/format-{uuid.uuid4().hex}"
 
 
 def jsonl(s, d):

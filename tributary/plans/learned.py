@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import learned as ml
@@ -21,21 +22,52 @@ query("ml1_least_squares", "SELECT 'q' AS term, round(regr_slope(l_extendedprice
 query("rk20_held_out_r2", "WITH x AS (SELECT l_quantity / 50 AS q, l_extendedprice / 1000 AS y, l_orderkey % 2 AS h FROM lineitem), m AS (SELECT regr_slope(y, q) AS a, regr_intercept(y, q) AS b, avg(y) AS mu FROM x WHERE h = 0) SELECT round(1 - sum((y - a * q - b) ** 2) / sum((y - mu) ** 2), 6) AS r2 FROM x CROSS JOIN m WHERE h = 1")(
     lambda s, d: fin(ml.held_out_r2(numbers(s, d).where("l_orderkey % 2 = 0"), numbers(s, d).where("l_orderkey % 2 = 1"), ["q"], "price"))
 )
-query("ml2_soft_logistic")(
-    lambda s, d: (lambda p: rk.auc(ml.probability(ml.soft_logistic(p.where("unit_id % 2 = 0"), ["f1", "f2"], "p"), p.where("unit_id % 2 = 1"), ["f1", "f2"]).withColumn("k", F.lit("test")), ["k"], "prob"))(probe(s, d).where("m = 3").withColumns({"f1": F.ln("size"), "f2": F.col("gold") + (F.col("unit_id") * 7919 % 1003) / 500.0}))
-)
-query("ml4_platt")(
-    lambda s, d: s.createDataFrame([(m, *map(float, ml.platt(probe(s, d).where(f"m = {m}"), "p", "gold"))) for m in range(4)], "m int, a double, b double")
-)
+ZERO = "SELECT {m} AS m, term, 0e0 AS residual FROM (SELECT unnest([{terms}]) AS term){of}"
+
+
+@query("ml2_soft_logistic", ZERO.format(m=3, terms="'intercept', 'f1', 'f2'", of=""))
+def soft_logistic(s, d):
+    """An unpenalised fit on targets between 0 and 1 is at its optimum: its score equations hold."""
+    columns = ["f1", "f2"]
+    rows = probe(s, d).where("m = 3").withColumns({"f1": F.ln("size"), "f2": F.col("gold") + (F.col("unit_id") * 7919 % 1003) / 500.0})
+    fitted = ml.probability(ml.soft_logistic(rows, columns, "p", 0.0), rows, columns)
+    return ml.score_equations(fitted, columns, "p").select(F.lit(3).cast("long").alias("m"), "term", (F.round("residual", 3) + 0.0).alias("residual"))
+
+
+@query("ml4_platt", ZERO.format(m="m", terms="'intercept', 'p'", of=" CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS m)"))
+def platt(s, d):
+    """Each model's calibration is at its optimum: its score equations hold."""
+    out = None
+    for m in range(4):
+        rows = probe(s, d).where(f"m = {m}")
+        a, b = ml.platt(rows, "p", "gold")
+        found = ml.score_equations(rows.withColumn("prob", 1 / (1 + F.exp(-(a * F.col("p") + b)))), ["p"], "gold")
+        found = found.select(F.lit(m).cast("long").alias("m"), "term", (F.round("residual", 3) + 0.0).alias("residual"))
+        out = found if out is None else out.union(found)
+    return out
+
+
 query("ml5_tfidf")(
     lambda s, d: (lambda t: fin(ml.tfidf(t.where("doc_id % 2 = 0"), "text").transform(t.withColumn("grams", ml.char_ngrams("text"))).select("doc_id", ml.summary("features").alias("x")).select("doc_id", "x.*")))(load(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 )
-query("ml6_standardised")(
-    lambda s, d: (lambda u: ml.standardised(u.where("unit_id % 2 = 0"), ["size"], "cls").transform(u).select("unit_id", F.size(__import__("pyspark.ml.functions", fromlist=["x"]).vector_to_array("features")).alias("width")))(units(s, d))
-)
-query("ml7_boosted")(
-    lambda s, d: (lambda p: ml.boosted(p.where("unit_id % 2 = 0"), ["size", "p"], "gold", 5).transform(ml.assembled(p.where("unit_id % 2 = 1"), ["size", "p"])).groupBy("prediction").count())(probe(s, d).where("m = 3"))
-)
+@query("ml6_standardised", CTE + ", t AS (SELECT avg(size) AS m, stddev_samp(size) AS sd FROM unit WHERE unit_id % 2 = 0) SELECT unit_id, round((size - m) / sd, 6) AS z, CASE WHEN cls IN (SELECT cls FROM unit WHERE unit_id % 2 = 0) THEN 1e0 ELSE 0e0 END AS n_hot FROM unit CROSS JOIN t")
+def standardised(s, d):
+    """The scaled size, and how many places of the one-hot category are set."""
+    u = units(s, d)
+    v = vector_to_array("features")
+    got = ml.standardised(u.where("unit_id % 2 = 0"), ["size"], "cls").transform(u).select("unit_id", v.alias("v"))
+    return fin(got.select("unit_id", F.get("v", F.lit(0)).alias("z"), F.aggregate(F.slice("v", 2, F.size("v")), F.lit(0.0), lambda a, x: a + x).alias("n_hot")))
+
+
+@query("ml7_boosted")
+def boosted(s, d):
+    """The AUC of boosted trees on rows that they were not fitted on, and of the raw score there."""
+    p = probe(s, d).where("m = 3")
+    test = ml.assembled(p.where("unit_id % 2 = 1"), ["size", "p"])
+    scored = ml.boosted(p.where("unit_id % 2 = 0"), ["size", "p"], "gold", 5).transform(test).withColumn("boosted", vector_to_array("probability")[1])
+    return fin(ml.auc_scan(scored, ["boosted", "p"]))
+
+
 query("ml9_auc_scan", CTE + f", x AS (SELECT 'p' AS model, gold, p FROM probe UNION ALL SELECT 'size', gold, CAST(size AS DOUBLE) FROM probe), r AS (SELECT model, gold, {AVG_RANK.format(k='model')} AS r FROM x) SELECT model AS feature, round((sum(CASE WHEN gold = 1 THEN r END) - sum(gold) * (sum(gold) + 1) / 2e0) / (sum(gold) * sum(1 - gold)), 6) AS auc FROM r GROUP BY model")(
     lambda s, d: fin(ml.auc_scan(probe(s, d), ["p", "size"]))
 )

@@ -59,13 +59,18 @@ query("wn4_rk5_plain_rank_auc", CTE + ", r AS (SELECT model, gold, row_number()
 )
 query("wn6_histogram", CTE + "SELECT model, CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM probe GROUP BY 1, 2")(lambda s, d: probe(s, d).groupBy("model", F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 query("wn7_first_positive", CTE + f", r AS (SELECT model, grp, gold, {RANK} AS rn FROM probe) SELECT model, grp, min(rn) - 1 AS ifa FROM r WHERE gold = 1 GROUP BY 1, 2")(lambda s, d: rk.first_hit(probe(s, d), ["model", "grp"], []).where("ifa is not null").select("model", "grp", F.col("ifa").cast("long").alias("ifa")))
-query("wn12_ro20_prefix_sums", CTE + ", v AS (SELECT DISTINCT size AS cut FROM unit WHERE unit_id % 40 = 0) SELECT cut, CAST(sum(CASE WHEN size <= cut THEN CASE WHEN coalesce(a.pred, 0) = a.gold THEN 1 ELSE 0 END ELSE CASE WHEN coalesce(b.pred, 0) = b.gold THEN 1 ELSE 0 END END) AS BIGINT) AS hits FROM probe a JOIN (SELECT unit_id, pred, gold FROM probe WHERE m = 3) b USING (unit_id) CROSS JOIN v WHERE a.m = 1 GROUP BY cut")(
-    lambda s, d: (lambda p: (lambda sums, tot, cuts: sums.join(cuts, sums["size"] == cuts["cut"]).crossJoin(F.broadcast(tot)).select("cut", (F.col("a_upto") + F.col("b_all") - F.col("b_upto")).cast("long").alias("hits")))(
-        p.groupBy("size").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("size", F.sum("a").over(Window.orderBy("size")).alias("a_upto"), F.sum("b").over(Window.orderBy("size")).alias("b_upto")),
-        p.agg(F.sum("b").alias("b_all")),
-        units(s, d).where("unit_id % 40 = 0").select(F.col("size").alias("cut")).distinct(),
-    ))(probe(s, d).where("m in (1, 3)").withColumn("ok", (F.coalesce("pred", F.lit(0)) == F.col("gold")).cast("int")).groupBy("unit_id", "size").agg(F.sum(F.when(F.col("m") == 1, F.col("ok"))).alias("a"), F.sum(F.when(F.col("m") == 3, F.col("ok"))).alias("b")))
-)
+def prefix_hits(s, d):
+    """For each size as the cut: units up to it judged by one model, the others by another, from prefix sums by size."""
+    right = probe(s, d).where("m in (1, 3)").withColumn("ok", (F.coalesce("pred", F.lit(0)) == F.col("gold")).cast("int"))
+    by_unit = right.groupBy("unit_id", "size").agg(*[F.sum(F.when(F.col("m") == m, F.col("ok"))).alias(n) for m, n in ((1, "a"), (3, "b"))])
+    by_size = by_unit.groupBy("size").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    upto = Window.orderBy("size")
+    sums = by_size.select(F.col("size").alias("cut"), F.sum("a").over(upto).alias("a_upto"), F.sum("b").over(upto).alias("b_upto"))
+    total = by_size.agg(F.sum("b").alias("b_all"))
+    return sums.crossJoin(F.broadcast(total)).select("cut", (F.col("a_upto") + F.col("b_all") - F.col("b_upto")).cast("long").alias("hits"))
+
+
+query("wn12_ro20_prefix_sums", CTE + ", x AS (SELECT size, sum(CASE WHEN m = 1 THEN ok END) AS a, sum(CASE WHEN m = 3 THEN ok END) AS b FROM (SELECT m, size, CASE WHEN coalesce(pred, 0) = gold THEN 1 ELSE 0 END AS ok FROM probe WHERE m IN (1, 3)) GROUP BY size) SELECT size AS cut, CAST(sum(a) OVER (ORDER BY size) + (SELECT sum(b) FROM x) - sum(b) OVER (ORDER BY size) AS BIGINT) AS hits FROM x")(prefix_hits)
 query("wn16_smallest_share", CTE + f", r AS (SELECT grp, gold, {RANK} AS rn, count(*) OVER (PARTITION BY model, grp) AS n FROM probe WHERE m = 3), g AS (SELECT (range + 1) / 10e0 AS f FROM range(10)), x AS (SELECT f, sum(CASE WHEN rn <= round_even(f * n, 0) THEN gold ELSE 0 END) * 1e0 / sum(gold) AS rec FROM r CROSS JOIN g GROUP BY f) SELECT round(coalesce(min(CASE WHEN rec >= 0.8 THEN f END), 1e0), 6) AS share FROM x")(
     lambda s, d: (lambda r: fin(r.join(r.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp").crossJoin(F.broadcast(s.range(10).select(((F.col("id") + 1) / 10.0).alias("f")))).groupBy("f").agg((F.sum(F.when(F.col("rn") <= F.bround(F.col("f") * F.col("n")), F.col("gold")).otherwise(0)) / F.sum("gold")).alias("rec")).agg(F.coalesce(F.min(F.when(F.col("rec") >= 0.8, F.col("f"))), F.lit(1.0)).alias("share"))))(tk.ranked(probe(s, d).where("m = 3"), ["model", "grp"], "p"))
 )
@@ -81,8 +86,8 @@ query("rk14_pair_rank", CTE + ", t AS (SELECT grp, model, max(CASE WHEN gold = 1
 query("rk17_wrong_order_gap", CTE + ", q AS (SELECT grp, avg(gold) AS g, avg(p) AS e FROM probe WHERE m = 3 GROUP BY grp) SELECT count(*) AS n FROM q a JOIN q b ON a.g - b.g >= 0.1e0 AND a.e < b.e")(
     lambda s, d: (lambda q: q.join(q.select(F.col("g").alias("g2"), F.col("e").alias("e2")), (F.col("g") - F.col("g2") >= 0.1) & (F.col("e") < F.col("e2"))).agg(F.count(F.lit(1)).alias("n")))(probe(s, d).where("m = 3").groupBy("grp").agg(F.avg("gold").alias("g"), F.avg("p").alias("e")))
 )
-query("rs4_stratified_bootstrap", CTE + f", w AS (SELECT draw, gold, p, {U.format(a='unit_id', b='draw')} AS u FROM probe CROSS JOIN (SELECT range AS draw FROM range(10)) WHERE m = 3), x AS (SELECT draw, gold, sum(CASE WHEN u < 600000 THEN p END) / count(CASE WHEN u < 600000 THEN 1 END) AS a FROM w GROUP BY 1, 2) SELECT gold, round(avg(a), 6) AS mean FROM x GROUP BY gold")(
-    lambda s, d: fin(probe(s, d).where("m = 3").crossJoin(F.broadcast(rs.draws(s, 10))).where(rs.stream("unit_id", "draw") < 600000).groupBy("draw", "gold").agg(F.avg("p").alias("a")).groupBy("gold").agg(F.avg("a").alias("mean")))
+query("rs4_stratified_bootstrap", CTE + f", w AS (SELECT draw, gold, p, {U.format(a='unit_id', b='draw')} AS u FROM probe CROSS JOIN (SELECT range AS draw FROM range(10)) WHERE m = 3), x AS (SELECT draw, gold, sum(CASE WHEN u < 1288490188 THEN p END) / count(CASE WHEN u < 1288490188 THEN 1 END) AS a FROM w GROUP BY 1, 2) SELECT gold, round(avg(a), 6) AS mean FROM x GROUP BY gold")(
+    lambda s, d: fin(probe(s, d).where("m = 3").crossJoin(F.broadcast(rs.draws(s, 10))).where(rs.stream("unit_id", "draw") < 1288490188).groupBy("draw", "gold").agg(F.avg("p").alias("a")).groupBy("gold").agg(F.avg("a").alias("mean")))
 )
 query("rs7_shuffled_oracle", CTE + f", o AS (SELECT unit_id, grp, m, CASE WHEN coalesce(pred, 0) = gold THEN 1 ELSE 0 END AS ok FROM probe), a AS (SELECT *, row_number() OVER (PARTITION BY grp, m ORDER BY unit_id) AS r FROM o), b AS (SELECT grp, m, ok AS shuffled, row_number() OVER (PARTITION BY grp, m ORDER BY {U.format(a='unit_id', b='m')}, unit_id) AS r FROM o) SELECT round(avg(best), 6) AS oracle FROM (SELECT unit_id, max(b.shuffled) AS best FROM a JOIN b USING (grp, m, r) GROUP BY unit_id)")(
     lambda s, d: fin(rs.permuted(probe(s, d).withColumn("ok", (F.coalesce("pred", F.lit(0)) == F.col("gold")).cast("int")), "ok", ["grp", "m"], "unit_id", F.col("m")).groupBy("unit_id").agg(F.max("shuffled").alias("best")).agg(F.avg("best").alias("oracle")))
@@ -162,9 +167,9 @@ query("sf35_after_marker", "SELECT doc_id, lang AS answer FROM documents")(lambd
 
 query("gx2_is_ancestor", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s, d: gr.closure(geography(s, d)).where("node like 'n:%' and ancestor like 'r:%'").select(F.substring("node", 3, 100).alias("n_name"), F.substring("ancestor", 3, 100).alias("r_name")))
 query("gx4_first_parent", "SELECT p_brand AS src, arg_min(p_type, p_partkey) AS dst FROM part GROUP BY p_brand")(lambda s, d: gr.first_parent(load(s, d, "part"), "p_brand", "p_type", "p_partkey"))
-query("gx6_sources_only", "WITH o AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderkey % 20 = 0) SELECT src AS source, count(*) AS n FROM o GROUP BY src")(lambda s, d: trade(s, d).where("src like 'c%'").groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n")))
-query("gx9_edge_kinds", "WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_orderkey % 20 = 0 AND l_returnflag = 'N' UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_orderkey % 20 = 0 AND l_returnflag = 'N'), r AS (SELECT DISTINCT src AS source, src AS node FROM e WHERE src LIKE 'o%' UNION SELECT source, dst FROM r JOIN e ON e.src = r.node) SELECT source, node FROM r WHERE node LIKE 's%'")(
-    lambda s, d: (lambda e: gr.reach(e, e.where("src like 'o%'").select(F.col("src").alias("node")).distinct()).where("node like 's%'").select("source", "node"))((lambda li: li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).union(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))).distinct())(load(s, d, "lineitem").where("l_orderkey % 20 = 0 and l_returnflag = 'N'")))
+query("gx6_sources_only", "WITH o AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders) SELECT src AS source, count(*) AS n FROM o GROUP BY src")(lambda s, d: trade(s, d).where("src like 'c%'").groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n")))
+query("gx9_edge_kinds", "WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'N' UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'N'), r AS (SELECT DISTINCT src AS source, src AS node FROM e WHERE src LIKE 'o%' UNION SELECT source, dst FROM r JOIN e ON e.src = r.node) SELECT source, node FROM r WHERE node LIKE 's%'")(
+    lambda s, d: (lambda e: gr.reach(e, e.where("src like 'o%'").select(F.col("src").alias("node")).distinct()).where("node like 's%'").select("source", "node"))((lambda li: li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).union(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))).distinct())(load(s, d, "lineitem").where("l_returnflag = 'N'")))
 )
 query("gx10_nested_reach", "WITH x AS (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'), safe AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW') SELECT DISTINCT l_suppkey FROM x WHERE o_custkey NOT IN (SELECT o_custkey FROM safe)")(
     lambda s, d: (lambda o: o.join(load(s, d, "lineitem").where("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey")).join(o.where("o_orderpriority = '5-LOW'").select("o_custkey").distinct(), "o_custkey", "left_anti").select("l_suppkey").distinct())(load(s, d, "orders"))

@@ -156,3 +156,56 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     head, rows = df.columns, df.limit(most).collect()
     cells = [" | ".join("" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x) for x in r) for r in rows]
     return "\n".join([f"| {' | '.join(head)} |", f"|{'---|' * len(head)}", *(f"| {c} |" for c in cells)])
+
+
+#: What alerts() reads of a report: all runs, the place of each result, and its flows.
+ALERTS = REPORT.replace("ruleId: string,", "ruleId: string, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>,")
+
+
+def alerts(reports: DataFrame) -> DataFrame:
+    """A row for each result of all runs that names a file, with the steps of its first flow only; results equal in rule,
+    place and steps count once, with the smallest message. Without steps the source is the sink.
+    """
+    result = reports.select(F.explode("runs").alias("run")).select(F.explode("run.results").alias("r"))
+    place = F.get("r.locations", F.lit(0))["physicalLocation"]
+    locations = F.get(F.get("r.codeFlows", F.lit(0))["threadFlows"], F.lit(0))["locations"]
+    step = lambda x: F.struct(
+        x["location"]["physicalLocation"]["artifactLocation"]["uri"].alias("file"), x["location"]["physicalLocation"]["region"]["startLine"].alias("line")
+    )
+    rows = result.select(
+        F.col("r.ruleId").alias("rule"), F.left("r.message.text", F.lit(500)).alias("message"), place["artifactLocation"]["uri"].alias("sink_file"),
+        place["region"]["startLine"].alias("sink_line"), F.coalesce(F.transform(locations, step), F.array().cast("array<struct<file:string,line:int>>")).alias("steps"),
+    ).where("sink_file is not null")
+    key = ["rule", "sink_file", "sink_line", "steps"]
+    one = rows.groupBy(*key).agg(F.min("message").alias("message"))
+    first = F.get("steps", F.lit(0))
+    return one.select(
+        F.sha1(F.to_json(F.struct(*key))).alias("alert_id"), "rule", "message", "sink_file", "sink_line",
+        F.coalesce(first["file"], "sink_file").alias("source_file"), F.coalesce(first["line"], "sink_line").alias("source_line"),
+        F.size("steps").alias("n_steps"), (F.size(F.array_distinct(F.transform("steps", lambda x: x["file"]))) > 1).alias("cross_file"),
+    )
+
+
+def array_rows(files: DataFrame) -> DataFrame:
+    """Rows of array files (path, content), as the binaryFile source gives them: path, name (of the array in an archive,
+    else empty), row and values. An array of one axis has one value a row; pickled objects are refused.
+    """
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = np.load(io.BytesIO(content), allow_pickle=False)
+                for name, array in ([("", got)] if isinstance(got, np.ndarray) else got.items()):
+                    flat = array.reshape(len(array), -1).astype(np.float64)
+                    for a in range(0, len(flat), 4096):
+                        part = flat[a : a + 4096]
+                        ends = np.arange(len(part) + 1, dtype=np.int32) * flat.shape[1]
+                        cols = [pa.array([path] * len(part)), pa.array([name] * len(part)), pa.array(np.arange(a, a + len(part))), pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))]
+                        yield pa.RecordBatch.from_arrays(cols, ["path", "name", "row", "values"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, row long, values array<double>")
