@@ -198,6 +198,32 @@ def test_repeats_equal_brute_force(spark, length):
         assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_short_repeats_are_told_and_stay(spark):
+    r = random.Random(8)
+    texts = [None, "", "a" * 90, "b" * 64, "c" * 65]
+    for k in range(60):
+        t = words(r, 30, 4000)
+        if k % 2:
+            t = t[:50] + texts[r.randrange(5, len(texts))][40 : 40 + r.randint(20, 95)] + t[50:] if len(texts) > 6 else t
+        texts.append(t)
+    texts += texts[5:7]
+    got = suffix_dedup.remove_repeats(docs(spark, texts, True), 128, short=64).orderBy("doc_id").collect()
+    raw = [(t or "").encode() for t in texts]
+    for row, whole, half in zip(got, removed(raw, 64), removed(raw, 32), strict=True):
+        assert row.n_short_repeats > 0 if whole.any() else True
+        assert row.n_short_repeats == 0 if not half.any() else True
+    assert sum(x.n_short_repeats > 0 for x in got) > 10 > sum(x.n_removed > 0 for x in got) - 10
+    same = spark.createDataFrame([(1, "abc" * 60 + "x")] * 2 + [(None, words(r, 60, 4000)), (2, "y")], DOCS)
+    got = suffix_dedup.remove_repeats(same, 128, short=64).orderBy("doc_id").collect()
+    assert [g.n_short_repeats > 0 for g in got] == [False, True, True, False] and got[1] == got[2]
+
+
+def test_many_copies_of_one_row_take_linear_time(spark):
+    df = spark.createDataFrame([(1, "word " * 60 + str(k % 1)) for k in range(3000)], DOCS).repartition(4)
+    got = suffix_dedup.remove_repeats(df, 40, short=20).agg(F.count(F.lit(1)), F.min("n_removed"), F.max("n_removed")).first()
+    assert tuple(got) == (3000, 301, 301)
+
+
 def test_repeats_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
     t = words(random.Random(9), 400, 500)

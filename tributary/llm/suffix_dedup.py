@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import drop_stored, stored, table
 from .rolling import MOST, anchors, base
 
-LENGTH, BLOCK = 400, 16
+#: Strings of LENGTH bytes are removed; those of SHORT are reported only.
+LENGTH, SHORT, BLOCK = 400, 256, 16
 SEGMENT = 900_000
 KEY = ["doc_id", "own"]
 
@@ -85,6 +86,24 @@ def unit_arrays(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
 
 
+def short_arrays(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and names of the anchors of all windows of length bytes: the half-length strings chosen by content."""
+    one, half = base(1), length // 2
+    rows, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for held in _segments(texts, length):
+        sizes = np.array([len(x) for _, _, x in held])
+        start, windows = np.cumsum(sizes) - sizes, sizes - length + 1
+        found = one.rolling(one.sums(np.frombuffer(b"".join(x for _, _, x in held), np.uint8)), half)
+        part = np.repeat(np.arange(len(held)), windows)
+        p = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows - start, windows)
+        a = anchors(found, length - half + 1)[p]
+        new = np.ones(len(p), bool)
+        new[1:] = (a[1:] != a[:-1]) | (part[1:] != part[:-1])
+        rows.append(np.array([x[0] for x in held])[part[new]])
+        names.append(found[a[new]].view(np.int64))
+    return np.concatenate(rows), np.concatenate(names)
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -106,6 +125,24 @@ def _units(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, own long, p long, n int, off int, name long, whole long")
 
 
+def _short_repeats(docs: DataFrame, length: int) -> DataFrame:
+    """KEY and n_short_repeats of rows that have any: how many anchors of windows of length bytes have a name, of half
+    the length, that is also another anchor's. A string of length bytes that repeats holds one at least."""
+
+    def run(batches):
+        for b in batches:
+            row, name = short_arrays([_bytes(t) for t in b.column(2).to_pylist()], length)
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(name)], ["doc_id", "own", "name"])
+
+    made = stored(docs.mapInArrow(run, "doc_id long, own long, name long"), "short")
+    again = stored(made.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name"), "short-again")
+    # rows equal in doc_id and text count each other's anchors; a row has as many as one of them
+    each = made.join(again.hint("shuffle_hash"), "name").groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    copies = docs.groupBy(KEY).agg(F.count(F.lit(1)).alias("copies"))
+    return each.join(copies, KEY).select(*KEY, (F.col("n") / F.col("copies")).cast("long").alias("n_short_repeats"))
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """The same rows with the text's bytes compressed, for a shuffle."""
 
@@ -241,18 +278,24 @@ def _merged(p: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p[first], end[np.append(first[1:], len(p)) - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, short: int | None = None) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, own
     (which tells rows of one doc_id apart) and the text of the bytes kept; a character that a removed run cuts goes.
 
+    With short, a length below the threshold, n_short_repeats tells of shorter passages that repeat, which stay: it is
+    above 0 wherever a string of so many bytes also starts elsewhere, and 0 where none of half as many does.
+
     Null and empty texts, and those shorter than length, have nothing removed. Rows that repeat are each judged, so
     copies of length bytes or more go wholly; a null doc_id is a doc_id like any other.
     """
     docs = _narrow(docs)
     safe = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     runs = _spans(safe, length).groupBy(KEY).agg(F.collect_list(F.struct("p", "end")).alias("runs"))
-    joined = _packed(safe).join(runs.hint("shuffle_hash"), KEY, "left")
+    joined = _packed(safe).join(runs.hint("shuffle_hash"), KEY, "left").withColumn("n_short_repeats", F.lit(0).cast("long"))
+    if short:
+        joined = joined.drop("n_short_repeats").join(_short_repeats(safe, short), KEY, "left").fillna(0, ["n_short_repeats"])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", own long, kept string" * with_text
+    schema += ", n_short_repeats long" * bool(short)
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
@@ -262,22 +305,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             flat, ends = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
             starts, stops = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             at = 0
-            for doc, own, data, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), ends.tolist(), strict=True):
+            for doc, own, data, to, n_short in zip(*(b.column(k).to_pylist() for k in range(3)), ends.tolist(), b.column(4).to_pylist(), strict=True):
                 text = z.decompress(data)
                 p, end = _merged(starts[at:to], stops[at:to])
                 at = to
                 kept = b"".join(text[a:e] for a, e in zip([0, *end.tolist()], [*p.tolist(), len(text)], strict=True))
                 row = [doc if doc > -(1 << 63) else None, len(text), len(text) - len(kept), len(p), hashlib.sha256(kept).hexdigest()]
-                out.append(row + [own, kept.decode("utf-8", "ignore")] if with_text else row)
-            types = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.string()] * with_text
+                out.append(row + [own, kept.decode("utf-8", "ignore")] * with_text + [n_short] * bool(short))
+            types = [pa.int64()] * 4 + [pa.string()] + [pa.int64(), pa.string()] * with_text + [pa.int64()] * bool(short)
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names)
 
-    return joined.select(*KEY, "data", "runs").mapInArrow(run, schema)
+    return joined.select(*KEY, "data", "runs", "n_short_repeats").mapInArrow(run, schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), short=SHORT)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
