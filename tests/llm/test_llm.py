@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import bpe_transducer, chat, common, embedding_dedup, id_files, packing, pii, quality, simhash, suffix_dedup, tagger, toxicity
+from tributary.llm import bpe_transducer, chat, common, doubling, embedding_dedup, id_files, packing, pii, quality, simhash, suffix_dedup, tagger, toxicity
 from tributary.llm.common import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -198,6 +198,22 @@ def test_repeats_equal_brute_force(spark, length):
         assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(data), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("length", [16, 50])
+def test_doubling_at_every_position_agrees(spark, length):
+    r = random.Random(length)
+    passage = words(r, 30)
+    texts = [None, "", "q" * (length - 1), "ab" * length, "é" * length] + [words(r, 12, 400) + passage[r.randint(0, 40) : 90] + words(r, 5, 400) for _ in range(30)]
+    texts += texts[5:8]
+    rows, places = doubling.repeated_strings(docs(spark, texts, True), length)
+    covered = [np.zeros(len((t or "").encode()), bool) for t in texts]
+    for doc, p in rows.join(places, "row").select("doc_id", "p").collect():
+        covered[doc][p : p + length] = True
+    raw = [(t or "").encode() for t in texts]
+    assert all((a == b).all() for a, b in zip(covered, removed(raw, length), strict=True))
+    got = suffix_dedup.remove_repeats(docs(spark, texts), length).orderBy("doc_id").collect()
+    assert [x.n_removed for x in got] == [int(c.sum()) for c in covered]
+
+
 def test_short_repeats_are_told_and_stay(spark):
     r = random.Random(8)
     texts = [None, "", "a" * 90, "b" * 64, "c" * 65]
