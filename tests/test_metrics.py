@@ -316,3 +316,18 @@ def test_array_files_from_disk(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
     got = sorted((r.path[-5:], r.name, r.row, list(r.values)) for r in rd.array_rows(files).collect())
     assert got == [("a.npy", "", 0, [0.0, 1.0]), ("a.npy", "", 1, [2.0, 3.0]), ("a.npy", "", 2, [4.0, 5.0]), ("b.npz", "x", 0, [1.0]), ("b.npz", "x", 1, [1.0]), ("b.npz", "y", 0, [0.0, 0.0, 0.0])]
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from tributary.operators.sizes import quantiles, small
+
+    r = np.random.default_rng(3)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.7, 1.0]
+    for values in ([3.0], [1.0, 1.0, 2.0], r.normal(size=1001).tolist(), [5.0] * 400 + r.exponential(1e6, 50).tolist(), [1e-300, 1e300, 0.0, -1e300 / 4]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double").repartition(3)
+        assert np.allclose(quantiles(df, "x", shares), np.quantile(values, shares), rtol=1e-12)
+    assert quantiles(df.limit(0), "x", [0.5]) == [None]
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        small(spark.range(5), 3)

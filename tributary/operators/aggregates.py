@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
+
 ratio = F.try_divide
 
 
@@ -55,7 +58,7 @@ def one_vs_rest(df: DataFrame, truth: str, guess: str, classes: DataFrame) -> Da
     pairs = df.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     k = F.col("class")
     on = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    rows = pairs.crossJoin(F.broadcast(classes)).groupBy("class").agg(
+    rows = pairs.crossJoin(small(classes)).groupBy("class").agg(
         on((F.col("t") == k) & (F.col("g") == k)).alias("tp"), on((F.col("t") != k) & (F.col("g") == k)).alias("fp"),
         on((F.col("t") == k) & (F.col("g") != k)).alias("fn"), F.sum("n").alias("n"),
     )

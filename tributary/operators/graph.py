@@ -89,7 +89,7 @@ def spec_match(calls: DataFrame, spec: DataFrame, kind: str) -> DataFrame:
     """Call facts (package, clazz, method, arg, node) that a spec of a kind names; a null arg of the spec is any."""
     s = spec.where(F.col("kind") == kind).select("package", "clazz", "method", F.col("arg").alias("_a"))
     hit: Column = F.col("_a").isNull() | (F.col("_a") == F.col("arg"))
-    return calls.join(F.broadcast(s), ["package", "clazz", "method"]).where(hit).select(calls.columns).distinct()
+    return calls.join(s, ["package", "clazz", "method"]).where(hit).select(calls.columns).distinct()
 
 
 def predicates(spec: DataFrame, kind: str, condition: Column, order: list[str], batch: int = 300) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
 from .topk import average_rank, ranked, running_counts
 
 
@@ -76,7 +77,7 @@ def kendall(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
     """(concordant - discordant) / max(their sum, 1) of a small table of items, without correction for ties."""
     x, y = df.select(F.col(a).alias("a1"), F.col(b).alias("b1"), F.col(tie).alias("t1")), df.select(F.col(a).alias("a2"), F.col(b).alias("b2"), F.col(tie).alias("t2"))
     s = F.signum((F.col("a1") - F.col("a2")) * (F.col("b1") - F.col("b2")))
-    return x.join(F.broadcast(y), F.col("t1") < F.col("t2")).agg((F.sum(s) / F.greatest(F.sum(F.abs(s)), F.lit(1.0))).alias("tau"))
+    return x.join(small(y), F.col("t1") < F.col("t2")).agg((F.sum(s) / F.greatest(F.sum(F.abs(s)), F.lit(1.0))).alias("tau"))
 
 
 def error_correlation(df: DataFrame, unit: str = "unit_id", model: str = "model") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import quantiles
 from .topk import arg_best, ranked, trapezoid
 
 
@@ -42,8 +43,8 @@ def oracle(df: DataFrame, lam: float = 0.0) -> DataFrame:
 def threshold(df: DataFrame, weak: int, strong: int, q: float, score: str = "p") -> DataFrame:
     """Units whose weak score is at or above its q-quantile go to the strong model."""
     w = df.where(F.col("m") == weak)
-    cut = w.agg(F.percentile(score, F.lit(q)).alias("_cut"))
-    to = w.crossJoin(F.broadcast(cut)).select("unit_id", F.when(F.col(score) >= F.col("_cut"), strong).otherwise(weak).alias("m"))
+    (cut,) = quantiles(w, score, [q])
+    to = w.select("unit_id", F.when(F.col(score) >= F.lit(cut), strong).otherwise(weak).alias("m"))
     return df.join(to, ["unit_id", "m"], "left_semi")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import quantiles, small
+
 
 def ranked(df: DataFrame, keys: list[str], score: str, tie: str = "unit_id", name: str = "rn") -> DataFrame:
     """Row numbers by score, best first, ties in input order (tie)."""
@@ -57,9 +59,8 @@ def percentile_rank(df: DataFrame, keys: list[str], value: str, name: str = "pct
 
 def quartile_bins(df: DataFrame, value: str, name: str = "bin") -> DataFrame:
     """Equal-frequency bins 0 to 3 by exact quartiles, right-closed."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    at = F.when(F.col(value) <= F.col("_q")[0], 0).when(F.col(value) <= F.col("_q")[1], 1).when(F.col(value) <= F.col("_q")[2], 2).otherwise(3)
-    return df.crossJoin(F.broadcast(q)).withColumn(name, at).drop("_q")
+    one, two, three = (F.lit(x) for x in quantiles(df, value, [0.25, 0.5, 0.75]))
+    return df.withColumn(name, F.when(F.col(value) <= one, 0).when(F.col(value) <= two, 1).when(F.col(value) <= three, 2).otherwise(3))
 
 
 def trapezoid(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -73,7 +74,7 @@ def interpolate(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y",
     """Piecewise-linear y at grid values, flat beyond the ends. points and grid are small curves."""
     w = Window.orderBy(x)
     seg = points.select(x, y, F.lead(x).over(w).alias("x2"), F.lead(y).over(w).alias("y2"), F.row_number().over(w).alias("r"))
-    inside = grid.join(F.broadcast(seg), (F.col(at) >= F.col(x)) & (F.col("x2").isNull() | (F.col(at) < F.col("x2"))), "left")
+    inside = grid.join(small(seg), (F.col(at) >= F.col(x)) & (F.col("x2").isNull() | (F.col(at) < F.col("x2"))), "left")
     first = points.agg(F.min_by(y, x).alias("_first"))
     value = F.when(F.col(x).isNull(), F.col("_first")).when(F.col("x2").isNull(), F.col(y)).otherwise(F.col(y) + (F.col("y2") - F.col(y)) * (F.col(at) - F.col(x)) / (F.col("x2") - F.col(x)))
     return inside.crossJoin(F.broadcast(first)).select(at, value.alias("value"))
