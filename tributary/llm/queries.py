@@ -16,6 +16,9 @@ _OPS = {
     "op8_packing": "packing",
     "op9_embedding_dedup": "embedding_dedup",
     "op10_simhash": "simhash",
+    "op11_license_scan": "license_scan",
+    "op12_structure_repair": "structure_repair",
+    "op13_collocations": "collocations",
 }
 
 
@@ -33,5 +36,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     from .chat import OP5_SQL
+    from .collocations import OP13_SQL
 
-    return {"op5_chat": OP5_SQL}
+    return {"op5_chat": OP5_SQL, "op13_collocations": OP13_SQL}
