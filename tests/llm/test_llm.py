@@ -609,14 +609,19 @@ def test_windows_do_not_change_the_result():
 
 
 def test_windows_without_a_trigger_add_nothing(tagging):
+    """The spans that pass the check, with windows left out and with all: planted forms, keys without a digit, long runs."""
     model, planted = tagging
     r = random.Random(4)
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    keys = [of("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + more, r.randint(12, 40)) + r.choice(["", "", "=", "=="]) for more in ("_", "-/", "_+-/") for _ in range(130)]
+    keys += [of("abcdefghijklmnopqrstuvwxyz_", r.randint(90, 190)) + r.choice(["7", "7a", "="]) for _ in range(60)]
     texts = [words(r, 300, 200) + t + words(r, 300, 200) + "7" * r.choice([0, 1, 700]) for t, *_ in planted[:150]]
+    texts += [f"{words(r, 90, 200)} {r.choice(pii._KEYS)}: {key} {words(r, 90, 200)}" for key in keys]
     for some in (model, tagger.Tagger(3)):
         part, whole = pii.added_spans(some, texts), pii.added_spans(some, texts, True)
-        for a, b, t in zip(part, whole, texts, strict=True):
-            assert set(a) <= set(b)
-            assert not any(next(pii.TRIGGER(t[s:z]), None) for s, _, z in set(b) - set(a))
+        assert all(set(a) <= set(b) for a, b in zip(part, whole, strict=True))
+        assert pii.all_spans(some, texts) == pii.all_spans(some, texts, True)
+    assert sum(bool(every) for _, every in pii.all_spans(model, texts[150:])) > 100
 
 
 def test_spans_equal_one_run_over_the_whole_text(tagging):

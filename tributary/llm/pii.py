@@ -7,8 +7,9 @@ at most ``MOST_TRAIN`` documents of the corpus whose spans the patterns label, a
 
 Texts are tagged in overlapping windows. A character's emissions come from the window in whose middle it lies, and the
 CRF's best path is taken over the whole text: places where no path can leave the outside tag part it into regions. A
-span that the closing check can let through holds a digit, an @ or a spelt-out one, so only windows around those are
-tagged, and their neighbours for as long as a region reaches into them: the spans are those of tagging all windows.
+span that the closing check can let through holds a digit, an @ or a spelt-out one, or is a run of key characters with a
+digit or without lower case; only windows around those are tagged, and their neighbours for as long as a region reaches
+into them: the spans that pass the check are those of tagging all windows.
 """
 
 from __future__ import annotations
@@ -192,8 +193,20 @@ NUMBERS = re.compile(r"[0-9+(][0-9 ().+-]*[0-9]").fullmatch
 TOKEN = re.compile(r"[A-Za-z0-9_+/-]{12,}").finditer
 SECRET = re.compile(r"[A-Za-z0-9_+/-]{12,200}={0,2}").fullmatch
 TOKENS = LOCAL.difference(".%") | {"/"}
-#: What every string holds that plausible() lets through.
-TRIGGER = re.compile(r"[0-9@]+|[A-Z]{16,}|(?:at|AT)\]?\)? ?[A-Za-z0-9-]+(?: ?[\[(]?(?:dot|DOT)[\])]? ?|\.)[A-Za-z0-9-]").finditer
+#: What every string of the first four kinds holds that plausible() lets through.
+TRIGGER = re.compile(r"[0-9@]+|(?:at|AT)\]?\)? ?[A-Za-z0-9-]+(?: ?[\[(]?(?:dot|DOT)[\])]? ?|\.)[A-Za-z0-9-]").finditer
+#: The least length of a secret without digits.
+CAPITALS = 16
+
+
+def triggers(text: str) -> list[tuple[int, int]]:
+    """Places that every span which all_spans() can add meets, a secret's whole run of characters included.
+
+    _whole() grows a secret to a run of TOKENS, and two = at most may follow; so the run has a digit, or it is upper case
+    and lacks those two characters of the least length at most.
+    """
+    runs = [m.span() for m in TOKEN(text) if DIGITS.search(m[0]) or m[0].isupper() and m.end() - m.start() >= CAPITALS - 2]
+    return [m.span() for m in TRIGGER(text)] + runs
 
 
 def plausible(kind: int, text: str) -> bool:
@@ -202,7 +215,7 @@ def plausible(kind: int, text: str) -> bool:
         return OBFUSCATED(text) is not None
     digits = DIGITS.findall(text)
     if kind == 4:
-        return SECRET(text) is not None and (bool(digits) and any(c.isalpha() for c in text) or text.isupper() and len(text) >= 16)
+        return SECRET(text) is not None and (bool(digits) and any(c.isalpha() for c in text) or text.isupper() and len(text) >= CAPITALS)
     if NUMBERS(text) is None:
         return False
     if kind == 1:
@@ -246,7 +259,7 @@ def added_spans(tagger: Tagger, texts: list[str], everywhere: bool = False) -> l
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     coded, count, todo = {}, {}, set()
     for row, text in enumerate(texts):
-        hit = [(m.start(), m.end()) for m in TRIGGER(text)]
+        hit = triggers(text)
         if not hit and not everywhere:
             continue
         coded[row] = classes(text)
@@ -288,9 +301,9 @@ def added_spans(tagger: Tagger, texts: list[str], everywhere: bool = False) -> l
     return out
 
 
-def all_spans(tagger: Tagger | None, texts: list[str | None]) -> list[tuple[list, list]]:
+def all_spans(tagger: Tagger | None, texts: list[str | None], everywhere: bool = False) -> list[tuple[list, list]]:
     """For each whole text: the patterns' spans, and all spans (start, kind, end). Added ones are trimmed, pass
-    plausible() and overlap none of the patterns'."""
+    plausible() and overlap none of the patterns'. Tagging all windows (everywhere) gives the same."""
     worker_cache("pii", dict)  # nothing is kept here; other operators' caches go
     texts = [t or "" for t in texts]
     out = []
@@ -298,7 +311,7 @@ def all_spans(tagger: Tagger | None, texts: list[str | None]) -> list[tuple[list
     for k in range(len(texts) + 1):
         if k == len(texts) or size >= SLICE_CHARS:
             part = texts[a:k]
-            for text, added in zip(part, added_spans(tagger, part) if tagger and part else [[]] * len(part), strict=True):
+            for text, added in zip(part, added_spans(tagger, part, everywhere) if tagger and part else [[]] * len(part), strict=True):
                 base = base_spans(text)
                 taken = [(s, z) for s, _, z in base]
                 extra = []
