@@ -9,6 +9,7 @@ from tributary.functions import text as tx
 from tributary.operators import aggregates as ag
 from tributary.operators import graph as gr
 from tributary.operators import joins as jn
+from tributary.operators import learned as ml
 from tributary.operators import ranking as rk
 from tributary.operators import resampling as rs
 from tributary.operators import routing as ro
@@ -117,7 +118,7 @@ def test_percentile_rank(spark):
 
 def test_kendall(spark):
     df = spark.createDataFrame([(1, 1, 1), (2, 2, 3), (3, 3, 2)], "t int, a int, b int")
-    assert one(rk.kendall(df, "a", "b", "t"))["tau"] == pytest.approx(1 / 3)
+    assert one(rk.kendall(df, "a", "b"))["tau"] == pytest.approx(1 / 3)
 
 
 def test_oracle_null(spark):
@@ -218,18 +219,26 @@ def test_cached_verdicts_query_reads_every_line(spark, tmp_path):
     assert got.merge(first, on=["project", "source", "sink"]).eval("final_x == final_y").all()
 
 
-def test_tfidf_query_takes_long_documents_whole(spark, tmp_path):
+def test_char_ngrams_count_a_short_word_once(spark):
+    df = spark.createDataFrame([("A bc  defg",)], "t string")
+    got = df.select(ml.char_ngrams("t")).first()[0]
+    assert sorted(got) == sorted([" a ", " bc", "bc ", " bc ", " de", "def", "efg", "fg ", " def", "defg", "efg ", " defg", "defg "])
+
+
+def test_tfidf_by_hand(spark, tmp_path):
+    """Counts damped by 1 + ln, idf of train documents plus 1, at least 3 documents, length 1; long ones are taken whole."""
     import math
 
     from tributary.plans import learned, registry  # noqa: F401
 
-    texts = {0: "abc", 1: "abc", 2: "abc " + "xyz " * 300, 3: "xyz", 4: "xyz " * 200, 5: None, 6: ""}
+    texts = {0: "abc", 1: "abc", 2: "abc " + "xyz " * 300, 3: "xyz", 4: "abc xyz", 6: "", 8: "xyz " * 200, 5: None}
     spark.createDataFrame([(k, t, len(t or "")) for k, t in texts.items()], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_features, r.top, r.total) for r in registry.QUERIES["ml5_tfidf"](spark, str(tmp_path)).collect()}
-    # both words, of four train documents, are in two: six grams each (of 3, 4 and 5 characters, words padded), of one weight
-    one = pytest.approx((6, 1 / math.sqrt(6), math.sqrt(6)), abs=1e-5)
-    assert got.keys() == texts.keys() and got[0] == got[1] == got[3] == got[4] == one
-    assert got[2] == pytest.approx((12, 300 / math.sqrt(6 * (300**2 + 1)), 6 * 301 / math.sqrt(6 * (300**2 + 1))), abs=1e-5)
+    # of five train documents three have each word: six grams each (three of 3, two of 4 and one of 5 characters), of one idf
+    one, many = pytest.approx((6, 1 / math.sqrt(6), math.sqrt(6)), abs=1e-5), 1 + math.log(300)
+    assert got.keys() == texts.keys() and got[0] == got[1] == got[3] == got[8] == one
+    assert got[2] == pytest.approx((12, many / math.sqrt(6 * (many**2 + 1)), 6 * (many + 1) / math.sqrt(6 * (many**2 + 1))), abs=1e-5)
+    assert got[4] == pytest.approx((12, 1 / math.sqrt(12), math.sqrt(12)), abs=1e-5)
     assert got[5] == got[6] == (0, 0.0, 0.0)
 
 
@@ -269,7 +278,6 @@ def test_streams_of_far_ids_differ(spark):
 def test_newton_equals_plain_gradient_descent(spark):
     import numpy as np
 
-    from tributary.operators import learned as ml
 
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 2))
@@ -329,5 +337,8 @@ def test_quantiles_equal_numpy(spark):
         df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double").repartition(3)
         assert np.allclose(quantiles(df, "x", shares), np.quantile(values, shares), rtol=1e-12)
     assert quantiles(df.limit(0), "x", [0.5]) == [None]
-    with pytest.raises(ValueError, match="more than 3 rows"):
-        small(spark.range(5), 3)
+    inf = math.inf
+    for values in ([1.0, 2.0, inf], [-inf, 0.0, inf], [-1.7e308, 0.0, 1.7e308]):
+        got = quantiles(spark.createDataFrame([(v,) for v in values], "x double"), "x", [0.0, 0.5, 1.0])
+        assert got == values
+    assert small(spark.range(5), 3).count() == small(spark.range(3), 3).count() + 2

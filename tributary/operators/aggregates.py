@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
 
 
 ratio = F.try_divide
@@ -54,15 +53,17 @@ def complete_case(df: DataFrame, unit: str = "unit_id", model: str = "model") ->
 
 
 def one_vs_rest(df: DataFrame, truth: str, guess: str, classes: DataFrame) -> DataFrame:
-    """precision, recall and accuracy of each class of the truth column. Pre-aggregates to pairs of labels first."""
+    """precision, recall and accuracy of each class (column class), from counts by truth, by guess and of both."""
     pairs = df.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    k = F.col("class")
-    on = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    rows = pairs.crossJoin(small(classes)).groupBy("class").agg(
-        on((F.col("t") == k) & (F.col("g") == k)).alias("tp"), on((F.col("t") != k) & (F.col("g") == k)).alias("fp"),
-        on((F.col("t") == k) & (F.col("g") != k)).alias("fn"), F.sum("n").alias("n"),
-    )
-    return rows.select("class", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n")).alias("accuracy"))
+    counts = pairs.select(
+        F.explode(F.array(
+            F.struct(F.col("t").alias("class"), "n", F.lit(0).cast("long").alias("as"), F.when(F.col("t") == F.col("g"), F.col("n")).otherwise(0).alias("tp")),
+            F.struct(F.col("g").alias("class"), F.lit(0).cast("long").alias("n"), F.col("n").alias("as"), F.lit(0).cast("long").alias("tp")),
+        )).alias("x")
+    ).groupBy("x.class").agg(F.sum("x.n").alias("true_n"), F.sum("x.as").alias("guess_n"), F.sum("x.tp").alias("tp"))
+    rows = classes.select("class").join(counts, "class", "left").fillna(0, ["true_n", "guess_n", "tp"]).crossJoin(F.broadcast(pairs.agg(F.sum("n").alias("n"))))
+    wrong = F.col("true_n") + F.col("guess_n") - 2 * F.col("tp")
+    return rows.select("class", ratio(F.col("tp"), F.col("guess_n")).alias("precision"), ratio(F.col("tp"), F.col("true_n")).alias("recall"), ((F.col("n") - wrong) / F.col("n")).alias("accuracy"))
 
 
 def min_max(df: DataFrame, value: str, keys: list[str], name: str = "scaled") -> DataFrame:

@@ -6,31 +6,12 @@ grow and a lost executor costs one round. Only a count comes to the driver.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a
-    temporary folder; a cluster's executors could not see that, so there it is an error."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tributary/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import cut
 
 
 def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False) -> DataFrame:
@@ -47,7 +28,7 @@ def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None
         sources = sources.join(bad.withColumnRenamed("dst", "node"), "node", "left_anti")
     if barrier_out is not None:
         edges = edges.join(barrier_out.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
-    front = _cut(sources.select(F.col("node").alias("source"), *key, F.lit(0).alias("steps")).distinct())
+    front = cut(sources.select(F.col("node").alias("source"), *key, F.lit(0).alias("steps")).distinct())
     seen = front
     for n in count(1):
         e = edges.withColumnRenamed("src", "node")
@@ -56,10 +37,10 @@ def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None
             step = step.where("from_state is null or from_state = state").select("source", F.col("dst").alias("node"), F.coalesce("to_state", "state").alias("state"))
         else:
             step = step.select("source", F.col("dst").alias("node"))
-        front = _cut(step.distinct().join(seen.drop("steps"), ["source", *key], "left_anti").withColumn("steps", F.lit(n)))
+        front = cut(step.distinct().join(seen.drop("steps"), ["source", *key], "left_anti").withColumn("steps", F.lit(n)))
         if front.isEmpty():
             return seen
-        seen = _cut(seen.union(front)) if n % 16 == 0 else seen.union(front)  # so that the plan stays small
+        seen = cut(seen.union(front)) if n % 16 == 0 else seen.union(front)  # so that the plan stays small
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -75,10 +56,10 @@ def first_parent(df: DataFrame, child: str, parent: str, order: str) -> DataFram
 
 def fixpoint(facts: DataFrame, rule) -> DataFrame:
     """The least set of rows (node) that holds the facts and what rule(rows) derives from them, for monotone rules."""
-    known = _cut(facts.distinct())
+    known = cut(facts.distinct())
     n = known.count()
     while True:
-        known = _cut(known.union(rule(known)).distinct())
+        known = cut(known.union(rule(known)).distinct())
         m = known.count()
         if m == n:
             return known

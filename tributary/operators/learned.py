@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import prefix_sums
+
 
 def assembled(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=name, handleInvalid="error").transform(df)
@@ -46,13 +48,14 @@ def platt(df: DataFrame, score: str, gold: str) -> tuple[float, float]:
 
 
 def char_ngrams(text: str, low: int = 3, high: int = 5):
-    """N-grams of characters inside words, words padded by blanks."""
+    """N-grams of characters inside words, words padded by blanks; a padded word no longer than n is one gram, once."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def grams(w, n):
         last = F.greatest(F.length(w) - n + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(w, i, F.lit(n)))
+        each = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(w, i, F.lit(n)))
+        return each if n == low else F.when(F.length(w) >= n, each).otherwise(F.array().cast("array<string>"))
 
     def of(n):  # transform() would hand a second parameter the word's place
         return lambda w: grams(w, n)
@@ -60,16 +63,27 @@ def char_ngrams(text: str, low: int = 3, high: int = 5):
     return F.flatten(F.flatten(F.array(*[F.transform(padded, of(n)) for n in range(low, high + 1)])))
 
 
-def tfidf(train: DataFrame, text: str, size: int = 20000, least: int = 2):
-    """A fitted pipeline and the column of n-grams it wants: counts damped by 1 + ln, weighted and normalised."""
-    stages = [CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=size, minDF=least), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")]
-    return Pipeline(stages=stages).fit(train.withColumn("grams", char_ngrams(text)))
+def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, tf) of every document that has grams."""
+    return docs.select(key, F.explode(char_ngrams(text)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def vocabulary(train: DataFrame, key: str, text: str, size: int = 20000, least: int = 3) -> DataFrame:
+    """(gram, idf) of the most frequent grams that at least so many documents of train have; ties by gram.
+
+    idf is ln((1 + n) / (1 + documents with it)) + 1.
+    """
+    by = gram_counts(train, key, text).groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= least)
+    n = train.agg(F.count(F.lit(1)).alias("_n"))
+    return by.orderBy(F.desc("all"), "gram").limit(size).crossJoin(F.broadcast(n)).select("gram", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def summary(name: str):
-    """Of a sparse vector: how many values are not 0, the largest (0 if there is none) and their sum."""
-    v = F.filter(F.unwrap_udt(name)["values"], lambda x: x != 0)
-    return F.struct(F.size(v).alias("n_features"), F.coalesce(F.array_max(v), F.lit(0.0)).alias("top"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total"))
+def tfidf(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """(key, gram, weight): counts damped to 1 + ln(tf), times idf, each document's to length 1. words: a vocabulary(),
+    which has a row for each of its bounded number of grams and is broadcast."""
+    weighted = gram_counts(docs, key, text).join(F.broadcast(words), "gram").withColumn("_w", (1 + F.ln("tf")) * F.col("idf"))
+    length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
+    return weighted.join(length, key).select(key, "gram", (F.col("_w") / F.col("_l")).alias("weight"))
 
 
 def standardised(train: DataFrame, columns: list[str], category: str | None = None):
@@ -89,9 +103,8 @@ def boosted(train: DataFrame, columns: list[str], gold: str, rounds: int = 20, d
 def best_threshold(df: DataFrame, keys: list[str], score: str = "p", gold: str = "gold") -> DataFrame:
     """By keys the cut (score >= cut) with the best accuracy, the highest among equals, from running counts."""
     by = df.groupBy(*keys, score).agg(F.sum(gold).alias("g"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = df.groupBy(*keys).agg(F.sum(gold).alias("pos"), F.count(F.lit(1)).alias("all"))
-    walk = by.withColumns({"tp": F.sum("g").over(w), "sel": F.sum("n").over(w)}).join(total, keys)
+    walk = prefix_sums(by, keys, [F.desc(score)], {"tp": F.col("g"), "sel": F.col("n")}).join(total, keys)
     right = F.col("tp") + (F.col("all") - F.col("pos")) - (F.col("sel") - F.col("tp"))
     return walk.groupBy(*keys).agg(F.max(F.struct((right / F.col("all")).alias("accuracy"), F.col(score).alias("cut"))).alias("b")).select(*keys, "b.cut", "b.accuracy")
 
@@ -105,7 +118,8 @@ def auc_scan(df: DataFrame, columns: list[str], gold: str = "gold") -> DataFrame
 
 
 def newton_logistic(rows: DataFrame, keys: list[str], columns: list[str], target: str, l2: str, rounds: int = 40) -> DataFrame:
-    """Logistic regressions of all keys at once, on targets from 0 to 1: keys and coefficients (intercept first).
+    """Logistic regressions of all keys at once, on targets from 0 to 1: keys, coefficients (intercept first) and whether
+    the last step was below 1e-9; on separable rows without a weight there is no optimum, and none is.
 
     Each round is one aggregate over all rows, of as many sums as a Hessian has entries; the small systems, one for each
     key, are solved on the driver. The number of keys is a grid's, not the data's. The column l2 weighs half the squared
@@ -118,6 +132,7 @@ def newton_logistic(rows: DataFrame, keys: list[str], columns: list[str], target
     rows = rows.select(*dict.fromkeys([*keys, *columns, target, l2])).persist()
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
     shape = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", beta array<double>"
+    settled: dict[tuple, bool] = {}
     found = {tuple(r): np.zeros(d) for r in rows.select(*keys).distinct().collect()}
     for _ in range(rounds):
         table = spark.createDataFrame([(*k, b.tolist()) for k, b in found.items()], shape)
@@ -135,17 +150,18 @@ def newton_logistic(rows: DataFrame, keys: list[str], columns: list[str], target
             step = np.linalg.solve(h, g)
             step *= min(1.0, 4.0 / (np.abs(step).max() + 1e-300))
             found[own] = found[own] - step
+            settled[own] = bool(np.abs(step).max() < 1e-9)
             moved = max(moved, float(np.abs(step).max()))
         if moved < 1e-9:
             break
     rows.unpersist()
-    return spark.createDataFrame([(*k, b.tolist()) for k, b in found.items()], shape)
+    return spark.createDataFrame([(*k, b.tolist(), settled.get(k, False)) for k, b in found.items()], shape + ", converged boolean")
 
 
 def predicted(df: DataFrame, fitted: DataFrame, keys: list[str], columns: list[str], name: str = "prob") -> DataFrame:
     """df with the probabilities of fitted (keys, beta), which is a grid's and broadcast."""
     z = sum((F.col(c).cast("double") * F.col("beta")[i + 1] for i, c in enumerate(columns)), F.col("beta")[0])
-    return df.join(F.broadcast(fitted), keys).withColumn(name, 1 / (1 + F.exp(-z))).drop("beta")
+    return df.join(F.broadcast(fitted), keys).withColumn(name, 1 / (1 + F.exp(-z))).drop("beta", "converged")
 
 
 def l2_grid(df: DataFrame, model: str, columns: list[str], target: str, fold: str, grid: list[float]) -> DataFrame:

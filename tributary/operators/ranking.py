@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
+from .ranges import inversions
+from .storage import cut, drop
 from .topk import average_rank, ranked, running_counts
 
 
@@ -73,11 +74,19 @@ def miss_rate_at(df: DataFrame, keys: list[str], budget: float, score: str = "p"
     return best.select(*keys, F.coalesce(1 - F.try_divide(F.col("tp"), F.col("pos")), F.lit(1.0)).alias("miss_rate"))
 
 
-def kendall(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
-    """(concordant - discordant) / max(their sum, 1) of a small table of items, without correction for ties."""
-    x, y = df.select(F.col(a).alias("a1"), F.col(b).alias("b1"), F.col(tie).alias("t1")), df.select(F.col(a).alias("a2"), F.col(b).alias("b2"), F.col(tie).alias("t2"))
-    s = F.signum((F.col("a1") - F.col("a2")) * (F.col("b1") - F.col("b2")))
-    return x.join(small(y), F.col("t1") < F.col("t2")).agg((F.sum(s) / F.greatest(F.sum(F.abs(s)), F.lit(1.0))).alias("tau"))
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(concordant - discordant) / max(their sum, 1) of all pairs of items, without correction for ties: one row.
+
+    Of items sorted by a and b, the pairs with b out of order are the discordant ones; all others that tie in neither are
+    concordant. Items with a null in either do not count.
+    """
+    rows = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    apart = cut(rows, "kendall")
+    pairs = lambda keys: apart.groupBy(*keys).agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+    n = int(pairs([]) - pairs(["a"]) - pairs(["b"]) + pairs(["a", "b"]))
+    wrong = inversions(apart, ["a", "b"], "b")
+    drop(apart)
+    return df.sparkSession.createDataFrame([((n - 2 * wrong) / max(n, 1),)], "tau double")
 
 
 def error_correlation(df: DataFrame, unit: str = "unit_id", model: str = "model") -> DataFrame:

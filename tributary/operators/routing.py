@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import prefix_sums
 from .sizes import quantiles
 from .topk import arg_best, ranked, trapezoid
 
@@ -49,11 +50,10 @@ def threshold(df: DataFrame, weak: int, strong: int, q: float, score: str = "p")
 
 
 def relative_cut(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The cut (value >= cut) whose count is nearest to share * n, the largest on ties: one row."""
+    """The cut (value >= cut) whose count is nearest to share * n, the largest on ties: one row. Counts by value are
+    summed by ranges of values."""
     by = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    picked = by.withColumn("picked", F.sum("c").over(w)).crossJoin(F.broadcast(n))
+    picked = prefix_sums(by, [], [F.desc(value)], {"picked": F.col("c")}).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))
     best = F.min(F.struct(F.abs(F.col("picked") - share * F.col("n")).alias("gap"), (-F.col(value)).alias("neg"), F.col("picked"))).alias("b")
     return picked.agg(best).select((-F.col("b.neg")).alias("cut"), F.col("b.picked").alias("picked"))
 

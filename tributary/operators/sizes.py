@@ -1,46 +1,19 @@
-"""Sides of checked size for broadcasts, and exact quantiles from bounded aggregates."""
+"""Sides of checked size for broadcasts, and quantiles on the driver."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPLITS = 256
+from .ranges import quantiles_by
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df as a broadcast side, once its rows are counted: more than ``most`` are an error and not a full driver."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows on a side that is to be broadcast")
-    return F.broadcast(df)
+    """df, to be broadcast where its rows, once counted, are at most so many; the join is the planner's choice beyond."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation, of the values that are not null or NaN; null where there are none.
-
-    Each order statistic lies in an interval that is split by counts until one value is left. A pass is one aggregate of
-    at most SPLITS rows for each statistic, so no task holds the distinct values.
-    """
-    v = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    n, low, high = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(shares)
-    places = [s * (n - 1) for s in shares]
-    ranks = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
-    held = {r: (low, high, 0) for r in ranks}  # bounds of the value, and how many lie below them
-    while open_ := [r for r in ranks if held[r][0] < held[r][1]]:
-        cells = []
-        for r in open_:
-            a, z, _ = held[r]
-            cell = F.least(F.floor((F.col("v") - a) / (z - a) * SPLITS), F.lit(SPLITS - 1))
-            cells.append(F.when(F.col("v").between(a, z), F.struct(F.lit(r).alias("r"), cell.alias("cell"))))
-        counts = v.select("v", F.explode(F.array_compact(F.array(*cells))).alias("x")).groupBy("x.r", "x.cell").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("z"))
-        below = {r: held[r][2] for r in open_}
-        for row in sorted(counts.collect(), key=lambda x: (x.r, x.cell)):
-            if below[row.r] <= row.r < below[row.r] + row.c:
-                held[row.r] = (row.a, row.z, below[row.r])
-            below[row.r] += row.c
-    at = {r: held[r][0] for r in ranks}
-    return [at[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * at[math.floor(p)] + (p - math.floor(p)) * at[math.ceil(p)] for p in places]
+    """Exact quantiles with linear interpolation, of the values that are not null or NaN; null where there are none."""
+    row = quantiles_by(df, [], value, {f"q{k}": q for k, q in enumerate(shares)}).first()
+    return list(row) if row else [None] * len(shares)

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import quantiles, small
+from .ranges import numbered, prefix_sums
+from .sizes import quantiles
 
 
 def ranked(df: DataFrame, keys: list[str], score: str, tie: str = "unit_id", name: str = "rn") -> DataFrame:
@@ -36,17 +37,15 @@ def arg_best(df: DataFrame, keys: list[str], value: str, order: str, take: list[
 
 
 def running_counts(df: DataFrame, keys: list[str], score: str, gold: str = "gold", tie: str = "unit_id") -> DataFrame:
-    """True and false positives so far, best score first."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"cum_tp": F.sum(gold).over(w), "cum_fp": F.sum(1 - F.col(gold)).over(w)})
+    """True and false positives so far, best score first; a group may lie in many tasks."""
+    return prefix_sums(df, keys, [F.desc(score), tie], {"cum_tp": F.col(gold), "cum_fp": 1 - F.col(gold)})
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank") -> DataFrame:
-    """Ranks from 1, ties sharing their mean. Counts by distinct value come first, so the window sees a row for each
-    distinct value of a group and not one for each row."""
+    """Ranks from 1, ties sharing their mean. Counts by distinct value come first, and their running sums are taken by
+    ranges of values, so a group of any size lies in many tasks."""
     by_value = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = by_value.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).drop("_c")
+    ranks = prefix_sums(by_value, keys, [value], {name: F.col("_c")}).withColumn(name, F.col(name) - (F.col("_c") - 1) / 2.0).drop("_c")
     return df.join(ranks, [*keys, value])
 
 
@@ -71,13 +70,19 @@ def trapezoid(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def interpolate(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y", at: str = "g") -> DataFrame:
-    """Piecewise-linear y at grid values, flat beyond the ends. points and grid are small curves."""
-    w = Window.orderBy(x)
-    seg = points.select(x, y, F.lead(x).over(w).alias("x2"), F.lead(y).over(w).alias("y2"), F.row_number().over(w).alias("r"))
-    inside = grid.join(small(seg), (F.col(at) >= F.col(x)) & (F.col("x2").isNull() | (F.col(at) < F.col("x2"))), "left")
-    first = points.agg(F.min_by(y, x).alias("_first"))
-    value = F.when(F.col(x).isNull(), F.col("_first")).when(F.col("x2").isNull(), F.col(y)).otherwise(F.col(y) + (F.col("y2") - F.col(y)) * (F.col(at) - F.col(x)) / (F.col("x2") - F.col(x)))
-    return inside.crossJoin(F.broadcast(first)).select(at, value.alias("value"))
+    """Piecewise-linear y at grid values, flat beyond the ends, as a join with the last point at or before each.
+
+    Points and grid are sorted together, so that running counts tell how many points lie before; of points with one x
+    the last by y counts. Both may be of any size.
+    """
+    order = numbered(points.select(F.col(x).alias("x1"), F.col(y).alias("y1")), [], ["x1", "y1"], "r")
+    ends = order.join(order.select((F.col("r") - 1).alias("r"), F.col("x1").alias("x2"), F.col("y1").alias("y2")), "r", "left")
+    both = points.select(F.col(x).alias("v"), F.lit(1).alias("point")).union(grid.select(F.col(at), F.lit(0)))
+    met = prefix_sums(both, [], ["v", F.desc("point")], {"r": F.col("point")}).where("point = 0").select(F.col("v").alias(at), "r").join(ends, "r", "left")
+    first = points.agg(F.min(F.struct(x, y)).alias("_f")).select(F.col(f"_f.{y}").alias("_first"))
+    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    value = F.when(F.col("r") == 0, F.col("_first")).when(F.col("x2").isNull(), F.col("y1")).otherwise(F.col("y1") + slope * (F.col(at) - F.col("x1")))
+    return met.crossJoin(F.broadcast(first)).select(at, value.alias("value"))
 
 
 def ends_of(array: str, k: int = 4):

@@ -9,6 +9,7 @@ from ..operators import aggregates as ag
 from ..operators import joins as jn
 from ..operators import ranking as rk
 from ..operators import topk as tk
+from ..operators.ranges import numbered, quantiles_by
 from .measurement import CTE, load, pool, probe, units
 from .registry import query
 
@@ -179,9 +180,12 @@ query("jn21_pair_pivot", CTE + "SELECT unit_id, max(CASE WHEN m = 0 THEN pred EN
 query("jn22_model_pairs", CTE + "SELECT a.model AS a, b.model AS b, count(*) AS n, CAST(sum(CASE WHEN a.pred = b.pred THEN 1 ELSE 0 END) AS BIGINT) AS agree FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m < b.m GROUP BY 1, 2")(
     lambda s, d: (lambda p: p.select("unit_id", "m", F.col("model").alias("a"), F.col("pred").alias("pa")).join(p.select("unit_id", F.col("m").alias("m2"), F.col("model").alias("b"), F.col("pred").alias("pb")), "unit_id").where("m < m2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pa") == F.col("pb")).alias("agree")))(probe(s, d))
 )
-query("jn23_cheaper_pairs", "WITH p AS (" + CTE[CTE.index("SELECT * FROM (VALUES"):CTE.index("),\nunit AS")] + ") SELECT a.model AS small, b.model AS large FROM p a JOIN p b ON a.unit_cost < b.unit_cost")(
-    lambda s, d: (lambda p: p.select(F.col("model").alias("small"), F.col("unit_cost").alias("c1")).join(p.select(F.col("model").alias("large"), F.col("unit_cost").alias("c2")), F.col("c1") < F.col("c2")).select("small", "large"))(pool(s))
-)
+@query("jn23_cheaper_pairs", CTE + ", c AS (SELECT model, avg(seconds) AS c FROM probe GROUP BY model) SELECT a.model AS small, b.model AS large, round(b.c / a.c, 6) AS times FROM c a JOIN c b ON a.c < b.c")
+def cheaper_pairs(s, d):
+    """All ordered pairs of models of which the first was measured to be cheaper; a row for each model meets the others."""
+    cost = probe(s, d).groupBy("model").agg(F.avg("seconds").alias("c"))
+    large = cost.select(F.col("model").alias("large"), F.col("c").alias("k"))
+    return fin(cost.withColumnRenamed("model", "small").join(F.broadcast(large), F.col("c") < F.col("k")).select("small", "large", (F.col("k") / F.col("c")).alias("times")))
 query("jn25_exists_not_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')")(
     lambda s, d: (lambda c, o: c.join(o.where("o_orderpriority = '1-URGENT'"), c.c_custkey == o.o_custkey, "left_semi").join(o.where("o_orderpriority = '5-LOW'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"))(load(s, d, "customer"), load(s, d, "orders"))
 )
@@ -263,18 +267,23 @@ query("ag21_tpr_minus_fpr", CTE + f", c AS (SELECT model, cls, {CONF} FROM probe
 query("ag22_min_max", CTE + ", b AS (SELECT grp, min(size) AS lo, max(size) AS hi FROM unit GROUP BY grp) SELECT unit_id, round(CASE WHEN hi > lo THEN (size - lo) * 1e0 / (hi - lo) ELSE 0 END, 6) AS scaled FROM unit JOIN b USING (grp)")(
     lambda s, d: fin(ag.min_max(units(s, d), "size", ["grp"]).select("unit_id", "scaled"))
 )
-query("ag23_quantiles", CTE + "SELECT model, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.9), 6) AS p90 FROM probe GROUP BY model")(
-    lambda s, d: fin(probe(s, d).groupBy("model").agg(*[F.percentile("p", F.lit(q)).alias(n) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))]))
-)
+@query("ag23_quantiles", CTE + "SELECT model, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.9), 6) AS p90 FROM probe GROUP BY model")
+def quantiles(s, d):
+    return fin(quantiles_by(probe(s, d), ["model"], "p", {"p10": 0.1, "p50": 0.5, "p90": 0.9}))
 query("ag24_nearest_rank", CTE + ", x AS (SELECT model, p, row_number() OVER (PARTITION BY model ORDER BY p) - 1 AS r, count(*) OVER (PARTITION BY model) AS n FROM probe) SELECT model, round(p, 6) AS p FROM x WHERE r = least(CAST(floor(0.75 * n) AS BIGINT), n - 1)")(
     lambda s, d: fin(ag.nearest_rank(probe(s, d), ["model"], "p", 0.75))
 )
-query("ag25_moments", CTE + "SELECT model, round(avg(seconds), 6) AS mean, round(median(seconds), 6) AS median, round(stddev_pop(seconds), 6) AS pstdev, round(stddev_samp(seconds), 6) AS sstdev FROM probe GROUP BY model")(
-    lambda s, d: fin(probe(s, d).groupBy("model").agg(F.avg("seconds").alias("mean"), F.percentile("seconds", F.lit(0.5)).alias("median"), F.stddev_pop("seconds").alias("pstdev"), F.stddev_samp("seconds").alias("sstdev")))
-)
-query("ag26_spread", CTE + "SELECT model, round(stddev_samp(seconds) / avg(seconds), 6) AS cv, round(quantile_cont(seconds, 0.9) / quantile_cont(seconds, 0.1), 6) AS tail, round(corr(size, seconds), 6) AS corr FROM probe GROUP BY model")(
-    lambda s, d: fin(probe(s, d).groupBy("model").agg((F.stddev_samp("seconds") / F.avg("seconds")).alias("cv"), (F.percentile("seconds", F.lit(0.9)) / F.percentile("seconds", F.lit(0.1))).alias("tail"), F.corr("size", "seconds").alias("corr")))
-)
+@query("ag25_moments", CTE + "SELECT model, round(avg(seconds), 6) AS mean, round(median(seconds), 6) AS median, round(stddev_pop(seconds), 6) AS pstdev, round(stddev_samp(seconds), 6) AS sstdev FROM probe GROUP BY model")
+def moments(s, d):
+    p = probe(s, d)
+    rest = p.groupBy("model").agg(F.avg("seconds").alias("mean"), F.stddev_pop("seconds").alias("pstdev"), F.stddev_samp("seconds").alias("sstdev"))
+    return fin(quantiles_by(p, ["model"], "seconds", {"median": 0.5}).join(rest, "model").select("model", "mean", "median", "pstdev", "sstdev"))
+@query("ag26_spread", CTE + "SELECT model, round(stddev_samp(seconds) / avg(seconds), 6) AS cv, round(quantile_cont(seconds, 0.9) / quantile_cont(seconds, 0.1), 6) AS tail, round(corr(size, seconds), 6) AS corr FROM probe GROUP BY model")
+def spread(s, d):
+    p = probe(s, d)
+    rest = p.groupBy("model").agg((F.stddev_samp("seconds") / F.avg("seconds")).alias("cv"), F.corr("size", "seconds").alias("corr"))
+    tail = quantiles_by(p, ["model"], "seconds", {"low": 0.1, "high": 0.9}).select("model", (F.col("high") / F.col("low")).alias("tail"))
+    return fin(rest.join(tail, "model").select("model", "cv", "tail", "corr"))
 query("ag27_votes", CTE + "SELECT unit_id, CAST(coalesce(sum(pred), 0) AS BIGINT) AS yes, count(pred) AS n, CAST(2 * coalesce(sum(pred), 0) > count(pred) AS BIGINT) AS majority, CAST(count(pred) > 0 AND coalesce(sum(pred), 0) = count(pred) AS BIGINT) AS unanimous FROM probe GROUP BY unit_id")(
     lambda s, d: fin(ag.votes(probe(s, d)).fillna(0))
 )
@@ -349,15 +358,27 @@ query("wn3_percentile_rank", CTE + "SELECT unit_id, model, round(CASE WHEN count
 query("wn5_quartile_bins", CTE + ", q AS (SELECT quantile_cont(size, 0.25) AS a, quantile_cont(size, 0.5) AS b, quantile_cont(size, 0.75) AS c FROM unit) SELECT unit_id, CAST(CASE WHEN size <= a THEN 0 WHEN size <= b THEN 1 WHEN size <= c THEN 2 ELSE 3 END AS BIGINT) AS bin FROM unit CROSS JOIN q")(
     lambda s, d: fin(tk.quartile_bins(units(s, d), "size").select("unit_id", "bin"))
 )
-query("wn8_increments", CTE + ", c AS (SELECT DISTINCT seconds AS x FROM probe WHERE m = 0) SELECT round(x, 6) AS x, round(x - lag(x) OVER (ORDER BY x), 6) AS dx FROM c")(
-    lambda s, d: fin(probe(s, d).where("m = 0").select(F.col("seconds").alias("x")).distinct().withColumn("dx", F.col("x") - F.lag("x").over(Window.orderBy("x"))))
-)
+@query("wn8_increments", CTE + ", c AS (SELECT DISTINCT seconds AS x FROM probe WHERE m = 0) SELECT round(x, 6) AS x, round(x - lag(x) OVER (ORDER BY x), 6) AS dx FROM c")
+def increments(s, d):
+    """Neighbours among the distinct values, met by their numbers."""
+    x = numbered(probe(s, d).where("m = 0").select(F.col("seconds").alias("x")).distinct(), [], ["x"])
+    before = x.select((F.col("rn") + 1).alias("rn"), F.col("x").alias("before"))
+    return fin(x.join(before, "rn", "left").select("x", (F.col("x") - F.col("before")).alias("dx")))
 query("wn9_trapezoid", CTE + ", c AS (SELECT model, size AS x, avg(p) AS y FROM probe GROUP BY 1, 2), s AS (SELECT model, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM c WINDOW w AS (PARTITION BY model ORDER BY x)) SELECT model, round(coalesce(sum(a), 0), 3) AS area FROM s GROUP BY model")(
     lambda s, d: fin(tk.trapezoid(probe(s, d).groupBy("model", F.col("size").alias("x")).agg(F.avg("p").alias("y")), ["model"], "x", "y"), 3)
 )
-query("wn10_interpolate", "WITH p AS (SELECT unnest([0.0, 1.0, 4.0]) AS x, unnest([1.0, 3.0, 0.0]) AS y), g AS (SELECT range / 2e0 - 1 AS g FROM range(13)) SELECT round(g, 6) AS g, round(CASE WHEN g < 0 THEN 1e0 WHEN g < 1 THEN 1 + 2 * g WHEN g < 4 THEN 3 - (g - 1) ELSE 0 END, 6) AS value FROM g")(
-    lambda s, d: fin(tk.interpolate(s.createDataFrame([(0.0, 1.0), (1.0, 3.0), (4.0, 0.0)], "x double, y double"), s.range(13).select((F.col("id") / 2.0 - 1).alias("g"))))
-)
+CURVE = CTE + ", k AS (SELECT size AS x, avg(p) AS y FROM probe WHERE m = 3 GROUP BY size)"
+
+
+@query("wn10_interpolate", CURVE + """, g AS (SELECT DISTINCT CAST(floor(size / 100) * 100 AS DOUBLE) AS g FROM unit),
+e AS (SELECT g, (SELECT max(x) FROM k WHERE x <= g) AS x1, (SELECT min(x) FROM k WHERE x > g) AS x2 FROM g)
+SELECT round(g, 6) AS g, round(CASE WHEN x1 IS NULL THEN b.y WHEN x2 IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (g - x1) / (x2 - x1) END, 6) AS value
+FROM e LEFT JOIN k a ON a.x = x1 LEFT JOIN k b ON b.x = x2""")
+def interpolated(s, d):
+    """The mean score by size, as a curve, read at all hundreds."""
+    curve = probe(s, d).where("m = 3").groupBy(F.col("size").cast("double").alias("x")).agg(F.avg("p").alias("y"))
+    grid = units(s, d).select((F.floor(F.col("size") / 100) * 100).cast("double").alias("g")).distinct()
+    return fin(tk.interpolate(curve, grid))
 query("wn13_forward_fill", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events")(
     lambda s, d: load(s, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("last_click"))
 )
@@ -420,7 +441,7 @@ query("rk15_same_rate_null", CTE + ", r AS (SELECT model, avg(coalesce(pred, 0))
     lambda s, d: fin(probe(s, d).groupBy("model").agg(F.avg(F.coalesce("pred", F.lit(0))).alias("r")).select("model", (F.col("r") * (1 - F.col("r"))).alias("both_null"), (F.col("r") * F.col("r") + (1 - F.col("r")) * (1 - F.col("r"))).alias("agree_null")))
 )
 query("rk16_kendall", "WITH x AS (SELECT s_nationkey AS k, avg(s_acctbal) AS a, count(*) AS b FROM supplier GROUP BY 1) SELECT round(sum(sign((u.a - v.a) * (u.b - v.b))) * 1e0 / greatest(sum(abs(sign((u.a - v.a) * (u.b - v.b)))), 1), 6) AS tau FROM x u JOIN x v ON u.k < v.k")(
-    lambda s, d: fin(rk.kendall(load(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("a"), F.count(F.lit(1)).alias("b")), "a", "b", "k"))
+    lambda s, d: fin(rk.kendall(load(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("a"), F.count(F.lit(1)).alias("b")), "a", "b"))
 )
 query("rk18_error_correlation", CTE + ", o AS (SELECT unit_id, model, CASE WHEN pred = gold THEN 1e0 ELSE 0 END AS ok FROM probe WHERE pred IS NOT NULL) SELECT a.model, b.model AS model2, round(corr(a.ok, b.ok), 6) AS correlation FROM o a JOIN o b ON a.unit_id = b.unit_id AND a.model < b.model GROUP BY 1, 2")(
     lambda s, d: fin(rk.error_correlation(probe(s, d)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_dir
+from ..operators.storage import shared_dir
 from ..sources import readers as rd
 from .core import fin
 from .measurement import load

@@ -47,9 +47,23 @@ def platt(s, d):
     return out
 
 
-query("ml5_tfidf")(
-    lambda s, d: (lambda t: fin(ml.tfidf(t.where("doc_id % 2 = 0"), "text").transform(t.withColumn("grams", ml.char_ngrams("text"))).select("doc_id", ml.summary("features").alias("x")).select("doc_id", "x.*")))(load(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-)
+GRAMS = r"""WITH w AS (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) || ' ' AS w FROM documents),
+g AS (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(length(w) - n + 2, 2)), lambda i: substr(w, i, n))) AS gram FROM w, range(3, 6) t(n) WHERE n = 3 OR length(w) >= n) GROUP BY 1, 2),
+t AS (SELECT gram, count(*) AS df, sum(tf) AS a FROM g WHERE doc_id % 2 = 0 GROUP BY gram HAVING count(*) >= 3 ORDER BY a DESC, gram LIMIT 20000),
+v AS (SELECT gram, ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 2 = 0)) / (1e0 + df)) + 1 AS idf FROM t),
+x AS (SELECT doc_id, (1 + ln(tf)) * idf AS w FROM g JOIN v USING (gram)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1)"""
+
+
+@query("ml5_tfidf", GRAMS + " SELECT doc_id, count(w) AS n_features, round(coalesce(max(w / l), 0), 6) AS top, round(coalesce(sum(w / l), 0), 5) AS total FROM documents LEFT JOIN x USING (doc_id) LEFT JOIN l USING (doc_id) GROUP BY doc_id")
+def char_tfidf(s, d):
+    """Of each document's weights, fitted on those of even doc_id: how many, the largest and their sum."""
+    docs = load(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    weights = ml.tfidf(docs, "doc_id", "text", ml.vocabulary(docs.where("doc_id % 2 = 0"), "doc_id", "text"))
+    per = weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"), F.max("weight").alias("top"), F.sum("weight").alias("total"))
+    found = docs.select("doc_id").join(per, "doc_id", "left").fillna(0)
+    return found.select("doc_id", "n_features", F.round("top", 6).alias("top"), F.round("total", 5).alias("total"))
+
+
 @query("ml6_standardised", CTE + ", t AS (SELECT avg(size) AS m, stddev_samp(size) AS sd FROM unit WHERE unit_id % 2 = 0) SELECT unit_id, round((size - m) / sd, 6) AS z, CASE WHEN cls IN (SELECT cls FROM unit WHERE unit_id % 2 = 0) THEN 1e0 ELSE 0e0 END AS n_hot FROM unit CROSS JOIN t")
 def standardised(s, d):
     """The scaled size, and how many places of the one-hot category are set."""

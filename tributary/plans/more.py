@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from ..operators import graph as gr
 from ..operators import resampling as rs
 from ..operators import routing as ro
 from ..operators import topk as tk
+from ..operators.storage import shared_dir
 from ..streaming import incremental as inc
 from .core import fin
 from .measurement import CTE, load, probe, units
@@ -237,7 +236,7 @@ query("gx15_spec_match", "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem JO
 def streamed(s, d, build, mode="append"):
     """Runs a streaming plan over the events files to its end and gives what it wrote. The sink and the checkpoint lie
     in the shared folder."""
-    out = f"{gr.shared_dir(s)}/tributary/stream-{__import__('uuid').uuid4().hex}"
+    out = f"{shared_dir(s)}/tributary/stream-{__import__('uuid').uuid4().hex}"
     stream = s.readStream.schema(load(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     plan = build(stream)
     schema = plan.schema

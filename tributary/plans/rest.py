@@ -11,6 +11,7 @@ from ..operators import ranking as rk
 from ..operators import resampling as rs
 from ..operators import routing as ro
 from ..operators import topk as tk
+from ..operators.sizes import quantiles
 from .core import RANK, fin, flows
 from .measurement import CTE, load, pool, probe, units
 from .more import LOSS, QUALITY, U, geography, trade
@@ -95,9 +96,14 @@ query("rs7_shuffled_oracle", CTE + f", o AS (SELECT unit_id, grp, m, CASE WHEN c
 query("rs9_heterogeneity", CTE + f", a AS (SELECT unit_id, cls, row_number() OVER (ORDER BY unit_id) AS r FROM unit), b AS (SELECT gold, row_number() OVER (ORDER BY {U.format(a='unit_id', b='5')}, unit_id) AS r FROM unit), x AS (SELECT cls, avg(gold) AS m FROM a JOIN b USING (r) GROUP BY cls) SELECT round(stddev_samp(m), 6) AS spread FROM x")(
     lambda s, d: fin(rs.permuted(units(s, d).withColumn("k", F.lit(1)), "gold", ["k"], "unit_id", 5).groupBy("cls").agg(F.avg("shuffled").alias("m")).agg(F.stddev_samp("m").alias("spread")))
 )
-query("rs10_reversed_rule", CTE + f", c AS (SELECT quantile_cont(p, 0.7) AS cut FROM probe WHERE m = 0), t AS (SELECT unit_id, CASE WHEN p >= cut THEN 0 ELSE 3 END AS m FROM probe CROSS JOIN c WHERE m = 0) SELECT round(avg({QUALITY}), 6) AS quality FROM probe JOIN t USING (unit_id, m)")(
-    lambda s, d: (lambda p: fin(p.join(p.where("m = 0").crossJoin(F.broadcast(p.where("m = 0").agg(F.percentile("p", F.lit(0.7)).alias("cut")))).select("unit_id", F.when(F.col("p") >= F.col("cut"), 0).otherwise(3).alias("m")), ["unit_id", "m"], "left_semi").agg(F.avg(ro.quality()).alias("quality"))))(probe(s, d))
-)
+@query("rs10_reversed_rule", CTE + f", c AS (SELECT quantile_cont(p, 0.7) AS cut FROM probe WHERE m = 0), t AS (SELECT unit_id, CASE WHEN p >= cut THEN 0 ELSE 3 END AS m FROM probe CROSS JOIN c WHERE m = 0) SELECT round(avg({QUALITY}), 6) AS quality FROM probe JOIN t USING (unit_id, m)")
+def reversed_rule(s, d):
+    p = probe(s, d)
+    (cut,) = quantiles(p.where("m = 0"), "p", [0.7])
+    to = p.where("m = 0").select("unit_id", F.when(F.col("p") >= cut, 0).otherwise(3).alias("m"))
+    return fin(p.join(to, ["unit_id", "m"], "left_semi").agg(F.avg(ro.quality()).alias("quality")))
+
+
 query("rs12_leave_group_out", CTE + f", g AS (SELECT grp, m, sum({QUALITY}) AS q, count(*) AS n FROM probe GROUP BY 1, 2), o AS (SELECT a.grp, b.m, sum(b.q) / sum(b.n) AS r FROM (SELECT DISTINCT grp FROM g) a JOIN g b ON a.grp <> b.grp GROUP BY 1, 2) SELECT grp, CAST(m AS BIGINT) AS m FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(r, 9) DESC, m) AS k FROM o) WHERE k = 1")(
     lambda s, d: (lambda g: fin(tk.arg_best(g.select("grp").distinct().join(g.withColumnRenamed("grp", "g2"), F.col("grp") != F.col("g2")).groupBy("grp", "m").agg(F.round(F.sum("q") / F.sum("n"), 9).alias("r")), ["grp"], "r", "m", ["m"], largest=True)))(probe(s, d).groupBy("grp", "m").agg(F.sum(ro.quality()).alias("q"), F.count(F.lit(1)).alias("n")))
 )
@@ -124,9 +130,17 @@ query("ro17_two_tiers", CTE + ", c AS (SELECT a.unit_id, a.grp, CASE WHEN abs(a.
 query("ro21_skill_gate", CTE + f", q AS (SELECT model, m, avg({QUALITY}) AS q, avg(seconds) AS c FROM probe GROUP BY 1, 2) SELECT (SELECT model FROM q WHERE q >= 0.5 ORDER BY c, m LIMIT 1) AS cheap, (SELECT model FROM q ORDER BY round(q, 9) DESC, m LIMIT 1) AS best")(
     lambda s, d: (lambda q: q.where("q >= 0.5").agg(F.min(F.struct("c", "m", "model"))["model"].alias("cheap")).crossJoin(q.agg(F.min(F.struct((-F.round("q", 9)).alias("v"), "m", "model"))["model"].alias("best"))))(probe(s, d).groupBy("model", "m").agg(F.avg(ro.quality()).alias("q"), F.avg("seconds").alias("c")))
 )
-query("ro22_cost_guard", "WITH p AS (" + CTE[CTE.index("SELECT * FROM (VALUES"):CTE.index("),\nunit AS")] + "), f AS (SELECT (range + 1) / 10e0 AS f FROM range(10)) SELECT a.model AS small, b.model AS large, round(f, 6) AS f, a.unit_cost + f * b.unit_cost >= b.unit_cost AS strong_alone FROM p a JOIN p b ON a.unit_cost < b.unit_cost CROSS JOIN f")(
-    lambda s, d: (lambda p: fin(p.select(F.col("model").alias("small"), F.col("unit_cost").alias("c")).join(p.select(F.col("model").alias("large"), F.col("unit_cost").alias("k")), F.col("c") < F.col("k")).crossJoin(s.range(10).select(((F.col("id") + 1) / 10.0).alias("f"))).select("small", "large", "f", (F.col("c") + F.col("f") * F.col("k") >= F.col("k")).alias("strong_alone"))))(pool(s))
-)
+@query("ro22_cost_guard", CTE + """, c AS (SELECT model, avg(seconds) AS c, avg(CASE WHEN pred IS NULL OR abs(p - 0.5e0) < 0.1e0 THEN 1e0 ELSE 0 END) AS f FROM probe GROUP BY model)
+SELECT a.model AS small, b.model AS large, round(a.c + a.f * b.c, 6) AS cost, a.c + a.f * b.c >= b.c AS strong_alone FROM c a JOIN c b ON a.c < b.c""")
+def cost_guard(s, d):
+    """Whether a cascade that passes on what its cheap model leaves unsure costs as much as the dear model alone."""
+    unsure = F.col("pred").isNull() | (F.abs(F.col("p") - 0.5) < 0.1)
+    c = probe(s, d).groupBy("model").agg(F.avg("seconds").alias("c"), F.avg(unsure.cast("double")).alias("f"))
+    large = c.select(F.col("model").alias("large"), F.col("c").alias("k"))
+    cost = F.col("c") + F.col("f") * F.col("k")
+    return fin(c.withColumnRenamed("model", "small").join(F.broadcast(large), F.col("c") < F.col("k")).select("small", "large", cost.alias("cost"), (cost >= F.col("k")).alias("strong_alone")))
+
+
 query("ro24_floor", CTE + f", r AS (SELECT unit_id, {RANK} AS rn FROM probe WHERE m = 0) SELECT round(avg(CASE WHEN CASE WHEN r.rn <= 4 THEN coalesce(b.pred, 0) ELSE coalesce(a.pred, 0) END = a.gold THEN 1e0 ELSE 0 END), 6) AS accuracy FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m = 0 AND b.m = 3 JOIN r ON r.unit_id = a.unit_id")(
     lambda s, d: (lambda p: fin(tk.ranked(p.where("m = 0"), ["model", "grp"], "p").select("unit_id", "gold", "rn", F.coalesce("pred", F.lit(0)).alias("a")).join(p.where("m = 3").select("unit_id", F.coalesce("pred", F.lit(0)).alias("b")), "unit_id").agg(F.avg((F.when(F.col("rn") <= 4, F.col("b")).otherwise(F.col("a")) == F.col("gold")).cast("double")).alias("accuracy"))))(probe(s, d))
 )
