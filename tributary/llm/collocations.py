@@ -3,10 +3,11 @@
 Documents are dealt to blocks of about ``BLOCK`` words. Every word of a block has a number, with a gap between pieces of
 text, so that what stands one place on is the next word of the same piece. A block's inverted list of a phrase holds the
 places where it begins. Merging the places of the frequent phrases with the postings one place on extends each by the
-adjacent word; both parts of an extension are frequent phrases, and lists never leave their block.
+adjacent word; both parts of an extension are frequent phrases. Words are extended unpruned: in a large corpus nearly
+every place holds a frequent word, so a pass that drops the others costs more than it saves.
 
-Which phrases are frequent is counted over all blocks: each block asks with a fingerprint and a local count for each
-phrase, requests are summed by fingerprint, and each block is told those of its own that reach the threshold. A common
+Which extensions are frequent is counted over all blocks. Ranges of fingerprints have an owner each; a block sends every
+owner its sorted fingerprints and list lengths of that range, the owner adds up and answers with a bit for each. A common
 fingerprint can only let a rare phrase pass, so the lists' lengths, summed by the phrase itself, are exact.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored, table, worker_cache
 
-LEAST, LONGEST, TOP, BLOCK, SEED = 100, 5, 2000, 1 << 20, 42
+LEAST, LONGEST, TOP, BLOCK, OWNED, SEED = 100, 5, 2000, 1 << 20, 1 << 22, 42
 #: Lower-cases A-Z, makes what ends a piece a line feed and a tab a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: A block: its phrases as "lang<tab>words", their fingerprints, and, one phrase after the other, how many places and which.
@@ -144,41 +145,64 @@ def _invert(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, LISTS_DDL)
 
 
-def _requests(lists: DataFrame, words: bool) -> DataFrame:
-    """(print, block, n) of each block's words, or else of its frequent phrases' extensions."""
+def _candidates(b: pa.RecordBatch, k: int, owners: int):
+    """Of row k: its keys, and the extensions sorted by fingerprint: left and right parts, fingerprints, lengths, places
+    in lists one after the other, and where each owner's range of them begins."""
+    keys, prints, n, places = _read(b, k)
+    left, right, prints, n, places = _extended(prints, n, places)
+    order = np.argsort(prints.view(np.uint64), kind="stable")
+    start = np.cumsum(n, dtype=np.int64) - n
+    moved = n[order].astype(np.int64)
+    places = places[np.repeat(start[order] - (np.cumsum(moved) - moved), moved) + np.arange(len(places))]
+    prints = prints[order]
+    owner = (prints.view(np.uint64) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+    return keys, left[order], right[order], prints, n[order], places, first, owner[first].astype(np.int64)
+
+
+def _asked(lists: DataFrame, owners: int) -> DataFrame:
+    """(owner, block, prints, n): what each block sends each owner of a range in which it has extensions."""
 
     def run(batches):
         worker_cache("collocations", dict)
         for b in batches:
             for k in range(b.num_rows):
-                _, prints, n, places = _read(b, k)
-                if not words:
-                    *_, prints, n, places = _extended(prints, n, places)
-                for a in range(0, len(n), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    block = np.full(len(n[part]), b.column("block")[k].as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[part]), pa.array(block), pa.array(n[part])], ["print", "block", "n"])
+                *_, prints, n, _, first, owner = _candidates(b, k, owners)
+                cuts = pa.array(np.r_[first, len(n)].astype(np.int32) if len(n) else np.zeros(1, np.int32))
+                block = pa.array(np.full(len(first), b.column("block")[k].as_py(), np.int64))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (prints, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(owner), block, *lists], ["owner", "block", "prints", "n"])
+
+    return lists.mapInArrow(run, "owner bigint, block bigint, prints array<bigint>, n array<int>")
+
+
+def _answers(asked: DataFrame, least: int) -> DataFrame:
+    """(block, owner, bits): for each of a block's fingerprints, in their order, whether all blocks' lengths reach least."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        prints, n = (t[c].combine_chunks() for c in ("prints", "n"))
+        size = np.diff(prints.offsets.to_numpy())
+        _, which = np.unique(prints.flatten().to_numpy(), return_inverse=True)
+        enough = (np.bincount(which, n.flatten().to_numpy()) >= least)[which]
+        bits = [np.packbits(x).tobytes() for x in np.split(enough, np.cumsum(size)[:-1])]
+        return pa.table({"block": t["block"], "owner": t["owner"], "bits": pa.array(bits, pa.binary())})
 
-    return lists.mapInArrow(run, "print bigint, block bigint, n int")
+    return asked.groupBy("owner").applyInArrow(answer, "block bigint, owner bigint, bits binary")
 
 
-def _kept(told: DataFrame, words: bool) -> DataFrame:
-    """The lists whose fingerprints a block was told (column frequent), of words or else of extensions."""
+def _kept(told: DataFrame, owners: int) -> DataFrame:
+    """The lists of the extensions that a block was told are frequent (column bits: the owners' answers)."""
 
     def run(batches):
         worker_cache("collocations", dict)
         for b in batches:
             for k in range(b.num_rows):
-                keys, prints, n, places = _read(b, k)
-                if words:
-                    left = right = np.arange(len(n))
-                else:
-                    left, right, prints, n, places = _extended(prints, n, places)
-                here = np.isin(prints, b.column("frequent")[k].values.to_numpy(zero_copy_only=False))
-                names = keys.take(pa.array(left[here])).to_pylist()
-                if not words:
-                    last = keys.take(pa.array(right[here])).to_pylist()
-                    names = [f"{x} {y[max(y.rfind(' '), y.rfind(chr(9))) + 1 :]}" for x, y in zip(names, last)]
+                keys, left, right, prints, n, places, first, _ = _candidates(b, k, owners)
+                answers = sorted(((x["owner"], x["bits"]) for x in b.column("bits")[k].as_py()))
+                size = np.diff(np.r_[first, len(n)])
+                here = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for (_, x), m in zip(answers, size.tolist(), strict=True)]).astype(bool)
+                names, last = (keys.take(pa.array(x[here])).to_pylist() for x in (left, right))
+                names = [f"{x} {y[max(y.rfind(' '), y.rfind(chr(9))) + 1 :]}" for x, y in zip(names, last)]
                 yield _row(b.column("block")[k].as_py(), names, prints[here], n[here], places[np.repeat(here, n)])
 
     return told.mapInArrow(run, LISTS_DDL)
@@ -196,15 +220,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     )
     summed = lambda df: df.select(F.explode(F.arrays_zip("keys", "n")).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.n").alias("a"))
     totals = stored(split(summed(lists)).groupBy("lang").agg(F.sum("a").alias("n")), "collocations-totals")
-    found = []
-    for k in range(1, longest + 1):
-        requests = _requests(lists, k == 1).repartition("print")
-        frequent = requests.groupBy("print").agg(F.sum("n").alias("a")).where(F.col("a") >= least).select("print")
-        told = requests.join(frequent.hint("shuffle_hash"), "print").groupBy("block").agg(F.collect_list("print").alias("frequent"))
-        longer = stored(_kept(lists.join(told, "block"), k == 1), f"collocations-{k}", "zstd")
+    frequent = lambda k: stored(split(summed(lists)).where(F.col("a") >= least).withColumn("k", F.lit(k)), f"collocations-frequent-{k}")
+    found = [frequent(1)]
+    for k in range(2, longest + 1):
+        # an owner adds up about OWNED fingerprints, however many blocks send them
+        owners = -(-(lists.agg(F.sum(F.size("places"))).first()[0] or 0) // OWNED) or 1
+        answers = _answers(_asked(lists, owners), least).groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("bits"))
+        longer = stored(_kept(lists.join(answers, "block"), owners), f"collocations-{k}", "zstd")
         drop_stored(lists)
         lists = longer
-        found.append(stored(split(summed(lists)).where(F.col("a") >= least).withColumn("k", F.lit(k)), f"collocations-frequent-{k}"))
+        found.append(frequent(k))
     drop_stored(lists)
     return reduce(DataFrame.union, found), totals
 
