@@ -149,6 +149,20 @@ def test_plan_places_every_piece_once(n):
     assert least <= plan.sequences <= 1.03 * least + 2
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_plan_is_never_above_best_fit(seed):
+    r = np.random.default_rng(seed)
+    w = np.exp(-np.arange(1, 257) / r.integers(20, 200))
+    count = {k + 1: int(c) for k, c in enumerate(r.multinomial(r.integers(30, 6000), w / w.sum())) if c}
+    plan = packing.best_plan(count, 256, 24)
+    assert {k: c for k, c in plan.given.items() if c} == count
+    least = -(-sum(k * c for k, c in count.items()) // 256)
+    whole = packing.Plan(count, 256, 24, 1.0).sequences
+    assert least <= plan.sequences <= min(packing.Plan(count, 256, 24, 0.0).sequences, whole)
+    assert plan.share == 1.0 if whole == least else True
+    assert sum(n for rooms in plan.open.values() for _, n in rooms) <= plan.sequences
+
+
 def test_packing_is_gapless_and_whole(spark, library):
     r = random.Random(3)
     texts = [*ODD, *(words(r, r.randint(0, 900)) for _ in range(120))]

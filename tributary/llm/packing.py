@@ -23,14 +23,15 @@ from .wordpiece import default_path, encoder, slices
 
 #: Lengths above a third of the capacity are large.
 CAPACITY, GROUPS, SMALL = 2048, 256, 3
+#: Shares of the configurations' uses that are tried; what they leave is best-fitted, all of it at 0.
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.5, 0.25, 0.0)
 
 
 def _patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Configurations (columns) and how often each is used, towards an optimum of the relaxed cutting problem.
 
     Columns come in until none improves, or one has come in for each size. That bounds the effort and not what is
-    packed: pieces that the configurations do not take are best-fitted, which fills sequences that rounding leaves
-    with a few tokens of room. (At the optimum 0.5 % more sequences were needed than with this many columns.)
+    packed: pieces that the configurations do not take are best-fitted.
     """
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
@@ -71,11 +72,12 @@ def _patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.
 class Plan:
     """Runs by length: pieces of a length numbered from ``first`` lie in sequences from ``sequence`` on, at ``offset``.
 
-    ``count`` maps lengths to numbers of pieces.
+    ``count`` maps lengths to numbers of pieces; each configuration is used as often as the relaxed problem says, times
+    ``share``. ``found`` keeps configurations for plans of the same count.
     """
 
-    def __init__(self, count: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS):
-        self.capacity = capacity
+    def __init__(self, count: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, share: float = 1.0, found: dict | None = None):
+        self.capacity, self.share, self.found = capacity, share, {} if found is None else found
         self.left = {n: c for n, c in sorted(count.items(), reverse=True) if c}
         self.given = defaultdict(int)
         self.runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -125,12 +127,14 @@ class Plan:
             merged.setdefault(m[0][0], []).extend(m)
         sizes = np.array(list(merged))
         demand = np.array([sum(c for _, c in m) for m in merged.values()], float)
-        basis, x = _patterns(sizes, demand, self.capacity)
+        if not self.found:
+            self.found["patterns"] = _patterns(sizes, demand, self.capacity)
+        basis, x = self.found["patterns"]
         queues = [deque(map(list, m)) for m in merged.values()]
         spare = demand.astype(np.int64)
         for j in np.argsort(-x):
             column = np.rint(basis[:, j]).astype(int)
-            n = int(np.floor(x[j] + 1e-6))
+            n = int(np.floor(self.share * x[j] + 1e-6))
             used = np.nonzero(column)[0]
             if len(used):
                 n = min(n, int(min(spare[i] // column[i] for i in used)))
@@ -191,6 +195,25 @@ class Plan:
         return {n: tuple(np.array(x, np.int64) for x in zip(*runs, strict=True)) for n, runs in self.runs.items()}
 
 
+def best_plan(count: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
+    """The plan with the fewest sequences among SHARES of the configurations, the largest share among equals.
+
+    Rounding lengths up leaves sequences with a few tokens of room that nothing fits; the fewer configurations are used,
+    the more small pieces meet exact rooms. No plan has more sequences than best-fit alone, which is the last one tried;
+    where the tokens fill all sequences but one, none can have fewer and the search ends.
+    """
+    least = -(-sum(n * c for n, c in count.items()) // capacity)
+    found: dict = {}
+    best = None
+    for share in SHARES:
+        plan = Plan(count, capacity, groups, share, found)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == least:
+            break
+    return best
+
+
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity ids of every whole text, with the writing task and the number among its pieces of
     that length. A null text has the end id alone."""
@@ -236,7 +259,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacit
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("task"))
     base = by_task.select("length", "task", (upto - F.col("n")).alias("before"))
     count = {r.length: r.n for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(Plan(count, capacity, groups).arrays())
+    plan = spark.sparkContext.broadcast(best_plan(count, capacity, groups).arrays())
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def place(batches):
