@@ -243,9 +243,22 @@ def test_tfidf_by_hand(spark, tmp_path):
 
 
 def test_consecutive_pairs_are_greedy(spark):
-    rows = [("c", t, i) for i, t in enumerate([0, 1, 0, 0, 1])]
-    got = inc.consecutive_pairs(spark.createDataFrame(rows, "c string, t int, i long"), "c", "t", "i").collect()
-    assert {(r.first, r.second) for r in got} == {(0, 1), (3, 4)}
+    import random
+
+    r = random.Random(1)
+    rows = [("c", t, i) for i, t in enumerate([0, 1, 0, 0, 1])] + [(k, r.choice([0, 1, 2, None]), i) for k in "de" for i in range(r.randint(30, 60))]
+    want = set()
+    for key in "cde":
+        own = sorted((i, t) for k, t, i in rows if k == key) if key == "c" else sorted(((i, t) for k, t, i in rows if k == key), key=lambda x: x[0])
+        at = 0
+        while at + 1 < len(own):
+            if own[at][1] != own[at + 1][1]:
+                want.add((key, own[at][0], own[at + 1][0]))
+                at += 2
+            else:
+                at += 1
+    got = inc.consecutive_pairs(spark.createDataFrame(rows, "c string, t int, i long").repartition(3), "c", "t", "i").collect()
+    assert {tuple(x) for x in got} == want and {("c", 0, 1), ("c", 3, 4)} <= want
 
 
 def test_stop_early(spark):

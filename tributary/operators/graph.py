@@ -11,6 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
 from .storage import cut
 
 
@@ -43,6 +44,58 @@ def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None
         seen = cut(seen.union(front)) if n % 16 == 0 else seen.union(front)  # so that the plan stays small
 
 
+def leading_to(edges: DataFrame, sinks: DataFrame) -> DataFrame:
+    """The edges (src, dst, ...) from whose end a node of sinks (node) can be reached, or which is one."""
+    known = front = cut(sinks.select("node").distinct())
+    while not front.isEmpty():
+        before = edges.join(front.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        front = cut(before.join(known, "node", "left_anti"))
+        known = known.union(front)
+    return edges.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def reach_sets(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False, sinks: DataFrame | None = None) -> DataFrame:
+    """Pairs (source, node), with states (source, node, state), as reach() has them, without lengths.
+
+    Sources are numbered, and 64 of them are the bits of one word: what flows is (node, word, bits), words that meet at a
+    node are joined by or, and only bits that are new there flow on. So a round's rows grow with edges times words and not
+    with pairs. With sinks, only edges that lead to one are walked and only pairs with a sink as their node are given.
+    """
+    key = ["node", "state"] if states else ["node"]
+    if barrier is not None:
+        bad = barrier.select(F.col("node").alias("dst")).distinct()
+        edges = edges.join(bad, "dst", "left_anti")
+        sources = sources.join(bad.withColumnRenamed("dst", "node"), "node", "left_anti")
+    if barrier_out is not None:
+        edges = edges.join(barrier_out.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
+    edges = cut(edges.distinct())
+    if sinks is not None:
+        edges = cut(leading_to(edges, sinks))
+    names = cut(numbered(sources.select(*key).distinct(), [], key, "_n").withColumns({"word": F.expr("(_n - 1) div 64"), "bit": ((F.col("_n") - 1) % 64).cast("int")}).drop("_n"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    front = names.groupBy(*key, "word").agg(F.bit_or(one).alias("bits"))
+    seen = cut(front)
+    front, walked = seen, edges.withColumnRenamed("src", "node")
+    while True:
+        step = front.join(walked, "node")
+        if states:
+            step = step.where("from_state is null or from_state = state").select(F.col("dst").alias("node"), F.coalesce("to_state", "state").alias("state"), "word", "bits")
+        else:
+            step = step.select(F.col("dst").alias("node"), "word", "bits")
+        old = seen.withColumnRenamed("bits", "_old")
+        met = step.groupBy(*key, "word").agg(F.bit_or("bits").alias("bits")).join(old, [*key, "word"], "left")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("long"))))
+        front = cut(met.select(*key, "word", fresh.alias("bits")).where("bits <> 0"))
+        if front.isEmpty():
+            break
+        seen = cut(seen.union(front).groupBy(*key, "word").agg(F.bit_or("bits").alias("bits")))
+    if sinks is not None:
+        seen = seen.join(sinks.select("node").distinct(), "node", "left_semi")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", F.col("bits"), b).bitwiseAND(F.lit(1)) == 1)
+    source = names.select("word", "bit", F.col("node").alias("source"))
+    return seen.select(*key, "word", F.explode(bits).alias("bit")).join(source, ["word", "bit"]).select("source", *key).distinct()
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, depth) of a child-to-parent table, each node with itself at depth 0; cycles end at what is seen."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +30,6 @@ def held_out_r2(train: DataFrame, test: DataFrame, columns: list[str], label: st
     return got.agg((1 - F.sum(F.pow(F.col(label) - F.col("prediction"), 2)) / F.sum(F.pow(F.col(label) - F.col("_m"), 2))).alias("r2"))
 
 
-def soft_logistic(df: DataFrame, columns: list[str], target: str, l2: float = 0.01):
-    """Logistic regression on targets between 0 and 1: each row twice, weighted by p and 1 - p."""
-    rows = df.withColumn("_y", F.explode(F.array(F.lit(1.0), F.lit(0.0)))).withColumn("_w", F.when(F.col("_y") == 1, F.col(target)).otherwise(1 - F.col(target)))
-    return LogisticRegression(labelCol="_y", weightCol="_w", regParam=l2).fit(assembled(rows.where("_w > 0"), columns))
-
-
-def probability(model, df: DataFrame, columns: list[str], name: str = "prob") -> DataFrame:
-    return model.transform(assembled(df, columns)).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def platt(df: DataFrame, score: str, gold: str) -> tuple[float, float]:
-    """a and b of 1 / (1 + exp(-(a score + b)))."""
-    m = LogisticRegression(labelCol=gold).fit(assembled(df.withColumn(gold, F.col(gold).cast("double")), [score]))
-    return float(m.coefficients[0]), float(m.intercept)
-
-
 def char_ngrams(text: str, low: int = 3, high: int = 5):
     """N-grams of characters inside words, words padded by blanks; a padded word no longer than n is one gram, once."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
@@ -176,18 +159,3 @@ def l2_grid(df: DataFrame, model: str, columns: list[str], target: str, fold: st
     test = predicted(every.where(F.col(fold) == F.col("_held")), fitted, keys, columns)
     loss = test.groupBy(model, "l2").agg(F.avg(-(F.col(target) * F.ln(p) + (1 - F.col(target)) * F.ln(1 - p))).alias("bce"))
     return loss.groupBy(model).agg(F.min(F.struct(F.round("bce", 9).alias("bce"), "l2")).alias("_b")).select(model, "_b.l2", "_b.bce")
-
-
-def out_of_fold(df: DataFrame, fold: str, fit, apply, k: int) -> DataFrame:
-    """df with each fold (0 to k - 1) predicted by what fit(rows) makes of all others: apply(fitted, rows)."""
-    parts = [apply(fit(df.where(F.col(fold) != i)), df.where(F.col(fold) == i)) for i in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def score_equations(df: DataFrame, columns: list[str], target: str, prob: str = "prob") -> DataFrame:
-    """What an unpenalised logistic fit brings to 0 on its own rows: the mean residual, alone and times each column."""
-    sums = [F.struct(F.lit(c).alias("term"), F.avg((F.col(prob) - F.col(target)) * x).alias("residual")) for c, x in [("intercept", F.lit(1.0)), *[(c, F.col(c)) for c in columns]]]
-    return df.agg(F.array(*sums).alias("a")).select(F.explode("a").alias("e")).select("e.*")

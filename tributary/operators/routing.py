@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import nearest
 from .ranges import prefix_sums
 from .sizes import quantiles
 from .topk import arg_best, ranked, trapezoid
@@ -84,16 +85,11 @@ def lookup_router(train: DataFrame, test: DataFrame, cat: str, reward: str = "re
 
 def knn_router(queries: DataFrame, corpus: DataFrame, rewards: DataFrame, k: int) -> DataFrame:
     """For each query vector the k nearest corpus vectors by cosine (exact, id breaks ties) and the model with the best
-    mean reward among them. queries is a stated set, met with all rows in blocks.
+    mean reward among them.
 
     queries, corpus: id, embedding; rewards: id, m, reward.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda df, v: df.withColumn("_n", F.sqrt(dot(F.col(v), F.col(v))))
-    q = norm(queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv")), "qv").withColumnRenamed("_n", "_qn")
-    c = norm(corpus.select(F.col("id").alias("cid"), F.col("embedding").alias("cv")), "cv")
-    sim = q.crossJoin(c).where("qid <> cid").select("qid", "cid", (dot(F.col("qv"), F.col("cv")) / (F.col("_qn") * F.col("_n"))).alias("sim"))
-    near = ranked(sim, ["qid"], "sim", "cid").where(F.col("rn") <= k)
+    near = nearest(queries, corpus, k)
     mean = near.join(rewards, near.cid == rewards.id).groupBy("qid", "m").agg(F.avg("reward").alias("_r"))
     return arg_best(mean, ["qid"], "_r", "m", ["m"], largest=True)
 

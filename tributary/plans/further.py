@@ -13,10 +13,9 @@ from ..sources import readers as rd
 from .core import AVG_RANK, fin
 from .formats import folder
 from .measurement import CTE, load, probe
+from .newton import RECURSIVE, newton_sql
 from .registry import ORACLES, query
 
-RECURSIVE = CTE.replace("WITH pool", "WITH RECURSIVE pool", 1)
-
 # ---- sources and sinks ----------------------------------------------------------------------------------------------
 
 
@@ -129,39 +128,58 @@ def _judged(s, d):
     return wide.withColumn("length", F.ln(F.col("size") + 1.0))
 
 
-@query("ml8_grouped_auc", CTE + f""", f AS (SELECT 'leaky' AS model, (unit_id * 48271 + 7) % 1000003 % 5 AS fold, p, gold FROM probe WHERE m = 1 UNION ALL SELECT 'grouped', CAST(replace(grp, 'src', '') AS BIGINT) % 5, p, gold FROM probe WHERE m = 1),
-t AS (SELECT k.model, k.fold, regr_slope(f.gold, f.p) AS a, regr_intercept(f.gold, f.p) AS b FROM (SELECT DISTINCT model, fold FROM f) k JOIN f ON f.model = k.model AND f.fold <> k.fold GROUP BY 1, 2),
-x AS (SELECT f.model, f.fold, gold, round(a * f.p + b, 9) AS p FROM f JOIN t USING (model, fold)), r AS (SELECT model, fold, gold, {AVG_RANK.format(k='model, fold')} AS r FROM x)
-SELECT model AS scheme, fold, count(*) AS n, round((sum(CASE WHEN gold = 1 THEN r END) - sum(gold) * (sum(gold) + 1) / 2e0) / nullif(sum(gold) * sum(1 - gold), 0), 6) AS auc FROM r GROUP BY 1, 2""")
-def grouped_auc(s, d):
-    """The AUC of held-out folds, by units at random and by whole groups."""
-    rows = probe(s, d).where("m = 1").select("unit_id", "grp", "gold", "p")
-    fit = lambda df: df.agg(F.regr_slope("gold", "p").alias("a"), F.regr_intercept("gold", "p").alias("b"))
-    use = lambda model, df: df.crossJoin(F.broadcast(model)).withColumn("score", F.round(F.col("a") * F.col("p") + F.col("b"), 9))
-    schemes = [ml.out_of_fold(rows.withColumn("fold", F.expr(f)), "fold", fit, use, 5).withColumn("scheme", F.lit(name)) for name, f in FOLDS.items()]
-    both = schemes[0].unionByName(schemes[1])
-    auc = rk.auc(both, ["scheme", "fold"], "score")
-    return fin(auc.join(both.groupBy("scheme", "fold").agg(F.count(F.lit(1)).alias("n")), ["scheme", "fold"]).select("scheme", "fold", "n", "auc"))
+JUDGED = ", w AS (SELECT unit_id, grp, gold, max(CASE WHEN m = 1 THEN p END) AS p1, max(CASE WHEN m = 2 THEN p END) AS p2, ln(max(size) + 1e0) AS length FROM probe GROUP BY 1, 2, 3)"
+HELD_OUT = (
+    RECURSIVE + JUDGED + f""", s AS (SELECT 'leaky' AS scheme, {FOLDS['leaky']} AS fold, * FROM w UNION ALL SELECT 'grouped', {FOLDS['grouped']}, * FROM w),
+t AS (SELECT k.scheme, k.fold AS held, gold, p1, p2, length FROM (SELECT DISTINCT scheme, fold FROM s) k JOIN s ON s.scheme = k.scheme AND s.fold <> k.fold)"""
+    + newton_sql("t", ["scheme", "held"], ["p1", "p2", "length"], "gold", "1e-3")
+    + f""", x AS (SELECT s.scheme AS model, s.fold, gold, round(b0 + b1 * p1 + b2 * p2 + b3 * length, 9) AS p FROM s JOIN fitted f ON f.scheme = s.scheme AND f.held = s.fold),
+r AS (SELECT model, fold, gold, {AVG_RANK.format(k='model, fold')} AS r FROM x)
+SELECT model AS scheme, CAST(fold AS BIGINT) AS fold, count(*) AS n, round((sum(CASE WHEN gold = 1 THEN r END) - sum(gold) * (sum(gold) + 1) / 2e0) / nullif(sum(gold) * sum(1 - gold), 0), 6) AS auc FROM r GROUP BY 1, 2"""
+)
 
 
-@query("ml3_l2_grid")
+@query("ml8_grouped_auc", HELD_OUT)
+def grouped_auc(s, d):
+    """The AUC of a fit on two scores and the length on held-out folds, by units at random (which leaks groups) and by
+    whole groups. All folds of both schemes are fitted in the same passes."""
+    columns, keys = ["p1", "p2", "length"], ["scheme", "held"]
+    rows = _judged(s, d)
+    both = [rows.select(F.lit(name).alias("scheme"), F.expr(f).cast("long").alias("fold"), "gold", *columns) for name, f in FOLDS.items()]
+    both = both[0].union(both[1]).withColumn("l2", F.lit(1e-3))
+    cells = both.select("scheme", F.col("fold").alias("held")).distinct()  # a row for each fold
+    fitted = ml.newton_logistic(both.join(F.broadcast(cells), "scheme").where("fold <> held"), keys, columns, "gold", "l2")
+    scored = ml.predicted(both.withColumn("held", F.col("fold")), fitted, keys, columns)
+    scored = scored.withColumn("score", F.round(F.ln(F.col("prob")) - F.ln(1 - F.col("prob")), 9))
+    auc = rk.auc(scored, ["scheme", "fold"], "score")
+    return fin(auc.join(scored.groupBy("scheme", "fold").agg(F.count(F.lit(1)).alias("n")), ["scheme", "fold"]).select("scheme", "fold", "n", "auc"))
+
+
+GRID = [1e-4, 1e-2, 1.0]
+PICKED = (
+    RECURSIVE + f""", x AS (SELECT model, {FOLDS['leaky']} % 3 AS fold, CASE WHEN coalesce(pred, 0) = gold THEN 1e0 ELSE 0e0 END AS hit, p, ln(size + 1e0) AS length FROM probe),
+t AS (SELECT model, held, l2, hit, p, length FROM x JOIN (SELECT DISTINCT fold AS held FROM x) h ON fold <> held CROSS JOIN (SELECT unnest({GRID}::DOUBLE[]) AS l2))"""
+    + newton_sql("t", ["model", "held", "l2"], ["p", "length"], "hit", "l2")
+    + """, e AS (SELECT x.model, l2, hit, least(greatest(1 / (1 + exp(-(b0 + b1 * p + b2 * length))), 1e-12), 1 - 1e-12) AS q FROM x JOIN fitted f ON f.model = x.model AND f.held = x.fold),
+l AS (SELECT model, l2, avg(-(hit * ln(q) + (1 - hit) * ln(1 - q))) AS bce FROM e GROUP BY 1, 2)
+SELECT model, round(l2, 6) AS l2, round(bce, 6) AS bce FROM l QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(bce, 9), l2) = 1"""
+)
+
+
+@query("ml3_l2_grid", PICKED)
 def l2_grid(s, d):
     """For each model the L2 weight that cross-validation picks, for its verdict's being right from scores and length."""
     rows = probe(s, d).withColumns({"right": (F.coalesce("pred", F.lit(0)) == F.col("gold")).cast("double"), "length": F.ln(F.col("size") + 1.0), "fold": F.expr(FOLDS["leaky"]) % 3})
-    return fin(ml.l2_grid(rows.select("model", "fold", "right", "p", "length"), "model", ["p", "length"], "right", "fold", [1e-4, 1e-2, 1.0]))
-
-
-ZERO = "SELECT term, 0e0 AS residual FROM (SELECT unnest([{terms}]) AS term)"
+    return fin(ml.l2_grid(rows.select("model", "fold", "right", "p", "length"), "model", ["p", "length"], "right", "fold", GRID))
 
 
-@query("ml10_stacked", ZERO.format(terms="'intercept', 'p1', 'p2', 'length'"))
+@query("ml10_stacked", RECURSIVE + JUDGED + ", o AS (SELECT 1 AS one, * FROM w)" + newton_sql("o", ["one"], ["p1", "p2", "length"], "gold") + " SELECT unit_id, round(1 / (1 + exp(-(b0 + b1 * p1 + b2 * p2 + b3 * length))), 5) AS prob FROM o JOIN fitted USING (one)")
 def stacked(s, d):
-    """A stacked fit on two scores and the length is at its optimum: its score equations hold."""
+    """Every unit's probability by a fit on two scores and the length."""
     columns = ["p1", "p2", "length"]
     rows = _judged(s, d).withColumns({"one": F.lit(1), "l2": F.lit(0.0)})
     fitted = ml.newton_logistic(rows, ["one"], columns, "gold", "l2")
-    found = ml.score_equations(ml.predicted(rows, fitted, ["one"], columns), columns, "gold")
-    return found.select("term", (F.round("residual", 4) + 0.0).alias("residual"))
+    return fin(ml.predicted(rows, fitted, ["one"], columns).select("unit_id", "prob"), 5)
 
 
 # ---- extension points -----------------------------------------------------------------------------------------------

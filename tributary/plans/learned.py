@@ -9,6 +9,7 @@ from ..operators import learned as ml
 from ..operators import ranking as rk
 from .core import AVG_RANK, fin
 from .measurement import CTE, load, probe, units
+from .newton import RECURSIVE, newton_sql
 from .registry import query
 
 
@@ -22,29 +23,23 @@ query("ml1_least_squares", "SELECT 'q' AS term, round(regr_slope(l_extendedprice
 query("rk20_held_out_r2", "WITH x AS (SELECT l_quantity / 50 AS q, l_extendedprice / 1000 AS y, l_orderkey % 2 AS h FROM lineitem), m AS (SELECT regr_slope(y, q) AS a, regr_intercept(y, q) AS b, avg(y) AS mu FROM x WHERE h = 0) SELECT round(1 - sum((y - a * q - b) ** 2) / sum((y - mu) ** 2), 6) AS r2 FROM x CROSS JOIN m WHERE h = 1")(
     lambda s, d: fin(ml.held_out_r2(numbers(s, d).where("l_orderkey % 2 = 0"), numbers(s, d).where("l_orderkey % 2 = 1"), ["q"], "price"))
 )
-ZERO = "SELECT {m} AS m, term, 0e0 AS residual FROM (SELECT unnest([{terms}]) AS term){of}"
+SOFT = RECURSIVE + ", x AS (SELECT m, p, ln(size) AS f1, gold + unit_id * 7919 % 1003 / 500e0 AS f2 FROM probe)" + newton_sql("x", ["m"], ["f1", "f2"], "p")
 
 
-@query("ml2_soft_logistic", ZERO.format(m=3, terms="'intercept', 'f1', 'f2'", of=""))
+@query("ml2_soft_logistic", SOFT + " SELECT CAST(m AS BIGINT) AS m, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2, true AS converged FROM fitted")
 def soft_logistic(s, d):
-    """An unpenalised fit on targets between 0 and 1 is at its optimum: its score equations hold."""
-    columns = ["f1", "f2"]
-    rows = probe(s, d).where("m = 3").withColumns({"f1": F.ln("size"), "f2": F.col("gold") + (F.col("unit_id") * 7919 % 1003) / 500.0})
-    fitted = ml.probability(ml.soft_logistic(rows, columns, "p", 0.0), rows, columns)
-    return ml.score_equations(fitted, columns, "p").select(F.lit(3).cast("long").alias("m"), "term", (F.round("residual", 3) + 0.0).alias("residual"))
+    """The coefficients of an unpenalised fit of each model's score, a target between 0 and 1."""
+    rows = probe(s, d).withColumns({"f1": F.ln("size"), "f2": F.col("gold") + (F.col("unit_id") * 7919 % 1003) / 500.0, "l2": F.lit(0.0)})
+    found = ml.newton_logistic(rows, ["m"], ["f1", "f2"], "p", "l2")
+    return fin(found.select("m", *[F.col("beta")[i].alias(f"b{i}") for i in range(3)], "converged"), 4)
 
 
-@query("ml4_platt", ZERO.format(m="m", terms="'intercept', 'p'", of=" CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS m)"))
+@query("ml4_platt", RECURSIVE + newton_sql("probe", ["m"], ["p"], "gold") + " SELECT CAST(m AS BIGINT) AS m, unit_id, round(1 / (1 + exp(-(b0 + b1 * p))), 5) AS prob FROM probe JOIN fitted USING (m)")
 def platt(s, d):
-    """Each model's calibration is at its optimum: its score equations hold."""
-    out = None
-    for m in range(4):
-        rows = probe(s, d).where(f"m = {m}")
-        a, b = ml.platt(rows, "p", "gold")
-        found = ml.score_equations(rows.withColumn("prob", 1 / (1 + F.exp(-(a * F.col("p") + b)))), ["p"], "gold")
-        found = found.select(F.lit(m).cast("long").alias("m"), "term", (F.round("residual", 3) + 0.0).alias("residual"))
-        out = found if out is None else out.union(found)
-    return out
+    """Every unit's score, calibrated for its model."""
+    rows = probe(s, d).select("m", "unit_id", "p", "gold").withColumn("l2", F.lit(0.0))
+    fitted = ml.newton_logistic(rows, ["m"], ["p"], "gold", "l2")
+    return fin(ml.predicted(rows, fitted, ["m"], ["p"]).select("m", "unit_id", "prob"), 5)
 
 
 GRAMS = r"""WITH w AS (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) || ' ' AS w FROM documents),

@@ -212,15 +212,27 @@ def buyers(s, d):
     return load(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
 
 
-query("gx5_reach_barrier", TRADE + ", b AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE e.dst NOT IN (SELECT node FROM b)) SELECT source, node FROM r WHERE node LIKE 's%'")(
-    lambda s, d: gr.reach(trade(s, d), buyers(s, d), load(s, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))).where("node like 's%'").select("source", "node")
-)
-query("gx7_barrier_out", TRADE + ", b AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size < 25), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE r.node NOT IN (SELECT node FROM b)) SELECT source, node FROM r")(
-    lambda s, d: gr.reach(trade(s, d), buyers(s, d), barrier_out=load(s, d, "part").where("p_size < 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))).select("source", "node")
-)
-query("gx8_states", TRADE + ", r AS (SELECT node AS source, node, 'raw' AS state FROM s0 UNION SELECT r.source, e.dst, CASE WHEN e.dst LIKE 'p%' THEN 'seen' ELSE r.state END FROM r JOIN e ON e.src = r.node) SELECT source, node, state FROM r WHERE node LIKE 's%'")(
-    lambda s, d: gr.reach(trade(s, d).withColumns({"from_state": F.lit(None).cast("string"), "to_state": F.when(F.col("dst").like("p%"), "seen")}), buyers(s, d).withColumn("state", F.lit("raw")), states=True).where("node like 's%'").select("source", "node", "state")
-)
+@query("gx5_reach_barrier", TRADE + ", b AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE e.dst NOT IN (SELECT node FROM b)) SELECT source, node FROM r WHERE node LIKE 's%'")
+def reach_barrier(s, d):
+    """Suppliers that goods of a buyer came from, past orders that are not closed; only what leads to a supplier is walked."""
+    closed = load(s, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    suppliers = load(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"))
+    return gr.reach_sets(trade(s, d), buyers(s, d), closed, sinks=suppliers)
+
+
+@query("gx7_barrier_out", TRADE + ", b AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size < 25), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE r.node NOT IN (SELECT node FROM b)) SELECT source, node FROM r")
+def barrier_out(s, d):
+    stop = load(s, d, "part").where("p_size < 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return gr.reach_sets(trade(s, d), buyers(s, d), barrier_out=stop)
+
+
+@query("gx8_states", TRADE + ", r AS (SELECT node AS source, node, 'raw' AS state FROM s0 UNION SELECT r.source, e.dst, CASE WHEN e.dst LIKE 'p%' THEN 'seen' ELSE r.state END FROM r JOIN e ON e.src = r.node) SELECT source, node, state FROM r WHERE node LIKE 's%'")
+def reach_states(s, d):
+    edges = trade(s, d).withColumns({"from_state": F.lit(None).cast("string"), "to_state": F.when(F.col("dst").like("p%"), "seen")})
+    suppliers = load(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"))
+    return gr.reach_sets(edges, buyers(s, d).withColumn("state", F.lit("raw")), states=True, sinks=suppliers)
+
+
 query("gx11_fixpoint", GEO + ", c AS (SELECT 'n:FRANCE' AS node UNION SELECT x FROM (SELECT e.dst AS x FROM c JOIN e ON e.src = c.node UNION ALL SELECT e.src FROM c JOIN e ON e.dst = c.node WHERE e.dst <> 'ROOT')) SELECT node FROM c")(
     lambda s, d: (lambda e: gr.fixpoint(s.createDataFrame([("n:FRANCE",)], "node string"), lambda k: k.join(e, k.node == e.src).select(F.col("dst").alias("node")).union(k.where("node <> 'ROOT'").join(e, F.col("node") == F.col("dst")).select(F.col("src").alias("node")))))(geography(s, d))
 )

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered, prefix_sums
+from ..operators.storage import cut
+
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
@@ -100,20 +103,20 @@ def stop_early(ranked: DataFrame, keys: list[str], batch: int, k: int, patience:
 
 
 def consecutive_pairs(df: DataFrame, key: str, target: str, order: str) -> DataFrame:
-    """Greedy pairs of neighbours in a key's order with different targets: a row belongs to one pair at most."""
+    """Greedy pairs of neighbours in a key's order with different targets: a row belongs to one pair at most.
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, out, i = pdf.sort_values(order), [], 0
-        ids, ts = rows[order].tolist(), rows[target].tolist()
-        while i + 1 < len(ids):
-            if ts[i] != ts[i + 1]:
-                out.append((pdf[key].iloc[0], ids[i], ids[i + 1]))
-                i += 2
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=[key, "first", "second"])
-
-    return df.groupBy(key).applyInPandas(walk, f"{key} {df.schema[key].dataType.simpleString()}, first long, second long")
+    Rows whose targets differ from one to the next are an island, and inside one the greedy rule takes the first with the
+    second, the third with the fourth, and so on; a row left over at its end has the same target as the next. Rows are
+    numbered and islands counted by ranges, so a key of any size lies in many tasks. order must not repeat in a key.
+    """
+    rows = numbered(df.select(key, target, order), [key], [order], "_r")
+    after = rows.select(key, (F.col("_r") - 1).alias("_r"), F.col(target).alias("_t"), F.col(order).alias("_next"))
+    met = cut(rows.join(after, [key, "_r"], "left").withColumn("_same", (F.col("_next").isNotNull() & F.col(target).eqNullSafe(F.col("_t"))).cast("int")), "neighbours")
+    # an island ends with a row that is like the next one
+    counted = prefix_sums(met, [key], ["_r"], {"_ends": F.col("_same")}).withColumn("_island", F.col("_ends") - F.col("_same"))
+    first = counted.groupBy(key, "_island").agg(F.min("_r").alias("_first"))
+    pair = (F.col("_same") == 0) & F.col("_next").isNotNull() & ((F.col("_r") - F.col("_first")) % 2 == 0)
+    return counted.join(first, [key, "_island"]).where(pair).select(key, F.col(order).alias("first"), F.col("_next").alias("second"))
 
 
 def last_known(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
