@@ -207,6 +207,32 @@ def test_cached_verdicts(spark):
     assert [(r.final, r.why) for r in got] == [(0, "own"), (0, "source"), (1, "own"), (1, "flow"), (0, "own"), (0, "sink")]
 
 
+def test_cached_verdicts_equal_a_walk(spark):
+    """Random alarms in which rejections of sources and sinks hang on each other."""
+    import random
+
+    r = random.Random(11)
+    rows = [(p, k, f"s{r.randrange(12)}", f"k{r.randrange(12)}", r.randint(0, 1), r.choice(["source", "sink", None])) for p in range(25) for k in r.sample(range(10**6), r.randint(1, 60))]
+    want = {}
+    for p in range(25):
+        seen, bad = {}, {"source": set(), "sink": set()}
+        for _, k, s, t, verdict, blame in sorted(x for x in rows if x[0] == p):
+            if (s, t) in seen:
+                final, why = seen[s, t], "flow"
+            elif s in bad["source"]:
+                final, why = 0, "source"
+            elif t in bad["sink"]:
+                final, why = 0, "sink"
+            else:
+                final, why = verdict, "own"
+                if not verdict and blame:
+                    bad[blame].add(s if blame == "source" else t)
+            seen[s, t] = final
+            want[p, k] = (s, t, final, why)
+    df = spark.createDataFrame(rows, "project long, ord long, source string, sink string, verdict int, blame string").repartition(4)
+    assert {(x.project, x.ord): (x.source, x.sink, x.final, x.why) for x in inc.cached_verdicts(df).collect()} == want
+
+
 def test_cached_verdicts_query_reads_every_line(spark, tmp_path):
     from tributary.plans import more, registry  # noqa: F401
 
@@ -262,8 +288,31 @@ def test_consecutive_pairs_are_greedy(spark):
 
 
 def test_stop_early(spark):
-    rows = [("g", k + 1, v) for k, v in enumerate([0.9, 0.8, 0.1, 0.1, 0.1, 0.1, 0.95])]
-    assert one(inc.stop_early(spark.createDataFrame(rows, "g string, rn long, second double"), ["g"], 2, 2, 2)) == {"g": "g", "n_read": 6}
+    import heapq
+    import random
+
+    def plain(values, batch, k, patience):
+        heap, quiet, read = [], 0, 0
+        for a in range(0, len(values), batch):
+            changed = False
+            for v in values[a : a + batch]:
+                read += 1
+                if len(heap) < k or v > heap[0]:
+                    (heapq.heappush if len(heap) < k else heapq.heapreplace)(heap, v)
+                    changed = True
+            quiet = 0 if changed else quiet + 1
+            if quiet >= patience:
+                break
+        return read
+
+    r = random.Random(3)
+    groups = {"g": [0.9, 0.8, 0.1, 0.1, 0.1, 0.1, 0.95], "one": [0.5], None: [r.random() for _ in range(120)]}
+    groups |= {f"r{k}": [r.choice([0.1, 0.5, 0.5, 0.9, r.random()]) for _ in range(r.randint(1, 90))] for k in range(12)}
+    df = spark.createDataFrame([(g, i + 1, v) for g, vs in groups.items() for i, v in enumerate(vs)], "g string, rn long, second double").repartition(3)
+    for batch, k, patience in ((2, 2, 2), (5, 3, 2), (1, 1, 4)):
+        got = {x.g: x.n_read for x in inc.stop_early(df, ["g"], batch, k, patience).collect()}
+        assert got == {g: plain(vs, batch, k, patience) for g, vs in groups.items()}
+    assert got["one"] == 1
 
 
 def test_description(spark):

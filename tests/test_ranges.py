@@ -110,3 +110,16 @@ def test_many_classes_against_the_rest(spark):
     by = {x["class"]: x for x in got.where("class in ('0', '1', '2')").collect()}
     assert by["2"].precision == by["2"].recall == by["2"].accuracy == 1.0
     assert by["1"].recall == 0.0 and by["1"].precision is None and by["0"].precision == pytest.approx(1 / (1 + n // 2))
+
+
+def test_cut_tables_can_be_cleared(spark):
+    from tributary.operators import storage
+    from tributary.streaming.follow import exists
+
+    rows = storage.cut(spark.range(3), "cleared")
+    assert rows.count() == 3 and exists(spark, rows._cut_path)
+    storage.drop(rows)
+    assert not exists(spark, rows._cut_path)
+    again = storage.cut(spark.range(2), "cleared")
+    storage.clear(spark)
+    assert not exists(spark, again._cut_path) and not exists(spark, storage.own_dir(spark))

@@ -60,6 +60,25 @@ def test_sharded_pairs_drop_ambiguous(spark):
     assert [(r.key, r.found) for r in rd.sharded_pairs(df, r"(\w+)\.java", r"\{(\d)\}").collect()] == [("A", "1")]
 
 
+def test_sharded_pairs_equal_a_walk(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f, k, r.choice(["s0", "s1", None]), r.choice(["A.java", "B.java", "C.java {9}", "{1}", "{2}", "other", None])) for f in "fgh" for k in range(r.randint(0, 80))]
+    want = set()
+    for f in "fgh":
+        pending = {}
+        for _, k, shard, value in sorted((x for x in rows if x[0] == f), key=lambda x: x[1]):
+            if value and ".java" in value:
+                pending[shard] = value[0]
+            elif value and "{" in value:
+                if len(pending) == 1:
+                    want.add((f, k, next(iter(pending.values())), value[1]))
+                pending.clear()
+    df = spark.createDataFrame(rows, "path string, line long, shard string, value string").repartition(3)
+    assert {tuple(x) for x in rd.sharded_pairs(df, r"(\w+)\.java", r"\{(\d)\}").collect()} == want
+
+
 def test_stems(spark):
     df = spark.createDataFrame([("/x/X_51a.java",), ("/x/X_51b.java",), ("/x/X_01.java",), ("/x/AbstractTestCase.java",)], "path string")
     assert {r.stem: len(r.paths) for r in rd.stems(df).collect()} == {"X_51": 2, "X_01": 1, "AbstractTestCase": 1}
@@ -69,6 +88,8 @@ def test_markers_and_markdown(spark):
     df = spark.createDataFrame([("ab[x]cd[x][y]", 1.5)], "t string, v double")
     assert tuple(df.select(*rd.markers("t", ["[x]", "[y]"])).first()) == (2, 1)
     assert "| 1.500 |" in rd.markdown(df)
+    long = rd.markdown(spark.range(1500)).splitlines()
+    assert len(long) == 1003 and long[-1] == "| … |" and len(rd.markdown(spark.range(1000)).splitlines()) == 1002
 
 
 def test_append_new_resumes(spark, tmp_path):

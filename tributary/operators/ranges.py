@@ -17,30 +17,40 @@ def _ordered(order: list[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """df with running sums by keys, in the order given, each row's own value included.
-
-    Rows that are equal in keys and order lie in one range, and which of them stands first is undefined; an order that
-    ends in an id avoids both. Values to be summed must not be null. Null keys are groups like any other.
-    """
+def _running(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column], fold, join, before: bool, ranges: int | None) -> DataFrame:
+    """df with fold of each value so far by keys; join(inside, base) brings together a range's own and what comes before
+    it, either of which may be null. before leaves the row's own value out."""
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     along = [*_ordered(keys), *_ordered(order)]
     part = F.spark_partition_id()
-    rows = cut(df.withColumns({f"_v{k}": v for k, v in enumerate(sums.values())}).repartitionByRange(n, *(along or [F.lit(0)])).withColumn("_part", part), "ranges")
-    values = [F.sum(f"_v{k}").alias(f"_b{k}") for k in range(len(sums))]
-    totals = rows.groupBy(*keys, "_part").agg(*values)
-    # a group's sums before a range; the group's first range needs none
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.withColumns({f"_b{k}": F.sum(f"_b{k}").over(before) for k in range(len(sums))} | {"_seen": F.count(F.lit(1)).over(before)})
+    rows = cut(df.withColumns({f"_v{k}": v for k, v in enumerate(values.values())}).repartitionByRange(n, *(along or [F.lit(0)])).withColumn("_part", part), "ranges")
+    totals = rows.groupBy(*keys, "_part").agg(*[fold(f"_v{k}").alias(f"_b{k}") for k in range(len(values))])
+    # what a group has before a range; the group's first range needs nothing
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.withColumns({f"_b{k}": fold(f"_b{k}").over(earlier) for k in range(len(values))} | {"_seen": F.count(F.lit(1)).over(earlier)})
     base = base.where("_seen > 0").drop("_seen").withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)} | {"_part": "_p"})
-    inside = Window.partitionBy(*keys, "_part").orderBy(*_ordered(order)).rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.withColumns({f"_v{k}": F.sum(f"_v{k}").over(inside) for k in range(len(sums))})
+    inside = Window.partitionBy(*keys, "_part").orderBy(*_ordered(order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    met = rows.withColumns({f"_v{k}": fold(f"_v{k}").over(inside) for k in range(len(values))})
     same = F.col("_part") == F.col("_p")
     for i, c in enumerate(keys):
         same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
     met = met.join(F.broadcast(base), same, "left")
-    return met.select(*df.columns, *[(F.col(f"_v{k}") + F.coalesce(F.col(f"_b{k}"), F.lit(0))).alias(name) for k, name in enumerate(sums)])
+    return met.select(*df.columns, *[join(F.col(f"_v{k}"), F.col(f"_b{k}")).alias(name) for k, name in enumerate(values)])
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """df with running sums by keys, in the order given, each row's own value included.
+
+    Rows that are equal in keys and order lie in one range, and which of them stands first is undefined; an order that
+    ends in an id avoids both. Values to be summed must not be null. Null keys are groups like any other.
+    """
+    return _running(df, keys, order, sums, F.sum, lambda own, base: own + F.coalesce(base, F.lit(0)), False, ranges)
+
+
+def prefix_max(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column], before: bool = False, ranges: int | None = None) -> DataFrame:
+    """df with the largest values so far (before: of earlier rows only) by keys, in the order given; null where none is."""
+    return _running(df, keys, order, values, F.max, lambda own, base: F.greatest(own, base), before, ranges)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "rn", ranges: int | None = None) -> DataFrame:

@@ -20,10 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/tributary/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has cut so far: call it when no result of theirs is still to be read."""
+    _delete(spark, own_dir(spark))
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written and read back: the plan before it ends there, and a lost executor costs what comes after."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tributary/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -34,6 +49,4 @@ def drop(df: DataFrame) -> None:
     """Deletes the files of a cut() table that no later plan reads."""
     path = getattr(df, "_cut_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)

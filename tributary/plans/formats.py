@@ -107,9 +107,16 @@ EVENT_LINES = "WITH x AS (SELECT user_id, event_id, CASE WHEN event_type = 'view
 query("sc15_log_pairs", EVENT_LINES + " SELECT event_id, key FROM y WHERE event_type = 'purchase' AND key IS NOT NULL")(
     lambda s, d: rd.paired(load(s, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line"), F.concat_ws(" ", "event_type", "event_id").alias("value")), r"^view (\d+)", r"^purchase (\d+)").select(F.col("found").cast("long").alias("event_id"), F.col("key").cast("long").alias("key"))
 )
-query("sc16_sharded_pairs")(
-    lambda s, d: rd.sharded_pairs(load(s, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line"), (F.col("event_id") % 2).cast("string").alias("shard"), F.concat_ws(" ", "event_type", "event_id").alias("value")), r"^view (\d+)", r"^purchase (\d+)")
-)
+@query("sc16_sharded_pairs", """WITH x AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id AS line, event_id % 2 AS shard, event_type AS t FROM events WHERE event_type IN ('view', 'purchase')),
+g AS (SELECT *, count(CASE WHEN t = 'purchase' THEN 1 END) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM x)
+SELECT path, max(CASE WHEN t = 'purchase' THEN line END) AS line, CAST(max(CASE WHEN t = 'view' THEN line END) AS VARCHAR) AS key, CAST(max(CASE WHEN t = 'purchase' THEN line END) AS VARCHAR) AS found
+FROM g GROUP BY path, coalesce(g, 0) HAVING count(DISTINCT CASE WHEN t = 'view' THEN shard END) = 1 AND max(CASE WHEN t = 'purchase' THEN line END) IS NOT NULL""")
+def sharded(s, d):
+    """Purchases paired with the view before them, where all views since the last purchase are of one shard."""
+    lines = load(s, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line"), (F.col("event_id") % 2).cast("string").alias("shard"), F.concat_ws(" ", "event_type", "event_id").alias("value"))
+    return rd.sharded_pairs(lines, r"^view (\d+)", r"^purchase (\d+)")
+
+
 query("sc17_markers", "SELECT page_id, CAST((length(html) - length(replace(html, '<p>', ''))) / 3 AS BIGINT) AS n_0, CAST((length(html) - length(replace(html, '<li>', ''))) / 4 AS BIGINT) AS n_1 FROM pages")(lambda s, d: fin(load(s, d, "pages").select("page_id", *rd.markers("html", ["<p>", "<li>"]))))
 query("sc18_busy_time", "SELECT event_type, 10 * count(*) AS seconds FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND value > 0 GROUP BY 1")(
     lambda s, d: load(s, d, "events").where("ts between timestamp '2024-01-05' and timestamp '2024-01-12' and value > 0").groupBy("event_type").agg((10 * F.count(F.lit(1))).alias("seconds"))

@@ -10,6 +10,7 @@ from ..operators import graph as gr
 from ..operators import resampling as rs
 from ..operators import routing as ro
 from ..operators import topk as tk
+from ..operators.ranges import numbered
 from ..operators.storage import shared_dir
 from ..streaming import incremental as inc
 from .core import fin
@@ -271,9 +272,25 @@ query("ext_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w I
 query("ext_as_of", "SELECT e.event_id, round(v.value, 6) AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON e.user_id = v.user_id AND e.ts >= v.ts")(
     lambda s, d: (lambda e: fin(inc.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value")), "user_id", "ts", "value", "last_view").select("event_id", "last_view")))(load(s, d, "events"))
 )
-query("ux9_cached_verdicts")(
-    lambda s, d: inc.cached_verdicts(load(s, d, "lineitem").select(F.expr("l_orderkey div 1000").alias("project"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("ord"), F.col("l_partkey").cast("string").alias("source"), F.col("l_suppkey").cast("string").alias("sink"), (F.col("l_returnflag") == "R").cast("int").alias("verdict"), F.when(F.col("l_linestatus") == "F", "source").when(F.col("l_quantity") > 45, "sink").alias("blame")))
-)
+ALARM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_quantity"]
+
+
+@query("ux9_cached_verdicts", f"""WITH RECURSIVE a AS (SELECT l_orderkey // 1000 AS project, row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY {', '.join(ALARM)}) AS ord, CAST(l_partkey AS VARCHAR) AS source, CAST(l_suppkey AS VARCHAR) AS sink,
+  CAST(l_returnflag = 'R' AS INT) AS verdict, CASE WHEN l_linestatus = 'F' THEN 'source' WHEN l_quantity > 45 THEN 'sink' END AS blame FROM lineitem),
+f AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ord) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY project, source, sink ORDER BY ord) AS nth FROM a) WHERE nth = 1),
+r AS (SELECT project, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS sink, CAST(NULL AS INT) AS final, CAST(NULL AS VARCHAR) AS why, CAST([] AS VARCHAR[]) AS bs, CAST([] AS VARCHAR[]) AS bk FROM (SELECT DISTINCT project FROM f)
+  UNION ALL SELECT project, rn, source, sink, CASE WHEN why = 'own' THEN verdict ELSE 0 END, why, CASE WHEN why = 'own' AND verdict = 0 AND blame = 'source' THEN list_append(bs, source) ELSE bs END, CASE WHEN why = 'own' AND verdict = 0 AND blame = 'sink' THEN list_append(bk, sink) ELSE bk END
+  FROM (SELECT f.*, r.bs, r.bk, CASE WHEN list_contains(r.bs, f.source) THEN 'source' WHEN list_contains(r.bk, f.sink) THEN 'sink' ELSE 'own' END AS why FROM r JOIN f ON f.project = r.project AND f.rn = r.rn + 1))
+SELECT a.project, a.ord, a.source, a.sink, CAST(r.final AS BIGINT) AS final, CASE WHEN a.ord = f.ord THEN r.why ELSE 'flow' END AS why
+FROM a JOIN f ON f.project = a.project AND f.source = a.source AND f.sink = a.sink JOIN r ON r.project = f.project AND r.rn = f.rn""")
+def cached_verdicts(s, d):
+    """Lines as alarms of projects of a thousand orders."""
+    lines = numbered(load(s, d, "lineitem").select(*ALARM).withColumn("project", F.expr("l_orderkey div 1000")), ["project"], ALARM, "ord")
+    blame = F.when(F.col("l_linestatus") == "F", "source").when(F.col("l_quantity") > 45, "sink")
+    alarms = lines.select("project", "ord", F.col("l_partkey").cast("string").alias("source"), F.col("l_suppkey").cast("string").alias("sink"), (F.col("l_returnflag") == "R").cast("int").alias("verdict"), blame.alias("blame"))
+    return fin(inc.cached_verdicts(alarms))
+
+
 query("wn15_stop_early")(
     lambda s, d: inc.stop_early((lambda p: tk.ranked(p.where("m = 1"), ["grp"], "p").join(p.where("m = 3").select("unit_id", F.col("p").alias("second")), "unit_id").select("grp", "rn", "second"))(probe(s, d)), ["grp"], 5, 3, 2)
 )

@@ -182,9 +182,16 @@ query("sf35_after_marker", "SELECT doc_id, lang AS answer FROM documents")(lambd
 query("gx2_is_ancestor", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s, d: gr.closure(geography(s, d)).where("node like 'n:%' and ancestor like 'r:%'").select(F.substring("node", 3, 100).alias("n_name"), F.substring("ancestor", 3, 100).alias("r_name")))
 query("gx4_first_parent", "SELECT p_brand AS src, arg_min(p_type, p_partkey) AS dst FROM part GROUP BY p_brand")(lambda s, d: gr.first_parent(load(s, d, "part"), "p_brand", "p_type", "p_partkey"))
 query("gx6_sources_only", "WITH o AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders) SELECT src AS source, count(*) AS n FROM o GROUP BY src")(lambda s, d: trade(s, d).where("src like 'c%'").groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n")))
-query("gx9_edge_kinds", "WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'N' UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'N'), r AS (SELECT DISTINCT src AS source, src AS node FROM e WHERE src LIKE 'o%' UNION SELECT source, dst FROM r JOIN e ON e.src = r.node) SELECT source, node FROM r WHERE node LIKE 's%'")(
-    lambda s, d: (lambda e: gr.reach(e, e.where("src like 'o%'").select(F.col("src").alias("node")).distinct()).where("node like 's%'").select("source", "node"))((lambda li: li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).union(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))).distinct())(load(s, d, "lineitem").where("l_returnflag = 'N'")))
-)
+@query("gx9_edge_kinds", "WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'N' UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'N'), r AS (SELECT DISTINCT src AS source, src AS node FROM e WHERE src LIKE 'o%' UNION SELECT source, dst FROM r JOIN e ON e.src = r.node) SELECT source, node FROM r WHERE node LIKE 's%'")
+def edge_kinds(s, d):
+    """Suppliers of orders along the edges of one kind of line."""
+    li = load(s, d, "lineitem").where("l_returnflag = 'N'")
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    edges = li.select(tag("o", "l_orderkey").alias("src"), tag("p", "l_partkey").alias("dst")).union(li.select(tag("p", "l_partkey"), tag("s", "l_suppkey")))
+    orders, suppliers = (li.select(tag(t, c).alias("node")) for t, c in (("o", "l_orderkey"), ("s", "l_suppkey")))
+    return gr.reach_sets(edges, orders, sinks=suppliers)
+
+
 query("gx10_nested_reach", "WITH x AS (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'), safe AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW') SELECT DISTINCT l_suppkey FROM x WHERE o_custkey NOT IN (SELECT o_custkey FROM safe)")(
     lambda s, d: (lambda o: o.join(load(s, d, "lineitem").where("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey")).join(o.where("o_orderpriority = '5-LOW'").select("o_custkey").distinct(), "o_custkey", "left_anti").select("l_suppkey").distinct())(load(s, d, "orders"))
 )

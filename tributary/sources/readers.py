@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import prefix_sums
+
 #: A static-analysis report, as far as it is read (fixed format).
 REPORT = """runs array<struct<results: array<struct<
   ruleId: string, message: struct<text: string>,
@@ -110,27 +112,21 @@ def markers(text: str | Column, marks: list[str]) -> list[Column]:
 def sharded_pairs(lines: DataFrame, key_pattern: str, value_pattern: str, file: str = "path", order: str = "line", shard: str = "shard") -> DataFrame:
     """Values paired with the pending key where exactly one shard of the file has one pending; others are ambiguous.
 
-    State goes from line to line, so a file's lines are one group.
+    A key line makes its first group pending for its shard, in place of an earlier one; a value line takes what is pending
+    and clears it. So a value looks back to the value before it: what lies between is one group, numbered by running
+    counts of values, and a file of any length lies in many tasks. Gives file, order, key and found.
     """
-    import re
-
-    import pandas as pd
-
-    k, v = re.compile(key_pattern), re.compile(value_pattern)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pending, out = {}, []
-        for row in pdf.sort_values(order).itertuples():
-            text = row.value or ""
-            if m := k.search(text):
-                pending[getattr(row, shard)] = m[1]
-            elif m := v.search(text):
-                if len(pending) == 1:
-                    out.append((getattr(row, file), int(getattr(row, order)), next(iter(pending.values())), m[1]))
-                pending.clear()
-        return pd.DataFrame(out, columns=[file, order, "key", "found"])
-
-    return lines.groupBy(file).applyInPandas(walk, f"{file} string, {order} long, key string, found string")
+    text = F.coalesce("value", F.lit(""))
+    is_key = text.rlike(key_pattern)
+    is_value = ~is_key & text.rlike(value_pattern)
+    rows = lines.select(file, F.col(order).cast("long").alias(order), shard, is_key.alias("_k"), is_value.alias("_v"), F.when(is_key, F.regexp_extract(text, key_pattern, 1)).when(is_value, F.regexp_extract(text, value_pattern, 1)).alias("_t"))
+    counted = prefix_sums(rows.where("_k or _v"), [file], [order], {"_n": F.col("_v").cast("long")})
+    turn = F.col("_n") - F.col("_v").cast("long")
+    keys = F.count_distinct(F.when(F.col("_k"), F.coalesce(F.col(shard).cast("string"), F.lit("\0none"))))
+    latest = F.max(F.when(F.col("_k"), F.struct(order, "_t")))
+    value = F.max(F.when(F.col("_v"), F.struct(order, "_t")))
+    met = counted.groupBy(file, turn.alias("_turn")).agg(keys.alias("_shards"), latest.alias("_key"), value.alias("_value"))
+    return met.where("_shards = 1 and _value is not null").select(file, F.col(f"_value.{order}").alias(order), F.col("_key._t").alias("key"), F.col("_value._t").alias("found"))
 
 
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
@@ -152,8 +148,10 @@ def memoised(spark: SparkSession, path: str, make) -> DataFrame:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report table; the number of its rows is bounded by most."""
-    head, rows = df.columns, df.limit(most).collect()
+    """A report table of so many rows at most, as it goes to the driver; a last row of … says that there are more."""
+    head, rows = df.columns, df.limit(most + 1).collect()
+    if len(rows) > most:
+        rows[most:] = [["…"] * len(head)]
     cells = [" | ".join("" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x) for x in r) for r in rows]
     return "\n".join([f"| {' | '.join(head)} |", f"|{'---|' * len(head)}", *(f"| {c} |" for c in cells)])
 

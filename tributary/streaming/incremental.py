@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranges import numbered, prefix_sums
+from ..operators.ranges import numbered, prefix_max, prefix_sums
 from ..operators.storage import cut
 
 
@@ -43,63 +42,66 @@ def cached_verdicts(alarms: DataFrame, group: str = "project", order: str = "ord
     """Verdicts with memory, in order within a project: a flow (source, sink) seen before keeps its verdict; one of a
     rejected source or sink is rejected; else the row's own verdict holds and, if it rejects, blames a side.
 
-    alarms: project, ord, source, sink, verdict (0 or 1), blame ('source', 'sink' or null). Adds final and why. Later
-    rows depend on earlier ones, so a project is one group.
-    """
+    alarms: project, ord, source, sink, verdict (0 or 1), blame ('source', 'sink' or null); ord does not repeat in a
+    project. Gives project, ord, source, sink, final and why.
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, bad_source, bad_sink, out = {}, set(), set(), []
-        for r in pdf.sort_values(order).itertuples():
-            flow = (r.source, r.sink)
-            if flow in seen:
-                final, why = seen[flow], "flow"
-            elif r.source in bad_source:
-                final, why = 0, "source"
-            elif r.sink in bad_sink:
-                final, why = 0, "sink"
-            else:
-                final, why = int(r.verdict), "own"
-                if not final and r.blame == "source":
-                    bad_source.add(r.source)
-                elif not final and r.blame == "sink":
-                    bad_sink.add(r.sink)
-            seen[flow] = final
-            out.append((getattr(r, group), getattr(r, order), r.source, r.sink, final, why))
-        return pd.DataFrame(out, columns=[group, order, "source", "sink", "final", "why"])
-
-    schema = f"{group} {alarms.schema[group].dataType.simpleString()}, {order} long, source string, sink string, final int, why string"
-    return alarms.groupBy(group).applyInPandas(walk, schema)
+    Only a flow's first row decides. A source is rejected from the first row on that blames it while its sink is not yet
+    rejected, and a sink likewise, so the times of sources and of sinks each follow from the other's. They are taken in
+    turn until none changes: what lies before the first wrong time is right, so each round puts at least one more right.
+    All is joins and minima by (project, source) and (project, sink); no project is gathered.
+    """
+    side = ["source", "sink"]
+    rows = alarms.select(group, order, "source", "sink", "verdict", "blame")
+    first = rows.groupBy(group, *side).agg(F.min(F.struct(order, "verdict", "blame")).alias("_f"))
+    first = cut(first.select(group, *side, F.col(f"_f.{order}").alias("_at"), F.col("_f.verdict").alias("_own"), F.col("_f.blame").alias("_blame")), "flows")
+    blames = {s: first.where((F.col("_own") == 0) & (F.col("_blame") == s)).select(group, *side, "_at") for s in side}
+    times = {s: first.select(group, s, F.col("_at").alias(f"_t_{s}")).limit(0) for s in side}
+
+    def rejected(s: str) -> DataFrame:
+        """When each source, or sink, is first blamed by a row whose other side is not rejected before."""
+        o = side[1 - side.index(s)]
+        met = blames[s].join(times[o], [group, o], "left").where(F.col(f"_t_{o}").isNull() | (F.col(f"_t_{o}") > F.col("_at")))
+        return cut(met.groupBy(group, s).agg(F.min("_at").alias(f"_t_{s}")), "rejected")
+
+    mark = lambda df, s: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(group, s, f"_t_{s}").cast("decimal(20,0)"))).first()
+    was = None
+    while True:
+        times["source"] = rejected("source")
+        times["sink"] = rejected("sink")
+        now = [mark(times[s], s) for s in side]
+        if now == was:
+            break
+        was = now
+    by = {s: F.col(f"_t_{s}") < F.col("_at") for s in side}
+    judged = first.join(times["source"], [group, "source"], "left").join(times["sink"], [group, "sink"], "left")
+    why = F.when(by["source"], "source").when(by["sink"], "sink").otherwise("own")
+    judged = judged.select(group, *side, "_at", why.alias("_why"), F.when(why == "own", F.col("_own").cast("int")).otherwise(0).alias("final"))
+    again = F.when(F.col(order) == F.col("_at"), F.col("_why")).otherwise("flow")
+    return rows.join(judged, [group, *side]).select(group, order, *side, "final", again.alias("why"))
 
 
 def stop_early(ranked: DataFrame, keys: list[str], batch: int, k: int, patience: int) -> DataFrame:
     """Reading a ranking in batches, stop after ``patience`` batches that leave the top k by a second score unchanged.
 
-    ranked: keys, rn, second. Gives keys and n_read. A row enters the running top k when fewer than k earlier rows are
-    as good; batches with such a row change it.
+    ranked: keys, rn (from 1), second (not null). Gives keys and n_read. A row enters the running top k when fewer than k
+    earlier rows are as good; batches with such a row change it.
+
+    The running top k is a cascade: the largest so far is a running maximum, and what it displaces, the smaller of a row
+    and the largest before it, is offered to the next place, and so on. Each place is a pass by ranges, so a group of any
+    size lies in many tasks.
     """
-    import heapq
-
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        heap: list[float] = []
-        quiet = read = 0
-        values = pdf.sort_values("rn")["second"].tolist()
-        for a in range(0, len(values), batch):
-            changed = False
-            for v in values[a : a + batch]:
-                read += 1
-                if len(heap) < k:
-                    heapq.heappush(heap, v)
-                    changed = True
-                elif v > heap[0]:
-                    heapq.heapreplace(heap, v)
-                    changed = True
-            quiet = 0 if changed else quiet + 1
-            if quiet >= patience:
-                break
-        return pd.DataFrame([(*key, read)], columns=[*keys, "n_read"])
-
-    types = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in keys)
-    return ranked.groupBy(*keys).applyInPandas(walk, f"{types}, n_read long")
+    rows = ranked.select(*keys, "rn", F.col("second").alias("_d"), F.col("second").alias("_second"))
+    for _ in range(k):
+        met = prefix_max(rows.select(*keys, "rn", "_second", "_d"), keys, ["rn"], {"_top": F.col("_d")}, before=True)
+        # least passes nulls over: where a place is empty nothing is displaced
+        displaced = F.when(F.col("_top").isNotNull(), F.least("_d", "_top"))
+        rows = met.select(*keys, "rn", "_second", displaced.alias("_d"), F.col("_top").alias("_last"))
+    enters = F.col("_last").isNull() | (F.col("_second") > F.col("_last"))
+    at = F.floor((F.col("rn") - 1) / batch)
+    batches = rows.groupBy(*keys, at.alias("_b")).agg(F.max(F.when(enters, at)).alias("_changed"), F.count(F.lit(1)).alias("_n"))
+    quiet = prefix_max(batches, keys, ["_b"], {"_change": F.col("_changed")}).withColumn("_quiet", F.col("_b") - F.col("_change"))
+    ends = quiet.groupBy(*keys).agg(F.min(F.when(F.col("_quiet") >= patience, F.col("_b"))).alias("_stop"), F.sum("_n").alias("_all"))
+    return ends.select(*keys, F.least("_all", (F.col("_stop") + 1) * batch).cast("long").alias("n_read"))
 
 
 def consecutive_pairs(df: DataFrame, key: str, target: str, order: str) -> DataFrame:
