@@ -148,7 +148,9 @@ def _parse(placed: DataFrame) -> DataFrame:
     initial = F.when(F.substring("role", 1, 1).isin("s", "u", "a"), F.substring("role", 1, 1)).otherwise("x")
     mark = F.when(F.col("fault").isin("blank", "duplicate"), "d").when(F.col("fault") == "truncated", "t").otherwise("-")
     rows = placed.select("conv_id", "segment", "place", F.concat(initial, mark).alias("symbol"), "n")
-    rows = rows.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "place")
+    # a number of its own: such rows are small, and a task of a planner's usual size would parse very many
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "conv_id", "segment").sortWithinPartitions("conv_id", "segment", "place")
     kind = pa.list_(pa.struct([("before", pa.int32()), ("after", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())]))
 
     def run(batches):
