@@ -5,9 +5,10 @@ Undefined ratios are null, unless a function says 0. Verdicts may be null (unpar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import prefix_sums
 
 
 ratio = F.try_divide
@@ -74,11 +75,12 @@ def min_max(df: DataFrame, value: str, keys: list[str], name: str = "scaled") ->
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """The element at floor(share * n) of the sorted values, by rank."""
-    n = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w) - 1).join(n, keys)
-    return ranked.where(F.col("_r") == F.least(F.floor(share * F.col("_n")), F.col("_n") - 1)).select(*keys, value)
+    """The element at floor(share * n) of the sorted values, from running counts by distinct value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = prefix_sums(counts, keys, [value], {"_upto": F.col("_c")})
+    n = upto.groupBy(*keys).agg(F.max("_upto").alias("_n"))
+    place = F.least(F.floor(share * F.col("_n")), F.col("_n") - 1)
+    return upto.join(n, keys).where((F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto"))).select(*keys, value)
 
 
 def unanimity(df: DataFrame, unit: str = "unit_id") -> DataFrame:

@@ -44,8 +44,15 @@ def recall_at_k(df: DataFrame, keys: list[str], k: int, group: str = "grp", scor
 
 
 def first_hit(df: DataFrame, keys: list[str], ks: list[int], score: str = "p", gold: str = "gold", tie: str = "unit_id") -> DataFrame:
-    """By keys: false ones read before the first positive (ifa), their share, and whether one is found in the first k."""
-    per = ranked(df, keys, score, tie).groupBy(*keys).agg(F.min(F.when(F.col(gold) == 1, F.col("rn"))).alias("_f"), F.sum(1 - F.col(gold)).alias("false_n"))
+    """By keys: false ones read before the first positive (ifa), their share, and whether one is found in the first k.
+
+    The best positive is an aggregate, and what stands before it is counted: nothing is sorted.
+    """
+    place = F.struct(F.col(score).isNull().alias("n"), (-F.col(score)).alias("s"), F.col(tie).alias("t"))
+    rows = df.select(*keys, F.col(gold).alias("_g"), place.alias("_at"))
+    best = rows.groupBy(*keys).agg(F.min(F.when(F.col("_g") == 1, F.col("_at"))).alias("_best"), F.sum(1 - F.col("_g")).alias("false_n"))
+    upto = F.count(F.when(F.col("_at") <= F.col("_best"), 1))
+    per = rows.join(best, keys).groupBy(*keys).agg(F.when(F.max("_best").isNotNull(), upto).alias("_f"), F.max("false_n").alias("false_n"))
     found = [(F.coalesce(F.col("_f"), F.lit(1 << 60)) <= k).cast("int").alias(f"found_at_{k}") for k in ks]
     return per.select(*keys, (F.col("_f") - 1).alias("ifa"), F.try_divide(F.col("_f") - 1, F.col("false_n")).alias("share_read"), *found)
 

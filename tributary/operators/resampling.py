@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import numbered
 
 P = 2_147_483_647
 
@@ -54,11 +55,10 @@ def matched_selection(df: DataFrame, picked: str, n: int, keys: list[str], unit:
 
 
 def permuted(df: DataFrame, value: str, keys: list[str], unit: str, seed: int = 0, name: str = "shuffled") -> DataFrame:
-    """Another row's value of the same group: places by id meet places by hash."""
-    w1, w2 = Window.partitionBy(*keys).orderBy(unit), Window.partitionBy(*keys).orderBy("_u", unit)
-    left = df.withColumn("_r", F.row_number().over(w1))
-    right = df.withColumn("_u", stream(unit, seed)).select(*keys, F.col(value).alias(name), F.row_number().over(w2).alias("_r"))
-    return left.join(right, [*keys, "_r"]).drop("_r")
+    """Another row's value of the same group: places by id meet places by hash, both numbered by ranges."""
+    left = numbered(df, keys, [unit], "_r")
+    right = numbered(df.select(*keys, unit, F.col(value).alias(name), stream(unit, seed).alias("_u")), keys, ["_u", unit], "_r")
+    return left.join(right.select(*keys, name, "_r"), [*keys, "_r"]).drop("_r")
 
 
 def z_and_p(null: DataFrame, value: str, observed: float | Column) -> DataFrame:

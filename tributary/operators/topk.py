@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ranges import numbered, prefix_sums
 from .sizes import quantiles
+from .storage import cut
 
 
 def ranked(df: DataFrame, keys: list[str], score: str, tie: str = "unit_id", name: str = "rn") -> DataFrame:
@@ -63,10 +64,11 @@ def quartile_bins(df: DataFrame, value: str, name: str = "bin") -> DataFrame:
 
 
 def trapezoid(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Area under y over sorted x."""
-    w = Window.partitionBy(*keys).orderBy(x)
-    step = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return df.withColumn("_s", step).groupBy(*keys).agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("area"))
+    """Area under y over sorted x; neighbours meet by their numbers. Of equal x the smaller y comes first."""
+    points = cut(numbered(df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), keys, ["_x", "_y"], "_r"), "points")
+    after = points.select(*keys, (F.col("_r") - 1).alias("_r"), F.col("_x").alias("_x2"), F.col("_y").alias("_y2"))
+    step = (F.col("_x2") - F.col("_x")) * (F.col("_y2") + F.col("_y")) / 2
+    return points.join(after, [*keys, "_r"], "left").groupBy(*keys).agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("area"))
 
 
 def interpolate(points: DataFrame, grid: DataFrame, x: str = "x", y: str = "y", at: str = "g") -> DataFrame:

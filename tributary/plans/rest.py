@@ -11,6 +11,7 @@ from ..operators import ranking as rk
 from ..operators import resampling as rs
 from ..operators import routing as ro
 from ..operators import topk as tk
+from ..operators.ranges import numbered, prefix_sums
 from ..operators.sizes import quantiles
 from .core import RANK, fin, flows
 from .measurement import CTE, load, pool, probe, units
@@ -55,9 +56,15 @@ query("tk6_best_first_once", "SELECT text_key, min(doc_id) AS doc_id FROM (SELEC
 query("wn2_last_within_budget", CTE + ", w AS (SELECT model, p, sum(1 - gold) OVER (PARTITION BY model ORDER BY p DESC, unit_id ROWS UNBOUNDED PRECEDING) AS fp, sum(1 - gold) OVER (PARTITION BY model) AS neg FROM probe) SELECT model, round(coalesce(min(CASE WHEN fp <= 0.1 * neg THEN p END), 1e0), 6) AS threshold FROM w GROUP BY model")(
     lambda s, d: (lambda p: fin(tk.running_counts(p, ["model"], "p").join(p.groupBy("model").agg(F.sum(1 - F.col("gold")).alias("neg")), "model").groupBy("model").agg(F.coalesce(F.min(F.when(F.col("cum_fp") <= 0.1 * F.col("neg"), F.col("p"))), F.lit(1.0)).alias("threshold"))))(probe(s, d))
 )
-query("wn4_rk5_plain_rank_auc", CTE + ", r AS (SELECT model, gold, row_number() OVER (PARTITION BY model ORDER BY p, unit_id) AS r FROM probe) SELECT model, round((sum(CASE WHEN gold = 1 THEN r END) - sum(gold) * (sum(gold) + 1) / 2e0) / (sum(gold) * sum(1 - gold)), 6) AS auc FROM r GROUP BY model")(
-    lambda s, d: fin(probe(s, d).withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy("p", "unit_id"))).groupBy("model").agg(((F.sum(F.when(F.col("gold") == 1, F.col("r"))) - F.sum("gold") * (F.sum("gold") + 1) / 2.0) / (F.sum("gold") * F.sum(1 - F.col("gold")))).alias("auc")))
-)
+@query("wn4_rk5_plain_rank_auc", CTE + ", r AS (SELECT model, gold, row_number() OVER (PARTITION BY model ORDER BY p, unit_id) AS r FROM probe) SELECT model, round((sum(CASE WHEN gold = 1 THEN r END) - sum(gold) * (sum(gold) + 1) / 2e0) / (sum(gold) * sum(1 - gold)), 6) AS auc FROM r GROUP BY model")
+def plain_rank_auc(s, d):
+    """The AUC from ranks that break ties by id."""
+    rows = numbered(probe(s, d), ["model"], ["p", "unit_id"])
+    pos, neg = F.sum("gold"), F.sum(1 - F.col("gold"))
+    won = F.sum(F.when(F.col("gold") == 1, F.col("rn"))) - pos * (pos + 1) / 2.0
+    return fin(rows.groupBy("model").agg((won / (pos * neg)).alias("auc")))
+
+
 query("wn6_histogram", CTE + "SELECT model, CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM probe GROUP BY 1, 2")(lambda s, d: probe(s, d).groupBy("model", F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 query("wn7_first_positive", CTE + f", r AS (SELECT model, grp, gold, {RANK} AS rn FROM probe) SELECT model, grp, min(rn) - 1 AS ifa FROM r WHERE gold = 1 GROUP BY 1, 2")(lambda s, d: rk.first_hit(probe(s, d), ["model", "grp"], []).where("ifa is not null").select("model", "grp", F.col("ifa").cast("long").alias("ifa")))
 def prefix_hits(s, d):
@@ -65,8 +72,7 @@ def prefix_hits(s, d):
     right = probe(s, d).where("m in (1, 3)").withColumn("ok", (F.coalesce("pred", F.lit(0)) == F.col("gold")).cast("int"))
     by_unit = right.groupBy("unit_id", "size").agg(*[F.sum(F.when(F.col("m") == m, F.col("ok"))).alias(n) for m, n in ((1, "a"), (3, "b"))])
     by_size = by_unit.groupBy("size").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto = Window.orderBy("size")
-    sums = by_size.select(F.col("size").alias("cut"), F.sum("a").over(upto).alias("a_upto"), F.sum("b").over(upto).alias("b_upto"))
+    sums = prefix_sums(by_size, [], ["size"], {"a_upto": F.col("a"), "b_upto": F.col("b")}).withColumnRenamed("size", "cut")
     total = by_size.agg(F.sum("b").alias("b_all"))
     return sums.crossJoin(F.broadcast(total)).select("cut", (F.col("a_upto") + F.col("b_all") - F.col("b_upto")).cast("long").alias("hits"))
 
