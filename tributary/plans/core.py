@@ -131,9 +131,17 @@ query("jn7_semi", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id F
 query("jn8_anti", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(
     lambda s, d: load(s, d, "documents").join(load(s, d, "labels"), "doc_id", "left_anti").select("doc_id").distinct()
 )
-query("jn9_new_over_cache", "SELECT o.o_orderkey, coalesce(n.q, c.q) AS q FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) n ON n.l_orderkey = o.o_orderkey LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) c ON c.l_orderkey = o.o_orderkey WHERE coalesce(n.q, c.q) IS NOT NULL")(
-    lambda s, d: (lambda li, o: o.join(li.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.max("l_quantity").alias("qn")).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left").join(li.where("l_returnflag = 'N'").groupBy("l_orderkey").agg(F.max("l_quantity").alias("qc")).withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left").select("o_orderkey", F.coalesce("qn", "qc").alias("q")).where("q is not null"))(load(s, d, "lineitem"), load(s, d, "orders").select("o_orderkey"))
-)
+
+
+@query("jn9_new_over_cache", "SELECT o.o_orderkey, coalesce(n.q, c.q) AS q FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) n ON n.l_orderkey = o.o_orderkey LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) c ON c.l_orderkey = o.o_orderkey WHERE coalesce(n.q, c.q) IS NOT NULL")
+def new_over_cache(s, d):
+    """The returned quantity of an order where there is one, else the unreturned one."""
+    li = load(s, d, "lineitem")
+    most = lambda flag, name: li.where(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").alias(name))
+    both = load(s, d, "orders").select("o_orderkey").join(most("R", "qn"), "o_orderkey", "left").join(most("N", "qc"), "o_orderkey", "left")
+    return both.select("o_orderkey", F.coalesce("qn", "qc").alias("q")).where("q is not null")
+
+
 query("jn10_upsert", "SELECT doc_id, coalesce(b.kind, a.kind, 'none') AS kind FROM (SELECT doc_id, lang AS kind FROM documents WHERE doc_id % 3 = 0) a FULL JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' END AS kind FROM labels) b USING (doc_id)")(
     lambda s, d: jn.upsert(load(s, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("kind")), load(s, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").alias("kind")), ["doc_id"], "kind", "none")
 )
@@ -246,9 +254,17 @@ query("ag11_prf_zero", CTE + f", c AS (SELECT model, grp, {CONF} FROM probe GROU
 query("ag12_prf_null", CTE + f", c AS (SELECT model, grp, {CONF} FROM probe GROUP BY model, grp) SELECT model, grp, {PRF.format(z='', e='')} FROM c")(
     lambda s, d: fin(ag.prf(ag.confusion(probe(s, d), ["model", "grp"]), False).select("model", "grp", "precision", "recall", "f1"))
 )
-query("ag13_balanced_accuracy", CTE + f", c AS (SELECT model, {CONF} FROM probe GROUP BY model) SELECT model, round((tp * 1e0 / (tp + fn) + tn * 1e0 / (tn + fp)) / 2, 6) AS balanced, round((2e0 * tp / (2 * tp + fp + fn) * (tp + fn) + 2e0 * tn / (2 * tn + fp + fn) * (tn + fp)) / (tp + fp + fn + tn), 6) AS weighted_f1 FROM c")(
-    lambda s, d: (lambda c: fin(c.select("model", ((F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2).alias("balanced"), ((2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")) * (F.col("tp") + F.col("fn")) + 2 * F.col("tn") / (2 * F.col("tn") + F.col("fp") + F.col("fn")) * (F.col("tn") + F.col("fp"))) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).alias("weighted_f1"))))(ag.confusion(probe(s, d), ["model"]))
-)
+
+
+@query("ag13_balanced_accuracy", CTE + f", c AS (SELECT model, {CONF} FROM probe GROUP BY model) SELECT model, round((tp * 1e0 / (tp + fn) + tn * 1e0 / (tn + fp)) / 2, 6) AS balanced, round((2e0 * tp / (2 * tp + fp + fn) * (tp + fn) + 2e0 * tn / (2 * tn + fp + fn) * (tn + fp)) / (tp + fp + fn + tn), 6) AS weighted_f1 FROM c")
+def balanced_accuracy(s, d):
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    f1 = lambda hit: 2 * hit / (2 * hit + fp + fn)
+    balanced = (tp / (tp + fn) + tn / (tn + fp)) / 2
+    weighted = (f1(tp) * (tp + fn) + f1(tn) * (tn + fp)) / (tp + fp + fn + tn)
+    return fin(ag.confusion(probe(s, d), ["model"]).select("model", balanced.alias("balanced"), weighted.alias("weighted_f1")))
+
+
 query("ag14_capped_tp", "SELECT o_custkey, CAST(sum(least(n, 3)) AS BIGINT) AS tp, CAST(sum(n) - sum(least(n, 3)) AS BIGINT) AS dup FROM (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY o_custkey")(
     lambda s, d: load(s, d, "orders").join(load(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.count(F.lit(1)).alias("n")).groupBy("o_custkey").agg(F.sum(F.least("n", F.lit(3))).alias("tp"), (F.sum("n") - F.sum(F.least("n", F.lit(3)))).alias("dup"))
 )
@@ -308,9 +324,18 @@ query("ag36_last_wins", "SELECT user_id, event_type, max(event_id) AS event_id F
 query("ag37_bands", CTE + "SELECT CASE WHEN size < 800 THEN 'short' WHEN size < 3000 THEN 'middle' ELSE 'long' END AS band, round(avg(CASE WHEN m = 0 THEN coalesce(pred, 0) END), 6) AS tiny, round(avg(CASE WHEN m = 3 THEN coalesce(pred, 0) END), 6) AS large FROM probe GROUP BY 1")(
     lambda s, d: fin(probe(s, d).withColumn("band", F.when(F.col("size") < 800, "short").when(F.col("size") < 3000, "middle").otherwise("long")).groupBy("band").pivot("model", ["tiny", "large"]).agg(F.avg(F.coalesce("pred", F.lit(0)))))
 )
-query("ag39_gain_loss", CTE + "SELECT round(avg(CASE WHEN coalesce(a.pred, 0) <> a.gold AND coalesce(b.pred, 0) = a.gold THEN 1e0 ELSE 0 END), 6) AS fixes, round(avg(CASE WHEN coalesce(a.pred, 0) = a.gold AND coalesce(b.pred, 0) <> a.gold THEN 1e0 ELSE 0 END), 6) AS breaks, round(avg(CASE WHEN coalesce(a.pred, 0) = coalesce(b.pred, 0) THEN 1e0 ELSE 0 END), 6) AS agree FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m = 0 AND b.m = 3")(
-    lambda s, d: (lambda p: fin(p.where("m = 0").select("unit_id", "gold", F.coalesce("pred", F.lit(0)).alias("a")).join(p.where("m = 3").select("unit_id", F.coalesce("pred", F.lit(0)).alias("b")), "unit_id").agg(F.avg(((F.col("a") != F.col("gold")) & (F.col("b") == F.col("gold"))).cast("double")).alias("fixes"), F.avg(((F.col("a") == F.col("gold")) & (F.col("b") != F.col("gold"))).cast("double")).alias("breaks"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agree"))))(probe(s, d))
-)
+
+
+@query("ag39_gain_loss", CTE + "SELECT round(avg(CASE WHEN coalesce(a.pred, 0) <> a.gold AND coalesce(b.pred, 0) = a.gold THEN 1e0 ELSE 0 END), 6) AS fixes, round(avg(CASE WHEN coalesce(a.pred, 0) = a.gold AND coalesce(b.pred, 0) <> a.gold THEN 1e0 ELSE 0 END), 6) AS breaks, round(avg(CASE WHEN coalesce(a.pred, 0) = coalesce(b.pred, 0) THEN 1e0 ELSE 0 END), 6) AS agree FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m = 0 AND b.m = 3")
+def gain_loss(s, d):
+    """How often the largest model mends the smallest one's verdict, spoils it, and agrees with it."""
+    p, pred = probe(s, d), F.coalesce("pred", F.lit(0))
+    both = p.where("m = 0").select("unit_id", "gold", pred.alias("a")).join(p.where("m = 3").select("unit_id", pred.alias("b")), "unit_id")
+    a, b = (F.col(c) == F.col("gold") for c in "ab")
+    share = lambda x, name: F.avg(x.cast("double")).alias(name)
+    return fin(both.agg(share(~a & b, "fixes"), share(a & ~b, "breaks"), share(F.col("a") == F.col("b"), "agree")))
+
+
 query("ag40_cheapest_correct", CTE + "SELECT unit_id, round(min(CASE WHEN pred = gold THEN seconds END), 6) AS cost FROM probe GROUP BY unit_id")(lambda s, d: fin(ag.cheapest_correct(probe(s, d))))
 query("ag41_unanimity", CTE + ", x AS (SELECT unit_id, min(pred) AS lo, max(pred) AS hi, min(CASE WHEN pred = gold THEN 1 ELSE 0 END) AS ar, max(CASE WHEN pred = gold THEN 1 ELSE 0 END) AS sr FROM probe WHERE pred IS NOT NULL GROUP BY unit_id) SELECT round(avg(CASE WHEN lo = hi THEN 1e0 ELSE 0 END), 6) AS unanimous, round(avg(ar), 6) AS all_right, round(avg(1 - sr), 6) AS all_wrong, round(avg(CASE WHEN lo <> hi THEN 1e0 ELSE 0 END), 6) AS live FROM x")(
     lambda s, d: fin(ag.unanimity(probe(s, d)))

@@ -44,9 +44,18 @@ query("ro9_aiq", FRONT + ", p AS (SELECT cost, max(quality) AS q FROM f GROUP BY
 query("ro10_reference_table", CTE + f", x AS (SELECT *, {LOSS} AS loss, {QUALITY} AS quality FROM probe), r AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY loss, m) AS rn FROM x) SELECT model AS name, round(avg(quality), 6) AS quality, round(avg(seconds), 6) AS cost FROM x GROUP BY model UNION ALL SELECT 'oracle', round(avg(quality), 6), round(avg(seconds), 6) FROM r WHERE rn = 1")(
     lambda s, d: fin(probe(s, d).groupBy(F.col("model").alias("name")).agg(F.avg(ro.quality()).alias("quality"), F.avg("seconds").alias("cost")).union(ro.oracle(probe(s, d)).agg(F.lit("oracle").alias("name"), F.avg(ro.quality()).alias("quality"), F.avg("seconds").alias("cost"))))
 )
-query("ro11_pair_lift", CTE + ", x AS (SELECT a.model AS a, b.model AS b, a.unit_id, CASE WHEN coalesce(a.pred, 0) = a.gold THEN 1e0 ELSE 0 END AS ra, CASE WHEN coalesce(b.pred, 0) = b.gold THEN 1e0 ELSE 0 END AS rb FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m < b.m) SELECT a, b, round(avg(greatest(ra, rb)) - greatest(avg(ra), avg(rb)), 6) AS lift FROM x GROUP BY a, b")(
-    lambda s, d: (lambda p: fin(p.select("unit_id", "m", F.col("model").alias("a"), F.col("ok").alias("ra")).join(p.select("unit_id", F.col("m").alias("m2"), F.col("model").alias("b"), F.col("ok").alias("rb")), "unit_id").where("m < m2").groupBy("a", "b").agg((F.avg(F.greatest("ra", "rb")) - F.greatest(F.avg("ra"), F.avg("rb"))).alias("lift"))))(probe(s, d).withColumn("ok", (F.coalesce("pred", F.lit(0)) == F.col("gold")).cast("double")))
-)
+
+
+@query("ro11_pair_lift", CTE + ", x AS (SELECT a.model AS a, b.model AS b, a.unit_id, CASE WHEN coalesce(a.pred, 0) = a.gold THEN 1e0 ELSE 0 END AS ra, CASE WHEN coalesce(b.pred, 0) = b.gold THEN 1e0 ELSE 0 END AS rb FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m < b.m) SELECT a, b, round(avg(greatest(ra, rb)) - greatest(avg(ra), avg(rb)), 6) AS lift FROM x GROUP BY a, b")
+def pair_lift(s, d):
+    """For each pair of models, what choosing right for each unit would add to the better of the two."""
+    p = probe(s, d).withColumn("ok", (F.coalesce("pred", F.lit(0)) == F.col("gold")).cast("double"))
+    one = lambda m, model, ok: p.select("unit_id", F.col("m").alias(m), F.col("model").alias(model), F.col("ok").alias(ok))
+    pairs = one("m1", "a", "ra").join(one("m2", "b", "rb"), "unit_id").where("m1 < m2")
+    lift = F.avg(F.greatest("ra", "rb")) - F.greatest(F.avg("ra"), F.avg("rb"))
+    return fin(pairs.groupBy("a", "b").agg(lift.alias("lift")))
+
+
 REWARD = "CASE WHEN coalesce(pred, 0) = gold THEN 1e0 ELSE 0 END - 0.2e0 * seconds"
 
 
@@ -88,15 +97,35 @@ query("ro25_rank_confirm", CTE + ", r AS (SELECT unit_id, row_number() OVER (PAR
 query("ro26_consensus", CTE + "SELECT unit_id, CAST(coalesce(sum(pred), 0) = 4 AS BIGINT) AS all4, CAST(coalesce(sum(pred), 0) >= 3 AS BIGINT) AS three, round(avg(p), 6) AS mean_p FROM probe GROUP BY unit_id")(
     lambda s, d: fin(probe(s, d).groupBy("unit_id").agg(F.sum("pred").alias("y"), F.avg("p").alias("mean_p")).select("unit_id", (F.coalesce("y", F.lit(0)) == 4).cast("long").alias("all4"), (F.coalesce("y", F.lit(0)) >= 3).cast("long").alias("three"), "mean_p"))
 )
-query("ro27_scenarios", CTE + ", b AS (SELECT cls, min(seconds) AS lo, max(seconds) AS hi FROM probe GROUP BY cls), w AS (SELECT unnest([1.0, 0.5, 0.2]::DOUBLE[]) AS we), x AS (SELECT unit_id, m, we, we * p - (1 - we) * (seconds - lo) / (hi - lo) AS score FROM probe JOIN b USING (cls) CROSS JOIN w) SELECT we, unit_id, CAST(m AS BIGINT) AS m FROM (SELECT *, row_number() OVER (PARTITION BY we, unit_id ORDER BY score DESC, m) AS r FROM x) WHERE r = 1")(
-    lambda s, d: (lambda p: fin(tk.arg_best(p.join(p.groupBy("cls").agg(F.min("seconds").alias("lo"), F.max("seconds").alias("hi")), "cls").crossJoin(F.broadcast(s.createDataFrame([(1.0,), (0.5,), (0.2,)], "we double"))).withColumn("score", F.col("we") * F.col("p") - (1 - F.col("we")) * (F.col("seconds") - F.col("lo")) / (F.col("hi") - F.col("lo"))), ["we", "unit_id"], "score", "m", ["m"], largest=True)))(probe(s, d))
-)
+
+
+@query("ro27_scenarios", CTE + ", b AS (SELECT cls, min(seconds) AS lo, max(seconds) AS hi FROM probe GROUP BY cls), w AS (SELECT unnest([1.0, 0.5, 0.2]::DOUBLE[]) AS we), x AS (SELECT unit_id, m, we, we * p - (1 - we) * (seconds - lo) / (hi - lo) AS score FROM probe JOIN b USING (cls) CROSS JOIN w) SELECT we, unit_id, CAST(m AS BIGINT) AS m FROM (SELECT *, row_number() OVER (PARTITION BY we, unit_id ORDER BY score DESC, m) AS r FROM x) WHERE r = 1")
+def scenarios(s, d):
+    """The model chosen for each unit as score and scaled cost are weighed in three ways."""
+    p = probe(s, d)
+    weights = s.createDataFrame([(1.0,), (0.5,), (0.2,)], "we double")
+    rows = p.join(p.groupBy("cls").agg(F.min("seconds").alias("lo"), F.max("seconds").alias("hi")), "cls").crossJoin(F.broadcast(weights))
+    cost = (F.col("seconds") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    scored = rows.withColumn("score", F.col("we") * F.col("p") - (1 - F.col("we")) * cost)
+    return fin(tk.arg_best(scored, ["we", "unit_id"], "score", "m", ["m"], largest=True))
+
+
 query("ro28_budget_oracle", CTE + "SELECT unit_id, CAST(coalesce(min(CASE WHEN pred = gold THEN m END), max(m)) AS BIGINT) AS budget FROM probe GROUP BY unit_id")(
     lambda s, d: fin(probe(s, d).groupBy("unit_id").agg(F.coalesce(F.min(F.when(F.col("pred") == F.col("gold"), F.col("m"))), F.max("m")).alias("budget")))
 )
-query("ro29_threshold_sweep", CTE + ", t AS (SELECT range / 10e0 AS tau FROM range(11)) SELECT tau, round(avg(CASE WHEN a.p >= tau THEN 1e0 ELSE 0 END), 6) AS small_share, round(avg(CASE WHEN CASE WHEN a.p >= tau THEN coalesce(a.pred, 0) ELSE coalesce(b.pred, 0) END = a.gold THEN 1e0 ELSE 0 END), 6) AS accuracy FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m = 0 AND b.m = 3 CROSS JOIN t GROUP BY tau")(
-    lambda s, d: (lambda p: fin(p.where("m = 0").select("unit_id", "gold", "p", F.coalesce("pred", F.lit(0)).alias("a")).join(p.where("m = 3").select("unit_id", F.coalesce("pred", F.lit(0)).alias("b")), "unit_id").crossJoin(F.broadcast(s.range(11).select((F.col("id") / 10.0).alias("tau")))).groupBy("tau").agg(F.avg((F.col("p") >= F.col("tau")).cast("double")).alias("small_share"), F.avg((F.when(F.col("p") >= F.col("tau"), F.col("a")).otherwise(F.col("b")) == F.col("gold")).cast("double")).alias("accuracy"))))(probe(s, d))
-)
+
+
+@query("ro29_threshold_sweep", CTE + ", t AS (SELECT range / 10e0 AS tau FROM range(11)) SELECT tau, round(avg(CASE WHEN a.p >= tau THEN 1e0 ELSE 0 END), 6) AS small_share, round(avg(CASE WHEN CASE WHEN a.p >= tau THEN coalesce(a.pred, 0) ELSE coalesce(b.pred, 0) END = a.gold THEN 1e0 ELSE 0 END), 6) AS accuracy FROM probe a JOIN probe b ON a.unit_id = b.unit_id AND a.m = 0 AND b.m = 3 CROSS JOIN t GROUP BY tau")
+def threshold_sweep(s, d):
+    """Accuracy and the small model's share as the score at which it is trusted rises."""
+    p, pred = probe(s, d), F.coalesce("pred", F.lit(0))
+    both = p.where("m = 0").select("unit_id", "gold", "p", pred.alias("a")).join(p.where("m = 3").select("unit_id", pred.alias("b")), "unit_id")
+    rows = both.crossJoin(F.broadcast(s.range(11).select((F.col("id") / 10.0).alias("tau"))))
+    trusted = F.col("p") >= F.col("tau")
+    right = F.when(trusted, F.col("a")).otherwise(F.col("b")) == F.col("gold")
+    return fin(rows.groupBy("tau").agg(F.avg(trusted.cast("double")).alias("small_share"), F.avg(right.cast("double")).alias("accuracy")))
+
+
 query("ro7_dual_ascent")(
     lambda s, d: fin(ro.dual_ascent(probe(s, d).withColumns({"loss": ro.loss(), "cost": F.col("seconds")}), F.col("n") * 0.1).select("grp", "n", "lam", "spent", "lost"))
 )
@@ -307,6 +336,16 @@ query("ext_pricing_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n,
 query("ext_shipping_priority", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey ORDER BY revenue DESC, l_orderkey LIMIT 10")(
     lambda s, d: load(s, d, "customer").where("c_mktsegment = 'BUILDING'").join(load(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(load(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 )
-query("ext_local_suppliers", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")(
-    lambda s, d: load(s, d, "lineitem").join(load(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(load(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(load(s, d, "supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey"))).join(F.broadcast(load(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 1).alias("revenue"))
-)
+
+
+@query("ext_local_suppliers", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def local_suppliers(s, d):
+    """Revenue by nation of goods whose buyer and supplier are of one nation."""
+    rows = load(s, d, "lineitem").join(load(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(load(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = rows.join(load(s, d, "supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    rows = rows.join(F.broadcast(load(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return rows.groupBy("n_name").agg(F.round(revenue, 1).alias("revenue"))
+
+

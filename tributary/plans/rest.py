@@ -78,9 +78,19 @@ def prefix_hits(s, d):
 
 
 query("wn12_ro20_prefix_sums", CTE + ", x AS (SELECT size, sum(CASE WHEN m = 1 THEN ok END) AS a, sum(CASE WHEN m = 3 THEN ok END) AS b FROM (SELECT m, size, CASE WHEN coalesce(pred, 0) = gold THEN 1 ELSE 0 END AS ok FROM probe WHERE m IN (1, 3)) GROUP BY size) SELECT size AS cut, CAST(sum(a) OVER (ORDER BY size) + (SELECT sum(b) FROM x) - sum(b) OVER (ORDER BY size) AS BIGINT) AS hits FROM x")(prefix_hits)
-query("wn16_smallest_share", CTE + f", r AS (SELECT grp, gold, {RANK} AS rn, count(*) OVER (PARTITION BY model, grp) AS n FROM probe WHERE m = 3), g AS (SELECT (range + 1) / 10e0 AS f FROM range(10)), x AS (SELECT f, sum(CASE WHEN rn <= round_even(f * n, 0) THEN gold ELSE 0 END) * 1e0 / sum(gold) AS rec FROM r CROSS JOIN g GROUP BY f) SELECT round(coalesce(min(CASE WHEN rec >= 0.8 THEN f END), 1e0), 6) AS share FROM x")(
-    lambda s, d: (lambda r: fin(r.join(r.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp").crossJoin(F.broadcast(s.range(10).select(((F.col("id") + 1) / 10.0).alias("f")))).groupBy("f").agg((F.sum(F.when(F.col("rn") <= F.bround(F.col("f") * F.col("n")), F.col("gold")).otherwise(0)) / F.sum("gold")).alias("rec")).agg(F.coalesce(F.min(F.when(F.col("rec") >= 0.8, F.col("f"))), F.lit(1.0)).alias("share"))))(tk.ranked(probe(s, d).where("m = 3"), ["model", "grp"], "p"))
-)
+
+
+@query("wn16_smallest_share", CTE + f", r AS (SELECT grp, gold, {RANK} AS rn, count(*) OVER (PARTITION BY model, grp) AS n FROM probe WHERE m = 3), g AS (SELECT (range + 1) / 10e0 AS f FROM range(10)), x AS (SELECT f, sum(CASE WHEN rn <= round_even(f * n, 0) THEN gold ELSE 0 END) * 1e0 / sum(gold) AS rec FROM r CROSS JOIN g GROUP BY f) SELECT round(coalesce(min(CASE WHEN rec >= 0.8 THEN f END), 1e0), 6) AS share FROM x")
+def smallest_share(s, d):
+    """The smallest tenth of each group's ranking that holds four fifths of all positives."""
+    r = tk.ranked(probe(s, d).where("m = 3"), ["model", "grp"], "p")
+    tenths = s.range(10).select(((F.col("id") + 1) / 10.0).alias("f"))
+    rows = r.join(r.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp").crossJoin(F.broadcast(tenths))
+    read = F.when(F.col("rn") <= F.bround(F.col("f") * F.col("n")), F.col("gold")).otherwise(0)
+    recall = rows.groupBy("f").agg((F.sum(read) / F.sum("gold")).alias("rec"))
+    return fin(recall.agg(F.coalesce(F.min(F.when(F.col("rec") >= 0.8, F.col("f"))), F.lit(1.0)).alias("share")))
+
+
 
 # ---- metrics, resampling --------------------------------------------------------------------------------------------
 
