@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -79,10 +78,6 @@ def standardised(train: DataFrame, columns: list[str], category: str | None = No
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=last, outputCol="features")]).fit(train)
 
 
-def boosted(train: DataFrame, columns: list[str], gold: str, rounds: int = 20, depth: int = 3):
-    return GBTClassifier(labelCol=gold, maxIter=rounds, maxDepth=depth, seed=1).fit(assembled(train.withColumn(gold, F.col(gold).cast("double")), columns))
-
-
 def best_threshold(df: DataFrame, keys: list[str], score: str = "p", gold: str = "gold") -> DataFrame:
     """By keys the cut (score >= cut) with the best accuracy, the highest among equals, from running counts."""
     by = df.groupBy(*keys, score).agg(F.sum(gold).alias("g"), F.count(F.lit(1)).alias("n"))

@@ -78,7 +78,7 @@ def quantiles_by(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
         F.first("_n").alias("_n"), *[at(f(place[k]).cast("long")).alias(f"_{side}{k}") for k in place for side, f in (("a", F.floor), ("z", F.ceil))]
     )
     rest = {k: place[k] - F.floor(place[k]) for k in place}
-    between = {k: F.when(rest[k] == 0, F.col(f"_a{k}")).otherwise((1 - rest[k]) * F.col(f"_a{k}") + rest[k] * F.col(f"_z{k}")) for k in place}
+    between = {k: F.when((rest[k] == 0) | (F.col(f"_a{k}") == F.col(f"_z{k}")), F.col(f"_a{k}")).otherwise((1 - rest[k]) * F.col(f"_a{k}") + rest[k] * F.col(f"_z{k}")) for k in place}
     return picked.select(*keys, *[between[k].alias(name) for k, name in enumerate(shares)])
 
 

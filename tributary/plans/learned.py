@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import boosting as bo
 from ..operators import learned as ml
 from ..operators import ranking as rk
 from .core import AVG_RANK, fin
@@ -70,11 +71,27 @@ def standardised(s, d):
 
 @query("ml7_boosted")
 def boosted(s, d):
-    """The AUC of boosted trees on rows that they were not fitted on, and of the raw score there."""
+    """The AUC of 200 rounds of boosted trees on rows that they were not fitted on, and of the raw score there."""
     p = probe(s, d).where("m = 3")
-    test = ml.assembled(p.where("unit_id % 2 = 1"), ["size", "p"])
-    scored = ml.boosted(p.where("unit_id % 2 = 0"), ["size", "p"], "gold", 5).transform(test).withColumn("boosted", vector_to_array("probability")[1])
-    return fin(ml.auc_scan(scored, ["boosted", "p"]))
+    model = bo.fit(p.where("unit_id % 2 = 0"), ["size", "p"], "gold")
+    return fin(ml.auc_scan(model.transform(p.where("unit_id % 2 = 1"), "boosted"), ["boosted", "p"]))
+
+
+PARTS = bo.bins_for(2) - 1
+
+
+@query("ml7_first_splits", CTE + f""", r AS (SELECT gold, CAST(size AS DOUBLE) AS size, p FROM probe WHERE m = 3),
+x AS (SELECT 'size' AS feature, size AS v, gold FROM r UNION ALL SELECT 'p', p, gold FROM r),
+e AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, {[k / PARTS for k in range(1, PARTS)]}))) AS edges FROM x GROUP BY feature),
+b AS (SELECT feature, 1 + len(list_filter(edges, lambda q: q < v)) AS bin, gold FROM x JOIN e USING (feature)),
+c AS (SELECT feature, bin, sum(count(*)) OVER w AS n_left, sum(sum(gold)) OVER w AS pos_left FROM b GROUP BY feature, bin WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+t AS (SELECT count(*) AS n, sum(gold) * 1e0 / count(*) AS s FROM r), g AS (SELECT feature, bin, n_left, n, s, s * n_left - pos_left AS gl FROM c CROSS JOIN t WHERE n_left < n)
+SELECT feature, CAST(bin AS BIGINT) AS bin, CAST(n_left AS BIGINT) AS n_left, round(gl * gl / (s * (1 - s) * n_left) + gl * gl / (s * (1 - s) * (n - n_left)), 6) AS gain FROM g""")
+def first_splits(s, d):
+    """What every cut of two columns would gain as the first split."""
+    p = probe(s, d).where("m = 3")
+    columns = ["size", "p"]
+    return fin(bo.first_gains(bo.counted(p, bo.cuts(p, columns), "gold"), columns))
 
 
 query("ml9_auc_scan", CTE + f", x AS (SELECT 'p' AS model, gold, p FROM probe UNION ALL SELECT 'size', gold, CAST(size AS DOUBLE) FROM probe), r AS (SELECT model, gold, {AVG_RANK.format(k='model')} AS r FROM x) SELECT model AS feature, round((sum(CASE WHEN gold = 1 THEN r END) - sum(gold) * (sum(gold) + 1) / 2e0) / (sum(gold) * sum(1 - gold)), 6) AS auc FROM r GROUP BY model")(
