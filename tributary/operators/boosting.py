@@ -133,7 +133,7 @@ def fit(df: DataFrame, columns: list[str], gold: str, rounds: int = 200, depth:
     d = len(columns)
     bins, n, pos = cells.iloc[:, :d].to_numpy(np.int64), cells["n"].to_numpy(float), cells["pos"].to_numpy(float)
     share = pos.sum() / n.sum() if len(n) else 0.5
-    if not 0 < share < 1:
+    if not len(n) or not 0 < share < 1:
         return Boosted(edges, float(np.clip(np.log(max(share, 1e-12) / max(1 - share, 1e-12)), -27, 27)), [])
     start = float(np.log(share / (1 - share)))
     score, trees = np.full(len(n), start), []
