@@ -248,8 +248,9 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids and decoded of every whole text.
 
-    A narrow map: no shuffle. A null or empty text has no ids; rows of one doc_id keep a row each; other columns are
-    not read.
+    A narrow map: no shuffle. A null or empty text has no ids; rows of one doc_id, equal ones too, keep a row each, and a
+    null doc_id stays null; other columns are not read; an empty table gives no rows. Of equal ranks there are none, so a
+    text has one encoding. A very long text is encoded piece by piece and its ids are held whole.
     """
     if pattern is None:
         from public_tokenizers import PATTERN as pattern  # noqa: N811

@@ -100,7 +100,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     Equal fingerprints are one node, so copies never meet in pairs. A text without words has fingerprint zero, and a
     null text none; rows of one doc_id keep a row each. A row without doc_id links like any other, and a component that
-    has no doc_id has none as its component_id. Other columns are not read. An empty table gives no rows.
+    has no doc_id has none as its component_id. Other columns are not read. An empty table gives no rows. A bit that is
+    set in exactly half the shingles is 0. Of a very long text the shingles' hashes are held at once, 8 bytes each.
     """
     prints = stored(fingerprints(docs), "simhash")
     unique = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-unique")

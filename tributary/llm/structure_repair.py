@@ -284,7 +284,9 @@ def audited(turns: DataFrame) -> DataFrame:
 
     turns: conv_id, turn, role, text (no nulls in the last two) and n, as damage() gives them; repair() says how they are
     ordered. Hashing reads a conversation's turns one after the other, so that is done in one task, with one turn held at a
-    time; all before it is split by segments. gaps is null where it does not fit a long. An empty table gives no rows.
+    time; all before it is split by segments. gaps is null where it does not fit a long. A null conv_id is a conversation
+    like any other; a role that is empty or begins with none of s, u and a cannot be kept; of repairs of one cost the
+    ASCII-least audit counts. Equal rows are repeats; other columns are not read; an empty table gives no rows.
     """
     placed = stored(_numbered(turns), "repair-turns")
     decided = stored(_decide(_parse(placed)), "repair-edits")

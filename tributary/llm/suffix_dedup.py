@@ -286,7 +286,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     above 0 wherever a string of so many bytes also starts elsewhere, and 0 where none of half as many does.
 
     Null and empty texts, and those shorter than length, have nothing removed. Rows that repeat are each judged, so
-    copies of length bytes or more go wholly; a null doc_id is a doc_id like any other.
+    copies of length bytes or more go wholly; a null doc_id is a doc_id like any other (the least long stands for it, so a
+    doc_id of that value comes out as null). Other columns are not read; an empty table gives no rows. A very long text is
+    read in segments and its bytes are held whole where it is cut. There is nothing to tie: every place is judged alike.
     """
     docs = _narrow(docs)
     safe = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
