@@ -13,7 +13,11 @@ from tributary.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the factorization machine rejects (op3)."""
+    """Drops the documents that the factorization machine rejects (op3).
+
+    A null or empty text scores by the bias alone; rows that repeat or have no doc_id are scored each. All stages read the
+    columns of documents only, so further ones go; no rows give no rows.
+    """
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text", "lang", "source", "n_chars"), machine).where("predicted = 0").drop("score", "predicted")
 
@@ -25,19 +29,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings of 400 and more that also start elsewhere (op4); every document stays."""
+    """Removes byte strings of 400 and more that also start elsewhere (op4); every document stays, null texts as null."""
     table(spark, sf_dir, "documents")
     return suffix_dedup.without_repeats(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind (op1)."""
+    """Replaces personal data by its kind (op1); null texts stay null, and their n_chars is null."""
     table(spark, sf_dir, "documents")
     return pii.mask(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens (op8)."""
+    """Packs what is left into sequences of 2048 tokens (op8); a null text is the end id alone, rows that repeat or have
+    no doc_id are packed each."""
     table(spark, sf_dir, "documents")
     return packing.pack(docs)
 
