@@ -54,8 +54,9 @@ def test_reach_sets_equal_plain_walks(spark, sinks):
     sources, barrier, out = [r.randrange(160) for _ in range(150)], {3, 8, 13}, {4, 9, 14}
     nodes = lambda x: spark.createDataFrame([(k,) for k in x], "node long")
     got = gr.reach_sets(spark.createDataFrame(edges, "src long, dst long"), nodes(sources), nodes(barrier), nodes(out), sinks=nodes(sinks) if sinks else None)
-    rows = [tuple(x) for x in got.collect()]
-    assert len(rows) == len(set(rows)) and set(rows) == plain(edges, sources, barrier, out, sinks)
+    pruned = gr.reach_sets(spark.createDataFrame(edges * 2, "src long, dst long"), nodes(sources), nodes(barrier), nodes(out), sinks=nodes(sinks) if sinks else None, prune=True)
+    for rows in ([tuple(x) for x in df.collect()] for df in (got, pruned)):
+        assert len(rows) == len(set(rows)) and set(rows) == plain(edges, sources, barrier, out, sinks)
 
 
 def test_states_flow_with_bits(spark):

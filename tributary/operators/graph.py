@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import numbered
-from .storage import cut
+from .storage import cut, drop
 
 
 def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False) -> DataFrame:
@@ -54,12 +54,16 @@ def leading_to(edges: DataFrame, sinks: DataFrame) -> DataFrame:
     return edges.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def reach_sets(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False, sinks: DataFrame | None = None) -> DataFrame:
+def reach_sets(
+    edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False,
+    sinks: DataFrame | None = None, prune: bool = False,
+) -> DataFrame:
     """Pairs (source, node), with states (source, node, state), as reach() has them, without lengths.
 
     Sources are numbered, and 64 of them are the bits of one word: what flows is (node, word, bits), words that meet at a
     node are joined by or, and only bits that are new there flow on. So a round's rows grow with edges times words and not
-    with pairs. With sinks, only edges that lead to one are walked and only pairs with a sink as their node are given.
+    with pairs. With sinks only pairs with a sink as their node are given; with prune, edges that lead to no sink are
+    dropped first, by rounds of their own, which pays where there are many. Edges may repeat.
     """
     key = ["node", "state"] if states else ["node"]
     if barrier is not None:
@@ -68,32 +72,33 @@ def reach_sets(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None =
         sources = sources.join(bad.withColumnRenamed("dst", "node"), "node", "left_anti")
     if barrier_out is not None:
         edges = edges.join(barrier_out.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
-    edges = cut(edges.distinct())
-    if sinks is not None:
+    edges = cut(edges)
+    if sinks is not None and prune:
         edges = cut(leading_to(edges, sinks))
     names = cut(numbered(sources.select(*key).distinct(), [], key, "_n").withColumns({"word": F.expr("(_n - 1) div 64"), "bit": ((F.col("_n") - 1) % 64).cast("int")}).drop("_n"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    front = names.groupBy(*key, "word").agg(F.bit_or(one).alias("bits"))
-    seen = cut(front)
-    front, walked = seen, edges.withColumnRenamed("src", "node")
+    one, none = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")), F.lit(0).cast("long")
+    # what a word has, and what of it came in the last round
+    seen = cut(names.groupBy(*key, "word").agg(F.bit_or(one).alias("bits")).withColumn("fresh", F.col("bits")))
+    walked = edges.withColumnRenamed("src", "node")
     while True:
-        step = front.join(walked, "node")
+        step = seen.where("fresh <> 0").join(walked, "node")
+        to = [F.col("dst").alias("node")]
         if states:
-            step = step.where("from_state is null or from_state = state").select(F.col("dst").alias("node"), F.coalesce("to_state", "state").alias("state"), "word", "bits")
-        else:
-            step = step.select(F.col("dst").alias("node"), "word", "bits")
-        old = seen.withColumnRenamed("bits", "_old")
-        met = step.groupBy(*key, "word").agg(F.bit_or("bits").alias("bits")).join(old, [*key, "word"], "left")
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("long"))))
-        front = cut(met.select(*key, "word", fresh.alias("bits")).where("bits <> 0"))
-        if front.isEmpty():
+            step = step.where("from_state is null or from_state = state")
+            to.append(F.coalesce("to_state", "state").alias("state"))
+        step = step.groupBy(*to, "word").agg(F.bit_or("fresh").alias("fresh"))
+        both = seen.select(*key, "word", "bits", none.alias("fresh")).union(step.select(*key, "word", none, "fresh"))
+        met = both.groupBy(*key, "word").agg(F.bit_or("bits").alias("old"), F.bit_or("fresh").alias("new"))
+        was, seen = seen, cut(met.select(*key, "word", F.col("old").bitwiseOR(F.col("new")).alias("bits"), F.col("new").bitwiseAND(F.bitwise_not("old")).alias("fresh")))
+        drop(was)
+        if seen.where("fresh <> 0").isEmpty():
             break
-        seen = cut(seen.union(front).groupBy(*key, "word").agg(F.bit_or("bits").alias("bits")))
     if sinks is not None:
         seen = seen.join(sinks.select("node").distinct(), "node", "left_semi")
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", F.col("bits"), b).bitwiseAND(F.lit(1)) == 1)
     source = names.select("word", "bit", F.col("node").alias("source"))
-    return seen.select(*key, "word", F.explode(bits).alias("bit")).join(source, ["word", "bit"]).select("source", *key).distinct()
+    pairs = seen.select(*key, "word", F.explode(bits).alias("bit")).join(source, ["word", "bit"]).select("source", *key)
+    return pairs.distinct() if states else pairs  # a source may start in several states
 
 
 def closure(edges: DataFrame) -> DataFrame:

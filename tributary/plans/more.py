@@ -228,11 +228,16 @@ query("gx3_used_closure", GEO + ", u AS (SELECT DISTINCT 'n:' || n_name AS node
 )
 
 
-def trade(s, d):
-    """customer -> order -> part -> supplier, as it flows."""
+def flows_of_goods(s, d):
+    """customer -> order -> part -> supplier, as it flows; edges may repeat."""
     tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
     o, li = load(s, d, "orders"), load(s, d, "lineitem")
-    return o.select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst")).union(li.select(tag("o", "l_orderkey"), tag("p", "l_partkey"))).union(li.select(tag("p", "l_partkey"), tag("s", "l_suppkey"))).distinct()
+    supplied = li.select("l_partkey", "l_suppkey").distinct()
+    return o.select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst")).union(li.select(tag("o", "l_orderkey"), tag("p", "l_partkey"))).union(supplied.select(tag("p", "l_partkey"), tag("s", "l_suppkey")))
+
+
+def trade(s, d):
+    return flows_of_goods(s, d).distinct()
 
 
 TRADE = "WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem), s0 AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING')"
@@ -244,22 +249,22 @@ def buyers(s, d):
 
 @query("gx5_reach_barrier", TRADE + ", b AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE e.dst NOT IN (SELECT node FROM b)) SELECT source, node FROM r WHERE node LIKE 's%'")
 def reach_barrier(s, d):
-    """Suppliers that goods of a buyer came from, past orders that are not closed; only what leads to a supplier is walked."""
+    """Suppliers that goods of a buyer came from, past orders that are not closed."""
     closed = load(s, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
-    suppliers = load(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"))
-    return gr.reach_sets(trade(s, d), buyers(s, d), closed, sinks=suppliers)
+    suppliers = load(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node")).distinct()
+    return gr.reach_sets(flows_of_goods(s, d), buyers(s, d), closed, sinks=suppliers)
 
 
 @query("gx7_barrier_out", TRADE + ", b AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size < 25), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE r.node NOT IN (SELECT node FROM b)) SELECT source, node FROM r")
 def barrier_out(s, d):
     stop = load(s, d, "part").where("p_size < 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    return gr.reach_sets(trade(s, d), buyers(s, d), barrier_out=stop)
+    return gr.reach_sets(flows_of_goods(s, d), buyers(s, d), barrier_out=stop)
 
 
 @query("gx8_states", TRADE + ", r AS (SELECT node AS source, node, 'raw' AS state FROM s0 UNION SELECT r.source, e.dst, CASE WHEN e.dst LIKE 'p%' THEN 'seen' ELSE r.state END FROM r JOIN e ON e.src = r.node) SELECT source, node, state FROM r WHERE node LIKE 's%'")
 def reach_states(s, d):
-    edges = trade(s, d).withColumns({"from_state": F.lit(None).cast("string"), "to_state": F.when(F.col("dst").like("p%"), "seen")})
-    suppliers = load(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"))
+    edges = flows_of_goods(s, d).withColumns({"from_state": F.lit(None).cast("string"), "to_state": F.when(F.col("dst").like("p%"), "seen")})
+    suppliers = load(s, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node")).distinct()
     return gr.reach_sets(edges, buyers(s, d).withColumn("state", F.lit("raw")), states=True, sinks=suppliers)
 
 
