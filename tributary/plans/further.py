@@ -173,11 +173,11 @@ def l2_grid(s, d):
     return fin(ml.l2_grid(rows.select("model", "fold", "right", "p", "length"), "model", ["p", "length"], "right", "fold", GRID))
 
 
-@query("ml10_stacked", RECURSIVE + JUDGED + ", o AS (SELECT 1 AS one, * FROM w)" + newton_sql("o", ["one"], ["p1", "p2", "length"], "gold") + " SELECT unit_id, round(1 / (1 + exp(-(b0 + b1 * p1 + b2 * p2 + b3 * length))), 5) AS prob FROM o JOIN fitted USING (one)")
+@query("ml10_stacked", RECURSIVE + JUDGED + ", o AS (SELECT 1 AS one, * FROM w)" + newton_sql("o", ["one"], ["p1", "p2", "length"], "gold", "1e-3") + " SELECT unit_id, round(1 / (1 + exp(-(b0 + b1 * p1 + b2 * p2 + b3 * length))), 5) AS prob FROM o JOIN fitted USING (one)")
 def stacked(s, d):
     """Every unit's probability by a fit on two scores and the length."""
     columns = ["p1", "p2", "length"]
-    rows = _judged(s, d).withColumns({"one": F.lit(1), "l2": F.lit(0.0)})
+    rows = _judged(s, d).withColumns({"one": F.lit(1), "l2": F.lit(1e-3)})
     fitted = ml.newton_logistic(rows, ["one"], columns, "gold", "l2")
     return fin(ml.predicted(rows, fitted, ["one"], columns).select("unit_id", "prob"), 5)
 

@@ -35,10 +35,10 @@ def soft_logistic(s, d):
     return fin(found.select("m", *[F.col("beta")[i].alias(f"b{i}") for i in range(3)], "converged"), 4)
 
 
-@query("ml4_platt", RECURSIVE + newton_sql("probe", ["m"], ["p"], "gold") + " SELECT CAST(m AS BIGINT) AS m, unit_id, round(1 / (1 + exp(-(b0 + b1 * p))), 5) AS prob FROM probe JOIN fitted USING (m)")
+@query("ml4_platt", RECURSIVE + newton_sql("probe", ["m"], ["p"], "gold", "1e-3") + " SELECT CAST(m AS BIGINT) AS m, unit_id, round(1 / (1 + exp(-(b0 + b1 * p))), 5) AS prob FROM probe JOIN fitted USING (m)")
 def platt(s, d):
-    """Every unit's score, calibrated for its model."""
-    rows = probe(s, d).select("m", "unit_id", "p", "gold").withColumn("l2", F.lit(0.0))
+    """Every unit's score, calibrated for its model; a small weight, so that separable scores have an optimum too."""
+    rows = probe(s, d).select("m", "unit_id", "p", "gold").withColumn("l2", F.lit(1e-3))
     fitted = ml.newton_logistic(rows, ["m"], ["p"], "gold", "l2")
     return fin(ml.predicted(rows, fitted, ["m"], ["p"]).select("m", "unit_id", "prob"), 5)
 
