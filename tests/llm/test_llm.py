@@ -327,6 +327,17 @@ def test_links_find_every_close_pair(spark):
         assert (own[a] ^ own[b]).bit_count() == sum(abs(x - y) for x, y in zip(counts(fps[a]), counts(fps[b]), strict=True))
 
 
+def test_no_table_of_fingerprints_is_broadcast(spark, tmp_path):
+    """Small ones neither, by the planner's own limit, as it only estimates the sizes of large ones."""
+    spark.createDataFrame([(k, str(k)) for k in range(50)], DOCS).write.parquet(f"{tmp_path}/d")
+    few = spark.read.parquet(f"{tmp_path}/d")
+    rows, low = few.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), few.groupBy(F.col("doc_id").alias("a")).agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = [common._to_lowest(rows, low, n) for n in (1, common.HOT_LINKS + 1)]
+    for df in (simhash.near_duplicates(few), simhash.one_of_each(few), simhash.links(few.select(F.col("doc_id").alias("fp"))), *met):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
+
+
 def test_rows_without_doc_id_link(spark):
     r = random.Random(2)
     t = [words(r, 60, 300) for _ in range(3)]

@@ -87,14 +87,13 @@ HOT_LINKS, HOT_SHARE = 1_000_000, 1 / 1000
 def _to_lowest(rows: DataFrame, low: DataFrame, links: int) -> DataFrame:
     """rows (a, b) with m, the smallest node that low (a, m, n) has for a; n counts a's links.
 
-    Links of hot nodes meet m in a broadcast join, so no task reads all of one node's; the others are dealt by a.
+    The sides, of a row for each link or node, are merged, whatever the planner's limit for broadcasts, so neither passes
+    through the driver. Where a node is hot, low is written first: then the join's shuffles stand alone, and adaptive
+    execution can split the hot node's links.
     """
-    if links <= HOT_LINKS:
-        return rows.join(low.select("a", "m"), "a").select("a", "b", "m")
-    hot = F.broadcast(low.where(F.col("n") > int(links * HOT_SHARE)).select("a", F.col("m").alias("hot_m")))
-    met = rows.join(hot, "a", "left")
-    cold = met.where("hot_m is null").select("a", "b").join(low.select("a", "m"), "a").select("a", "b", "m")
-    return met.where("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")).union(cold)
+    if links > HOT_LINKS and not low.where(F.col("n") > int(links * HOT_SHARE)).isEmpty():
+        low = stored(low, "cc-lowest")
+    return rows.join(low.select("a", "m").hint("merge"), "a").select("a", "b", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:

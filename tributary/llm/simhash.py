@@ -91,7 +91,7 @@ def links(unique: DataFrame, bits: int = BITS) -> DataFrame:
     near = own.select("half", F.explode(_around(F.col("cell"))).alias("cell"), F.col("fp").alias("fp2"), F.col("u").alias("u2"))
     manhattan = F.bit_count(F.col("u").bitwiseXOR(F.col("u2")))
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    met = own.join(near, ["half", "cell"]).where((F.col("fp") < F.col("fp2")) & (manhattan <= bits) & (hamming <= bits))
+    met = own.join(near.hint("merge"), ["half", "cell"]).where((F.col("fp") < F.col("fp2")) & (manhattan <= bits) & (hamming <= bits))
     return met.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
 
 
@@ -106,9 +106,10 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     prints = stored(fingerprints(docs), "simhash")
     unique = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-unique")
     roots = components(links(unique, bits))
-    by_fp = unique.join(roots, unique.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    # tables of a row for each fingerprint: merged, so that none is broadcast from the driver
+    by_fp = unique.join(roots.hint("merge"), unique.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(by_fp.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_fp.join(least.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -123,11 +124,11 @@ def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
     prints = stored(fingerprints(rows, tuple(order)), "simhash")
     unique = stored(prints.select("fp").distinct(), "simhash-unique")
     roots = components(links(unique, bits))
-    by_fp = unique.join(roots, unique.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("_component"))
+    by_fp = unique.join(roots.hint("merge"), unique.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("_component"))
     first = F.min(F.struct(*[x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_n{k}"), F.col(c).alias(f"_c{k}"))])).alias("_first")
-    kept = prints.join(by_fp, "fp").groupBy("_component").agg(first).select(*[F.col(f"_first._c{k}").alias(f"_c{k}") for k in range(len(order))])
+    kept = prints.join(by_fp.hint("merge"), "fp").groupBy("_component").agg(first).select(*[F.col(f"_first._c{k}").alias(f"_c{k}") for k in range(len(order))])
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c{k}")) for k, c in enumerate(order)])
-    return rows.join(kept, same, "left_semi").dropDuplicates(order).drop("_digest")
+    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(order).drop("_digest")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
