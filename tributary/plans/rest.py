@@ -13,6 +13,7 @@ from ..operators import routing as ro
 from ..operators import topk as tk
 from ..operators.ranges import numbered, prefix_sums
 from ..operators.sizes import quantiles
+from ..operators.storage import cut
 from .core import RANK, fin, flows
 from .measurement import CTE, load, pool, probe, units
 from .more import LOSS, QUALITY, U, geography, trade
@@ -151,7 +152,8 @@ SELECT a.model AS small, b.model AS large, round(a.c + a.f * b.c, 6) AS cost, a.
 def cost_guard(s, d):
     """Whether a cascade that passes on what its cheap model leaves unsure costs as much as the dear model alone."""
     unsure = F.col("pred").isNull() | (F.abs(F.col("p") - 0.5) < 0.1)
-    c = probe(s, d).groupBy("model").agg(F.avg("seconds").alias("c"), F.avg(unsure.cast("double")).alias("f"))
+    # written, as a mean summed anew in another order could be below itself
+    c = cut(probe(s, d).groupBy("model").agg(F.avg("seconds").alias("c"), F.avg(unsure.cast("double")).alias("f")))
     large = c.select(F.col("model").alias("large"), F.col("c").alias("k"))
     cost = F.col("c") + F.col("f") * F.col("k")
     return fin(c.withColumnRenamed("model", "small").join(F.broadcast(large), F.col("c") < F.col("k")).select("small", "large", cost.alias("cost"), (cost >= F.col("k")).alias("strong_alone")))
