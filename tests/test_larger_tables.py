@@ -24,3 +24,13 @@ def test_a_mean_is_never_below_itself(spark, monkeypatch):
             assert sorted(map(tuple, got)) == [("a", "b"), ("a", "c"), ("b", "c")]
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_whole_files_hold_a_bounded_number_of_texts(spark, tmp_path, monkeypatch):
+    rows = [(k, f"text\n{k}", "one" if k % 9 else None, len(f"text\n{k}")) for k in range(1300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(formats, "folder", lambda s: f"{tmp_path}/out")
+    got = {r.source: r.chars for r in registry.QUERIES["sc8_whole_files"](spark, str(tmp_path)).collect()}
+    assert got == {s: sum(x[3] for x in rows if x[2] == s) for s in ("one", None)}
+    texts = [open(f).read().count("\x01") for f in glob.glob(f"{tmp_path}/out/*/*.txt")]
+    assert sum(texts) == 1300 and max(texts) <= 500

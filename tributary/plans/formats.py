@@ -69,10 +69,11 @@ def comment_lines(s, d):
 
 @query("sc8_whole_files", "SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE NOT contains(text, chr(13)) GROUP BY source")
 def whole_files(s, d):
+    """A file is read as one row, so a source's texts go to as many files as hold 500 each, written where they are read."""
     path = folder(s)
     docs = load(s, d, "documents").where(~F.contains("text", F.lit("\r")))
-    docs.select("source", F.regexp_replace("text", "\n", " ").alias("value")).repartition(1, "source").write.partitionBy("source").option("lineSep", "\u0001").text(path)
-    files = s.read.text(path, wholetext=True).withColumn("source", F.col("source").cast("string"))
+    docs.select("source", F.regexp_replace("text", "\n", " ").alias("value")).write.partitionBy("source").option("lineSep", "\u0001").option("maxRecordsPerFile", 500).text(path)
+    files = s.read.schema("value string, source string").text(path, wholetext=True)
     return files.groupBy("source").agg(F.sum(F.length(F.replace("value", F.lit("\u0001"), F.lit("")))).alias("chars"))
 
 
