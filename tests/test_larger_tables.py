@@ -26,6 +26,31 @@ def test_a_mean_is_never_below_itself(spark, monkeypatch):
         spark.conf.unset("spark.sql.exchange.reuse")
 
 
+def test_grams_are_counted_where_texts_are_read(spark):
+    docs = spark.createDataFrame([(k, f"Abc déf {k % 3}\x0b\n ABC x") for k in range(30)] + [(30, None), (None, "abc")], "k long, t string")
+    words = ml.vocabulary(docs, "k", "t")
+    plain = ml.gram_counts(docs, "k", "t").groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df >= 3")
+    want = {r.gram: r.df for r in plain.collect()}
+    got = {r.gram: r.idf for r in words.collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - (math.log(33 / (1 + n)) + 1)) < 1e-12 for g, n in want.items())
+    found = ml.tfidf(docs, "k", "t", words)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k for r in found.collect()} == set(range(30))
+
+
+def test_rows_of_one_key_are_one_document(spark):
+    parts = [(1, "abc x"), (1, "abc"), (2, "abc"), (3, "abc abc"), (4, "x"), (None, "abc"), (None, "x")]
+    whole = [(1, "abc x abc"), (2, "abc"), (3, "abc abc"), (4, "x"), (None, "abc x")]
+    got, want = [], []
+    for rows, to in ((parts, got), (whole, want)):
+        docs = spark.createDataFrame(rows, "k long, t string")
+        words = spark.createDataFrame([("abc", 1.0), (" x ", 2.0)], "gram string, idf double")
+        to += sorted((r.k, r.gram, round(r.weight, 9)) for r in ml.tfidf(docs, "k", "t", words).collect())
+        seen = ml.gram_counts(docs, "k", "t").groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df >= 3")
+        assert {r.gram for r in ml.vocabulary(docs, "k", "t").collect()} == {r.gram for r in seen.collect()}
+    assert got == want
+
+
 def test_whole_files_hold_a_bounded_number_of_texts(spark, tmp_path, monkeypatch):
     rows = [(k, f"text\n{k}", "one" if k % 9 else None, len(f"text\n{k}")) for k in range(1300)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")

@@ -7,8 +7,10 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranges import prefix_sums
+from .storage import cut
 
 
 def assembled(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -50,22 +52,108 @@ def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(char_ngrams(text)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _gram_counter(low: int = 3, high: int = 5):
+    """A function that counts the grams of a lower-cased text as char_ngrams() makes them. It goes to workers by value."""
+    import re
+    from collections import Counter
+
+    blanks = re.compile("[ \t\n\x0b\f\r]+")
+
+    def of(text: str | None) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for word, times in Counter(blanks.split(text or "")).items():
+            w = f" {word} "
+            for n in range(low, high + 1) if word else ():
+                for i in range(len(w) - n + 1):
+                    gram = w[i : i + n]
+                    found[gram] = found.get(gram, 0) + times
+        return found
+
+    return of
+
+
+def _once(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of docs whose key no other row has, and the others, where there are any."""
+    again = cut(docs.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(F.col(key).alias("_again")))
+    if again.isEmpty():
+        return docs, None
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return docs.join(again, same, "left_anti"), docs.join(again, same, "left_semi")
+
+
+def _gram_totals(docs: DataFrame, text: str, most: int = 1 << 17) -> DataFrame:
+    """(gram, df, all): in how many rows of docs a gram is, and how often, summed for about so many grams before they
+    leave a task; the rows of one gram are still to be added up."""
+    count = _gram_counter()
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows: dict[str, int] = {}
+        times: dict[str, int] = {}
+
+        def told():
+            out = pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.string()), pa.array(rows.values(), pa.int64()), pa.array(times.values(), pa.int64())], ["gram", "df", "all"])
+            rows.clear()
+            times.clear()
+            return out
+
+        for b in batches:
+            for t in b.column(0):
+                for gram, n in count(t.as_py()).items():
+                    rows[gram] = rows.get(gram, 0) + 1
+                    times[gram] = times.get(gram, 0) + n
+                if len(rows) > most:
+                    yield told()
+        yield told()
+
+    return docs.select(F.lower(text)).mapInArrow(run, "gram string, df long, all long")
+
+
 def vocabulary(train: DataFrame, key: str, text: str, size: int = 20000, least: int = 3) -> DataFrame:
     """(gram, idf) of the most frequent grams that at least so many documents of train have; ties by gram.
 
-    idf is ln((1 + n) / (1 + documents with it)) + 1.
+    idf is ln((1 + n) / (1 + documents with it)) + 1. A document is all rows of a key. Those of one row are counted where
+    they are read, so what is shuffled is a task's distinct grams; only repeated keys send each document's.
     """
-    by = gram_counts(train, key, text).groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= least)
+    once, again = _once(train, key)
+    rows = _gram_totals(once, text)
+    if again is not None:
+        rows = rows.union(gram_counts(again, key, text).select("gram", F.lit(1).cast("long"), "tf"))
+    by = rows.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("all").alias("all")).where(F.col("df") >= least)
     n = train.agg(F.count(F.lit(1)).alias("_n"))
     return by.orderBy(F.desc("all"), "gram").limit(size).crossJoin(F.broadcast(n)).select("gram", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """(key, gram, weight): counts damped to 1 + ln(tf), times idf, each document's to length 1. words: a vocabulary(),
-    which has a row for each of its bounded number of grams and is broadcast."""
-    weighted = gram_counts(docs, key, text).join(F.broadcast(words), "gram").withColumn("_w", (1 + F.ln("tf")) * F.col("idf"))
-    length = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return weighted.join(length, key).select(key, "gram", (F.col("_w") / F.col("_l")).alias("weight"))
+    """(key, gram, weight): counts damped to 1 + ln(tf), times idf, each document's to length 1; rows without key have none.
+    words: a vocabulary(), which has a row for each of its bounded number of grams; it is collected, and broadcast.
+
+    A document of one row is weighed where it is read, without a shuffle; only repeated keys' counts meet by key.
+    """
+    once, again = _once(docs.where(F.col(key).isNotNull()), key)
+    idf = {r["gram"]: r["idf"] for r in words.collect()}
+    count, shape = _gram_counter(), T.StructType([docs.schema[key], T.StructField("gram", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def run(batches):
+        import math
+
+        import pyarrow as pa
+
+        for b in batches:
+            for k, t in enumerate(b.column(1)):
+                own = {g: (1 + math.log(n)) * idf[g] for g, n in count(t.as_py()).items() if g in idf}
+                length = math.sqrt(sum(w * w for w in own.values()))
+                keys = b.column(0).take(pa.array([k] * len(own), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(own.keys(), pa.string()), pa.array([w / length for w in own.values()], pa.float64())], [key, "gram", "weight"])
+
+    weights = once.select(key, F.lower(text)).mapInArrow(run, shape)
+    if again is None:
+        return weights
+    known = docs.sparkSession.createDataFrame([*idf.items()], "gram string, idf double")
+    met = gram_counts(again, key, text).join(F.broadcast(known), "gram").withColumn("_w", (1 + F.ln("tf")) * F.col("idf"))
+    length = met.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
+    return weights.union(met.join(length, key).select(key, "gram", (F.col("_w") / F.col("_l")).alias("weight")))
 
 
 def standardised(train: DataFrame, columns: list[str], category: str | None = None):
