@@ -59,3 +59,15 @@ def test_whole_files_hold_a_bounded_number_of_texts(spark, tmp_path, monkeypatch
     assert got == {s: sum(x[3] for x in rows if x[2] == s) for s in ("one", None)}
     texts = [open(f).read().count("\x01") for f in glob.glob(f"{tmp_path}/out/*/*.txt")]
     assert sum(texts) == 1300 and max(texts) <= 500
+
+
+def test_pairs_are_made_last(spark):
+    """Neither shuffled nor made distinct; a source in two states is one."""
+    edges = spark.createDataFrame([("a", "b", None, "seen"), ("b", "c", None, None), (None, "c", None, None)], "src string, dst string, from_state string, to_state string")
+    start = spark.createDataFrame([("a", "raw"), ("a", "seen"), ("b", "raw"), (None, "raw")], "node string, state string")
+    got = gr.reach_sets(edges, start, states=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {
+        ("a", "a", "raw"), ("a", "a", "seen"), ("a", "b", "seen"), ("a", "c", "seen"), ("b", "b", "raw"), ("b", "c", "raw"), (None, None, "raw")}

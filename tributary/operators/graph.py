@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import numbered
-from .storage import cut, drop
+from .storage import cut, drop, release
 
 
 def reach(edges: DataFrame, sources: DataFrame, barrier: DataFrame | None = None, barrier_out: DataFrame | None = None, states: bool = False) -> DataFrame:
@@ -62,7 +62,8 @@ def reach_sets(
 
     Sources are numbered, and 64 of them are the bits of one word: what flows is (node, word, bits), words that meet at a
     node are joined by or, and only bits that are new there flow on. So a round's rows grow with edges times words and not
-    with pairs. With sinks only pairs with a sink as their node are given; with prune, edges that lead to no sink are
+    with pairs, each bit is written once, in the round that it is new in, and a round's shuffles are let go after it. Names
+    are joined to words, 64 at once, so pairs are made last and not shuffled. With sinks only pairs with a sink as their node are given; with prune, edges that lead to no sink are
     dropped first, by rounds of their own, which pays where there are many. Edges may repeat.
     """
     key = ["node", "state"] if states else ["node"]
@@ -75,30 +76,40 @@ def reach_sets(
     edges = cut(edges)
     if sinks is not None and prune:
         edges = cut(leading_to(edges, sinks))
-    names = cut(numbered(sources.select(*key).distinct(), [], key, "_n").withColumns({"word": F.expr("(_n - 1) div 64"), "bit": ((F.col("_n") - 1) % 64).cast("int")}).drop("_n"))
+    spark = edges.sparkSession
+    release(spark)
+    # a source in several states is one bit
+    starts = sources.groupBy("node").agg(F.collect_set(F.struct("state")).alias("_s")) if states else sources.select("node").distinct()
+    names = cut(numbered(starts, [], ["node"], "_n").withColumns({"word": F.expr("(_n - 1) div 64"), "bit": ((F.col("_n") - 1) % 64).cast("int")}).drop("_n"))
     one, none = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")), F.lit(0).cast("long")
-    # what a word has, and what of it came in the last round
-    seen = cut(names.groupBy(*key, "word").agg(F.bit_or(one).alias("bits")).withColumn("fresh", F.col("bits")))
+    first = names.select("node", "word", "bit", F.explode("_s").alias("_s")).select("node", "_s.state", "word", "bit") if states else names
+    front = cut(first.groupBy(*key, "word").agg(F.bit_or(one).alias("bits")))
+    known, held = front, [front]
     walked = edges.withColumnRenamed("src", "node")
-    while True:
-        step = seen.where("fresh <> 0").join(walked, "node")
+    for n in count(1):
+        step = front.join(walked, "node")
         to = [F.col("dst").alias("node")]
         if states:
             step = step.where("from_state is null or from_state = state")
             to.append(F.coalesce("to_state", "state").alias("state"))
-        step = step.groupBy(*to, "word").agg(F.bit_or("fresh").alias("fresh"))
-        both = seen.select(*key, "word", "bits", none.alias("fresh")).union(step.select(*key, "word", none, "fresh"))
+        both = known.select(*key, "word", "bits", none.alias("fresh")).union(step.select(*to, "word", none, "bits"))
         met = both.groupBy(*key, "word").agg(F.bit_or("bits").alias("old"), F.bit_or("fresh").alias("new"))
-        was, seen = seen, cut(met.select(*key, "word", F.col("old").bitwiseOR(F.col("new")).alias("bits"), F.col("new").bitwiseAND(F.bitwise_not("old")).alias("fresh")))
-        drop(was)
-        if seen.where("fresh <> 0").isEmpty():
+        front = cut(met.select(*key, "word", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("bits")).where("bits <> 0"))
+        release(spark)
+        if front.isEmpty():
             break
+        known, held = known.union(front), [*held, front]
+        if n % 16 == 0:  # so that the plan stays small
+            known = cut(known.groupBy(*key, "word").agg(F.bit_or("bits").alias("bits")))
+            for x in held:
+                if x is not front:
+                    drop(x)
+            held = [known]
     if sinks is not None:
-        seen = seen.join(sinks.select("node").distinct(), "node", "left_semi")
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", F.col("bits"), b).bitwiseAND(F.lit(1)) == 1)
-    source = names.select("word", "bit", F.col("node").alias("source"))
-    pairs = seen.select(*key, "word", F.explode(bits).alias("bit")).join(source, ["word", "bit"]).select("source", *key)
-    return pairs.distinct() if states else pairs  # a source may start in several states
+        known = known.join(sinks.select("node").distinct(), "node", "left_semi")
+    sources64 = names.groupBy("word").agg(F.collect_list(F.struct("bit", F.col("node").alias("source"))).alias("_names"))
+    here = F.filter("_names", lambda x: F.call_function("shiftright", F.col("bits"), x["bit"]).bitwiseAND(F.lit(1)) == 1)
+    return known.join(sources64, "word").select(*key, F.explode(here).alias("_x")).select("_x.source", *key)
 
 
 def closure(edges: DataFrame) -> DataFrame:
