@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tributary.llm import collocations as own
@@ -97,3 +100,46 @@ def test_nothing_and_a_very_long_text(spark):
     at = lambda k: ["alpha", "beta"] * 400_000 if k % 2 == 0 else []
     counts = {" ".join(at(0)[i : i + k]): 800_000 // 2 - (k - 1 + i) // 2 for k in range(2, 6) for i in (0, 1)}
     assert {x.phrase: x.a for x in got}.items() <= counts.items() and "alpha beta alpha beta alpha" in {x.phrase for x in got}
+
+
+def test_a_file_of_many_blocks_has_small_row_groups(spark, monkeypatch):
+    """Readers take a row group whole: that of all blocks of a task grew with the task."""
+    groups, drop = [], own.drop_stored
+
+    def seen(df):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in df.inputFiles()]
+        groups.append([f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)])
+        drop(df)
+
+    monkeypatch.setattr(own, "BLOCK", 1 << 16)
+    monkeypatch.setattr(own, "drop_stored", seen)
+    r = random.Random(3)
+    rows = [(" ".join(str(r.randrange(1 << 30)) for _ in range(60_000)) + ". new york", "en") for _ in range(24)]
+    found, totals = own.frequent_phrases(spark.createDataFrame(rows, DOCS).coalesce(1), least=24)
+    assert {(x.phrase, x.a) for x in found.collect()} == {("new", 24), ("york", 24), ("new york", 24)}
+    assert totals.first().n == 24 * 60_002
+    assert sum(groups[0]) > 24 << 20 and max(groups[0]) < 16 << 20
+
+
+def test_an_owner_adds_up_a_slice_at_a_time(monkeypatch):
+    """Sums of equal fingerprints over lists, in slices as in one, holding little beside the lists."""
+    r = np.random.default_rng(4)
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    prints = [np.unique(np.r_[ends, r.integers(0, 2**64, 300, np.uint64) >> np.uint64(57) << np.uint64(57)]) for _ in range(9)] + [ends[:1], ends[1:]]
+    n = [r.integers(1, 9, len(x)).astype(np.int32) for x in prints]
+    sums = Counter()
+    for x, m in zip(prints, n):
+        sums.update(dict(zip(x.tolist(), m.tolist())))
+    want = [[sums[p] >= 30 for p in x.tolist()] for x in prints]
+    assert any(map(any, want)) and not all(map(all, want))
+    for size in (1, 7, 1 << 18):
+        monkeypatch.setattr(own, "SLICE", size)
+        assert [x.tolist() for x in own._enough(prints, n, 30)] == want
+    many = [np.sort(r.integers(0, 2**64, 1 << 18, np.uint64)) for _ in range(16)]
+    ones = [np.ones(len(x), np.int32) for x in many]
+    tracemalloc.start()
+    try:
+        own._enough(many, ones, 100)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20  # one sort of all 4 million held 196 MB
+    finally:
+        tracemalloc.stop()

@@ -9,6 +9,9 @@ every place holds a frequent word, so a pass that drops the others costs more th
 Which extensions are frequent is counted over all blocks. Ranges of fingerprints have an owner each; a block sends every
 owner its sorted fingerprints and list lengths of that range, the owner adds up and answers with a bit for each. A common
 fingerprint can only let a rare phrase pass, so the lists' lengths, summed by the phrase itself, are exact.
+
+Places and fingerprints are packed bytes to Spark, not arrays of a million elements, and files of blocks have row groups
+and pages of a few blocks at most, so a task holds a few blocks however many its file or partition has.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored, table, worker_cache
 
-LEAST, LONGEST, TOP, BLOCK, OWNED, SEED = 100, 5, 2000, 1 << 20, 1 << 22, 42
+LEAST, LONGEST, TOP, BLOCK, OWNED, SLICE, SEED = 100, 5, 2000, 1 << 20, 1 << 22, 1 << 18, 42
 #: Lower-cases A-Z, makes what ends a piece a line feed and a tab a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-#: A block: its phrases as "lang<tab>words", their fingerprints, and, one phrase after the other, how many places and which.
-LISTS = pa.schema({"block": pa.int64(), "keys": pa.list_(pa.string()), "prints": pa.list_(pa.int64()), "n": pa.list_(pa.int32()), "places": pa.list_(pa.int32())})
-LISTS_DDL = "block bigint, keys array<string>, prints array<bigint>, n array<int>, places array<int>"
+#: A block: its phrases as "lang<tab>words", how many places each has, their fingerprints (8 bytes each), the places of one
+#: phrase after the other (_packed), and how many these are.
+LISTS = pa.schema({"block": pa.int64(), "keys": pa.list_(pa.string()), "n": pa.list_(pa.int32()), "prints": pa.binary(), "places": pa.binary(), "total": pa.int64()})
+LISTS_DDL = "block bigint, keys array<string>, n array<int>, prints binary, places binary, total bigint"
+#: Readers take a row group whole and writers look at sizes every 100 rows unless told otherwise; a row is a block here.
+FILES = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 class _Ids(dict):
@@ -61,7 +67,7 @@ class _Block:
             self.held, self.numbers = len(self.langs), {x: k for k, x in enumerate(self.langs)}
         return self.numbers[lang]
 
-    def lists(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def lists(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Keys, fingerprints, lengths and places."""
         import xxhash
 
@@ -72,27 +78,41 @@ class _Block:
         # ids of a language count from 0 without gaps, so keys stand in their order
         raw = [lang.encode("utf-8", "surrogatepass") + b"\t" + w for lang, own in self.langs.items() for w in own]
         prints = np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in raw), np.uint64, len(raw)).view(np.int64)
-        return [k.decode("utf-8", "surrogatepass") for k in raw], prints, n.astype(np.int32), places[order].astype(np.int32)
+        return pa.array(raw, pa.binary()).cast(pa.string()), prints, n.astype(np.int32), places[order].astype(np.int32)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit integers by byte planes, compressed."""
+    return pa.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
 
+def _unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
-def _row(block: int, keys, prints, n, places) -> pa.RecordBatch:
+
+def _row(block: int, keys: pa.Array, prints, n, places) -> pa.RecordBatch:
     """One block's row; places go as steps from the list's place before, which are small."""
     steps = places.copy()
     steps[1:] -= places[:-1]
     first = np.cumsum(n)[:-1] if len(n) else np.zeros(0, np.int64)
     steps[first] = places[first]
-    whole = [pa.array([x], kind.type) for x, kind in zip((block, keys, prints, n, steps), LISTS)]
-    return pa.RecordBatch.from_arrays(whole, schema=LISTS)
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    flat = [pa.array([x], LISTS.field(c).type) for c, x in (("prints", prints.tobytes()), ("places", _packed(steps)), ("total", len(places)))]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), one(keys), one(pa.array(n, pa.int32())), *flat], schema=LISTS)
 
 
 def _read(b: pa.RecordBatch, k: int):
-    """keys (an Arrow array), fingerprints, lengths and places of row k."""
-    keys, prints, n, steps = (b.column(name)[k].values for name in ("keys", "prints", "n", "places"))
-    prints, n, steps = (x.to_numpy(zero_copy_only=False) for x in (prints, n, steps))
-    total = np.cumsum(steps, dtype=np.int64)
+    """Fingerprints, lengths and places of row k."""
+    n = b.column("n")[k].values.to_numpy(zero_copy_only=False)
+    prints = np.frombuffer(b.column("prints")[k].as_buffer(), np.int64)
+    # sums may pass 32 bits; places do not, so what wraps around comes back
+    total = np.cumsum(_unpacked(b.column("places")[k].as_buffer(), b.column("total")[k].as_py()), dtype=np.int32)
     start = np.cumsum(n, dtype=np.int64) - n
-    before = np.where(start > 0, total[start - 1], 0) if len(n) else start
-    return keys, prints, n, (total - np.repeat(before, n)).astype(np.int32)
+    before = np.where(start > 0, total[start - 1], np.int32(0)) if len(n) else total
+    return prints, n, total - np.repeat(before, n)
 
 
 def _extended(prints: np.ndarray, n: np.ndarray, places: np.ndarray):
@@ -100,13 +120,16 @@ def _extended(prints: np.ndarray, n: np.ndarray, places: np.ndarray):
 
     The lists merged by place; where the next posting is one place on, the phrase there ends in the adjacent word.
     """
-    which = np.repeat(np.arange(len(n), dtype=np.int64), n)
-    order = np.argsort(places, kind="stable")
-    at, which = places[order], which[order]
-    next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
-    pair = which[next_to] * max(len(n), 1) + which[next_to + 1]
+    here = np.full(int(places.max(initial=0)) + 2, -1, np.int32)  # one phrase at most begins at a place
+    here[places] = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0)).astype(np.int32)
+    pair = here[at].astype(np.int64)
+    pair *= max(len(n), 1)
+    pair += here[1:][at]
+    del here
     sort = np.argsort(pair, kind="stable")
-    pair, at = pair[sort], at[next_to][sort]
+    pair, at = pair[sort], at[sort]
+    del sort
     first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
     left, right = pair[first] // max(len(n), 1), pair[first] % max(len(n), 1)
     x = prints[left].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + prints[right].view(np.uint64)
@@ -146,45 +169,67 @@ def _invert(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(b: pa.RecordBatch, k: int, owners: int):
-    """Of row k: its keys, and the extensions sorted by fingerprint: left and right parts, fingerprints, lengths, places
-    in lists one after the other, and where each owner's range of them begins."""
-    keys, prints, n, places = _read(b, k)
-    left, right, prints, n, places = _extended(prints, n, places)
+    """Of row k: the extensions sorted by fingerprint: left and right parts, fingerprints, lengths, where each owner's
+    range of them begins, and a function for the places, one list after the other, of those that a mask selects."""
+    left, right, prints, n, places = _extended(*_read(b, k))
     order = np.argsort(prints.view(np.uint64), kind="stable")
-    start = np.cumsum(n, dtype=np.int64) - n
-    moved = n[order].astype(np.int64)
-    places = places[np.repeat(start[order] - (np.cumsum(moved) - moved), moved) + np.arange(len(places))]
-    prints = prints[order]
+    start, moved, prints = (np.cumsum(n, dtype=np.int64) - n)[order], n[order], prints[order]
     owner = (prints.view(np.uint64) >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    return keys, left[order], right[order], prints, n[order], places, first, owner[first].astype(np.int64)
+
+    def placed(mask: np.ndarray) -> np.ndarray:
+        size = moved[mask].astype(np.int64)
+        return places[np.repeat(start[mask] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    return left[order], right[order], prints, moved, first, owner[first].astype(np.int64), placed
 
 
 def _asked(lists: DataFrame, owners: int) -> DataFrame:
-    """(owner, block, prints, n): what each block sends each owner of a range in which it has extensions."""
+    """(owner, block, prints, n): what each block sends each owner of a range in which it has extensions, as bytes."""
 
     def run(batches):
         worker_cache("collocations", dict)
         for b in batches:
             for k in range(b.num_rows):
-                *_, prints, n, _, first, owner = _candidates(b, k, owners)
-                cuts = pa.array(np.r_[first, len(n)].astype(np.int32) if len(n) else np.zeros(1, np.int32))
+                _, _, prints, n, first, owner, _ = _candidates(b, k, owners)
+                cuts = np.r_[first, len(n)] if len(n) else np.zeros(1, np.int64)
                 block = pa.array(np.full(len(first), b.column("block")[k].as_py(), np.int64))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (prints, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(owner), block, *lists], ["owner", "block", "prints", "n"])
+                sent = [
+                    pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+                    for x in (prints, n)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(owner), block, *sent], ["owner", "block", "prints", "n"])
+
+    return lists.select("block", "n", "prints", "places", "total").mapInArrow(run, "owner bigint, block bigint, prints binary, n binary")
+
 
-    return lists.mapInArrow(run, "owner bigint, block bigint, prints array<bigint>, n array<int>")
+def _enough(prints: list[np.ndarray], n: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """For each list of sorted fingerprints: which of them reach least, the lengths n in all lists added up.
+
+    Some SLICE fingerprints, a range of them, are added up at a time: beyond the lists themselves little is held.
+    """
+    size = sum(map(len, prints))
+    low, high = min(int(x[0]) for x in prints), max(int(x[-1]) for x in prints)
+    slices = size // SLICE + 1
+    edges = np.array([low + (high - low) * s // slices for s in range(1, slices)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(x, edges), len(x)] for x in prints]
+    enough = [np.empty(len(x), bool) for x in prints]
+    for s in range(slices):
+        take = [slice(c[s], c[s + 1]) for c in cuts]
+        _, which = np.unique(np.concatenate([x[t] for x, t in zip(prints, take)]), return_inverse=True)
+        told = (np.bincount(which, np.concatenate([x[t] for x, t in zip(n, take)])) >= least)[which]
+        at = 0
+        for x, t in zip(enough, take):
+            x[t] = told[at : (at := at + t.stop - t.start)]
+    return enough
 
 
 def _answers(asked: DataFrame, least: int) -> DataFrame:
     """(block, owner, bits): for each of a block's fingerprints, in their order, whether all blocks' lengths reach least."""
 
     def answer(t: pa.Table) -> pa.Table:
-        prints, n = (t[c].combine_chunks() for c in ("prints", "n"))
-        size = np.diff(prints.offsets.to_numpy())
-        _, which = np.unique(prints.flatten().to_numpy(), return_inverse=True)
-        enough = (np.bincount(which, n.flatten().to_numpy()) >= least)[which]
-        bits = [np.packbits(x).tobytes() for x in np.split(enough, np.cumsum(size)[:-1])]
+        prints, n = ([np.frombuffer(x.as_buffer(), kind) for x in t[c]] for c, kind in (("prints", np.uint64), ("n", np.int32)))
+        bits = [np.packbits(x).tobytes() for x in _enough(prints, n, least)]
         return pa.table({"block": t["block"], "owner": t["owner"], "bits": pa.array(bits, pa.binary())})
 
     return asked.groupBy("owner").applyInArrow(answer, "block bigint, owner bigint, bits binary")
@@ -194,16 +239,19 @@ def _kept(told: DataFrame, owners: int) -> DataFrame:
     """The lists of the extensions that a block was told are frequent (column bits: the owners' answers)."""
 
     def run(batches):
+        import pyarrow.compute as pc
+
         worker_cache("collocations", dict)
         for b in batches:
             for k in range(b.num_rows):
-                keys, left, right, prints, n, places, first, _ = _candidates(b, k, owners)
+                left, right, prints, n, first, _, placed = _candidates(b, k, owners)
                 answers = sorted(((x["owner"], x["bits"]) for x in b.column("bits")[k].as_py()))
                 size = np.diff(np.r_[first, len(n)])
                 here = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for (_, x), m in zip(answers, size.tolist(), strict=True)]).astype(bool)
-                names, last = (keys.take(pa.array(x[here])).to_pylist() for x in (left, right))
-                names = [f"{x} {y[max(y.rfind(' '), y.rfind(chr(9))) + 1 :]}" for x, y in zip(names, last)]
-                yield _row(b.column("block")[k].as_py(), names, prints[here], n[here], places[np.repeat(here, n)])
+                keys = b.column("keys")[k].values
+                names, last = (keys.take(pa.array(x[here])) for x in (left, right))
+                names = pc.binary_join_element_wise(names, pc.replace_substring_regex(last, r"(?s)^.*[ \t]", ""), " ")
+                yield _row(b.column("block")[k].as_py(), names, prints[here], n[here], placed(here))
 
     return told.mapInArrow(run, LISTS_DDL)
 
@@ -214,7 +262,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     lang is "und" where it is null. A null or empty text has no words; rows count each, repeated ones too; other columns
     are not read. Texts are read whole, and a block ends between pieces, so memory is bounded by a block and the longest text.
     """
-    lists = stored(_invert(docs), "collocations-words", "zstd")
+    lists = stored(_invert(docs), "collocations-words", "zstd", **FILES)
     split = lambda rows: rows.select(
         F.regexp_extract("key", r"(?s)^(.*)\t", 1).alias("lang"), F.regexp_extract("key", r"([^\t]*)$", 1).alias("phrase"), "a"
     )
@@ -224,9 +272,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     found = [frequent(1)]
     for k in range(2, longest + 1):
         # an owner adds up about OWNED fingerprints, however many blocks send them
-        owners = -(-(lists.agg(F.sum(F.size("places"))).first()[0] or 0) // OWNED) or 1
+        owners = -(-(lists.agg(F.sum("total")).first()[0] or 0) // OWNED) or 1
         answers = _answers(_asked(lists, owners), least).groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("bits"))
-        longer = stored(_kept(lists.join(answers, "block"), owners), f"collocations-{k}", "zstd")
+        longer = stored(_kept(lists.join(answers, "block"), owners), f"collocations-{k}", "zstd", **FILES)
         drop_stored(lists)
         lists = longer
         found.append(frequent(k))

@@ -60,12 +60,13 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
-def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, codec: str | None = None, **options) -> DataFrame:
+    """Writes df as Parquet (options: the writer's) to the shared folder and reads it back: cuts lineage and survives lost
+    executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tributary/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec) if codec else df.write
-    writer.parquet(path)
+    writer.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
