@@ -71,3 +71,22 @@ def test_pairs_are_made_last(spark):
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == {
         ("a", "a", "raw"), ("a", "a", "seen"), ("a", "b", "seen"), ("a", "c", "seen"), ("b", "b", "raw"), ("b", "c", "raw"), (None, None, "raw")}
+
+
+def test_dead_ends_are_listed_once(spark, monkeypatch):
+    """Words are written for nodes that edges leave; dead ends, a null one too, come from lists, here in several parts."""
+    written, cut = [], gr.cut
+
+    def counted(df, *name):
+        out = cut(df, *name)
+        written.append(out.count() if "bits" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(gr, "cut", counted)
+    monkeypatch.setattr(gr, "LISTED", 40, raising=False)
+    ends = [*range(2000, 2300), None]
+    edges = [(k, 1000) for k in range(130)] + [(1000, e) for e in ends] + [(0, 2000), (3000, 2000)]
+    sources = spark.range(130).select(F.col("id").alias("node"))
+    got = [tuple(r) for r in gr.reach_sets(spark.createDataFrame(edges, "src long, dst long"), sources).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, e) for k in range(130) for e in (k, 1000, *ends)}
+    assert sum(written) == 130 + 3

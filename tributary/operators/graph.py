@@ -62,9 +62,12 @@ def reach_sets(
 
     Sources are numbered, and 64 of them are the bits of one word: what flows is (node, word, bits), words that meet at a
     node are joined by or, and only bits that are new there flow on. So a round's rows grow with edges times words and not
-    with pairs, each bit is written once, in the round that it is new in, and a round's shuffles are let go after it. Names
-    are joined to words, 64 at once, so pairs are made last and not shuffled. With sinks only pairs with a sink as their node are given; with prune, edges that lead to no sink are
-    dropped first, by rounds of their own, which pays where there are many. Edges may repeat.
+    with pairs, each bit is written once, in the round that it is new in, and a round's shuffles are let go after it.
+
+    Only edges to nodes that edges leave again are walked in rounds. The others end at dead ends, to which nothing is ever
+    new twice: their ends are listed by node, and the lists meet the words once, after the rounds (_dead_ends). With sinks
+    only pairs with a sink as their node are given, and edges to dead ends that are none are left out; with prune, edges
+    that lead to no sink are dropped first, by rounds of their own, which pays where there are many. Edges may repeat.
     """
     key = ["node", "state"] if states else ["node"]
     if barrier is not None:
@@ -74,10 +77,19 @@ def reach_sets(
     if barrier_out is not None:
         edges = edges.join(barrier_out.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
     edges = cut(edges)
-    if sinks is not None and prune:
-        edges = cut(leading_to(edges, sinks))
     spark = edges.sparkSession
     release(spark)
+    if sinks is not None and prune:
+        edges, whole = cut(leading_to(edges, sinks)), edges
+        drop(whole)
+    marks = edges.select(F.col("src").alias("dst"), F.lit(True).alias("_on"), F.lit(sinks is None).alias("_asked"))
+    if sinks is not None:
+        marks = marks.union(sinks.select("node", F.lit(False), F.lit(True)))
+    marks = marks.groupBy("dst").agg(F.max("_on").alias("_on"), F.max("_asked").alias("_asked"))
+    known_ends = edges.join(marks, "dst", "left").withColumns({"_on": F.coalesce("_on", F.lit(False)), "_asked": F.coalesce("_asked", F.lit(sinks is None))})
+    edges, whole = cut(known_ends.where("_on or _asked").drop("_asked"), "edges"), edges
+    drop(whole)
+    release(spark)
     # a source in several states is one bit
     starts = sources.groupBy("node").agg(F.collect_set(F.struct("state")).alias("_s")) if states else sources.select("node").distinct()
     names = cut(numbered(starts, [], ["node"], "_n").withColumns({"word": F.expr("(_n - 1) div 64"), "bit": ((F.col("_n") - 1) % 64).cast("int")}).drop("_n"))
@@ -85,7 +97,7 @@ def reach_sets(
     first = names.select("node", "word", "bit", F.explode("_s").alias("_s")).select("node", "_s.state", "word", "bit") if states else names
     front = cut(first.groupBy(*key, "word").agg(F.bit_or(one).alias("bits")))
     known, held = front, [front]
-    walked = edges.withColumnRenamed("src", "node")
+    walked = edges.where("_on").drop("_on").withColumnRenamed("src", "node")
     for n in count(1):
         step = front.join(walked, "node")
         to = [F.col("dst").alias("node")]
@@ -105,11 +117,53 @@ def reach_sets(
                 if x is not front:
                     drop(x)
             held = [known]
+    sources64 = names.groupBy("word").agg(F.collect_list(F.struct("bit", F.col("node").alias("source"))).alias("_names"))
+    ends = _dead_ends(known, edges.where("not _on").drop("_on"), sources64, names.count(), states)
+    drop(edges)
+    release(spark)
     if sinks is not None:
         known = known.join(sinks.select("node").distinct(), "node", "left_semi")
-    sources64 = names.groupBy("word").agg(F.collect_list(F.struct("bit", F.col("node").alias("source"))).alias("_names"))
-    here = F.filter("_names", lambda x: F.call_function("shiftright", F.col("bits"), x["bit"]).bitwiseAND(F.lit(1)) == 1)
-    return known.join(sources64, "word").select(*key, F.explode(here).alias("_x")).select("_x.source", *key)
+    return _named(known.join(sources64.hint("shuffle_hash"), "word"), key).union(_named(ends, key))
+
+
+#: A node's dead ends are listed in parts of about so many.
+LISTED = 10_000
+
+
+def _dead_ends(known: DataFrame, edges: DataFrame, sources64: DataFrame, sources: int, states: bool) -> DataFrame:
+    """(node, word, bits, _names), with states state too, of the nodes that edges to dead ends lead to from known.
+
+    The ends are written as lists by node, a list for each deal of the ends and part of a very long one. The shuffle takes
+    a list for each word that is known at its node, and not a row for each end; what meets there is joined by or in place,
+    and so are the names. Deals make enough groups where words are few.
+    """
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deals = max(1, -(-4 * n * 64 // max(1, sources)))
+    by = ["from_state", "to_state"] if states else []
+    long = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > LISTED))
+    rows = edges.withColumns({"_deal": F.pmod(F.xxhash64("dst"), F.lit(deals)).cast("int"), "_part": F.lit(0).cast("long")})
+    if not long.isEmpty():
+        parts = F.pmod(F.xxhash64(F.lit(1), "dst"), F.floor(F.col("_many") / LISTED) + 1)
+        rows = rows.drop("_part").join(long, "src", "left").withColumn("_part", F.coalesce(parts, F.lit(0))).drop("_many")
+    rows = rows.groupBy("src", *by, "_deal", "_part").agg(F.collect_set("dst").alias("_to"), F.bool_or(F.col("dst").isNull()).alias("_null"))
+    lists = cut(rows.select(F.col("src").alias("node"), *by, "_deal", F.expr("if(_null, array_append(_to, null), _to)").alias("_to")), "ends")
+    release(spark)
+    met = known.join(lists, "node")
+    key = ["node"]
+    if states:
+        met = met.where("from_state is null or from_state = state").withColumn("state", F.coalesce("to_state", "state"))
+        key.append("state")
+    dealt = met.select("word", "_deal", *key[1:], "bits", "_to").repartition("word", "_deal")
+    bits = dealt.withColumn("node", F.explode("_to")).groupBy("word", "_deal", *key).agg(F.bit_or("bits").alias("bits"))
+    every = sources64.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    return bits.join(every.hint("shuffle_hash"), ["word", "_deal"])
+
+
+def _named(words: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of words' bits (key, bits, _names), made where the words are."""
+    each = words.select(*key, "bits", F.explode("_names").alias("_x"))
+    return each.where(F.call_function("shiftright", F.col("bits"), F.col("_x.bit")).bitwiseAND(F.lit(1)) == 1).select("_x.source", *key)
 
 
 def closure(edges: DataFrame) -> DataFrame:
