@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import graph as gr
 from tributary.operators import learned as ml
-from tributary.plans import formats, registry, rest
+from tributary.plans import formats, more, registry, rest
 
 
 def test_a_mean_is_never_below_itself(spark, monkeypatch):
@@ -90,3 +90,12 @@ def test_dead_ends_are_listed_once(spark, monkeypatch):
     got = [tuple(r) for r in gr.reach_sets(spark.createDataFrame(edges, "src long, dst long"), sources).collect()]
     assert len(got) == len(set(got)) and set(got) == {(k, e) for k in range(130) for e in (k, 1000, *ends)}
     assert sum(written) == 130 + 3
+
+
+def test_keys_of_any_size_flow(spark, monkeypatch):
+    """The largest key is no number of a node, so nodes go by name; results are the same."""
+    for big in ((1 << 63) - 1, -7):
+        rows = {"customer": [(big, "BUILDING")], "orders": [(5, big)], "lineitem": [(5, 6, 9)], "part": [(6,)]}
+        schema = {"customer": "c_custkey long, c_mktsegment string", "orders": "o_orderkey long, o_custkey long", "lineitem": "l_orderkey long, l_partkey long, l_suppkey long", "part": "p_partkey long"}
+        monkeypatch.setattr(more, "load", lambda s, d, t, rows=rows: s.createDataFrame(rows[t], schema[t]))
+        assert [tuple(r) for r in registry.QUERIES["gx8_states"](spark, "").collect()] == [(f"c{big}", "s9", "seen")]

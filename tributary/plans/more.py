@@ -232,59 +232,72 @@ query("gx3_used_closure", GEO + ", u AS (SELECT DISTINCT 'n:' || n_name AS node
 NODES = ["c", "o", "p", "s"]
 
 
-def goods(kind, column):
-    """A node as a number, which takes less room than its name; a key beyond 2^61 is an error."""
-    return F.col(column).cast("long") * 4 + NODES.index(kind)
+KEYS = {"orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "customer": ["c_custkey"], "part": ["p_partkey"]}
+
+
+def by_name(s, d):
+    """Whether any key needs more than 62 bits, so that nodes cannot be numbers."""
+    wide = lambda c: ~F.col(c).between(-(1 << 61), (1 << 61) - 1)
+    return any(any(load(s, d, t).agg(*[F.bool_or(wide(c)) for c in keys]).first()) for t, keys in KEYS.items())
+
+
+def goods(kind, column, named):
+    """A node as its name or as a number, which takes less room."""
+    return F.concat(F.lit(kind), F.col(column).cast("string")) if named else F.col(column).cast("long") * 4 + NODES.index(kind)
 
 
 def name_of(node):
-    """The name of a node: its kind's letter and its key."""
+    """The name of a numbered node: its kind's letter and its key."""
     return F.concat(F.element_at(F.array(*map(F.lit, NODES)), (F.pmod(node, F.lit(4)) + 1).cast("int")), F.shiftright(node, 2).cast("string"))
 
 
-def flows_of_goods(s, d):
-    """customer -> order -> part -> supplier, as it flows; nodes are numbers and edges may repeat."""
+def flows_of_goods(s, d, named):
+    """customer -> order -> part -> supplier, as it flows; edges may repeat."""
     o, li = load(s, d, "orders"), load(s, d, "lineitem")
-    edges = o.select(goods("c", "o_custkey").alias("src"), goods("o", "o_orderkey").alias("dst")).union(li.select(goods("o", "l_orderkey"), goods("p", "l_partkey")))
-    return edges.union(li.select(goods("p", "l_partkey"), goods("s", "l_suppkey")))
+    edges = o.select(goods("c", "o_custkey", named).alias("src"), goods("o", "o_orderkey", named).alias("dst")).union(li.select(goods("o", "l_orderkey", named), goods("p", "l_partkey", named)))
+    return edges.union(li.select(goods("p", "l_partkey", named), goods("s", "l_suppkey", named)))
 
 
 def trade(s, d):
-    return flows_of_goods(s, d).select(name_of(F.col("src")).alias("src"), name_of(F.col("dst")).alias("dst")).distinct()
+    return flows_of_goods(s, d, True).distinct()
 
 
 TRADE = "WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem), s0 AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING')"
 
 
-def buyers(s, d):
-    return load(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(goods("c", "c_custkey").alias("node"))
+def buyers(s, d, named):
+    return load(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(goods("c", "c_custkey", named).alias("node"))
 
 
-def suppliers(s, d):
-    return load(s, d, "lineitem").select(goods("s", "l_suppkey").alias("node")).distinct()
+def suppliers(s, d, named):
+    return load(s, d, "lineitem").select(goods("s", "l_suppkey", named).alias("node")).distinct()
 
 
-def names_of(reached):
-    return reached.withColumns({c: name_of(F.col(c)) for c in ("source", "node")})
+def names_of(reached, named):
+    return reached if named else reached.withColumns({c: name_of(F.col(c)) for c in ("source", "node")})
 
 
 @query("gx5_reach_barrier", TRADE + ", b AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE e.dst NOT IN (SELECT node FROM b)) SELECT source, node FROM r WHERE node LIKE 's%'")
 def reach_barrier(s, d):
     """Suppliers that goods of a buyer came from, past orders that are not closed."""
-    closed = load(s, d, "orders").where("o_orderstatus = 'F'").select(goods("o", "o_orderkey").alias("node"))
-    return names_of(gr.reach_sets(flows_of_goods(s, d), buyers(s, d), closed, sinks=suppliers(s, d)))
+    named = by_name(s, d)
+    closed = load(s, d, "orders").where("o_orderstatus = 'F'").select(goods("o", "o_orderkey", named).alias("node"))
+    return names_of(gr.reach_sets(flows_of_goods(s, d, named), buyers(s, d, named), closed, sinks=suppliers(s, d, named)), named)
 
 
 @query("gx7_barrier_out", TRADE + ", b AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size < 25), r AS (SELECT node AS source, node FROM s0 UNION SELECT r.source, e.dst FROM r JOIN e ON e.src = r.node WHERE r.node NOT IN (SELECT node FROM b)) SELECT source, node FROM r")
 def barrier_out(s, d):
-    stop = load(s, d, "part").where("p_size < 25").select(goods("p", "p_partkey").alias("node"))
-    return names_of(gr.reach_sets(flows_of_goods(s, d), buyers(s, d), barrier_out=stop))
+    named = by_name(s, d)
+    stop = load(s, d, "part").where("p_size < 25").select(goods("p", "p_partkey", named).alias("node"))
+    return names_of(gr.reach_sets(flows_of_goods(s, d, named), buyers(s, d, named), barrier_out=stop), named)
 
 
 @query("gx8_states", TRADE + ", r AS (SELECT node AS source, node, 'raw' AS state FROM s0 UNION SELECT r.source, e.dst, CASE WHEN e.dst LIKE 'p%' THEN 'seen' ELSE r.state END FROM r JOIN e ON e.src = r.node) SELECT source, node, state FROM r WHERE node LIKE 's%'")
 def reach_states(s, d):
-    edges = flows_of_goods(s, d).withColumns({"from_state": F.lit(None).cast("string"), "to_state": F.when(F.pmod("dst", F.lit(4)) == NODES.index("p"), "seen")})
-    return names_of(gr.reach_sets(edges, buyers(s, d).withColumn("state", F.lit("raw")), states=True, sinks=suppliers(s, d)))
+    named = by_name(s, d)
+    part = F.col("dst").like("p%") if named else F.pmod("dst", F.lit(4)) == NODES.index("p")
+    edges = flows_of_goods(s, d, named).withColumns({"from_state": F.lit(None).cast("string"), "to_state": F.when(part, "seen")})
+    return names_of(gr.reach_sets(edges, buyers(s, d, named).withColumn("state", F.lit("raw")), states=True, sinks=suppliers(s, d, named)), named)
 
 
 query("gx11_fixpoint", GEO + ", c AS (SELECT 'n:FRANCE' AS node UNION SELECT x FROM (SELECT e.dst AS x FROM c JOIN e ON e.src = c.node UNION ALL SELECT e.src FROM c JOIN e ON e.dst = c.node WHERE e.dst <> 'ROOT')) SELECT node FROM c")(
